@@ -27,17 +27,18 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Cal
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     if text.lower() in names:
         raise ValueError(f"{text} is both the text column and a result column")
-    df = only(df, *[f.name for f in kept])
+    df = only(df, *[f.name for f in kept]).toDF(*[f"c{i}" for i in range(len(kept))])  # mapInArrow takes no name with a dot
     out = [f for f in kept if keep is None or f.name in keep] + fields
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out])
     arrow = to_arrow_schema(schema)
     at = [i for i, f in enumerate(kept) if keep is None or f.name in keep]
+    own = [f.name for f in kept]
     new = [arrow.field(len(at) + i) for i in range(len(fields))]
 
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(pa.RecordBatch.from_arrays(batch.columns, names=own), text):
                 made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(work(part), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i).cast(arrow.field(k).type) for k, i in enumerate(at)] + made, schema=arrow)
 
