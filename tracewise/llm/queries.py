@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import decontaminate, lm, packing
+from tracewise.llm import decontaminate, langid, lm, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of the id as text modulo n is 2; a null id is in the training part."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == 2, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _remainder(4).alias("held_out"))
+    samples = langid.fit(docs.where("NOT held_out"))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), samples).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def tokenizer_path() -> str:
     """The word-level vocabulary file, where the box has it."""
     import public_tokenizers
@@ -31,14 +42,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _remainder(7).alias("held_out"))
     model = lm.train(docs.where("NOT held_out"))
     out = lm.score(docs, model)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", lm.perplexity().alias("perplexity"))
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op6_packing": op6_packing,
     "op8_decontamination": op8_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
