@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm import decontaminate, langid, lm, packing
+from tracewise.llm import chat, decontaminate, langid, lm, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,36 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), samples).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def _read_back(batches):
+    """Digests of conversations, from their formatted text and loss mask alone."""
+    for b in batches:
+        out = []
+        for row in b.to_pylist():
+            text = row["formatted"]
+            turns = chat.parse_turns(text)
+            loss = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in row["loss"])
+            whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+            digest = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, loss)]
+            out.append({"conv_id": row["conv_id"], "n_turns": len(turns), "turns_sha256": digest[0], "loss_chars": len(loss), "loss_sha256": digest[1], "formatted_chars": len(text)})
+        yield pa.RecordBatch.from_pylist(out, schema=_CHAT)
+
+
+_CHAT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+NESTED = "\\### Assistant: </turn> ok"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation is a tree without forks: the parent of a turn is the turn before it."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = said.unionByName(spark.createDataFrame([(-7, 0, "user", NESTED), (-7, 1, "assistant", NESTED)], "conv_id long, turn long, role string, text string"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    said = said.withColumn("place", place).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    key = lambda n: F.concat_ws(":", "conv", n.cast("string"))
+    nodes = said.select(key(F.col("place")).alias("id"), F.when(F.col("place") > 1, key(F.col("place") - 1)).alias("parent"), "role", "text")
+    made = chat.format_trees(nodes, branches=1)
+    return made.select(F.split("root", ":")[0].try_cast("long").alias("conv_id"), "formatted", "loss").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 def tokenizer_path() -> str:
     """The word-level vocabulary file, where the box has it."""
     import public_tokenizers
@@ -50,6 +83,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op4_chat": op4_chat,
     "op6_packing": op6_packing,
     "op8_decontamination": op8_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
