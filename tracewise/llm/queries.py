@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm import chat, decontaminate, langid, lm, packing
+from tracewise.llm import chat, decontaminate, langid, lm, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,16 @@ def _remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == 2, F.lit(False))
 
 
+#: For these queries only; a real key is a secret.
+PII_KEY = "key of the test queries"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their pseudonymized text and the number of values replaced."""
+    out = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", *[F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _remainder(4).alias("held_out"))
     samples = langid.fit(docs.where("NOT held_out"))
@@ -82,6 +92,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_language_id": op3_language_id,
     "op4_chat": op4_chat,
     "op6_packing": op6_packing,
