@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm import chat, decontaminate, langid, lm, packing, pii
+from tracewise.llm import chat, decontaminate, jaccard, langid, lm, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.split("root", ":")[0].try_cast("long").alias("conv_id"), "formatted", "loss").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The word-level vocabulary file, where the box has it."""
     import public_tokenizers
@@ -95,6 +99,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_language_id": op3_language_id,
     "op4_chat": op4_chat,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op8_decontamination": op8_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
