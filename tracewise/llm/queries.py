@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewise.llm import chat, decontaminate, jaccard, langid, lm, packing, pii
+from tracewise.llm import chat, decontaminate, jaccard, jpeg, langid, lm, media, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+_MEDIA = [T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
+
+
+def _media_digest(image: jpeg.Decoder, raw: bytes) -> tuple:
+    payload = jpeg.payload_of(image)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), jpeg.features(image)
+
+
+def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    files = media.store_texts(docs).select("doc_id", "n_bytes", "media")
+    return media.read_media(files, _MEDIA, _media_digest, keep=["doc_id", "n_bytes"])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -101,6 +117,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
+    "op7_jpeg": op7_jpeg,
     "op8_decontamination": op8_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
 }
