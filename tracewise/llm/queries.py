@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm import chat, decontaminate, jaccard, jpeg, langid, lm, media, packing, pii
+from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", _remainder(7).alias("held_out"))
     model = lm.train(docs.where("NOT held_out"))
@@ -119,6 +123,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_jpeg": op7_jpeg,
     "op8_decontamination": op8_decontamination,
+    "op9_html": op9_html,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
