@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, packing, pii
+from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *[F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS])
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.rate(docs, quality.train(docs)).select("doc_id", "posterior", "score", "keep")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _remainder(4).alias("held_out"))
     samples = langid.fit(docs.where("NOT held_out"))
@@ -117,6 +122,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
     "op4_chat": op4_chat,
     "op5_jaccard_join": op5_jaccard_join,
