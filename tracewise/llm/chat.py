@@ -83,10 +83,8 @@ def paths(messages: DataFrame, node: str = "id", parent: str = "parent", role: s
     while state.where("up IS NOT NULL").limit(1).count() and len(jumps) <= most:
         jumps.append(state.where("up IS NOT NULL").select("node", "up"))
         above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("top").alias("a_top"), F.col("depth").alias("a_depth"), F.col("total").alias("a_total"))
-        state = written(
-            state.join(above, "up", "left").select("node", F.col("next").alias("up"), F.coalesce("a_top", "top").alias("top"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total")),
-            "jumps",
-        )
+        moved = state.where("up IS NOT NULL").join(above, "up").select("node", F.col("next").alias("up"), F.col("a_top").alias("top"), (F.col("depth") + F.col("a_depth")).alias("depth"), (F.col("total") + F.col("a_total")).alias("total"))
+        state = written(state.where("up IS NULL").unionByName(moved), "jumps")
     leaves = state.where("up IS NULL").join(links.where("parent IS NOT NULL").select(F.col("parent").alias("node")), "node", "left_anti")
     leaves = leaves.select(F.col("node").alias("leaf"), F.col("top").alias("root"), (F.col("total") / F.col("depth")).alias("branch_score"), "depth")
     leaves = leaves.withColumn("branch_rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("branch_score"), "leaf")))
