@@ -120,8 +120,8 @@ def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations lead by market segment to the balance bands (thousands) of their customers, and each band by ``up`` to the next that
-    occurs one above: states nation, 1000 + band."""
-    band = F.floor(F.col("c_acctbal") / 1000).cast("bigint") + 1000
+    occurs one above: states nation, 2000 + band."""
+    band = F.floor(F.col("c_acctbal") / 1000).cast("bigint") + 2000
     rows = _table(spark, sf_dir, "customer").where("c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL").select(F.col("c_nationkey").cast("bigint").alias("src"), band.alias("dst"), F.col("c_mktsegment").alias("label"))
     rows = rows.distinct()
     bands = rows.select("dst").distinct()
