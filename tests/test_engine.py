@@ -6,10 +6,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewise.functions import energy as E
-from tracewise.operators import build, refine, solve
+from tracewise.operators import build, local, refine, solve
 from tracewise.plans.equivalence import LTS
 from tracewise.sources import games, lts
 
+
+
+@pytest.fixture(params=["in one process", "distributed"])
+def way(request, monkeypatch):
+    """Both ways to the same tables."""
+    if request.param == "distributed":
+        for bound in ("EDGES", "PAIRS", "MOVES"):
+            monkeypatch.setattr(local, bound, -1)
+    return request.param
+
+
 F1 = [(0, 1, 0), (1, 2, 1), (1, 3, 2), (4, 5, 0), (5, 7, 1), (4, 6, 0), (6, 8, 2)]
 F2 = [(0, 0, 0), (0, 2, 0), (0, 2, 1), (1, 1, 0), (1, 2, 1), (2, 2, 0)]
 F3 = [(0, 1, 0), (0, 2, 0), (1, 3, 0), (1, 4, 1), (2, 4, 0), (3, 0, 0), (4, 0, 0), (5, 6, 0), (5, 8, 0), (6, 7, 0), (6, 7, 1), (7, 5, 0), (8, 9, 0), (9, 0, 0)]
@@ -127,7 +138,7 @@ G4 = [(0, 1, [-1]), (0, 2, [0, -1]), (0, 3, [0, 0, 0, -1]), (0, 4, [0, 0, 0, 0,
 G4_WON = {0: [[3, 1, 1, 1, 0, 2], [2, 1, 2, 1, 0, 2]], 1: [[2, 1, 1], [3, 0, 1], [1, 0, 2]], 2: [[0, 0, 1], [0, 1]], 3: [[0, 0, 0, 2, 2], [0, 0, 1], [0, 1]], 4: [[0, 0, 0, 0, 0, 1]], 5: [[1, 1, 1], [2, 0, 1]], 6: [[0, 1], [1]], 9: [[1, 0, 1]], 10: [[1]], 15: [[0, 0, 0, 2]], 16: [[0, 0, 0, 1]]} | {k: [[0]] for k in (7, 8, 11, 12, 13, 14, 17, 18, 19)}
 
 
-def test_simple_game(spark):
+def test_simple_game(spark, way):
     assert solved(spark, G1, G1_ATTACK, 18) == {k: pad(*v) for k, v in G1_WON.items()}
 
 
@@ -139,7 +150,7 @@ def test_fork(spark):
     assert solved(spark, [(0, 1, [0, 0, 0, -1]), (1, 2, [-1]), (1, 3, [0, -1])], [1], 4) == {0: pad([1, 0, 0, 1], [0, 1, 0, 1]), 1: pad([1], [0, 1]), 2: pad([0]), 3: pad([0])}
 
 
-def test_combinations(spark):
+def test_combinations(spark, way):
     assert solved(spark, G4, [1, 2, 3, 4, 6, 10, 16], 20) == {k: pad(*v) for k, v in G4_WON.items()}
 
 
@@ -155,7 +166,7 @@ def test_wide(spark):
 
 def test_random_games_against_forward_search(spark, tmp_path):
     conf = E.EnergyConf(3, 2)
-    for seed in range(1):
+    for seed in range(4):
         doc = games.random_game(25, seed, conf)
         rng = random.Random(seed)
         doc["adj"][rng.randrange(25)].append(rng.randrange(25))
@@ -189,7 +200,7 @@ def test_game_rules(spark, tmp_path):
 # systems
 
 
-def test_game_of_the_figure(spark):
+def test_game_of_the_figure(spark, way):
     s = system(spark, F2)
     game = s.game(spark.createDataFrame([(0, 1)], "p bigint, q bigint"))
     won = {r.pos: sorted(map(list, r.energies)) for r in solve.solve(game).collect()}
@@ -226,7 +237,7 @@ def test_first_example(spark):
         e.preorder(0, 1, "nonsense")
 
 
-def test_bisimilar_pair(spark):
+def test_bisimilar_pair(spark, way):
     s = system(spark, F3)
     part = {r.pid: r.cls for r in refine.refine(s.edges, s.states).collect()}
     assert part[0] == part[5]
@@ -272,7 +283,7 @@ def traces(edges, p, k):
 
 
 @pytest.mark.parametrize("seed", range(1))
-def test_random_systems(spark, seed):
+def test_random_systems(spark, way, seed):
     edges = random_system(seed)
     s = system(spark, edges)
     e, raw = s.equivalences(), s.equivalences_unminimized()
@@ -306,6 +317,17 @@ def test_enabled_and_images(spark):
     assert build.start_pairs(s.edges, s.states, some).count() == 2
 
 
+def test_outgrown(spark, monkeypatch):
+    """A game that outgrows the bound of one process is built by Spark."""
+    pairs = spark.createDataFrame([(0, 4)], "p bigint, q bigint")
+    one = system(spark, F1).game(pairs)
+    monkeypatch.setattr(local, "POSITIONS", 5)
+    two = system(spark, F1).game(pairs)
+    for name in ("positions", "moves"):
+        a, b = getattr(one, name), getattr(two, name)
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+
+
 def test_guard(spark):
     with pytest.raises(ValueError):
         system(spark, F1).equivalences(max_positions=3)

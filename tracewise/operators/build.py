@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewise.operators import local
 from tracewise.operators.refine import enabled_sets
 from tracewise.plans.iterate import cut, union_all
 
@@ -113,6 +114,18 @@ def build(edges: DataFrame, states: DataFrame, pairs: DataFrame, max_positions:
     """The game from the pairs' attack positions, breadth first; each round takes only positions not met before."""
     from tracewise.functions.energy import STANDARD
 
+    if edges.limit(local.EDGES + 1).count() <= local.EDGES and pairs.limit(local.PAIRS + 1).count() <= local.PAIRS:
+        try:
+            most = local.POSITIONS if max_positions is None else min(local.POSITIONS, max_positions)
+            found, moves = local.build([tuple(r) for r in edges.select("src", "label", "dst").collect()], [tuple(r) for r in pairs.select("p", "q").collect()], most)
+        except local.TooLarge:
+            if most == max_positions:
+                raise ValueError(f"the game has more than {max_positions} positions") from None
+        else:
+            spark = edges.sparkSession
+            rows = [(k, kind in "AC", kind, p, list(q), list(qx)) for k, (kind, p, q, qx) in found.items()]
+            positions = cut(spark.createDataFrame(rows, "pos string, is_attack boolean, kind string, p bigint, q array<bigint>, qx array<bigint>"))
+            return Game(positions, cut(spark.createDataFrame(moves, "src string, upd int, dst string")), UPDATES, STANDARD)
     sets = cut(enabled_sets(edges, states))
     new = cut(seeds(pairs))
     found, moves, total = [new], [], new.count()

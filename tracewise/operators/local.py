@@ -1,0 +1,142 @@
+"""The same steps in one process, for systems and games whose size has been counted and is small.
+
+A round of Spark jobs costs more than all the work on a small system. Callers count first, come here only under these bounds, and
+go back to the distributed way when a game outgrows them; both ways give the same tables.
+"""
+
+from __future__ import annotations
+
+from tracewise.functions.energy import EnergyConf
+
+EDGES, PAIRS, POSITIONS, MOVES = 100_000, 50_000, 200_000, 1_000_000
+
+
+class TooLarge(Exception):
+    """The game has outgrown the bound."""
+
+
+def refine(edges: list[tuple], states: list[int]) -> dict[int, int]:
+    """Class (its least state) of each state."""
+    steps: dict[int, list] = {p: [] for p in states}
+    for src, label, dst in edges:
+        steps[src].append((label, dst))
+    cls = dict.fromkeys(states, 0)
+    number = 1
+    while True:
+        least: dict = {}
+        sig = {}
+        for p in sorted(states):
+            sig[p] = frozenset((a, cls[d]) for a, d in steps[p])
+            least.setdefault(sig[p], p)
+        cls = {p: least[s] for p, s in sig.items()}
+        if len(least) == number or not least:
+            return cls
+        number = len(least)
+
+
+def build(edges: list[tuple], pairs: list[tuple], most: int) -> tuple[dict[str, tuple], list[tuple]]:
+    """Positions by key (kind, p, q, qx), and moves (src, update, dst)."""
+    from tracewise.operators.build import ANSWER, CONJUNCTION, NEGATIVE, OBSERVATION, POSITIVE, REVIVAL
+
+    steps: dict[int, dict] = {}
+    for src, label, dst in edges:
+        steps.setdefault(src, {}).setdefault(label, []).append(dst)
+    enabled = lambda p: steps.get(p, {}).keys()
+    listed = lambda q: ",".join(map(str, q))
+    positions: dict[str, tuple] = {}
+    moves: list[tuple] = []
+    todo: list[str] = []
+
+    def key(kind: str, p: int, q: tuple, qx: tuple = ()) -> str:
+        k = f"{kind}:{p}:{listed(q)}" + (f":{listed(qx)}" if kind == "D" else "")
+        if k not in positions:
+            if len(positions) >= most:
+                raise TooLarge
+            positions[k] = (kind, p, q, qx)
+            todo.append(k)
+        return k
+
+    for p, q in pairs:
+        key("A", p, (q,))
+    while todo:
+        at = todo.pop()
+        kind, p, q, qx = positions[at]
+        if kind == "C":
+            x = q[0]
+            if p != x:
+                moves += [(at, POSITIVE, key("A", p, (x,))), (at, NEGATIVE, key("A", x, (p,)))]
+        elif kind == "D":
+            moves += [(at, ANSWER, key("C", p, (x,))) for x in q]
+            if qx:
+                moves.append((at, REVIVAL, key("A", p, qx)))
+        elif not q:
+            moves.append((at, CONJUNCTION, key("D", p, ())))
+        else:
+            for label, targets in steps.get(p, {}).items():
+                image = tuple(sorted({d for x in q for d in steps.get(x, {}).get(label, ())}))
+                moves += [(at, OBSERVATION, key("A", d, image)) for d in targets if d not in image]
+            within = [x for x in q if enabled(x) <= enabled(p)]
+            beyond = [x for x in q if enabled(x) >= enabled(p)]
+            splits = [()]
+            for chosen in (within, beyond, [x for x in within if x in beyond]):
+                if 0 < len(chosen) < len(q) and tuple(chosen) not in splits:
+                    splits.append(tuple(chosen))
+            moves += [(at, CONJUNCTION, key("D", p, tuple(x for x in q if x not in s), s)) for s in splits]
+    return positions, moves
+
+
+def solve(owners: dict, moves: list[tuple], updates: dict[int, tuple], conf: EnergyConf, reach: set) -> dict:
+    """Minimal energies (vectors) of each position that has any, from moves (src, update, dst)."""
+    width = conf.max.bit_length() + 1
+    guards = sum(1 << (width * (i + 1) - 1) for i in range(conf.elements))
+    mask = (1 << (width - 1)) - 1
+    ahead = lambda a, b: ((b | guards) - a) & guards
+
+    def sup(a: int, b: int) -> int:
+        m = ahead(a, b)
+        own = m - (m >> (width - 1))
+        return (b & own) | (a & ~own & ~guards)
+
+    def minimal(es) -> frozenset:
+        kept: list[int] = []
+        for e in sorted(set(es), key=lambda e: sum(e >> (width * i) & mask for i in range(conf.elements))):
+            if not any(ahead(f, e) == guards for f in kept):
+                kept.append(e)
+        return frozenset(kept)
+
+    led: dict[tuple, int] = {}
+
+    def back(e: int, u: int) -> int:
+        if (e, u) not in led:
+            f = [e >> (width * i) & mask for i in range(conf.elements)]
+            f = [min(x + 1, conf.max) if k == -1 else x for x, k in zip(f, updates[u], strict=True)]
+            for i, k in enumerate(updates[u]):
+                if k > 0:
+                    f[k - 1] = max(f[k - 1], f[i])
+            led[e, u] = sum(x << (width * i) for i, x in enumerate(f))
+        return led[e, u]
+
+    out: dict = {}
+    into: dict = {}
+    for src, u, dst in set(moves):
+        out.setdefault(src, []).append((dst, u))
+        into.setdefault(dst, set()).add(src)
+    won: dict = {p: frozenset([0]) for p in reach}
+    changed = set(won)
+    while changed:
+        new = {}
+        for p in {s for d in changed for s in into.get(d, ())}:
+            if owners[p]:
+                found = minimal([back(e, u) for d, u in out[p] for e in won.get(d, ())] + list(won.get(p, ())))
+            else:
+                if any(d not in won for d, _ in out[p]):
+                    continue
+                sets = sorted((minimal(back(e, u) for e in won[d]) for d, u in out[p]), key=len)
+                found = sets[0]
+                for s in sets[1:]:
+                    found = minimal(sup(a, b) for a in found for b in s)
+            if found != won.get(p):
+                new[p] = found
+        won |= new
+        changed = set(new)
+    return {p: [[e >> (width * i) & mask for i in range(conf.elements)] for e in sorted(es)] for p, es in won.items()}

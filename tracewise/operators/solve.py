@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.energy import EnergyConf, codec, inverse_update, skyline
+from tracewise.operators import local
 from tracewise.operators.build import Game
 from tracewise.plans.iterate import cut
 
@@ -34,6 +35,13 @@ def _back(code, updates: dict[int, tuple], upd, energy):
 
 def solve(game: Game, reach: DataFrame | None = None) -> DataFrame:
     """(pos, energies: array of vectors) of all positions with any; ``reach`` (pos) are the positions won from the start."""
+    if game.moves.limit(local.MOVES + 1).count() <= local.MOVES and game.positions.limit(local.MOVES + 1).count() <= local.MOVES:
+        start = standard_reach(game) if reach is None else reach.select("pos")
+        owners = {r.pos: r.is_attack for r in game.positions.select("pos", "is_attack").collect()}
+        moves = [tuple(r) for r in game.moves.select("src", "upd", "dst").collect()]
+        won = local.solve(owners, moves, game.updates, game.conf, {r.pos for r in start.collect()})
+        kind = game.positions.schema["pos"].dataType.simpleString()
+        return cut(game.positions.sparkSession.createDataFrame(list(won.items()), f"pos {kind}, energies array<array<bigint>>"))
     code = codec(game.conf)
     nothing = F.array().cast(f"array<{code.type}>")
     moves = cut(game.moves.select("src", "dst", "upd").distinct())
