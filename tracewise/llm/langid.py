@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tracewise.llm.arrowmap import add_columns, text_of
 
 PER_LANGUAGE, EXCERPT, SALTS = 128, 256, 16
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.005
 CHUNK = 8192
 UNKNOWN = "und"
 
