@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, packing, pii, quality
+from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, packing, pii, quality, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,4 +133,4 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_jaccard_join": sql.OP5, "op8_decontamination": sql.OP8}
