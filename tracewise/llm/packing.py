@@ -36,6 +36,9 @@ CACHE_WORDS = 400_000
 _SIMPLE = re.compile(r"[\x21-\x7eÀ-ÿ]+")
 #: The vocabulary file's own pre-tokenizer, for the characters of _SIMPLE.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+_PIECES_OF_LINES = re.compile(_PIECES.pattern + r"|\n")
+_SIMPLE_LINES = re.compile(r"[\n\x21-\x7eÀ-ÿ]*")
+_BREAK = np.array([0xFFFFFFFF], np.uint32)
 _SPLIT = re.compile(r"[ \t\n\r]+")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
@@ -77,19 +80,30 @@ class WordTokenizer:
             self.words.clear()
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        split, new = {}, set()
-        for w in words:
-            if _SIMPLE.fullmatch(w) and "<|" not in w:
-                split[w] = parts = _PIECES.findall(w.lower())
-                new.update(parts)
-            else:
-                self.words[w] = self._encode(w).tobytes()
-        new.difference_update(self.pieces)
+        simple = list(words)
+        lines = "\n".join(simple)
+        if "<|" in lines or not _SIMPLE_LINES.fullmatch(lines):
+            simple = []
+            for w in words:
+                if _SIMPLE.fullmatch(w) and "<|" not in w:
+                    simple.append(w)
+                else:
+                    self.words[w] = self._encode(w).tobytes()
+            lines = "\n".join(simple)
+        if not simple:
+            return
+        parts = _PIECES_OF_LINES.findall(lines.lower())
+        known = self.pieces
+        known["\n"] = _BREAK.tobytes()
+        new = set(parts).difference(known)
         if new:
             self._learn_pieces(list(new))
-        known = self.pieces
-        for w, parts in split.items():
-            self.words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        raw = b"".join([known[p] for p in parts])
+        ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint32) == _BREAK[0]), len(raw) // 4)
+        at = 0
+        for w, end in zip(simple, (ends * 4).tolist(), strict=True):
+            self.words[w] = raw[at:end]
+            at = end + 4
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
