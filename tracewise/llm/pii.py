@@ -1,6 +1,6 @@
 r"""Format-preserving pseudonyms for personal data, in SQL functions only.
 
-One regular expression finds candidates; each is validated, and what is valid is replaced by a keyed permutation of itself
+One regular expression finds valid values and runs of digit groups; what is valid is replaced by a keyed permutation of itself
 within its own format, so equal values get equal pseudonyms in all documents and different values different ones. The text
 between is untouched. What is found, and what makes it valid:
 
@@ -16,8 +16,12 @@ The permutation is a Feistel network over positions, each with a base of its own
 byte): the left and the right half take turns in adding, position by position, a keyed SHA-256 of the other half. Where a format
 has gaps (dates, ssn), it is applied until it lands in the format again (cycle walking), at most WALKS times.
 
+All kinds but cards are told by the expression alone. A run is digit groups with a blank or hyphen between, none of which starts a
+value of another kind, so a phone, ssn or date beside a card is found first. In a run the first group that starts a card takes the
+longest card from there to the end of a group, and so on behind it: short numbers beside a card don't hide it.
+
 Everything is narrow: no shuffle, no join. Defined results: null stays null, with no findings; empty texts stay empty; invalid
-candidates stay as they are; numbers inside longer runs of letters or digits aren't candidates; ``found`` counts replaced values by
+values stay as they are; numbers inside longer runs of letters or digits aren't candidates; ``found`` counts replaced values by
 kind (all kinds, also 0); repeated rows get equal results; input columns named ``found`` are replaced.
 """
 
@@ -30,17 +34,25 @@ KINDS = ["email", "card", "phone", "ssn", "ipv4", "date", "secret"]
 ROUNDS, WALKS = 8, 64
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
-#: Java regular expressions. Bounded repeats keep the search linear in very long words.
+_LEAP = "(?:(?:19|20)(?:0[48]|[2468][048]|[13579][26])|2000)"
+_YMD = f"(?=[0-9]{{4}}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|{_LEAP}-02-29)(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}"
+_DMY = f"(?=(?:0[1-9]|[12][0-9]|3[01])[./](?:0[13578]|1[02])|(?:0[1-9]|[12][0-9]|30)[./](?:0[469]|11)|(?:0[1-9]|1[0-9]|2[0-8])[./]02|29[./]02[./]{_LEAP})[0-9]{{2}}(?:\\.[0-9]{{2}}\\.|/[0-9]{{2}}/)(?:19|20)[0-9]{{2}}"
+_BYTE = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+
+#: Java regular expressions; those of all kinds but card match valid values only. Bounded repeats keep the search linear in very long words.
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
-    "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1(?:19|20)[0-9]{2})(?![0-9A-Za-z])(?![./-][0-9])",
-    "ipv4": r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "date": rf"(?<![0-9A-Za-z./-])(?:{_YMD}|{_DMY})(?![0-9A-Za-z])(?![./-][0-9])",
+    "ipv4": rf"(?<![0-9A-Za-z.]){_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}(?![0-9A-Za-z])(?!\.[0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])(?!9|000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])",
 }
-CANDIDATE = "|".join(f"(?:{PATTERNS[k].replace('([./])', '(?<sep>[./])').replace(chr(92) + '1', chr(92) + 'k<sep>')})" for k in PATTERNS)
+_OTHERS = "|".join(f"(?:{PATTERNS[k]})" for k in PATTERNS if k != "card")
+#: Groups of digits that may hold cards. Possessive, so that a run of any length needs no stack.
+RUN = rf"(?<![0-9A-Za-z])(?=(?:[0-9][ -]?){{12}}[0-9])(?:(?!{_OTHERS})[0-9]++(?![A-Za-z])[ -]?)++"
+CANDIDATE = f"{_OTHERS}|(?:{RUN})"
 
 
 def _q(s: str) -> str:
@@ -95,27 +107,33 @@ _SSN_OK = "NOT (w[0] = 9 OR w[0] + w[1] + w[2] = 0 OR (w[0] = 6 AND w[1] = 6 AND
 _DAY = "CASE WHEN {m} LIKE '____-%' THEN try_to_date({m}, 'yyyy-MM-dd') ELSE try_to_date(concat(substr({m}, 7, 4), '-', substr({m}, 4, 2), '-', substr({m}, 1, 2)), 'yyyy-MM-dd') END"
 
 
-def _valid(m: str) -> dict[str, str]:
-    return {
-        "email": f"{m} LIKE '%@%'",
-        "date": _DAY.format(m=m) + " IS NOT NULL",
-        "ipv4": f"forall(split({m}, '[.]'), x -> try_cast(x AS INT) <= 255)",
-        "ssn": _let("w", _digits(m), _SSN_OK),
-        "phone": "true",
-        "card": f"{_luhn(_digits(m))} = 0",
-        "secret": f"{m} RLIKE '[0-9]' AND {m} RLIKE '[a-f]'",
-    }
+def kind_of(m: str) -> str:
+    """SQL for the kind of a value; card for a run."""
+    return "CASE " + " ".join(f"WHEN {m} RLIKE {_q('^(?:' + PATTERNS[k] + ')$')} THEN '{k}'" for k in PATTERNS if k != "card") + " ELSE 'card' END"
+
 
+def cards_of(m: str) -> str:
+    """SQL for a run's groups, each with the separator behind it, and the first and last group of each of its cards."""
+    whole = "array_join(transform(slice(w.g, i + 1, j - i + 1), x -> translate(x, ' -', '')), '')"
+    valid = _let("o", whole, f"length(o) BETWEEN 13 AND 19 AND {_luhn(_digits('o'))} = 0")
+    last = f"transform(w.g, (g0, i) -> array_max(filter(sequence(i, least(i + 18, size(w.g) - 1)), j -> {valid})))"
+    none = "named_struct('next', 0, 'cards', cast(array() AS ARRAY<STRUCT<a: INT, b: INT>>))"
+    pick = "IF(y.a < s.next, s, named_struct('next', y.b + 1, 'cards', concat(s.cards, array(y))))"
+    cards = _let("z", last, f"aggregate(filter(transform(z, (b, i) -> named_struct('a', i, 'b', b)), y -> y.b IS NOT NULL), {none}, (s, y) -> {pick}).cards")
+    return _let("w", f"named_struct('g', regexp_extract_all({m}, '[0-9]+[ -]?', 0))", f"named_struct('g', w.g, 'cards', {cards})")
 
-def kind_of(m: str) -> str:
-    """SQL for the kind of a candidate; null if it is not valid."""
-    valid = _valid(m)
-    whole = {k: f"{m} RLIKE {_q('^(?:' + PATTERNS[k] + ')$')}" for k in PATTERNS}
-    return "CASE " + " ".join(f"WHEN {whole[k]} AND ({valid[k]}) THEN '{k}'" for k in PATTERNS) + " END"
+
+def _run_pseudonym(run: str, key: str) -> str:
+    """SQL for the text of a run with pseudonyms for its cards."""
+    groups = lambda a, n: f"array_join(slice({run}.g, {a} + 1, {n}), '')"
+    before = f"IF(k = 0, 0, {run}.cards[k - 1].b + 1)"
+    made = _let("m2", groups("y.a", "y.b - y.a + 1"), pseudonym("m2", "card", key))
+    rest = f"({run}.cards[size({run}.cards) - 1].b + 1)"
+    return f"concat(array_join(transform({run}.cards, (y, k) -> concat({groups(before, f'y.a - {before}')}, {made})), ''), {groups(rest, f'size({run}.g) - {rest}')})"
 
 
 def pseudonym(m: str, kind: str, key: str) -> str:
-    """SQL for the pseudonym of a valid candidate of that kind."""
+    """SQL for the pseudonym of a valid value of that kind."""
     user, host = f"substring_index({m}, '@', 1)", f"concat('@', substring_index({m}, '@', -1))"
     chars = lambda v, b: _let("e", f"named_struct('c', {_CODES.format(m=v)})", _let("e2", f"named_struct('z', transform(e.c, c -> {_ZERO}), 'o', split({v}, ''), 'n', " + _feistel(f"transform(e.c, c -> IF({_BASE} > 0, c - ({_ZERO}), 0))", f"transform(e.c, c -> {_BASE})", key, b) + ")", "array_join(transform(e2.n, (x, i) -> IF(e2.z[i] > 0, char(e2.z[i] + x), e2.o[i])), '')"))
     if kind == "email":
@@ -150,9 +168,13 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     hits = F.when(some, F.expr(f"regexp_extract_all({t}, {_q(CANDIDATE)}, 0)"))
     rows = rows.withColumn("__pii_parts", parts).withColumn("__pii_hits", hits)
     rows = rows.withColumn("__pii_kinds", F.expr(f"transform(__pii_hits, m -> {kind_of('m')})"))
-    made = "CASE k " + " ".join(f"WHEN '{k}' THEN {pseudonym('m', k, key)}" for k in KINDS) + " ELSE m END"
-    rows = rows.withColumn("__pii_new", F.when(F.size("__pii_hits") > 0, F.expr(f"zip_with(__pii_hits, __pii_kinds, (m, k) -> {made})")))
+    rows = rows.withColumn("__pii_runs", F.expr(f"zip_with(__pii_hits, __pii_kinds, (m, k) -> IF(k = 'card', {cards_of('m')}, NULL))"))
+    run = f"IF(size(c.cards) > 0, {_run_pseudonym('c', key)}, m)"
+    made = "CASE k " + " ".join(f"WHEN '{k}' THEN {run if k == 'card' else pseudonym('m', k, key)}" for k in KINDS) + " END"
+    both = "zip_with(__pii_kinds, __pii_runs, (k, c) -> named_struct('k', k, 'c', c))"
+    rows = rows.withColumn("__pii_new", F.when(F.size("__pii_hits") > 0, F.expr(f"zip_with(__pii_hits, {both}, (m, kc) -> {_let('k', 'kc.k', _let('c', 'kc.c', made))})")))
     joined = F.expr("concat(array_join(zip_with(slice(__pii_parts, 1, size(__pii_parts) - 1), __pii_new, (a, b) -> concat(a, b)), ''), __pii_parts[size(__pii_parts) - 1])")
-    count = lambda k: F.coalesce(F.expr(f"size(filter(__pii_kinds, k -> k = '{k}'))"), F.lit(0)).cast("long").alias(k)
-    out = [F.when(F.expr("exists(__pii_kinds, k -> k IS NOT NULL)"), joined).otherwise(F.col(t)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() != "found"]
+    sums = {k: f"size(filter(__pii_kinds, k -> k = '{k}'))" for k in KINDS} | {"card": "aggregate(__pii_runs, 0, (n, c) -> n + coalesce(size(c.cards), 0))"}
+    count = lambda k: F.coalesce(F.expr(sums[k]), F.lit(0)).cast("long").alias(k)
+    out = [F.when(F.size("__pii_hits") > 0, joined).otherwise(F.col(t)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() != "found"]
     return rows.select(*out, F.struct(*[F.when(F.size("__pii_hits") > 0, count(k)).otherwise(F.lit(0).cast("long")).alias(k) for k in KINDS]).alias("found"))
