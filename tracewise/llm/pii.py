@@ -9,8 +9,9 @@ between is untouched. What is found, and what makes it valid:
 - phone: three, three and four digits, with a country code, brackets or separators; the ten digits are permuted
 - ssn: ddd-dd-dddd in an issued range; permuted among such numbers
 - ipv4: four numbers up to 255; permuted as four bytes
-- date: yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy that exists, 1900 to 2099; permuted among those days
-- secret: 32 to 128 lower-case hexadecimal digits with letters and digits among them
+- date: yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy that exists, 1900 to 2099, also before a T and digits (a time); permuted among those days
+- secret: 32 hexadecimal digits or more, letters and digits among them; in values of both cases letters and digits are permuted
+  each within their kind, so each letter keeps its case
 
 The permutation is a Feistel network over positions, each with a base of its own (10 for a digit, 26 for a letter, 256 for a
 byte): the left and the right half take turns in adding, position by position, a keyed SHA-256 of the other half. Where a format
@@ -21,7 +22,7 @@ value of another kind, so a phone, ssn or date beside a card is found first. In
 longest card from there to the end of a group, and so on behind it: short numbers beside a card don't hide it.
 
 Everything is narrow: no shuffle, no join. Defined results: null stays null, with no findings; empty texts stay empty; invalid
-values stay as they are; numbers inside longer runs of letters or digits aren't candidates; ``found`` counts replaced values by
+values stay as they are; numbers inside longer runs of letters or digits (but a date before its time) aren't candidates; ``found`` counts replaced values by
 kind (all kinds, also 0); repeated rows get equal results; input columns named ``found`` are replaced.
 """
 
@@ -42,12 +43,12 @@ _BYTE = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 #: Java regular expressions; those of all kinds but card match valid values only. Bounded repeats keep the search linear in very long words.
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
-    "date": rf"(?<![0-9A-Za-z./-])(?:{_YMD}|{_DMY})(?![0-9A-Za-z])(?![./-][0-9])",
+    "date": rf"(?<![0-9A-Za-z./-])(?:{_YMD}|{_DMY})(?![0-9A-SU-Za-su-z]|[Tt](?![0-9]))(?![./-][0-9])",
     "ipv4": rf"(?<![0-9A-Za-z.]){_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}(?![0-9A-Za-z])(?!\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])(?!9|000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
 }
 _OTHERS = "|".join(f"(?:{PATTERNS[k]})" for k in PATTERNS if k != "card")
 #: Groups of digits that may hold cards. Possessive, so that a run of any length needs no stack.
@@ -154,7 +155,11 @@ def pseudonym(m: str, kind: str, key: str) -> str:
         new = _let("d2", _walk(day, f"w[0] * 512 + w[1] < {DAYS}", key, kind, "array(256, 512)"), f"date_add(date'{FIRST_DAY}', d2[0] * 512 + d2[1])")
         return f"date_format({new}, CASE WHEN {m} LIKE '____-%' THEN 'yyyy-MM-dd' WHEN {m} LIKE '__.%' THEN 'dd.MM.yyyy' ELSE 'dd/MM/yyyy' END)"
     hexes = f"transform(split({m}, ''), c -> cast(conv(c, 16, 10) AS INT))"
-    return f"array_join(transform({_feistel(hexes, _bases(f'length({m})', 16), key, kind)}, x -> lower(hex(x))), '')"
+    one = f"array_join(transform({_feistel(hexes, _bases(f'length({m})', 16), key, kind)}, x -> IF({m} RLIKE '[A-F]', hex(x), lower(hex(x)))), '')"
+    zeros, bases = "transform(e.c, c -> CASE WHEN c < 58 THEN 48 WHEN c < 71 THEN 65 ELSE 97 END)", "transform(e.c, c -> IF(c < 58, 10, 6))"
+    made = _feistel("zip_with(e.c, e2.z, (c, z) -> c - z)", bases, key, kind)
+    both = _let("e", f"named_struct('c', {_CODES.format(m=m)})", _let("e2", f"named_struct('z', {zeros})", f"array_join(zip_with({made}, e2.z, (x, z) -> char(z + x)), '')"))
+    return f"IF({m} RLIKE '[a-f]' AND {m} RLIKE '[A-F]', {both}, {one})"
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
