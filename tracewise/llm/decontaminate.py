@@ -8,8 +8,8 @@ benchmark, the hit is extended to the whole 10-word windows that both have, comp
 The benchmark is read in blocks of a bounded size, each of which is broadcast; documents are never shuffled.
 
 Defined results: null and wordless texts have no words and no hits; an item with fewer words than a window is one window, an
-item without words is ignored; repeated documents each get a row; item ids of any type are compared and sorted as strings,
-null ids are left out; an empty benchmark hits nothing; input columns named like a result column are replaced.
+item without words is ignored; repeated documents each get a row; item ids of any type are compared and sorted as strings;
+items without an id hit words, but are not in hit_items; an empty benchmark hits nothing; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def _member(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Index:
     """Fingerprints and windows of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, k: int = K) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW, k: int = K) -> None:
         self.window, self.k = window, k
         self.ids = [i for i, _ in items]
         data, off = buffers(pa.array([t for _, t in items], pa.string()))
@@ -136,7 +136,7 @@ def _scanner(index, text: str):
                     continue
                 edge = np.diff(np.concatenate([[0], hit[words.first[d] : words.first[d + 1]].view(np.int8), [0]]))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
-            return [np.diff(words.first), spans, [sorted(set(x)) for x in items]]
+            return [np.diff(words.first), spans, [sorted(set(x) - {None}) for x in items]]
 
         return work
 
@@ -145,7 +145,7 @@ def _scanner(index, text: str):
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
     """Indexes of all items, each of a block of about ``block_bytes`` of text."""
-    rows = only(benchmark, item, text).where(F.col(f"`{item}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t"))
+    rows = only(benchmark, item, text).where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     many = max(1, -(-size // block_bytes))
     for b in range(many):
