@@ -5,8 +5,8 @@ dictionary; the language with the smallest code is its language, and the relativ
 margins are rejected. Texts are lower-cased and stripped to letters first, and encoded whole, in chunks, each with a constant
 filler behind it: zstandard stores blocks that hardly shrink as they are, which would hide all differences in short texts.
 
-The dictionaries are fitted on a bounded sample: of each language PER_LANGUAGE texts (those of least hash, so the choice does not
-depend on order or partitions), EXCERPT characters of each. Everything else works on whole texts of all rows.
+The dictionaries are fitted on a bounded sample: of each language PER_LANGUAGE different texts (those of least hash, so the choice
+does not depend on order, partitions or copies), EXCERPT characters of each. Everything else works on whole texts of all rows.
 
 Defined results: null texts and texts without a letter are ``und``, score 0, rejected; so is every text if nothing was learned
 from; equal codes are decided for the language with more labelled texts, then by name, with score 0, rejected; repeated rows get
@@ -79,7 +79,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     rows = docs.where(t.isNotNull() & g.isNotNull() & t.rlike(r"\p{L}")).select(g.cast("string").alias("g"), F.substring(t, 1, excerpt).alias("t"), F.xxhash64(t).alias("h"))
     rows = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
     in_salt = Window.partitionBy("g", "salt").orderBy("h", "t")
-    few = rows.withColumn("n", F.row_number().over(in_salt)).where(F.col("n") <= -(-per_language // SALTS))
+    few = rows.distinct().withColumn("n", F.row_number().over(in_salt)).where(F.col("n") <= -(-per_language // SALTS))
     counts = {r.g: r["count"] for r in rows.groupBy("g").count().collect()}
     found: dict[str, list[str]] = {}
     for r in sorted(few.select("g", "h", "t").collect()):
