@@ -2,7 +2,8 @@
 
 import random
 
-from tests.llm.test_pii import KEY, card, day_of, digits, feistel, luhn, refill, ssn_ok, walk
+from tests.llm import test_pii
+from tests.llm.test_pii import card, day_of, digits, feistel, luhn, refill, ssn_ok, walk
 from tracewise.llm import pii as P
 
 
@@ -116,14 +117,14 @@ def random_texts(n):
 def test_values_beside_other_numbers(spark):
     texts = SHORT + random_texts(1500) + ["1 " * 4000 + "4111111111111111" + " 2" * 4000]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    for r in P.pseudonymize(rows, KEY).collect():
+    for r in P.pseudonymize(rows, test_pii.KEY).collect():
         want, kinds = by_hand(texts[r.id])
         assert r.text == want, texts[r.id]
         assert sorted(k for k, n in r.found.asDict().items() for _ in range(n)) == kinds
 
 
 def test_none_of_the_short_texts_stays(spark):
-    got = P.pseudonymize(spark.createDataFrame([(t,) for t in SHORT], "text string"), KEY).collect()
+    got = P.pseudonymize(spark.createDataFrame([(t,) for t in SHORT], "text string"), test_pii.KEY).collect()
     for t, r in zip(SHORT, got, strict=True):
         for v in ("4111 1111 1111 1111", "4111111111111111", "123-45-6789", "555-123-4567", "2024-01-02"):
             assert v not in t or v not in r.text

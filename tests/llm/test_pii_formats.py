@@ -3,7 +3,8 @@
 import datetime
 import random
 
-from tests.llm.test_pii import KEY, day_of, feistel, walk
+from tests.llm import test_pii
+from tests.llm.test_pii import day_of, feistel, walk
 from tracewise.llm import pii as P
 
 TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
@@ -28,7 +29,7 @@ def test_secrets(spark):
     rng = random.Random(2)
     values = [TOKEN, TOKEN.lower(), TOKEN[:20] + TOKEN[20:].lower(), TOKEN[:31] + "g", TOKEN[:31], "A" * 40, "1" * 40]
     values += ["".join(rng.choice(kind) for _ in range(n)) for kind in ("0123456789ABCDEF", "0123456789abcdef", "0123456789abcdefABCDEF") for n in (32, 64, 128, 129, 500, 3000)]
-    got = P.pseudonymize(spark.createDataFrame([(v, f"KEY={v}, x") for v in values], "v string, text string"), KEY).collect()
+    got = P.pseudonymize(spark.createDataFrame([(v, f"KEY={v}, x") for v in values], "v string, text string"), test_pii.KEY).collect()
     for v, r in zip(values, got, strict=True):
         hit = len(v) >= 32 and set(v) <= set("0123456789abcdefABCDEF") and any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
         assert r.text == f"KEY={secret(v) if hit else v}, x" and r.found.secret == hit
@@ -38,11 +39,11 @@ def test_secrets(spark):
 
 def test_mixed_case_keeps_each_letters_case(spark):
     mixed = TOKEN[:20] + TOKEN[20:].lower()
-    (r,) = P.pseudonymize(spark.createDataFrame([(mixed,)], "text string"), KEY).collect()
+    (r,) = P.pseudonymize(spark.createDataFrame([(mixed,)], "text string"), test_pii.KEY).collect()
     assert [(c.isdigit(), c.isupper()) for c in r.text] == [(c.isdigit(), c.isupper()) for c in mixed] and r.text != mixed
 
 
 def test_dates_before_a_time(spark):
     texts = {"at 2024-01-02T10:00 on": True, "2024-01-02T10:00:00Z": True, "2024-01-02t10": True, "2024-01-02 10:00": True, "2024-01-02Tx": False, "2024-01-02T": False, "2024-01-02Z": False, "2024-13-02T10:00": False}
-    for t, r in zip(texts, P.pseudonymize(spark.createDataFrame([(t,) for t in texts], "text string"), KEY).collect(), strict=True):
+    for t, r in zip(texts, P.pseudonymize(spark.createDataFrame([(t,) for t in texts], "text string"), test_pii.KEY).collect(), strict=True):
         assert r.text == (t.replace("2024-01-02", date("2024-01-02")) if texts[t] else t) and r.found.date == texts[t]
