@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tracewise.llm.arrowmap import only, text_of
 from tracewise.llm.storage import written
-from tracewise.llm.textops import slices
+from tracewise.llm.textops import buffers, byte_class, slices, spans
 
 CAPACITY, END_ID = 4096, 1
 #: Entries of a worker's cache of word ids; it is emptied when full.
@@ -39,12 +39,13 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 _PIECES_OF_LINES = re.compile(_PIECES.pattern + r"|\n")
 _SIMPLE_LINES = re.compile(r"[\n\x21-\x7eÀ-ÿ]*")
 _BREAK = np.array([0xFFFFFFFF], np.uint32)
-_SPLIT = re.compile(r"[ \t\n\r]+")
-_CONTROL = re.compile(r"[\x1c-\x1f]")
+#: What separates words here: white space to the vocabulary in any text.
+_INSIDE = byte_class([(0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D)])
 
 
 class WordTokenizer:
-    """Ids of whole texts. The vocabulary drops white space and never joins words, so ids are cached by word."""
+    """Ids of whole texts. The vocabulary drops white space and never joins words, so ids are cached by word: a word is the bytes
+    between blanks, tabs and line ends, compared whole; any other white space is left to the tokenizer's own rules."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         import os
@@ -56,9 +57,14 @@ class WordTokenizer:
         vocab = self.inner.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.most = cache_words
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty cache: the number of each known word, where its ids begin and how many they are."""
+        self.words: dict[bytes, int] = {}
+        self.ids, self.begin, self.count = np.zeros(1, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -75,49 +81,75 @@ class WordTokenizer:
             for p in new:
                 self.pieces[p] = self._encode(p).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words, which are different and have no line end."""
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        simple = list(words)
-        lines = "\n".join(simple)
+        made: dict[str, bytes] = {}
+        simple, lines = words, "\n".join(words)
         if "<|" in lines or not _SIMPLE_LINES.fullmatch(lines):
             simple = []
             for w in words:
                 if _SIMPLE.fullmatch(w) and "<|" not in w:
                     simple.append(w)
                 else:
-                    self.words[w] = self._encode(w).tobytes()
+                    made[w] = self._encode(w).tobytes()
             lines = "\n".join(simple)
-        if not simple:
-            return
-        parts = _PIECES_OF_LINES.findall(lines.lower())
-        known = self.pieces
-        known["\n"] = _BREAK.tobytes()
-        new = set(parts).difference(known)
+        if simple:
+            parts = _PIECES_OF_LINES.findall(lines.lower())
+            known = self.pieces
+            known["\n"] = _BREAK.tobytes()
+            new = set(parts).difference(known)
+            if new:
+                self._learn_pieces(list(new))
+            raw = b"".join([known[p] for p in parts])
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint32) == _BREAK[0]), len(raw) // 4)
+            at = 0
+            for w, end in zip(simple, (ends * 4).tolist(), strict=True):
+                made[w] = raw[at:end]
+                at = end + 4
+        return [made[w] for w in words]
+
+    def _numbers(self, distinct: list[bytes]) -> np.ndarray:
+        """The cache's numbers of different words; the cache starts anew when these don't fit in."""
+        new = [w for w in distinct if w not in self.words]
         if new:
-            self._learn_pieces(list(new))
-        raw = b"".join([known[p] for p in parts])
-        ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint32) == _BREAK[0]), len(raw) // 4)
-        at = 0
-        for w, end in zip(simple, (ends * 4).tolist(), strict=True):
-            self.words[w] = raw[at:end]
-            at = end + 4
+            if len(self.words) + len(new) > self.most:
+                self._forget()
+                new = distinct
+            raw = self._ids_of([w.decode() for w in new])
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+            count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            self.begin = np.append(self.begin, len(self.ids) + np.cumsum(count) - count)
+            self.count = np.append(self.count, count)
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(raw), np.uint32))
+        return np.array([self.words[w] for w in distinct], np.int64)
+
+    def arrays(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, each text's followed by ``end_id``, and the n + 1 offsets of the texts."""
+        data, off = buffers(column)
+        inside = _INSIDE[data]
+        start, stop = spans(inside, off)
+        length = stop - start
+        at = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(length, out=at[1:])
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[inside])]).dictionary_encode()
+        number = self._numbers(words.dictionary.to_pylist())
+        code = words.indices.to_numpy()
+        first = np.searchsorted(start, off)
+        ends = first[1:] + np.arange(len(column))
+        begin = np.insert(self.begin[number][code], first[1:], 0)
+        count = np.insert(self.count[number][code], first[1:], 1)
+        to = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=to[1:])
+        ids = self.ids[np.repeat(begin - to[:-1], count) + np.arange(to[-1])]
+        ids[to[ends]] = end_id
+        return ids, np.append(0, to[ends + 1])
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [[] if not t else [w for w in _SPLIT.split(t) if w] if _CONTROL.search(t) else t.split() for t in texts]
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        known = self.words
-        new = {w for w in seen if w not in known}
-        if new:
-            if len(known) + len(new) > self.most:
-                new = seen
-            self._learn(new)
-        return [b"".join([known[w] for w in s]) for s in split]
+        ids, off = self.arrays(pa.array(texts, pa.string()), 0)
+        return [ids[a : b - 1].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -130,6 +162,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def place_among_equals(x: np.ndarray) -> np.ndarray:
+    """For each number, how many equal ones stand before it."""
+    order = np.argsort(x, kind="stable")
+    new = np.append(True, x[order][1:] != x[order][:-1])[: len(x)]
+    where = np.arange(len(x))
+    out = np.empty(len(x), np.int64)
+    out[order] = where - np.maximum.accumulate(np.where(new, where, 0))
+    return out
+
+
 def cut(docs: DataFrame, path: str, doc_id: str, text: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
     """A row for each piece, with its rank among the pieces of its length in its task."""
     rows = only(docs, doc_id, text)
@@ -142,29 +184,25 @@ def cut(docs: DataFrame, path: str, doc_id: str, text: str, capacity: int, end_i
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches):
-        tok, task, used = tokenizer(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        tok, task, used = tokenizer(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, text):
-                which, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-                for d, raw in enumerate(tok.batch(text_of(part, text).to_pylist())):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at : at + 4 * capacity]
-                        n = len(own) // 4
-                        which.append(d)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(n)
-                        crc.append(zlib.crc32(own))
-                        rank.append(used[n])
-                        used[n] += 1
-                        if keep_ids:
-                            ids.append(own)
+                ids, off = tok.arrays(text_of(part, text), end_id)
+                each = -(-np.diff(off) // capacity)
+                which = np.repeat(np.arange(len(each)), each)
+                piece = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+                start = piece * capacity
+                at = off[which] + start
+                length = np.minimum(capacity, off[which + 1] - at)
+                raw = memoryview(ids.view(np.uint8))
+                own = [raw[a:b] for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+                crc = np.fromiter(map(zlib.crc32, own), np.int64, len(own))
+                rank = used[length] + place_among_equals(length)
+                used += np.bincount(length, minlength=capacity + 1)
                 key = text_of(part, doc_id).take(pa.array(which, pa.int64())).cast(arrow.field(0).type)
-                made = [piece, start, length, crc, [task] * len(which), rank] + ([ids] if keep_ids else [])
+                made = [piece, start, length, crc, np.full(len(which), task), rank] + ([[bytes(o) for o in own]] if keep_ids else [])
                 yield pa.RecordBatch.from_arrays([key] + [pa.array(c, f.type) for c, f in zip(made, list(arrow)[1:], strict=True)], schema=arrow)
 
     return rows.mapInArrow(run, schema)
@@ -315,7 +353,8 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     where = spark.sparkContext.broadcast(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("first")).drop("task", "first")
+    # shuffled, not broadcast: there is a row for each length in each task
+    ranked = pieces.join(first.hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("first")).drop("task", "first")
 
     def make():
         p = where.value

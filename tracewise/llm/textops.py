@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
+def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     for lo, hi in excluded:
         table[lo : hi + 1] = False
@@ -32,9 +32,9 @@ def _byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
 
 
 #: Words of ``[^\x20\x09-\x0D]+``.
-SPACED = _byte_class([(0x20, 0x20), (0x09, 0x0D)])
+SPACED = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 #: Words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became a-z.
-ALNUM = _byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+ALNUM = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -91,23 +91,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte past the last of each run of bytes that are ``inside``; no run goes on into the next text."""
+    other = np.empty_like(inside)
+    other[:1] = False
+    other[1:] = inside[:-1]
+    other[off[:-1][off[:-1] < len(inside)]] = False
+    start = np.flatnonzero(inside & ~other)
+    other[:-1] = inside[1:]
+    other[-1:] = False
+    other[off[1:][off[1:] > 0] - 1] = False
+    return start, np.flatnonzero(inside & ~other) + 1
+
+
 class Words:
     """The words of several texts: ``hash`` (64 bits each), ``start``, ``end`` (bytes) and ``first`` (n + 1 word offsets by text)."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED) -> None:
         low = LOWER[data]
         inside = table[low]
-        before = np.empty_like(inside)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        cuts = off[:-1][off[:-1] < len(data)]
-        before[cuts] = False
-        self.start = np.flatnonzero(inside & ~before)
-        before[:-1] = inside[1:]
-        before[-1:] = False
-        cuts = off[1:][off[1:] > 0] - 1
-        before[cuts] = False
-        self.end = np.flatnonzero(inside & ~before) + 1
+        self.start, self.end = spans(inside, off)
         self.first = np.searchsorted(self.start, off)
         self.data = low
         self.hash = self._hash(low)
