@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tracewise.llm.arrowmap import only, text_of
 from tracewise.llm.storage import written
-from tracewise.llm.textops import buffers, byte_class, slices, spans
+from tracewise.llm.textops import LOWER, buffers, byte_class, slices, spans
 
 CAPACITY, END_ID = 4096, 1
 #: Entries of a worker's cache of word ids; it is emptied when full.
@@ -36,16 +36,63 @@ CACHE_WORDS = 400_000
 _SIMPLE = re.compile(r"[\x21-\x7eÀ-ÿ]+")
 #: The vocabulary file's own pre-tokenizer, for the characters of _SIMPLE.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
-_PIECES_OF_LINES = re.compile(_PIECES.pattern + r"|\n")
-_SIMPLE_LINES = re.compile(r"[\n\x21-\x7eÀ-ÿ]*")
-_BREAK = np.array([0xFFFFFFFF], np.uint32)
 #: What separates words here: white space to the vocabulary in any text.
 _INSIDE = byte_class([(0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D)])
 
 
+#: Kinds of bytes: 0 between words, 1 letters, 2 digits, 3 others of _SIMPLE, 4 the rest. Bytes above 0x7F are told by pairs.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = 0
+_KIND[0x30:0x3A] = 2
+_KIND[0x61:0x7B] = 1
+
+
+def pieces_of(data: np.ndarray, inside: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and past-the-last byte of the pieces of words, and the bytes, in lower case but for words that stay whole.
+
+    The same cuts as _PIECES makes: runs of letters and of other characters, single digits, and an apostrophe that begins a piece
+    with the letters behind it that make a contraction."""
+    low = LOWER[data]
+    kind = _KIND[low]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    sign = (second == 0x97) | (second == 0xB7)
+    kind[lead] = kind[lead + 1] = np.where(sign, 3, 1)
+    low[lead + 1] = second + np.where((second < 0x9F) & ~sign, 0x20, 0).astype(np.uint8)
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    odd = np.unique(np.searchsorted(start, np.append(np.flatnonzero(kind == 4), special), side="right") - 1)
+    new = kind == 2
+    new[1:] |= kind[1:] != kind[:-1]
+    new &= inside
+    if len(odd):
+        turn = np.zeros(len(data) + 1, np.int8)
+        turn[start[odd]] += 1
+        turn[stop[odd]] -= 1
+        whole = np.cumsum(turn[:-1], dtype=np.int8).astype(bool)
+        new &= ~whole
+        low = np.where(whole, data, low)
+        kind[whole] = 4
+    new[start] = True
+    begin = np.flatnonzero(new)
+    word = np.searchsorted(start, begin, side="right") - 1
+    end = np.minimum(np.append(begin[1:], len(data)), stop[word])
+    quote = np.flatnonzero((low[begin[:-1]] == 0x27) & (end[:-1] == begin[:-1] + 1) & (word[1:] == word[:-1]) & (kind[begin[1:]] == 1) & (kind[begin[:-1]] == 3))
+    if len(quote):
+        one = low[begin[quote + 1]]
+        two = np.where(end[quote + 1] - begin[quote + 1] > 1, low[np.minimum(begin[quote + 1] + 1, len(low) - 1)], 0)
+        take = np.isin(one, list(b"stmd")) + 2 * np.isin(one * 256.0 + two, [256 * a + b for a, b in (b"re", b"ve", b"ll")])
+        end[quote] += take
+        begin[quote + 1] += take
+        some = begin < end
+        begin, end = begin[some], end[some]
+    return begin, end, low
+
+
 class WordTokenizer:
-    """Ids of whole texts. The vocabulary drops white space and never joins words, so ids are cached by word: a word is the bytes
-    between blanks, tabs and line ends, compared whole; any other white space is left to the tokenizer's own rules."""
+    """Ids of whole texts. The vocabulary drops white space and never joins the pieces of its pre-tokenizer, so ids are cached by
+    piece, compared whole. A word with other characters than those of _SIMPLE is one piece, which the tokenizer itself takes apart.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         import os
@@ -57,61 +104,36 @@ class WordTokenizer:
         vocab = self.inner.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
         self.most = cache_words
         self._forget()
 
     def _forget(self) -> None:
-        """An empty cache: the number of each known word, where its ids begin and how many they are."""
+        """An empty cache: the number of each known piece, where its ids begin and how many they are."""
         self.words: dict[bytes, int] = {}
         self.ids, self.begin, self.count = np.zeros(1, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        ids = self._encode(" ".join(new))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(new):
-            raw, at = ids.tobytes(), 0
-            for p, c in zip(new, (cuts * 4).tolist(), strict=True):
-                self.pieces[p] = raw[at:c]
-                at = c
-        else:
-            for p in new:
-                self.pieces[p] = self._encode(p).tobytes()
-
     def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of words, which are different and have no line end."""
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
+        """Ids of words or pieces, which are different: plain pieces together, as each ends with an end token, others one by one."""
+        plain = [w for w in words if _SIMPLE.fullmatch(w) and _PIECES.fullmatch(w) and "<|" not in w]
         made: dict[str, bytes] = {}
-        simple, lines = words, "\n".join(words)
-        if "<|" in lines or not _SIMPLE_LINES.fullmatch(lines):
-            simple = []
-            for w in words:
-                if _SIMPLE.fullmatch(w) and "<|" not in w:
-                    simple.append(w)
-                else:
-                    made[w] = self._encode(w).tobytes()
-            lines = "\n".join(simple)
-        if simple:
-            parts = _PIECES_OF_LINES.findall(lines.lower())
-            known = self.pieces
-            known["\n"] = _BREAK.tobytes()
-            new = set(parts).difference(known)
-            if new:
-                self._learn_pieces(list(new))
-            raw = b"".join([known[p] for p in parts])
-            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint32) == _BREAK[0]), len(raw) // 4)
-            at = 0
-            for w, end in zip(simple, (ends * 4).tolist(), strict=True):
-                made[w] = raw[at:end]
-                at = end + 4
+        if plain:
+            ids = self._encode(" ".join(plain))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for p, c in zip(plain, (cuts * 4).tolist(), strict=True):
+                    made[p] = raw[at:c]
+                    at = c
+        rest = [w for w in words if w not in made]
+        for w, e in zip(rest, self.inner.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            made[w] = np.array(e.ids, np.uint32).tobytes()
         return [made[w] for w in words]
 
     def _numbers(self, distinct: list[bytes]) -> np.ndarray:
-        """The cache's numbers of different words; the cache starts anew when these don't fit in."""
+        """The cache's numbers of different pieces; the cache starts anew when these don't fit in."""
         new = [w for w in distinct if w not in self.words]
         if new:
             if len(self.words) + len(new) > self.most:
@@ -130,12 +152,12 @@ class WordTokenizer:
         data, off = buffers(column)
         inside = _INSIDE[data]
         start, stop = spans(inside, off)
-        length = stop - start
+        start, stop, text = pieces_of(data, inside, start, stop)
         at = np.zeros(len(start) + 1, np.int64)
-        np.cumsum(length, out=at[1:])
-        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[inside])]).dictionary_encode()
-        number = self._numbers(words.dictionary.to_pylist())
-        code = words.indices.to_numpy()
+        np.cumsum(stop - start, out=at[1:])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(text[inside])]).dictionary_encode()
+        number = self._numbers(pieces.dictionary.to_pylist())
+        code = pieces.indices.to_numpy()
         first = np.searchsorted(start, off)
         ends = first[1:] + np.arange(len(column))
         begin = np.insert(self.begin[number][code], first[1:], 0)
