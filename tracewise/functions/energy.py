@@ -55,13 +55,19 @@ class EnergyConf:
         """32-bit words of an energy."""
         return -(-self.elements // (32 // self.energy_bits()))
 
+    def energy_mask(self) -> int:
+        return (1 << self.energy_bits()) - 1
+
     def update_bits(self) -> int:
-        """Bits of an update's element: it tells none, decrement and ``elements`` minima apart."""
+        """Bits of an update's element: a power of two that holds ``elements + 2``, so none, decrement and all minima are told apart."""
         bits = 1
-        while (1 << bits) < self.elements + 2:
+        while bits < (self.elements + 2).bit_length():
             bits *= 2
         return bits
 
+    def update_mask(self) -> int:
+        return (1 << self.update_bits()) - 1
+
     def update_size(self) -> int:
         return -(-self.elements // (32 // self.update_bits()))
 
@@ -75,6 +81,14 @@ class EnergyConf:
             raise ValueError(f"values must be from 0 to {self.max}")
         return (*values, *[0] * (self.elements - len(values)))
 
+    def energies(self, values: list[list[int]]) -> list[tuple[int, ...]]:
+        """A checked energy set from whole vectors: at least one, each of exactly as many numbers as the configuration has."""
+        if not values:
+            raise ValueError("an empty list of energies has no configuration")
+        if any(len(v) != self.elements for v in values):
+            raise ValueError("energies of different configurations")
+        return [self.energy(list(v)) for v in values]
+
     def update(self, values: list[int]) -> tuple[int, ...]:
         """A whole update: 0 none, -1 decrement, k the minimum with element k (from 1)."""
         if len(values) > self.elements:
@@ -231,3 +245,57 @@ def packed_words(e: Column, conf: EnergyConf) -> Column:
 def unpacked_words(words: Column, conf: EnergyConf) -> Column:
     bits, per = conf.energy_bits(), 32 // conf.energy_bits()
     return F.array(*[F.shiftright(F.get(words, F.lit(i // per)), bits * (i % per)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(conf.elements)])
+
+
+# energy sets and updates as array columns
+
+
+def no_energies() -> Column:
+    return F.array().cast("array<array<bigint>>")
+
+
+def zero_energies(n: int, conf: EnergyConf) -> Column:
+    """n energies of zeros."""
+    one = F.array(*[F.lit(0).cast("bigint")] * conf.elements)
+    return F.array_repeat(one, n) if n else no_energies()
+
+
+def n_energies(es: Column) -> Column:
+    return F.size(es).cast("bigint")
+
+
+def get_energy(es: Column, i: int) -> Column:
+    """The i-th energy of a set, from 0; an error beyond its end."""
+    return F.when((F.size(es) > i) & F.lit(i >= 0), F.get(es, F.lit(i))).otherwise(F.raise_error(F.lit(f"no energy {i}")).cast("array<bigint>"))
+
+
+def _checked(e: Column, conf: EnergyConf) -> Column:
+    fits = (F.size(e) == conf.elements) & F.forall(e, lambda x: (x >= 0) & (x <= conf.max))
+    return F.when(fits, e).otherwise(F.raise_error(F.lit("an energy of another configuration")).cast("array<bigint>"))
+
+
+def set_energy(es: Column, i: int, e: Column, conf: EnergyConf) -> Column:
+    """The set with its i-th energy replaced; an error beyond its end or for an energy of another configuration."""
+    inside = (F.size(es) > i) & F.lit(i >= 0)
+    made = F.transform(es, lambda x, k: F.when(k == i, _checked(e, conf)).otherwise(x))
+    return F.when(inside, made).otherwise(F.raise_error(F.lit(f"no energy {i}")).cast("array<array<bigint>>"))
+
+
+def packed_update(u: Column, conf: EnergyConf) -> Column:
+    """The compact external form of an update (array): 32-bit words, first element in the lowest bits. 0 is none, 1 a decrement, and
+    k + 1 the minimum with element k."""
+    bits, per = conf.update_bits(), 32 // conf.update_bits()
+    code = lambda i: F.when(F.get(u, F.lit(i)) == -1, 1).when(F.get(u, F.lit(i)) > 0, F.get(u, F.lit(i)) + 1).otherwise(0).cast("bigint")
+    words = []
+    for w in range(conf.update_size()):
+        words.append(reduce(lambda a, b: a + b, [F.shiftleft(code(i), bits * (i - w * per)) for i in range(w * per, min(conf.elements, (w + 1) * per))]))
+    return F.array(*words)
+
+
+def unpacked_update(words: Column, conf: EnergyConf) -> Column:
+    bits, per = conf.update_bits(), 32 // conf.update_bits()
+    out = []
+    for i in range(conf.elements):
+        x = F.shiftright(F.get(words, F.lit(i // per)), bits * (i % per)).bitwiseAND(F.lit(conf.update_mask()))
+        out.append(F.when(x == 1, -1).when(x > 1, x - 1).otherwise(0).cast("int"))
+    return F.array(*out)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.operators import local
 from tracewise.operators.refine import enabled_sets
 from tracewise.plans.iterate import cut, union_all
 
@@ -110,38 +109,54 @@ def seeds(pairs: DataFrame) -> DataFrame:
     return pairs.select(attack(F.col("p"), F.array("q")).alias("to")).select("to.*").dropDuplicates(["pos"])
 
 
+#: Position tables that are merged into one when there are more: the search for known positions reads all of them.
+TABLES = 6
+
+
+class _Known:
+    """Keys met so far, as a few tables."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def new(self, candidates: DataFrame) -> DataFrame:
+        """The distinct positions among ``candidates`` that were not met before; they count as met from now on."""
+        found = candidates.dropDuplicates(["pos"])
+        if self.tables:
+            found = found.join(union_all(self.tables), "pos", "left_anti")
+        found = cut(found)
+        self.tables.append(found.select("pos"))
+        if len(self.tables) > TABLES:
+            self.tables = [cut(union_all(self.tables))]
+        return found
+
+
 def build(edges: DataFrame, states: DataFrame, pairs: DataFrame, max_positions: int | None = None) -> Game:
-    """The game from the pairs' attack positions, breadth first; each round takes only positions not met before."""
+    """The game from the pairs' attack positions, breadth first.
+
+    A round goes from attack positions over their defend positions, which belong to one attack position each, and new clauses to
+    attack positions not met before. Defend and clause moves are told by their position alone, so they are not written."""
     from tracewise.functions.energy import STANDARD
 
-    if edges.limit(local.EDGES + 1).count() <= local.EDGES and pairs.limit(local.PAIRS + 1).count() <= local.PAIRS:
-        try:
-            most = local.POSITIONS if max_positions is None else min(local.POSITIONS, max_positions)
-            found, moves = local.build([tuple(r) for r in edges.select("src", "label", "dst").collect()], [tuple(r) for r in pairs.select("p", "q").collect()], most)
-        except local.TooLarge:
-            if most == max_positions:
-                raise ValueError(f"the game has more than {max_positions} positions") from None
-        else:
-            spark = edges.sparkSession
-            rows = [(k, kind in "AC", kind, p, list(q), list(qx)) for k, (kind, p, q, qx) in found.items()]
-            positions = cut(spark.createDataFrame(rows, "pos string, is_attack boolean, kind string, p bigint, q array<bigint>, qx array<bigint>"))
-            return Game(positions, cut(spark.createDataFrame(moves, "src string, upd int, dst string")), UPDATES, STANDARD)
     sets = cut(enabled_sets(edges, states))
-    new = cut(seeds(pairs))
-    found, moves, total = [new], [], new.count()
-    known = new.select("pos")
-    while not new.isEmpty():
-        step = union_all([attack_moves(new, edges, sets), defend_moves(new), clause_moves(new)])
-        step = cut(step)
-        moves.append(step.select("src", "upd", F.col("to.pos").alias("dst")))
-        new = cut(step.select("to.*").dropDuplicates(["pos"]).join(known, "pos", "left_anti"))
+    attacks, clauses = _Known(), _Known()
+    new = attacks.new(seeds(pairs))
+    found, moves, total = [new], [], new.rows
+    while new.rows:
+        step = cut(attack_moves(new, edges, sets))
+        defends = step.where("to.kind = 'D'").select("to.*")
+        answers = defend_moves(defends)
+        asked = clauses.new(answers.where("to.kind = 'C'").select("to.*"))
+        found += [defends, asked]
+        moves += [step, answers, clause_moves(asked)]
+        new = attacks.new(union_all(moves[-3:]).where("to.kind = 'A'").select("to.*"))
         found.append(new)
-        known = known.unionByName(new.select("pos"))
-        total += new.count()
+        total += asked.rows + new.rows + (defends.count() if max_positions is not None else 0)
         if max_positions is not None and total > max_positions:
             raise ValueError(f"the game has more than {max_positions} positions")
     positions = union_all(found).select("pos", F.col("kind").isin("A", "C").alias("is_attack"), "kind", "p", "q", "qx")
-    return Game(positions, union_all(moves) if moves else new.select(F.col("pos").alias("src"), F.lit(0).alias("upd"), F.col("pos").alias("dst")), UPDATES, STANDARD)
+    every = [m.select("src", "upd", F.col("to.pos").alias("dst")) for m in moves]
+    return Game(positions, union_all(every) if every else new.select(F.col("pos").alias("src"), F.lit(0).alias("upd"), F.col("pos").alias("dst")), UPDATES, STANDARD)
 
 
 def start_pairs(edges: DataFrame, states: DataFrame, subset: DataFrame | None = None) -> DataFrame:

@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.operators import local
-from tracewise.plans.iterate import cut
+from tracewise.plans.iterate import cut, discard, hot_keys, ranked, skew_join
 
 
 def enabled_sets(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -18,11 +17,12 @@ def enabled_sets(edges: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def enabledness_partitions(edges: DataFrame, states: DataFrame, subset: DataFrame | None = None) -> DataFrame:
-    """(enabled, members): the states by their enabled labels, over all or over ``subset`` (pid)."""
+    """(pid, enabled, class_id): the states by their enabled labels, over all or over ``subset`` (pid). A class is called by its
+    least state; it is a key, not a list, so a class may hold any share of the states."""
     sets = enabled_sets(edges, states)
     if subset is not None:
         sets = sets.join(subset.select("pid"), "pid", "left_semi")
-    return sets.groupBy("enabled").agg(F.sort_array(F.collect_list("pid")).alias("members"))
+    return sets.join(sets.groupBy("enabled").agg(F.min("pid").alias("class_id")), "enabled").select("pid", "enabled", "class_id")
 
 
 def compare_enabled(p: str, q: str) -> tuple:
@@ -46,28 +46,41 @@ def signatures(edges: DataFrame, states: DataFrame, part: DataFrame) -> DataFram
 def refine(edges: DataFrame, states: DataFrame) -> DataFrame:
     """(pid, cls): the coarsest strong bisimulation; a class is called by its least state.
 
-    Each round splits classes by signature until their number stays the same. Signatures are compared whole."""
-    if edges.limit(local.EDGES + 1).count() <= local.EDGES and states.limit(local.EDGES + 1).count() <= local.EDGES:
-        found = local.refine([tuple(r) for r in edges.select("src", "label", "dst").collect()], [r.pid for r in states.collect()])
-        return states.sparkSession.createDataFrame(list(found.items()), "pid bigint, cls bigint")
-    part = cut(states.select("pid", F.lit(0).cast("bigint").alias("cls")))
+    Each round names a state's class by the SHA-256 digest of its signature, until the number of classes stays the same, so a round is
+    one join by target and one aggregation by source, without a join by signature. Deadlocked states are one class from the start:
+    edges that lead to them are set aside once and are never joined. Other targets with very many edges meet their class by broadcast.
+    """
+    steps = cut(edges.select("src", "label", "dst").distinct())
+    live = steps.select("src").distinct()
+    ends = cut(steps.join(live.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "label", F.lit("").alias("cls")).distinct())
+    onward = cut(steps.join(live.select(F.col("src").alias("dst")), "dst", "left_semi"))
+    hot = hot_keys(onward, "dst")
+
+    named = cut(live.select(F.col("src").alias("pid"), F.lit("").alias("cls")))
+    dead = cut(states.select("pid").distinct().join(named.select("pid"), "pid", "left_anti"))
+    discard(steps)
+    rest = 1 if dead.rows else 0
     number = 1
     while True:
-        sig = signatures(edges, states, part)
-        least = sig.groupBy("signature").agg(F.min("pid").alias("cls"))
-        part = cut(sig.join(least, "signature").select("pid", "cls"))
-        before, number = number, part.select("cls").distinct().count()
-        if number == before or number == 0:
-            return part
+        to = named.select(F.col("pid").alias("dst"), "cls")
+        seen = skew_join(onward, to, "dst", hot).select("src", "label", "cls").unionByName(ends)
+        digest = F.sha2(F.to_json(F.sort_array(F.collect_set(F.struct("label", "cls")))), 256)
+        new = cut(seen.groupBy(F.col("src").alias("pid")).agg(digest.alias("cls")))
+        before, number = number, new.select("cls").distinct().count() + rest
+        discard(named)
+        named = new
+        if number == before or number == rest:
+            break
+    least = cut(named.groupBy("cls").agg(F.min("pid").alias("least")))
+    out = skew_join(named, least, "cls", hot_keys(named, "cls")).select("pid", F.col("least").alias("cls"))
+    if rest:
+        out = out.unionByName(dead.crossJoin(F.broadcast(dead.agg(F.min("pid").alias("cls")))))  # one row
+    return out
 
 
 def numbered(part: DataFrame) -> DataFrame:
     """(pid, number): classes numbered from 0 by their first state."""
-    cls = part.select("cls").distinct()
-    # ranks by range: the count of classes below, without a global window
-    ordered = cls.repartitionByRange("cls").sortWithinPartitions("cls").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    ranks = part.sparkSession.createDataFrame(ordered, "cls bigint, number bigint")
-    return part.join(ranks, "cls").select("pid", "number")
+    return part.join(ranked(part.select("cls").distinct(), "cls", "number"), "cls").select("pid", "number")
 
 
 def quotient(edges: DataFrame, part: DataFrame) -> DataFrame:

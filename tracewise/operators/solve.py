@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.energy import EnergyConf, codec, inverse_update, skyline
-from tracewise.operators import local
 from tracewise.operators.build import Game
-from tracewise.plans.iterate import cut
+from tracewise.plans.iterate import cut, discard
 
 
 def standard_reach(game: Game) -> DataFrame:
@@ -34,49 +33,45 @@ def _back(code, updates: dict[int, tuple], upd, energy):
 
 
 def solve(game: Game, reach: DataFrame | None = None) -> DataFrame:
-    """(pos, energies: array of vectors) of all positions with any; ``reach`` (pos) are the positions won from the start."""
-    if game.moves.limit(local.MOVES + 1).count() <= local.MOVES and game.positions.limit(local.MOVES + 1).count() <= local.MOVES:
-        start = standard_reach(game) if reach is None else reach.select("pos")
-        owners = {r.pos: r.is_attack for r in game.positions.select("pos", "is_attack").collect()}
-        moves = [tuple(r) for r in game.moves.select("src", "upd", "dst").collect()]
-        won = local.solve(owners, moves, game.updates, game.conf, {r.pos for r in start.collect()})
-        kind = game.positions.schema["pos"].dataType.simpleString()
-        return cut(game.positions.sparkSession.createDataFrame(list(won.items()), f"pos {kind}, energies array<array<bigint>>"))
+    """(pos, energies: array of vectors) of all positions with any; ``reach`` (pos) are the positions won from the start.
+
+    A round is one plan and one table: the energies so far, split by whether they changed in that round. Earlier rounds are deleted."""
     code = codec(game.conf)
     nothing = F.array().cast(f"array<{code.type}>")
-    moves = cut(game.moves.select("src", "dst", "upd").distinct())
-    owners = game.positions.select("pos", "is_attack")
-    degree = cut(moves.join(owners.where("NOT is_attack").select(F.col("pos").alias("src")), "src", "left_semi").groupBy("src").agg(F.countDistinct("dst").alias("degree")))
     zero = code.lit([])
-    state = cut((standard_reach(game) if reach is None else reach.select("pos").distinct()).select("pos", F.array(zero).alias("es")))
-    changed = state.select("pos")
-    while not changed.isEmpty():
-        hit = moves.join(changed.select(F.col("pos").alias("dst")), "dst", "left_semi")
-        by_dst = state.select(F.col("pos").alias("dst"), "es")
-        attackers = owners.where("is_attack").select(F.col("pos").alias("src"))
-
-        led = hit.join(attackers, "src", "left_semi").join(by_dst, "dst").select("src", "upd", F.explode("es").alias("e"))
-        led = led.select("src", _back(code, game.updates, F.col("upd"), F.col("e")).alias("e")).groupBy("src").agg(F.collect_set("e").alias("new"))
-        own = state.select(F.col("pos").alias("src"), "es")
-        won = led.join(own, "src", "left").select(F.col("src").alias("pos"), F.coalesce("es", nothing).alias("old"), skyline(code, F.concat("new", F.coalesce("es", nothing))).alias("es"))
-
-        asked = hit.join(degree, "src").select("src", "degree").distinct()
-        every = moves.join(asked, "src").join(by_dst, "dst")
-        back = F.transform("es", lambda e: _back(code, game.updates, F.col("upd"), e))
-        every = every.select("src", "degree", "dst", skyline(code, back).alias("es"))
-        every = every.groupBy("src", "degree").agg(F.countDistinct("dst").alias("solved"), F.sort_array(F.collect_list(F.struct(F.size("es").alias("n"), "es"))).alias("sets")).where("solved = degree")
-
-        def join_sets(acc, s):
-            made = F.flatten(F.transform(acc, lambda a: F.transform(s["es"], lambda b: code.sup(a, b))))
-            return skyline(code, made)
-
-        least = F.aggregate("sets", F.array(zero), join_sets)
-        lost = every.select("src", least.alias("new")).join(own, "src", "left").select(F.col("src").alias("pos"), F.coalesce("es", nothing).alias("old"), F.col("new").alias("es"))
-
-        new = cut(won.unionByName(lost).where("old <> es").select("pos", "es"))
-        changed = new.select("pos")
-        if not changed.isEmpty():
-            state = cut(state.join(changed, "pos", "left_anti").unionByName(new))
+    owners = game.positions.select(F.col("pos").alias("src"), "is_attack")
+    moves = game.moves.select("src", "dst", "upd").distinct().join(owners, "src")
+    degree = moves.where("NOT is_attack").groupBy("src").agg(F.countDistinct("dst").alias("need"))
+    attacks = cut(moves.where("is_attack").select("src", "dst", "upd"))
+    defends = cut(moves.where("NOT is_attack").join(degree, "src").select("src", "dst", "upd", "need"))
+    won = (standard_reach(game) if reach is None else reach.select("pos").distinct()).select("pos", F.array(zero).alias("es"))
+
+    def join_sets(acc, s):
+        made = F.flatten(F.transform(acc, lambda a: F.transform(s["es"], lambda b: code.sup(a, b))))
+        return skyline(code, made)
+
+    led_back = _back(code, game.updates, F.col("upd"), F.col("e")).alias("e")
+    all_back = skyline(code, F.transform("es", lambda e: _back(code, game.updates, F.col("upd"), e))).alias("es")
+    sets = F.sort_array(F.collect_list(F.struct(F.size("es").alias("n"), "es"))).alias("sets")
+    least = F.aggregate("sets", F.array(zero), join_sets)
+    own = F.coalesce("es", nothing)
+    either = F.when(F.col("new").isNull(), own).when(F.col("more"), skyline(code, F.concat("new", own))).otherwise(F.col("new"))
+
+    state = cut(won.withColumn("fresh", F.lit(True)), "fresh")
+    while state.rows:
+        to = state.where("fresh").select(F.col("pos").alias("dst"), "es")
+        led = attacks.join(to, "dst").select("src", "upd", F.explode("es").alias("e")).select("src", led_back)
+        led = led.groupBy("src").agg(F.collect_set("e").alias("new")).select("src", "new", F.lit(True).alias("more"))
+        asked = defends.join(to.select("dst"), "dst", "left_semi").select("src").distinct()
+        every = defends.join(asked, "src", "left_semi").join(state.select(F.col("pos").alias("dst"), "es"), "dst")
+        every = every.select("src", "need", "dst", all_back).groupBy("src", "need").agg(F.countDistinct("dst").alias("solved"), sets)
+        every = every.where("solved = need").select("src", least.alias("new"), F.lit(False).alias("more"))
+        both = state.select("pos", "es").join(led.unionByName(every).withColumnRenamed("src", "pos"), "pos", "full_outer")
+        both = both.select("pos", own.alias("old"), either.alias("es"))
+        later = cut(both.select("pos", "es", (F.col("old") != F.col("es")).alias("fresh")), "fresh")
+        discard(state)
+        state = later
+    discard(attacks, defends)
     return state.select("pos", F.transform("es", code.to_array).alias("energies"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewise.functions.energy import NOTIONS, STANDARD
 from tracewise.operators import build, refine, solve
 from tracewise.plans.iterate import cut
+from tracewise.plans.relation import Relation
 from tracewise.sources.lts import mentioned, universe
 
 
@@ -109,9 +110,27 @@ class Equivalence:
 
     Pairs of different enabled labels aren't compared: no notion relates them here, though ``LTS.compare`` may find that one does."""
 
-    def __init__(self, pairs: DataFrame, part: DataFrame, game: build.Game) -> None:
+    def __init__(self, pairs: DataFrame, part: DataFrame, game: build.Game | None) -> None:
         self.pairs, self.part, self.game = pairs, part, game
 
+    @classmethod
+    def bind(cls, pairs: DataFrame, energies: DataFrame, part: DataFrame | None = None) -> Equivalence:
+        """From given results: ``energies`` (p, q, energies) must have a row for each of ``pairs`` (p, q), which must hold both ways round
+        of each pair. Rows for other pairs are left out. ``part`` (pid, cls) says which states the compared ones stand for, by
+        default only themselves."""
+        if pairs.join(energies, ["p", "q"], "left_anti").limit(1).count():
+            raise ValueError("too few energies: a pair has none")
+        if pairs.select("p", "q").join(pairs.select(F.col("q").alias("p"), F.col("p").alias("q")), ["p", "q"], "left_anti").limit(1).count():
+            raise ValueError("a pair is compared one way round only")
+        bound = energies.join(pairs.select("p", "q").distinct(), ["p", "q"], "left_semi")
+        if part is None:
+            part = pairs.select(F.col("p").alias("pid"), F.col("p").alias("cls")).distinct()
+        return cls(bound, part, None)
+
+    def set_minimization(self, part: DataFrame) -> Equivalence:
+        """The same comparisons, read through another map (pid, cls) of states to compared ones."""
+        return Equivalence(self.pairs, part, self.game)
+
     def mapped(self, pid: int) -> int:
         row = self.part.where(F.col("pid") == pid).first()
         if row is None:
@@ -155,8 +174,12 @@ class Equivalence:
         return groups.join(names, "g").select("pid", "class_id")
 
     def classes(self, notion) -> DataFrame:
-        """(class_id, members)."""
-        return self.relation(notion).groupBy("class_id").agg(F.sort_array(F.collect_list("pid")).alias("members"))
+        """(class_id, size): the classes; their members are the rows of ``relation``."""
+        return self.relation(notion).groupBy("class_id").agg(F.count("*").alias("size"))
+
+    def union_find(self, notion) -> Relation:
+        """The equivalence as a relation that can be asked and merged."""
+        return Relation(self.relation(notion))
 
     def count_classes(self, notion) -> int:
         return self.relation(notion).select("class_id").distinct().count()

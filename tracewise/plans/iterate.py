@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,12 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and read back from the shared folder, so that a lost executor loses no round."""
+def cut(df: DataFrame, split: str | None = None) -> DataFrame:
+    """The rows of ``df``, computed once and read back from the shared folder, so that a lost executor loses no round.
+
+    ``rows`` of the result tells how many there are; with ``split``, a boolean column that the table is split by, those in which it
+    holds."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    writer = df.observe(seen, (F.count(F.lit(1)) if split is None else F.count_if(F.col(split))).alias("rows")).write
+    (writer if split is None else writer.partitionBy(split)).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path, out.rows = path, seen.get["rows"]
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables of ``cut`` frames that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -32,3 +48,34 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in the order of the column ``by``: numbers within ranges, and a count before each range.
+
+    The counts are a row for each shuffle partition, which bounds what is broadcast."""
+    split = cut(df.repartitionByRange(by).withColumn("range_id", F.spark_partition_id()))
+    sizes = split.groupBy("range_id").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("range_id", F.coalesce(before, F.lit(0)).alias("rows_before"))
+    place = F.row_number().over(Window.partitionBy("range_id").orderBy(by))
+    numbered = split.withColumn(name, place.cast("bigint") - 1).join(F.broadcast(sizes), "range_id")
+    return numbered.withColumn(name, F.col(name) + F.col("rows_before")).drop("range_id", "rows_before")
+
+
+#: Keys with more rows than one in this many are hot, so there are at most this many of them.
+HOT = 100_000
+
+
+def hot_keys(df: DataFrame, key: str, least: int = 1000) -> DataFrame:
+    """(key) of the keys that hold more than one in HOT of all rows, and at least ``least``: at most HOT keys, which may be broadcast."""
+    rows = df.count()
+    return cut(df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > max(least, rows // HOT)).select(key))
+
+
+def skew_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``many`` joined with ``one`` (at most one row for each key). Rows of ``hot`` keys stay where they are and meet their few partners by
+    broadcast; the rest is shuffled by key."""
+    few = F.broadcast(hot)
+    rest = many.join(few, key, "left_anti").join(one, key)
+    return rest.unionByName(many.join(few, key, "left_semi").join(F.broadcast(one.join(few, key, "left_semi")), key))

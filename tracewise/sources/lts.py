@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewise.plans.iterate import cut, ranked
+
 EDGES = "src bigint, dst bigint, label int"
 LTS_JSON = "adj array<array<struct<process: bigint, label: int>>>"
 
@@ -29,24 +31,30 @@ def _parsed(lines: DataFrame) -> DataFrame:
 def from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, labels) of lines (line, value): ``src,dst,label``, where a label keeps further commas and loses one pair of quotes.
 
-    Label ``i`` has number 0, the others 1, 2, .. by first occurrence. Raises for the first bad line."""
-    rows = _parsed(lines)
+    Label ``i`` has number 0, the others 1, 2, .. by first occurrence. Raises for the first bad line; ``line`` counts from 0 and is named
+    from 1."""
+    rows = cut(_parsed(lines))
     bad = rows.where("fields < 3 OR src IS NULL OR dst IS NULL").orderBy("line").select("line", "value", "fields", "src", "dst").first()
     if bad is not None:
         numbers = bad.src is not None and (bad.fields < 2 or bad.dst is not None)
         error = MissingFieldError if bad.fields < 3 and numbers else ParseError
-        raise error(f"line {bad.line}: {bad.value!r}")
-    first = rows.groupBy("name").agg(F.min("line").alias("line"))
-    ordered = first.where("name <> 'i'").repartitionByRange("line").sortWithinPartitions("line").select("name").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    spark = lines.sparkSession
-    labels = spark.createDataFrame(ordered, "name string, label bigint").withColumn("label", F.col("label").cast("int")).unionByName(spark.createDataFrame([("i", 0)], "name string, label int"))
+        raise error(f"line {bad.line + 1}: {bad.value!r}")
+    first = rows.groupBy("name").agg(F.min("line").alias("line")).where("name <> 'i'")
+    labels = cut(ranked(first, "line", "label").select("name", (F.col("label") + 1).cast("int").alias("label")))
+    labels = labels.unionByName(lines.sparkSession.createDataFrame([("i", 0)], "name string, label int"))
     return rows.join(labels, "name").select("src", "dst", "label"), labels
 
 
 def from_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels) of text files; lines are numbered in the order of files and offsets."""
-    text = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("line"))
-    return from_lines(text)
+    """(edges, labels) of text files, read in any number of splits; lines count through the files in the order of their names.
+
+    Rows of a split are consecutive in their task, so a line's number is its place in the split and the lines of the splits before."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    text = cut(spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("id")))
+    splits = text.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return from_lines(text.join(splits, ["file", "start"]).select("value", (F.col("id") + F.col("shift")).alias("line")))
 
 
 def from_edges(spark: SparkSession, edges: list[tuple]) -> DataFrame:
@@ -101,8 +109,6 @@ def conversation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States (user, event type): user_id * 2^10 + first letters of the type; each event leads by the next one's type to it."""
-    from pyspark.sql import Window
-
     state = F.col("user_id") * (1 << 16) + F.ascii("event_type") * 256 + F.ascii(F.substring("event_type", 2, 1))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", state.alias("src"))
@@ -127,3 +133,13 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = rows.select("dst").distinct()
     up = bands.select(F.col("dst").alias("src")).join(bands.select("dst", (F.col("dst") - 1).alias("src")), "src").select("src", "dst", F.lit("up").alias("label"))
     return rows.unionByName(up)
+
+
+def parcel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders lead by ``open`` to their parcels, the items of one tax rate, and each parcel by its items' return flags back to its order:
+    a branching system with cycles. States: order * 64, and order * 64 + 1 + tax in percent."""
+    order = F.col("l_orderkey").cast("bigint") * 64
+    at = _table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_tax IS NOT NULL AND l_returnflag IS NOT NULL")
+    at = at.select(order.alias("order"), (order + 1 + F.round(F.col("l_tax") * 100).cast("bigint")).alias("parcel"), "l_returnflag").distinct()
+    both = F.array(F.struct(F.col("order").alias("src"), F.col("parcel").alias("dst"), F.lit("open").alias("label")), F.struct(F.col("parcel").alias("src"), F.col("order").alias("dst"), F.col("l_returnflag").alias("label")))
+    return at.select(F.inline(both)).distinct()
