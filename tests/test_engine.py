@@ -354,3 +354,120 @@ def test_stream(spark, tmp_path):
         assert {r.pid: r.enabled for r in spark.table("enabled").collect()} == {0: ["a", "b,c", "d"], 7: ["a"]}
     finally:
         q.stop()
+
+
+def test_lines_through_files(spark, tmp_path):
+    """Lines count through files in the order of names, also where a file is read in several splits."""
+    for k, name in enumerate("cab"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{k},{i},{name}{i % 7}\n" for i in range(400 if name == "a" else 5)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        _, labels = lts.from_text(spark, str(tmp_path))
+        want = [f"a{i}" for i in range(7)] + [f"b{i}" for i in range(5)] + [f"c{i}" for i in range(5)]
+        assert [r.name for r in labels.orderBy("label").collect()] == ["i", *want]
+        (tmp_path / "c.txt").write_text("1,2,x\n1,2\n")
+        with pytest.raises(lts.MissingFieldError, match="line 407"):
+            lts.from_text(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ranks_and_hot_keys(spark):
+    from tracewise.plans import iterate
+
+    rows = spark.createDataFrame([(f"k{i:03}",) for i in range(97)], "name string")
+    assert [(r.name, r.n) for r in iterate.ranked(rows, "name", "n").orderBy("n").collect()] == [(f"k{i:03}", i) for i in range(97)]
+    many = spark.createDataFrame([(0 if i < 60 else i, i) for i in range(80)], "k int, v int")
+    one = spark.createDataFrame([(0, "a"), (61, "b"), (7, "c")], "k int, w string")
+    hot = iterate.hot_keys(many, "k", least=10)
+    assert [r.k for r in hot.collect()] == [0]
+    assert sorted(map(tuple, iterate.skew_join(many, one, "k", hot).collect())) == sorted([(0, i, "a") for i in range(60)] + [(61, 61, "b")])
+
+
+def test_hot_targets(spark, monkeypatch):
+    from tracewise.plans import iterate
+
+    edges = [(i, 100, 0) for i in range(1, 30)] + [(100, 101, 1), (50, 51, 0), (51, 100, 1), (52, 101, 0)]
+    s = LTS(lts.from_edges(spark, edges), sparse=True)
+    want = {(r.pid, r.cls) for r in refine.refine(s.edges, s.states).collect()}
+    monkeypatch.setattr(refine, "hot_keys", lambda df, key: iterate.hot_keys(df, key, least=2))
+    assert {(r.pid, r.cls) for r in refine.refine(s.edges, s.states).collect()} == want
+    assert dict(want) == {**{i: 1 for i in range(1, 30)}, 100: 100, 101: 101, 50: 50, 51: 51, 52: 52}
+
+
+def test_relation(spark):
+    from tracewise.plans.relation import Relation
+
+    rng = random.Random(5)
+    own = {p: p - p % 2 for p in range(40)}
+    rel = Relation(spark.createDataFrame(list(own.items()), "pid bigint, class_id bigint"))
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(14)] + [(3, 3)]
+    merged = dict(own)
+    for p, q in links * 40:
+        low, high = sorted((merged[p], merged[q]))
+        merged = {k: low if v == high else v for k, v in merged.items()}
+    new = rel.union(spark.createDataFrame(links, "p bigint, q bigint"))
+    assert {r.pid: r.class_id for r in new.classes.collect()} == merged
+    assert len(new) == 40 and new.count() == len(set(merged.values())) and new.find(links[0][0]) == new.find(links[0][1]) and new.equiv(*links[1]) and rel.equiv(0, 1) and not rel.equiv(0, 2)
+    with pytest.raises(IndexError):
+        rel.find(40)
+    none = rel.union(spark.createDataFrame([], "p bigint, q bigint"))
+    assert {r.pid: r.class_id for r in none.classes.collect()} == own
+
+
+def test_bound_results(spark):
+    from tracewise.plans.equivalence import Equivalence
+
+    rows = [(0, 1, [[1, 1, 0, 0, 0, 0]]), (1, 0, []), (5, 6, [])]
+    energies = spark.createDataFrame(rows, "p bigint, q bigint, energies array<array<bigint>>")
+    both = spark.createDataFrame([(0, 1), (1, 0)], "p bigint, q bigint")
+    e = Equivalence.bind(both, energies)
+    assert e.pairs.count() == 2 and e.preorder(1, 0, "bisimulation") and not e.preorder(0, 1, "traces") and e.energies(0, 1) == [[1, 1, 0, 0, 0, 0]]
+    for bad in ([(0, 1), (1, 0), (7, 8), (8, 7)], [(0, 1)]):
+        with pytest.raises(ValueError):
+            Equivalence.bind(spark.createDataFrame(bad, "p bigint, q bigint"), energies)
+
+
+def test_energy_sets_and_updates(spark):
+    conf = E.EnergyConf(5, 9)
+    assert conf.energies([[1, 2, 3, 4, 9]]) == [(1, 2, 3, 4, 9)]
+    for bad in ([], [[1, 2, 3, 4, 5], [1]], [[1, 2, 3, 4, 10]]):
+        with pytest.raises(ValueError):
+            conf.energies(bad)
+    assert (E.STANDARD.energy_mask(), E.STANDARD.update_mask(), E.EnergyConf(2, 3).update_bits(), E.EnergyConf(14, 3).update_bits()) == (3, 15, 4, 8)
+    for c in (conf, E.STANDARD, E.EnergyConf(30, 3), E.EnergyConf(14, 1)):
+        u = [(-1, 0, *range(1, c.elements + 1))[i] for i in range(c.elements)]
+        row = spark.createDataFrame([(u,)], "u array<int>").select(E.packed_update(F.col("u"), c).alias("w"))
+        assert row.select(F.size("w").alias("n"), E.unpacked_update(F.col("w"), c).alias("u")).first() == (c.update_size(), u)
+    es = spark.createDataFrame([([[1, 0, 0, 0, 0], [0, 9, 0, 0, 0]],)], "es array<array<bigint>>")
+    new = F.array(*[F.lit(x).cast("bigint") for x in (2, 2, 2, 2, 2)])
+    assert es.select(E.set_energy(F.col("es"), 1, new, conf)).first()[0] == [[1, 0, 0, 0, 0], [2, 2, 2, 2, 2]]
+    assert es.select(E.zero_energies(2, conf), E.zero_energies(0, conf)).first() == ([[0] * 5] * 2, [])
+    for wrong in (E.get_energy(F.col("es"), 2), E.set_energy(F.col("es"), 2, new, conf), E.set_energy(F.col("es"), 0, F.array(F.lit(1).cast("bigint")), conf)):
+        with pytest.raises(Exception, match="energy"):
+            es.select(wrong).collect()
+
+
+def test_report_program(spark, tmp_path, capsys, monkeypatch):
+    from tracewise import __main__ as program
+
+    monkeypatch.setattr(program.SparkSession.Builder, "getOrCreate", lambda self: spark)
+    (tmp_path / "m.csv").write_text('0,1,"coin"\n0,2,"coin"\n1,3,"tea"\n2,3,"coffee"\n')
+    program.main(str(tmp_path / "m.csv"))
+    said = capsys.readouterr().out
+    assert "states 4, classes 4" in said and "bisimulation: 4 classes" in said
+
+
+@pytest.mark.parametrize("name", ["spectrum_report", "relation_failures_parcel", "preorders_simulation_parcel", "split_moves", "revival_moves", "class_numbers"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from tracewise import queries
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS FROM '{folder}/lineitem.parquet'")
+    want = db.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.QUERIES[name](spark, folder).select(*columns).collect())) == sorted(want.fetchall())

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tracewise.functions import energy as E
 from tracewise.operators import build, refine, solve
 from tracewise.plans.equivalence import LTS, Equivalence
-from tracewise.plans.iterate import cut
-from tracewise.sources import lts
+from tracewise.plans.iterate import cut, shared_dir
+from tracewise.sources import games, lts
 
 #: Solved systems by table folder, for the queries that read different things from one solution. ``forget`` empties it.
 _SOLVED: dict[tuple, Equivalence] = {}
@@ -20,7 +20,7 @@ def forget() -> None:
 
 
 def _system(spark: SparkSession, sf_dir: str, name: str) -> LTS:
-    edges = {"conv": lts.conversation_edges, "evt": lts.event_edges, "cust": lts.customer_edges, "nat": lts.nation_edges}[name](spark, sf_dir)
+    edges = {"conv": lts.conversation_edges, "evt": lts.event_edges, "cust": lts.customer_edges, "nat": lts.nation_edges, "parcel": lts.parcel_edges}[name](spark, sf_dir)
     return LTS(edges, sparse=True)
 
 
@@ -75,22 +75,23 @@ def enabled_sets(spark, sf_dir):
 
 def enabledness_partitions(spark, sf_dir):
     s = _system(spark, sf_dir, "evt")
-    return refine.enabledness_partitions(s.edges, s.states).select(_text("enabled").alias("enabled"), _text("members").alias("members"))
+    return refine.enabledness_partitions(s.edges, s.states).select("pid", _text("enabled").alias("enabled"), "class_id")
 
 
 def enabledness_partitions_subset(spark, sf_dir):
     s = _system(spark, sf_dir, "evt")
     clicks = s.states.where("pid div 256 % 256 = ascii('c')")
-    return refine.enabledness_partitions(s.edges, s.states, clicks).select(_text("enabled").alias("enabled"), _text("members").alias("members"))
+    return refine.enabledness_partitions(s.edges, s.states, clicks).select("pid", _text("enabled").alias("enabled"), "class_id")
 
 
 def enabledness_compare(spark, sf_dir):
-    s = _system(spark, sf_dir, "nat")
+    """The labels of both ends of every edge."""
+    s = _system(spark, sf_dir, "evt")
     sets = refine.enabled_sets(s.edges, s.states)
-    p, q = sets.select(F.col("pid").alias("p"), F.col("enabled").alias("ep")), sets.select(F.col("pid").alias("q"), F.col("enabled").alias("eq"))
+    pairs = s.edges.select(F.col("src").alias("p"), F.col("dst").alias("q")).distinct()
+    pairs = pairs.join(sets.select(F.col("pid").alias("p"), F.col("enabled").alias("ep")), "p").join(sets.select(F.col("pid").alias("q"), F.col("enabled").alias("eq")), "q")
     le, ge = refine.compare_enabled("ep", "eq")
-    # nations and bands are few, whatever the size of the tables: their number is that of the states of one small system
-    return p.join(q, F.lit(True)).select("p", "q", le.alias("q_within_p"), ge.alias("q_contains_p"))
+    return pairs.select("p", "q", le.alias("q_within_p"), ge.alias("q_contains_p"))
 
 
 def set_transition(spark, sf_dir):
@@ -107,24 +108,32 @@ def signature_round1(spark, sf_dir):
     return sig.select("pid", F.array_join(F.transform("signature", lambda x: x["label"]), ",").alias("signature"))
 
 
+def _refined(spark, sf_dir, name: str):
+    s = _system(spark, sf_dir, name)
+    edges = cut(s.edges)
+    return refine.refine(edges, LTS(edges, sparse=True).states)
+
+
 def bisim_classes(name: str):
     def query(spark, sf_dir):
-        s = _system(spark, sf_dir, name)
-        return refine.refine(s.edges, s.states)
+        return _refined(spark, sf_dir, name)
 
     return query
 
 
 def bisim_class_count(spark, sf_dir):
-    s = _system(spark, sf_dir, "cust")
-    return refine.refine(s.edges, s.states).agg(F.countDistinct("cls").alias("classes"))
+    return _refined(spark, sf_dir, "cust").agg(F.countDistinct("cls").alias("classes"))
+
+
+def class_numbers(spark, sf_dir):
+    return refine.numbered(_refined(spark, sf_dir, "parcel"))
 
 
 def quotient_edges(name: str):
     def query(spark, sf_dir):
         s = _system(spark, sf_dir, name)
         edges = cut(s.edges)
-        return refine.quotient(edges, refine.refine(edges, s.states)).groupBy("src", "label", "dst").agg(F.count("*").alias("n"))
+        return refine.quotient(edges, refine.refine(edges, LTS(edges, sparse=True).states)).groupBy("src", "label", "dst").agg(F.count("*").alias("n"))
 
     return query
 
@@ -164,11 +173,43 @@ def clause_moves(spark, sf_dir):
     return build.clause_moves(c).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
 
 
-def game_size(spark, sf_dir):
+def _parcel_sets(spark, sf_dir):
+    """Attack positions that compare the first parcel of each order with all its others, where these are two or more."""
+    s = LTS(cut(_system(spark, sf_dir, "parcel").edges), sparse=True)
+    open_ = s.edges.where("label = 'open'").groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("all")).where("size(all) > 2")
+    return s, open_.select(build.attack(F.col("all")[0], F.slice("all", 2, F.size("all") - 1)).alias("a")).select("a.*")
+
+
+def split_moves(spark, sf_dir):
+    """Observations and conjunctions from sets of several states, with all splits."""
+    s, at = _parcel_sets(spark, sf_dir)
+    return build.attack_moves(at, s.edges, refine.enabled_sets(s.edges, s.states)).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
+
+
+def revival_moves(spark, sf_dir):
+    """Answers and revivals from the conjunctions of ``split_moves``."""
+    s, at = _parcel_sets(spark, sf_dir)
+    made = build.attack_moves(at, s.edges, refine.enabled_sets(s.edges, s.states)).where("to.kind = 'D'").select("to.*")
+    return build.defend_moves(made).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
+
+
+def game_size(name: str):
+    def query(spark, sf_dir):
+        game = _solved(spark, sf_dir, name).game
+        kinds = game.positions.groupBy(F.concat(F.lit("positions "), "kind").alias("what")).agg(F.count("*").alias("n"))
+        moves = game.moves.groupBy(F.concat(F.lit("moves "), F.col("upd").cast("string")).alias("what")).agg(F.count("*").alias("n"))
+        return kinds.unionByName(moves)
+
+    return query
+
+
+def attack_alone(spark, sf_dir):
+    """The moves of one position and those into it, by position."""
     game = _solved(spark, sf_dir, "conv").game
-    kinds = game.positions.groupBy(F.concat(F.lit("positions "), "kind").alias("what")).agg(F.count("*").alias("n"))
-    moves = game.moves.groupBy(F.concat(F.lit("moves "), F.col("upd").cast("string")).alias("what")).agg(F.count("*").alias("n"))
-    return kinds.unionByName(moves)
+    first = game.positions.where("kind = 'A' AND size(q) = 1").agg(F.min(F.struct("p", F.col("q")[0].alias("q"))).alias("m")).select("m.*")
+    pos = build.attack(F.col("p"), F.array("q"))["pos"].alias("pos")
+    out = game.moves.join(first.select(pos), F.col("src") == F.col("pos"), "left_semi").select(F.lit("out").alias("way"), F.col("upd").cast("bigint").alias("upd"))
+    return out.unionByName(game.moves.join(first.select(pos), F.col("dst") == F.col("pos"), "left_semi").select(F.lit("in").alias("way"), F.col("upd").cast("bigint").alias("upd")))
 
 
 def _vectors(spark, sf_dir):
@@ -222,7 +263,7 @@ def skyline(spark, sf_dir):
 
 
 #: Small hand-made games: edges, positions of the attacker, number of positions.
-FORK = ([(0, 1, [0, 0, 0, -1]), (1, 2, [-1]), (1, 3, [0, -1])], [1], 4)
+DIAMOND = ([(0, 1, [-1]), (0, 2, [0, -1]), (1, 3, []), (2, 3, [0, 0, -1])], [1, 2], 4)
 LADDER = ([(0, 1, [-1]), (0, 2, [0, -1]), (1, 3, [-1]), (2, 3, [0, 0, -1]), (2, 4, [3]), (4, 3, [0, 0, -1, -1]), (3, 5, [0, -1])], [1, 2, 3], 6)
 
 
@@ -242,12 +283,117 @@ def reverse_moves(spark, sf_dir):
     return solve.from_edges(spark, *LADDER[:2], LADDER[2], E.STANDARD).reverse(3).select("src", "dst")
 
 
-#: a.(b + c) and a.b + a.c
-BRANCHING = [(0, 1, 0), (1, 2, 1), (1, 3, 2), (4, 5, 0), (5, 7, 1), (4, 6, 0), (6, 8, 2)]
+#: Two machines: after a coin, 0 offers tea or coffee, one of them; 10 offers one of them, or both.
+MACHINES = [(0, 1, 0), (0, 2, 0), (1, 3, 1), (2, 3, 2), (10, 1, 0), (10, 2, 0), (10, 11, 0), (11, 3, 1), (11, 3, 2)]
+
+
+def compare_pair(p: int, q: int):
+    return lambda spark, sf_dir: LTS(lts.from_edges(spark, MACHINES), sparse=True).verdicts(p, q)
+
+
+def universe_nat(spark, sf_dir):
+    return LTS(lts.nation_edges(spark, sf_dir)).states
+
+
+def adjacency_nat(spark, sf_dir):
+    s = LTS(lts.nation_edges(spark, sf_dir))
+    return s.adj(1).withColumn("states", F.lit(s.n_vertices()).cast("bigint"))
+
+
+def text_files(spark, sf_dir):
+    """Turns written to several text files and read back."""
+    path = f"{shared_dir(spark)}/lines-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    _conv_lines(spark, sf_dir).repartitionByRange(3, "line").sortWithinPartitions("line").select("value").write.mode("overwrite").text(path)
+    return lts.from_text(spark, path)[0]
+
+
+def json_round_trip(spark, sf_dir):
+    """The nation system, its labels numbered in order, written as a JSON document and read back."""
+    path = f"{shared_dir(spark)}/json-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    edges = lts.nation_edges(spark, sf_dir)
+    names = F.broadcast(lts.ranked(edges.select("label").distinct(), "label", "number"))  # market segments and one more
+    s = LTS(edges.join(names, "label").select("src", "dst", F.col("number").cast("int").alias("label")))
+    lts.to_json(s.edges, s.states).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return lts.from_json(spark, path)
+
+
+def game_json(spark, sf_dir):
+    """A game written as a JSON document, read back and solved."""
+    path = f"{shared_dir(spark)}/game-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    games.to_json(solve.from_edges(spark, *LADDER[:2], LADDER[2], E.STANDARD)).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return solve.solve(games.from_json(spark, path)).select("pos", F.explode("energies").alias("e")).select("pos", _text("e").alias("e"))
+
+
+def solve_reach(spark, sf_dir):
+    """The ladder won at position 4 instead of at the defenders without moves."""
+    made = solve.from_edges(spark, *LADDER[:2], LADDER[2], E.STANDARD)
+    return solve.solve(made, spark.createDataFrame([(4,)], "pos bigint")).select("pos", F.explode("energies").alias("e")).select("pos", _text("e").alias("e"))
+
+
+def wide_algebra(spark, sf_dir):
+    """Supremum and inverse update in a configuration too wide for one number."""
+    conf = E.EnergyConf(6, (1 << 32) - 1)
+    code = E.codec(conf)
+    x = E.inverse_update(code, code.sup(F.col("e"), F.col("f")), [-1, 0, 1, 5, 0, -1])
+    return _vector_pairs(spark, sf_dir).select("pid", _text_of(code.to_array(x)).alias("e"))
+
+
+def word_round_trip(spark, sf_dir):
+    """Energies and updates in the compact external form and back."""
+    u = F.transform("e", lambda x: F.when(x == 3, -1).otherwise(x).cast("int"))
+    words = E.packed_update(u, E.STANDARD)
+    return _vectors(spark, sf_dir).select(
+        "pid",
+        _text_of(E.unpacked_words(E.packed_words(F.col("e"), E.STANDARD), E.STANDARD)).alias("energy"),
+        F.get(words, F.lit(0)).alias("word"),
+        _text_of(E.unpacked_update(words, E.STANDARD)).alias("upd"),
+        E.show_update(u).alias("shown"),
+    )
+
+
+def energy_sets(spark, sf_dir):
+    """Sets of two energies: size, members, replacement, equality in any order, text."""
+    es = F.array("e", "f")
+    swapped = E.set_energy(E.set_energy(es, 0, E.get_energy(es, 1), E.STANDARD), 1, E.get_energy(es, 0), E.STANDARD)
+    return _vector_pairs(spark, sf_dir).select("pid", E.n_energies(es).alias("n"), _text_of(E.get_energy(swapped, 0)).alias("first"), E.same_energies(es, swapped).alias("same"), E.show_energies(es).alias("shown"))
+
+
+def preorders(name: str, notion: str):
+    """Ordered pairs of different classes of bisimilar states."""
+    return lambda spark, sf_dir: _solved(spark, sf_dir, name).preorders(notion)
+
+
+def equivalents(name: str, notion: str):
+    return lambda spark, sf_dir: _solved(spark, sf_dir, name).equivalents(notion)
+
+
+def class_of(name: str, notion: str):
+    """The class of the least state."""
+
+    def query(spark, sf_dir):
+        s = _solved(spark, sf_dir, name)
+        return s.class_of(s.part.agg(F.min("pid").alias("m")).first().m, notion)
+
+    return query
+
+
+def relation_union(spark, sf_dir):
+    """Failure equivalence of parcels, with the classes of an order's parcels of tax 0 and 1 merged."""
+    rel = _solved(spark, sf_dir, "parcel").union_find("failures")
+    links = rel.classes.select(F.col("pid").alias("p"), (F.col("pid") + 1).alias("q")).where("p % 64 = 1")
+    return rel.union(links).classes
+
+
+def unminimized_nat(spark, sf_dir):
+    """Similarity of nations, of the subset of nations alone, without a quotient."""
+    s = LTS(cut(lts.nation_edges(spark, sf_dir)), sparse=True)
+    return s.equivalences_unminimized(s.states.where("pid < 1000")).preorders("simulation")
 
 
-def compare_pair(spark, sf_dir):
-    return LTS(lts.from_edges(spark, BRANCHING)).verdicts(0, 4)
+def bound_energies(spark, sf_dir):
+    """Solved pairs taken as given results and bound to their pairs and quotient again."""
+    s = _solved(spark, sf_dir, "parcel")
+    return type(s).bind(s.pairs.select("p", "q"), s.pairs).set_minimization(s.part).relation("revivals")
 
 
 def relation(name: str, notion: str):
@@ -267,7 +413,7 @@ def preorder(name: str, notion: str):
 
 
 def classes(name: str, notion: str):
-    return lambda spark, sf_dir: _solved(spark, sf_dir, name).classes(notion).select("class_id", _text("members").alias("members"))
+    return lambda spark, sf_dir: _solved(spark, sf_dir, name).classes(notion)
 
 
 def report(name: str, only: list[str] | None = None):
@@ -285,6 +431,11 @@ QUERIES = {
     "lts_edges_evt": edges_of("evt"),
     "lts_edges_cust": edges_of("cust"),
     "lts_edges_nat": edges_of("nat"),
+    "lts_edges_parcel": edges_of("parcel"),
+    "universe_nat": universe_nat,
+    "adjacency_nat": adjacency_nat,
+    "text_files": text_files,
+    "json_round_trip": json_round_trip,
     "lts_states_conv": states_of("conv"),
     "out_degree": out_degree,
     "deadlocks": deadlocks,
@@ -298,27 +449,40 @@ QUERIES = {
     "signature_round1": signature_round1,
     "bisim_classes_conv": bisim_classes("conv"),
     "bisim_classes_cust": bisim_classes("cust"),
+    "bisim_classes_evt": bisim_classes("evt"),
+    "bisim_classes_parcel": bisim_classes("parcel"),
+    "class_numbers": class_numbers,
     "bisim_class_count": bisim_class_count,
     "quotient_edges_conv": quotient_edges("conv"),
+    "quotient_edges_parcel": quotient_edges("parcel"),
     "start_pairs": start_pairs,
     "start_pairs_subset": start_pairs_subset,
     "attack_moves": attack_moves,
     "defend_moves": defend_moves,
     "clause_moves": clause_moves,
-    "game_size": game_size,
+    "split_moves": split_moves,
+    "revival_moves": revival_moves,
+    "game_size_conv": game_size("conv"),
+    "game_size_parcel": game_size("parcel"),
+    "attack_alone": attack_alone,
     "energy_pack": energy_pack,
     "energy_order": energy_order,
     "inverse_update": inverse_update,
     "supremum": supremum,
     "notion_test": notion_test,
     "skyline": skyline,
-    "solve_fork": solve_game(FORK),
+    "wide_algebra": wide_algebra,
+    "word_round_trip": word_round_trip,
+    "energy_sets": energy_sets,
+    "solve_diamond": solve_game(DIAMOND),
     "solve_ladder": solve_game(LADDER),
     "reach_targets": reach_targets,
     "reverse_moves": reverse_moves,
-    "compare_pair": compare_pair,
+    "solve_reach": solve_reach,
+    "game_json": game_json,
+    "compare_pair": compare_pair(0, 10),
+    "compare_pair_back": compare_pair(10, 0),
     "relation_traces_conv": relation("conv", "traces"),
-    "relation_failures_conv": relation("conv", "failures"),
     "classes_bisimulation_conv": classes("conv", "bisimulation"),
     "report_conv": report("conv"),
     "preorder_simulation_nat": preorder("nat", "simulation"),
@@ -327,7 +491,21 @@ QUERIES = {
     "relation_simulation_nat": relation("nat", "simulation"),
     "relation_bisimulation_nat": relation("nat", "bisimulation"),
     "report_nat": report("nat", COUNTED),
-    "spectrum_report": report("nat"),
+    "spectrum_report": report("parcel"),
+    "spectrum_report_nat": report("nat"),
+    "relation_traces_parcel": relation("parcel", "traces"),
+    "relation_simulation_parcel": relation("parcel", "simulation"),
+    "relation_failures_parcel": relation("parcel", "failures"),
+    "relation_revivals_parcel": relation("parcel", "revivals"),
+    "relation_readiness_parcel": relation("parcel", "readiness"),
+    "classes_failure_traces_parcel": classes("parcel", "failure_traces"),
+    "preorders_simulation_parcel": preorders("parcel", "simulation"),
+    "preorders_failures_parcel": preorders("parcel", "failures"),
+    "equivalents_traces_parcel": equivalents("parcel", "traces"),
+    "class_of_parcel": class_of("parcel", "impossible_futures"),
+    "relation_union": relation_union,
+    "unminimized_nat": unminimized_nat,
+    "bound_energies": bound_energies,
 }
 
 # SQL
@@ -351,6 +529,58 @@ items AS (SELECT pid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '
 oclass AS (SELECT pid, min(pid) OVER (PARTITION BY s) AS cls FROM items),
 placed AS (SELECT k.pid, string_agg(DISTINCT label || '>' || CAST(cls AS VARCHAR), ',' ORDER BY label || '>' || CAST(cls AS VARCHAR)) AS s FROM kstates k JOIN cust ON src = k.pid JOIN oclass o ON o.pid = dst WHERE k.pid % 4 = 1 GROUP BY k.pid),
 knamed AS (SELECT pid, cls FROM oclass UNION ALL SELECT pid, min(pid) OVER (PARTITION BY s) FROM placed)"""
+#: Parcels by order; a parcel's flags as a bit mask; an order's family of such masks; what each notion tells of a family.
+_PARCEL = """items AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) * 64 AS o, CAST(l_orderkey AS BIGINT) * 64 + 1 + CAST(round(l_tax * 100) AS BIGINT) AS n, l_returnflag AS f FROM lineitem WHERE l_orderkey IS NOT NULL AND l_tax IS NOT NULL AND l_returnflag IS NOT NULL),
+parcel AS (SELECT DISTINCT o AS src, n AS dst, 'open' AS label FROM items UNION ALL SELECT n, o, f FROM items)"""
+_FAMILY = _PARCEL + """, psets AS (SELECT o, n, sum(CASE f WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END)::BIGINT AS m FROM items GROUP BY ALL),
+ofam AS (SELECT o, list(DISTINCT m ORDER BY m) AS fam FROM psets GROUP BY o),
+fams AS (SELECT DISTINCT fam FROM ofam), member AS (SELECT fam, unnest(fam) AS m FROM fams),
+allk AS (SELECT fam, CAST(bit_or(m) AS VARCHAR) AS k FROM member GROUP BY fam),
+most AS (SELECT fam, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS k FROM member a WHERE NOT EXISTS (SELECT 1 FROM member b WHERE b.fam = a.fam AND b.m <> a.m AND a.m & b.m = a.m) GROUP BY fam),
+fewest AS (SELECT fam, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS k FROM member a WHERE NOT EXISTS (SELECT 1 FROM member b WHERE b.fam = a.fam AND b.m <> a.m AND a.m & b.m = b.m) GROUP BY fam),
+each AS (SELECT fam, string_agg(f || ':' || m, ',' ORDER BY f, m) AS k FROM (SELECT a.fam, f, a.m FROM member a, (VALUES (1), (2), (4)) AS t(f) WHERE a.m & f > 0 AND NOT EXISTS (SELECT 1 FROM member b WHERE b.fam = a.fam AND b.m <> a.m AND b.m & f > 0 AND a.m & b.m = b.m)) GROUP BY fam),
+famkey AS (SELECT fam, allk.k AS traces, most.k AS simulation, fewest.k || '/' || allk.k AS failures, each.k AS revivals, array_to_string(fam, ',') AS readiness FROM allk JOIN most USING (fam) JOIN fewest USING (fam) JOIN each USING (fam)),
+pstate AS (SELECT o AS pid, o, CAST(0 AS BIGINT) AS m FROM ofam UNION ALL SELECT n, o, m FROM psets),
+pkey AS (SELECT pid, m, fam, m || '/' || traces AS traces, m || '/' || simulation AS simulation, m || '/' || failures AS failures, m || '/' || revivals AS revivals, m || '/' || readiness AS readiness FROM pstate JOIN ofam USING (o) JOIN famkey USING (fam)),
+prep AS (SELECT min(pid) AS cls, m, fam, any_value(traces) AS traces FROM pkey GROUP BY m, fam)"""
+#: The column of famkey that tells each notion; readiness tells a whole family.
+_TOLD = {"traces": "traces", "failures": "failures", "impossible_futures": "failures", "revivals": "revivals", "failure_traces": "revivals", "simulation": "simulation"}
+
+
+def _parcel_named(key: str) -> str:
+    return f"WITH {_FAMILY} SELECT pid, min(pid) OVER (PARTITION BY {key}) AS class_id FROM pkey"
+
+
+def _parcel_below(unmatched: str) -> str:
+    """Pairs of classes with the same labels whose families are related: no member of the first is unmatched in the second."""
+    return f"""WITH {_FAMILY}, bad AS (SELECT x.fam AS a, y.fam AS b FROM fams x, fams y WHERE {unmatched})
+SELECT p.cls AS p, q.cls AS q FROM prep p JOIN prep q ON p.m = q.m AND p.cls <> q.cls WHERE NOT EXISTS (SELECT 1 FROM bad WHERE a = p.fam AND b = q.fam)"""
+
+
+#: More rounds of refinement than any size of the tables takes.
+_ROUNDS = 12
+_BISIM_EVT = _EVT + ", r0 AS (SELECT src AS pid, CAST(0 AS BIGINT) AS cls FROM evt UNION SELECT dst, 0 FROM evt)" + "".join(
+    f", s{i} AS MATERIALIZED (SELECT r.pid, coalesce(string_agg(DISTINCT label || '>' || t.cls, ',' ORDER BY label || '>' || t.cls), '') AS s FROM r{i} r LEFT JOIN evt ON src = r.pid LEFT JOIN r{i} t ON t.pid = dst GROUP BY r.pid), r{i + 1} AS MATERIALIZED (SELECT pid, min(pid) OVER (PARTITION BY s) AS cls FROM s{i})"
+    for i in range(_ROUNDS)
+)
+#: The game on the quotient of the conversations, whose states have one move at most: positions of a kind, a state and another or none.
+_GAME_CONV = """RECURSIVE """ + _SUFFIX + """, q AS (SELECT DISTINCT a.cls AS p, label, b.cls AS nxt FROM conv JOIN cnamed a ON a.pid = src JOIN cnamed b ON b.pid = dst),
+qs AS (SELECT DISTINCT cls AS p, coalesce(label, '') AS label FROM cnamed LEFT JOIN (SELECT p AS cls, label FROM q) USING (cls)),
+pos(kind, p, x) AS (SELECT 'A', a.p, b.p FROM qs a JOIN qs b ON a.label = b.label AND a.p <> b.p
+UNION SELECT m.kind, m.p, m.x FROM (
+  SELECT 'A' AS kind, n.nxt AS p, CASE WHEN o.label = n.label THEN o.nxt ELSE -1 END AS x FROM pos JOIN q n ON n.p = pos.p LEFT JOIN q o ON o.p = pos.x WHERE pos.kind = 'A' AND pos.x >= 0 AND NOT (coalesce(o.label = n.label, false) AND o.nxt = n.nxt)
+  UNION ALL SELECT 'D', p, x FROM pos WHERE kind = 'A'
+  UNION ALL SELECT 'C', p, x FROM pos WHERE kind = 'D' AND x >= 0
+  UNION ALL SELECT 'A', p, x FROM pos WHERE kind = 'C' AND p <> x
+  UNION ALL SELECT 'A', x, p FROM pos WHERE kind = 'C' AND p <> x) m)"""
+_OBS_CONV = "(SELECT count(*) FROM pos JOIN q n ON n.p = pos.p LEFT JOIN q o ON o.p = pos.x WHERE pos.kind = 'A' AND pos.x >= 0 AND NOT (coalesce(o.label = n.label, false) AND o.nxt = n.nxt))"
+_SPLITS = _PARCEL + """, ns AS (SELECT o, n, sum(CASE f WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END)::BIGINT AS m FROM items GROUP BY ALL),
+first AS (SELECT o, min(n) AS p, arg_min(m, n) AS pm FROM ns GROUP BY o HAVING count(*) > 2),
+other AS (SELECT first.o, p, pm, n AS x, m FROM first JOIN ns ON ns.o = first.o AND n <> p),
+part AS (SELECT o, p, v, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FILTER (WHERE NOT c), '') AS q, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FILTER (WHERE c), '') AS qx
+  FROM (SELECT *, CASE v WHEN 0 THEN false WHEN 1 THEN m & pm = m WHEN 2 THEN m & pm = pm ELSE m = pm END AS c FROM other, (VALUES (0), (1), (2), (3)) AS t(v)) GROUP BY ALL),
+conj AS (SELECT DISTINCT o, p, q, qx FROM part WHERE v = 0 OR (q <> '' AND qx <> '')),
+start AS (SELECT o, 'A:' || p || ':' || string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS src, p, pm, bit_or(m) AS qm FROM other GROUP BY o, p, pm)"""
 _VEC = "vec AS (SELECT p_partkey AS pid, p_brand, p_size % 4 AS e1, (p_size // 4) % 4 AS e2, p_partkey % 4 AS e3, (p_partkey // 4) % 4 AS e4, (p_partkey // 16) % 4 AS e5, (p_partkey // 64) % 4 AS e6 FROM part)"
 _ES = [f"e{i}" for i in range(1, 7)]
 _LE = " AND ".join(f"a.{e} <= b.{e}" for e in _ES)
@@ -377,9 +607,9 @@ ORACLE_SQL = {
     "text_edges": f"WITH {_CONV}, f AS (SELECT label AS name, min(src) AS line FROM conv GROUP BY 1), d AS (SELECT name, row_number() OVER (ORDER BY line) AS n FROM f WHERE name <> 'i' UNION ALL SELECT 'i', 0) SELECT src, dst, CAST(n AS INTEGER) AS label FROM conv JOIN d ON name = label",
     "label_dictionary": f"WITH {_CONV}, f AS (SELECT label AS name, min(src) AS line FROM conv GROUP BY 1) SELECT name, CAST(row_number() OVER (ORDER BY line) AS INTEGER) AS label FROM f WHERE name <> 'i' UNION ALL SELECT 'i', 0",
     "enabled_sets": f"WITH {_CUST}, s AS (SELECT src AS pid FROM cust UNION SELECT dst FROM cust) SELECT pid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS enabled FROM s LEFT JOIN cust ON src = pid GROUP BY pid",
-    "enabledness_partitions": f"WITH {_EVT}, s AS (SELECT src AS pid FROM evt UNION SELECT dst FROM evt), i AS (SELECT pid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS enabled FROM s LEFT JOIN evt ON src = pid GROUP BY pid) SELECT enabled, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS members FROM i GROUP BY enabled",
-    "enabledness_partitions_subset": f"WITH {_EVT}, s AS (SELECT src AS pid FROM evt UNION SELECT dst FROM evt), i AS (SELECT pid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS enabled FROM s LEFT JOIN evt ON src = pid WHERE (pid // 256) % 256 = ascii('c') GROUP BY pid) SELECT enabled, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS members FROM i GROUP BY enabled",
-    "enabledness_compare": f"WITH {_NAT} SELECT a.pid AS p, b.pid AS q, NOT EXISTS (SELECT 1 FROM nat x WHERE x.src = b.pid AND x.label NOT IN (SELECT y.label FROM nat y WHERE y.src = a.pid)) AS q_within_p, NOT EXISTS (SELECT 1 FROM nat x WHERE x.src = a.pid AND x.label NOT IN (SELECT y.label FROM nat y WHERE y.src = b.pid)) AS q_contains_p FROM nstates a, nstates b",
+    "enabledness_partitions": f"WITH {_EVT}, s AS (SELECT src AS pid FROM evt UNION SELECT dst FROM evt), i AS (SELECT pid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS enabled FROM s LEFT JOIN evt ON src = pid GROUP BY pid) SELECT pid, enabled, min(pid) OVER (PARTITION BY enabled) AS class_id FROM i",
+    "enabledness_partitions_subset": f"WITH {_EVT}, s AS (SELECT src AS pid FROM evt UNION SELECT dst FROM evt), i AS (SELECT pid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS enabled FROM s LEFT JOIN evt ON src = pid WHERE (pid // 256) % 256 = ascii('c') GROUP BY pid) SELECT pid, enabled, min(pid) OVER (PARTITION BY enabled) AS class_id FROM i",
+    "enabledness_compare": f"WITH {_EVT}, i AS (SELECT pid, list(DISTINCT label) FILTER (WHERE label IS NOT NULL) AS ls FROM (SELECT src AS pid FROM evt UNION SELECT dst FROM evt) LEFT JOIN evt ON src = pid GROUP BY pid), e AS (SELECT DISTINCT src, dst FROM evt) SELECT src AS p, dst AS q, list_has_all(coalesce(a.ls, []), coalesce(b.ls, [])) AS q_within_p, list_has_all(coalesce(b.ls, []), coalesce(a.ls, [])) AS q_contains_p FROM e JOIN i a ON a.pid = src JOIN i b ON b.pid = dst",
     "set_transition": f"WITH {_NAT}, r AS (SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS key, label, dst FROM nation JOIN nat ON src = n_nationkey) SELECT key, label, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS image FROM r GROUP BY key, label",
     "signature_round1": f"WITH {_CUST}, s AS (SELECT src AS pid FROM cust UNION SELECT dst FROM cust) SELECT pid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS signature FROM s LEFT JOIN cust ON src = pid GROUP BY pid",
     "bisim_classes_conv": f"WITH {_SUFFIX} SELECT pid, cls FROM cnamed",
@@ -399,14 +629,16 @@ SELECT 'A:' || p || ':' || q AS src, CAST(0 AS BIGINT) AS upd, 'A:' || p2 || ':'
     "supremum": f"WITH {_VEC} SELECT a.pid, concat_ws(',', {', '.join(f'greatest(a.{e}, b.{e})' for e in _ES)}) AS e FROM vec a JOIN vec b ON b.pid = a.pid + 1",
     "notion_test": f"WITH {_VEC} " + " UNION ALL ".join(f"SELECT '{n}' AS notion, CAST(count(*) FILTER (WHERE NOT ({' AND '.join(f'{e} <= {x}' for e, x in zip(_ES, v, strict=True))})) AS BIGINT) AS held FROM vec" for n, v in E.NOTIONS.items()),
     "skyline": f"WITH {_VEC}, d AS (SELECT DISTINCT p_brand, {', '.join(_ES)} FROM vec) SELECT p_brand, concat_ws(',', {', '.join(_ES)}) AS e FROM d b WHERE NOT EXISTS (SELECT 1 FROM d a WHERE a.p_brand = b.p_brand AND {_LE} AND NOT ({_GE}))",
-    "solve_fork": _games({0: ["1,0,0,1,0,0", "0,1,0,1,0,0"], 1: ["1,0,0,0,0,0", "0,1,0,0,0,0"], 2: ["0,0,0,0,0,0"], 3: ["0,0,0,0,0,0"]}),
+    "solve_diamond": _games({0: ["1,1,1,0,0,0"], 1: ["0,0,0,0,0,0"], 2: ["0,0,1,0,0,0"], 3: ["0,0,0,0,0,0"]}),
     "solve_ladder": _games({0: ["2,2,1,0,0,0"], 1: ["1,1,0,0,0,0"], 2: ["0,1,1,0,0,0"], 3: ["0,1,0,0,0,0"], 4: ["0,1,1,1,0,0"], 5: ["0,0,0,0,0,0"]}),
     "reach_targets": "SELECT CAST(5 AS BIGINT) AS pos",
     "reverse_moves": "SELECT CAST(src AS BIGINT) AS src, CAST(3 AS BIGINT) AS dst FROM (VALUES (1), (2), (4)) AS t(src)",
-    "compare_pair": "SELECT notion, notion IN ('enabledness', 'traces', 'failures', 'failure_traces', 'revivals', 'impossible_futures') AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)",
+    "solve_reach": _games({2: ["0,0,0,0,0,0"], 4: ["0,0,0,0,0,0"]}),
+    "game_json": _games({0: ["2,2,1,0,0,0"], 1: ["1,1,0,0,0,0"], 2: ["0,1,1,0,0,0"], 3: ["0,1,0,0,0,0"], 4: ["0,1,1,1,0,0"], 5: ["0,0,0,0,0,0"]}),
+    "compare_pair": "SELECT notion, notion NOT IN ('bisimulation', 'nested_2simulation') AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)",
+    "compare_pair_back": "SELECT notion, notion IN ('enabledness', 'traces', 'failures', 'failure_traces', 'revivals', 'impossible_futures') AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)",
     "relation_traces_conv": f"WITH {_SUFFIX} SELECT pid, cls AS class_id FROM cnamed",
-    "relation_failures_conv": f"WITH {_SUFFIX} SELECT pid, cls AS class_id FROM cnamed",
-    "classes_bisimulation_conv": f"WITH {_SUFFIX} SELECT cls AS class_id, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS members FROM cnamed GROUP BY cls",
+    "classes_bisimulation_conv": f"WITH {_SUFFIX} SELECT cls AS class_id, count(*) AS size FROM cnamed GROUP BY cls",
     "report_conv": f"WITH {_SUFFIX} SELECT notion, CASE WHEN notion = 'enabledness' THEN (SELECT count(DISTINCT split_part(s, ',', 1)) FROM suffix) ELSE (SELECT count(DISTINCT s) FROM suffix) END AS classes FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)",
     "preorder_simulation_nat": f"WITH {_NAT} SELECT p, q FROM below",
     "preorder_traces_nat": f"WITH {_NAT} SELECT p, q FROM below",
@@ -414,4 +646,40 @@ SELECT 'A:' || p || ':' || q AS src, CAST(0 AS BIGINT) AS upd, 'A:' || p2 || ':'
     "relation_simulation_nat": _named("simkey"),
     "relation_bisimulation_nat": _named("bikey"),
     "report_nat": f"WITH {_NAT} SELECT 'enabledness' AS notion, count(DISTINCT enabled) AS classes FROM nsets UNION ALL SELECT 'traces', count(DISTINCT k) FROM simkey UNION ALL SELECT 'simulation', count(DISTINCT k) FROM simkey UNION ALL SELECT 'bisimulation', count(DISTINCT k) FROM bikey",
+    "lts_edges_parcel": f"WITH {_PARCEL} SELECT src, dst, label FROM parcel",
+    "universe_nat": f"WITH {_NAT} SELECT unnest(range(0, (SELECT max(greatest(src, dst)) FROM nat) + 1)) AS pid",
+    "adjacency_nat": f"WITH {_NAT} SELECT label, dst, (SELECT max(greatest(src, dst)) FROM nat) + 1 AS states FROM nat WHERE src = 1",
+    "json_round_trip": f"WITH {_NAT}, d AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS n FROM (SELECT DISTINCT label FROM nat)) SELECT src, dst, CAST(n AS INTEGER) AS label FROM nat JOIN d USING (label)",
+    "bisim_classes_evt": f"WITH {_BISIM_EVT} SELECT pid, cls FROM r{_ROUNDS}",
+    "bisim_classes_parcel": f"WITH {_FAMILY} SELECT pid, min(pid) OVER (PARTITION BY readiness) AS cls FROM pkey",
+    "class_numbers": f"WITH {_FAMILY}, c AS (SELECT pid, min(pid) OVER (PARTITION BY readiness) AS cls FROM pkey) SELECT pid, dense_rank() OVER (ORDER BY cls) - 1 AS number FROM c",
+    "quotient_edges_parcel": f"WITH {_FAMILY}, c AS (SELECT pid, min(pid) OVER (PARTITION BY readiness) AS cls FROM pkey) SELECT a.cls AS src, label, b.cls AS dst, count(*) AS n FROM parcel JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.pid = a.cls GROUP BY ALL",
+    "split_moves": f"WITH {_SPLITS} SELECT src, CAST(1 AS BIGINT) AS upd, 'D:' || conj.p || ':' || q || ':' || qx AS dst FROM conj JOIN start USING (o) UNION ALL SELECT src, 0, 'A:' || o || ':' FROM start, (VALUES (1), (2), (4)) AS t(f) WHERE pm & f > 0 AND qm & f = 0",
+    "revival_moves": f"WITH {_SPLITS}, d AS (SELECT 'D:' || p || ':' || q || ':' || qx AS src, p, q, qx FROM conj) SELECT src, CAST(2 AS BIGINT) AS upd, 'C:' || p || ':' || unnest(string_split(q, ',')) AS dst FROM d UNION ALL SELECT src, 3, 'A:' || p || ':' || qx FROM d WHERE qx <> ''",
+    "game_size_conv": f"WITH {_GAME_CONV}, n AS (SELECT kind, x >= 0 AS has, count(*) AS n FROM pos GROUP BY ALL) SELECT 'positions ' || kind AS what, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY kind UNION ALL SELECT 'moves 0', {_OBS_CONV} UNION ALL SELECT 'moves 1', CAST(sum(n) AS BIGINT) FROM n WHERE kind = 'A' UNION ALL SELECT 'moves 2', CAST(sum(n) AS BIGINT) FROM n WHERE kind = 'D' AND has UNION ALL SELECT 'moves 4', (SELECT count(*) FROM pos WHERE kind = 'C' AND p <> x) UNION ALL SELECT 'moves 5', (SELECT count(*) FROM pos WHERE kind = 'C' AND p <> x)",
+    "wide_algebra": f"WITH {_VEC}, s AS (SELECT a.pid, {', '.join(f'greatest(a.{e}, b.{e}) AS {e}' for e in _ES)} FROM vec a JOIN vec b ON b.pid = a.pid + 1), u AS (SELECT pid, e1 + 1 AS e1, e2, e3, e4, e5, e6 + 1 AS e6 FROM s) SELECT pid, concat_ws(',', greatest(e1, e3), e2, e3, e4, greatest(e5, e4), e6) AS e FROM u",
+    "word_round_trip": f"WITH {_VEC} SELECT pid, concat_ws(',', {', '.join(_ES)}) AS energy, CAST({' + '.join(f'(CASE {e} WHEN 3 THEN 1 WHEN 0 THEN 0 ELSE {e} + 1 END) * {16**i}' for i, e in enumerate(_ES))} AS BIGINT) AS word, concat_ws(',', {', '.join(f'CASE {e} WHEN 3 THEN -1 ELSE {e} END' for e in _ES)}) AS upd, '(' || concat_ws(', ', {', '.join(f"CASE {e} WHEN 3 THEN '-' WHEN 0 THEN '0' ELSE 'm' || {e} END" for e in _ES)}) || ')' AS shown FROM vec",
+    "energy_sets": f"WITH {_VEC} SELECT a.pid, CAST(2 AS BIGINT) AS n, concat_ws(',', {', '.join(f'b.{e}' for e in _ES)}) AS first, true AS same, '[(' || replace(concat_ws(', ', {', '.join(f'a.{e}' for e in _ES)}), '3', '∞') || ')' || chr(10) || '(' || replace(concat_ws(', ', {', '.join(f'b.{e}' for e in _ES)}), '3', '∞') || ')]' AS shown FROM vec a JOIN vec b ON b.pid = a.pid + 1",
+    "spectrum_report": f"WITH {_FAMILY} " + " UNION ALL ".join(f"SELECT '{n}' AS notion, count(DISTINCT {'m' if n == 'enabledness' else _TOLD.get(n, 'readiness')}) AS classes FROM pkey" for n in E.NOTIONS),
+    "spectrum_report_nat": f"WITH {_NAT} " + " UNION ALL ".join("SELECT 'enabledness' AS notion, count(DISTINCT enabled) AS classes FROM nsets" if n == "enabledness" else f"SELECT '{n}', count(DISTINCT k) FROM {'simkey' if n in ('traces', 'simulation') else 'bikey'}" for n in E.NOTIONS),
+    "relation_traces_parcel": _parcel_named("traces"),
+    "relation_simulation_parcel": _parcel_named("simulation"),
+    "relation_failures_parcel": _parcel_named("failures"),
+    "relation_revivals_parcel": _parcel_named("revivals"),
+    "relation_readiness_parcel": _parcel_named("readiness"),
+    "bound_energies": _parcel_named("revivals"),
+    "classes_failure_traces_parcel": f"WITH {_FAMILY} SELECT min(pid) AS class_id, count(*) AS size FROM pkey GROUP BY revivals",
+    "preorders_simulation_parcel": _parcel_below("EXISTS (SELECT 1 FROM member s WHERE s.fam = x.fam AND NOT EXISTS (SELECT 1 FROM member t WHERE t.fam = y.fam AND s.m & t.m = s.m))"),
+    "preorders_failures_parcel": _parcel_below("EXISTS (SELECT 1 FROM member s WHERE s.fam = x.fam AND NOT EXISTS (SELECT 1 FROM member t WHERE t.fam = y.fam AND s.m & t.m = t.m)) OR (SELECT bit_or(m) FROM member s WHERE s.fam = x.fam) & ~(SELECT bit_or(m) FROM member t WHERE t.fam = y.fam) <> 0"),
+    "equivalents_traces_parcel": f"WITH {_FAMILY} SELECT a.cls AS p, b.cls AS q FROM prep a JOIN prep b ON a.traces = b.traces AND a.cls <> b.cls",
+    "class_of_parcel": f"WITH {_FAMILY}, r AS (SELECT pid, min(pid) OVER (PARTITION BY failures) AS c FROM pkey) SELECT pid FROM r WHERE c = (SELECT min(pid) FROM pkey)",
+    "unminimized_nat": f"WITH {_NAT} SELECT p, q FROM below WHERE p < 1000 AND q < 1000",
+    "attack_alone": f"""WITH {_GAME_CONV}, m AS (SELECT p, x FROM pos WHERE kind = 'A' AND x >= 0 ORDER BY p, x LIMIT 1),
+obs AS (SELECT pos.p, pos.x, n.nxt AS p2, CASE WHEN o.label = n.label THEN o.nxt ELSE -1 END AS x2 FROM pos JOIN q n ON n.p = pos.p LEFT JOIN q o ON o.p = pos.x WHERE pos.kind = 'A' AND pos.x >= 0 AND NOT (coalesce(o.label = n.label, false) AND o.nxt = n.nxt))
+SELECT 'out' AS way, CAST(1 AS BIGINT) AS upd FROM m UNION ALL SELECT 'out', 0 FROM obs JOIN m USING (p, x) UNION ALL SELECT 'in', 0 FROM obs JOIN m ON p2 = m.p AND x2 = m.x
+UNION ALL SELECT 'in', 4 FROM pos JOIN m USING (p, x) WHERE kind = 'C' UNION ALL SELECT 'in', 5 FROM pos JOIN m ON pos.p = m.x AND pos.x = m.p WHERE kind = 'C'""",
+    "relation_union": f"""WITH RECURSIVE {_FAMILY}, c AS MATERIALIZED (SELECT pid, min(pid) OVER (PARTITION BY failures) AS cls FROM pkey),
+l AS MATERIALIZED (SELECT DISTINCT a.cls AS u, b.cls AS v FROM c a JOIN c b ON b.pid = a.pid + 1 WHERE a.pid % 64 = 1), e AS MATERIALIZED (SELECT u, v FROM l UNION SELECT v, u FROM l),
+reach AS (SELECT DISTINCT cls AS u, cls AS v FROM c UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v) SELECT pid, class_id FROM c JOIN (SELECT u AS cls, min(v) AS class_id FROM reach GROUP BY u) USING (cls)""",
 }
+ORACLE_SQL["text_files"] = ORACLE_SQL["text_edges"]
