@@ -138,7 +138,7 @@ class _Tags:
     def end(self, at: int) -> int:
         """Where the tag whose inside begins at ``at`` has its ``>``; -1 if nowhere."""
         for starts, stops in self.vain:
-            k = bisect.bisect_right(starts, at) - 1
+            k = bisect.bisect_left(starts, at) - 1
             if k < 0 or stops[k] <= at:
                 return self.page.find(">", at)
         stop = _INSIDE.match(self.page, at).end()
