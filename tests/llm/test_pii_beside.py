@@ -32,7 +32,7 @@ def other(text, at):
             return kind, m
         if kind == "ssn" and last != "-" and after[0] != "-" and ssn_ok(digits(m)):
             return kind, m
-        if kind == "phone":
+        if kind == "phone" and digits(m)[3] >= 2:
             return kind, m
     return None
 
@@ -84,7 +84,7 @@ def new(kind, m):
         body = feistel(d[:-1], [10] * (len(d) - 1), kind)
         return refill(m, [*body, (10 - luhn([*body, 0])) % 10])
     if kind == "phone":
-        return refill(m, feistel(d, [10] * 10, kind))
+        return refill(m, walk(d, [10] * 10, kind, test_pii.phone_ok))
     if kind == "ssn":
         return refill(m, walk(d, [10] * 9, kind, ssn_ok))
     import datetime

@@ -4,9 +4,11 @@ One regular expression finds valid values and runs of digit groups; what is vali
 within its own format, so equal values get equal pseudonyms in all documents and different values different ones. The text
 between is untouched. What is found, and what makes it valid:
 
-- email: user@host.tld; the user's letters and digits are permuted, each within its kind; host and punctuation stay
+- email: user@host.tld; the user's letters and digits are permuted, each within its kind (a run of letters of one script, of one case
+  where the script lists them so); users with other letters than those of LETTERS are no candidates; host and punctuation stay
 - card: 13 to 19 digits, single spaces or hyphens between; the Luhn sum is 0; all but the check digit are permuted, which is made anew
-- phone: three, three and four digits, with a country code, brackets or separators; the ten digits are permuted
+- phone: three, three and four digits, with a country code, brackets or separators; country codes don't begin with 0 nor the second
+  three digits with 0 or 1; the ten digits are permuted among such numbers. Area codes aren't held against a list of issued ones
 - ssn: ddd-dd-dddd in an issued range; permuted among such numbers
 - ipv4: four numbers up to 255; permuted as four bytes
 - date: yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy that exists, 1900 to 2099, also before a T and digits (a time); permuted among those days
@@ -14,7 +16,8 @@ between is untouched. What is found, and what makes it valid:
   each within their kind, so each letter keeps its case
 
 The permutation is a Feistel network over positions, each with a base of its own (10 for a digit, 26 for a letter, 256 for a
-byte): the left and the right half take turns in adding, position by position, a keyed SHA-256 of the other half. Where a format
+byte): the left and the right half take turns in adding, position by position, 32 bits each of a keyed SHA-256 stream of the other
+half. The key is a value at run time and in no plan. Where a format
 has gaps (dates, ssn), it is applied until it lands in the format again (cycle walking), at most WALKS times.
 
 All kinds but cards are told by the expression alone. A run is digit groups with a blank or hyphen between, none of which starts a
@@ -23,18 +26,40 @@ longest card from there to the end of a group, and so on behind it: short number
 
 Everything is narrow: no shuffle, no join. Defined results: null stays null, with no findings; empty texts stay empty; invalid
 values stay as they are; numbers inside longer runs of letters or digits (but a date before its time) aren't candidates; ``found`` counts replaced values by
-kind (all kinds, also 0); repeated rows get equal results; input columns named ``found`` are replaced.
+kind (all kinds, also 0); repeated rows get equal results; input columns named ``found`` are replaced, all others kept, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ["email", "card", "phone", "ssn", "ipv4", "date", "secret"]
 ROUNDS, WALKS = 8, 64
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
+#: Runs of letters of one kind, first and last code point. A letter is permuted within its run.
+LETTERS = [
+    (0x61, 0x7A), (0x41, 0x5A),  # Latin
+    (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF),  # Latin-1
+    (0x100, 0x17F), (0x180, 0x24F), (0x1E00, 0x1EFF),  # further Latin letters, both cases
+    (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9),  # Greek
+    (0x388, 0x38A), (0x3AC, 0x3B0), (0x3CA, 0x3CE),  # Greek with marks
+    (0x410, 0x42F), (0x400, 0x40F), (0x430, 0x44F), (0x450, 0x45F), (0x48A, 0x4BF),  # Cyrillic
+    (0x531, 0x556), (0x561, 0x586),  # Armenian
+    (0x5D0, 0x5EA),  # Hebrew
+    (0x621, 0x63A), (0x641, 0x64A),  # Arabic
+    (0x905, 0x939),  # Devanagari
+    (0xE01, 0xE30),  # Thai
+    (0x10D0, 0x10FA),  # Georgian
+    (0x3041, 0x3096), (0x30A1, 0x30FA),  # Kana
+    (0x4E00, 0x9FEF),  # Han
+    (0xAC00, 0xD7A3),  # Hangul
+]
+_LETTER = "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in LETTERS)
+
 _LEAP = "(?:(?:19|20)(?:0[48]|[2468][048]|[13579][26])|2000)"
 _YMD = f"(?=[0-9]{{4}}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|{_LEAP}-02-29)(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}"
 _DMY = f"(?=(?:0[1-9]|[12][0-9]|3[01])[./](?:0[13578]|1[02])|(?:0[1-9]|[12][0-9]|30)[./](?:0[469]|11)|(?:0[1-9]|1[0-9]|2[0-8])[./]02|29[./]02[./]{_LEAP})[0-9]{{2}}(?:\\.[0-9]{{2}}\\.|/[0-9]{{2}}/)(?:19|20)[0-9]{{2}}"
@@ -42,11 +67,11 @@ _BYTE = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
 #: Java regular expressions; those of all kinds but card match valid values only. Bounded repeats keep the search linear in very long words.
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
+    "email": rf"(?<![\p{{L}}0-9._%+-])[{_LETTER}0-9._%+-]{{1,64}}@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*\.[A-Za-z]{{2,24}}",
     "date": rf"(?<![0-9A-Za-z./-])(?:{_YMD}|{_DMY})(?![0-9A-SU-Za-su-z]|[Tt](?![0-9]))(?![./-][0-9])",
     "ipv4": rf"(?<![0-9A-Za-z.]){_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}(?![0-9A-Za-z])(?!\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])(?!9|000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
 }
@@ -67,9 +92,10 @@ def _let(name: str, value: str, body: str) -> str:
 
 def _feistel(values: str, bases: str, key: str, kind: str) -> str:
     """The permuted array of ``values``, each in 0 to its base less 1; a base of 0 marks a position that stays."""
-    stream = f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, r, array_join(filter(s, (x, i) -> (i < p.u) != (r % 2 = 0)), ',')), 256)"
-    add = "IF((i < p.u) = (r % 2 = 0) AND p.b[i] > 0, pmod(x + cast(conv(substr(h, 1 + 4 * (i % 16), 4), 16, 10) AS INT), p.b[i]), x)"
-    step = _let("h", stream, f"transform(s, (x, i) -> {add})")
+    other = "array_join(filter(s, (x, i) -> (i < p.u) != (r % 2 = 0)), ',')"
+    blocks = f"transform(sequence(0, (size(s) - p.u - 1) div 8), n -> sha2(concat_ws('|', {key}, {_q(kind)}, r, n, {other}), 256))"
+    add = "IF((i < p.u) = (r % 2 = 0) AND p.b[i] > 0, cast(pmod(x + cast(conv(substr(h, 1 + 8 * IF(i < p.u, i, i - p.u), 8), 16, 10) AS BIGINT), p.b[i]) AS INT), x)"
+    step = _let("h", f"array_join({blocks}, '')", f"transform(s, (x, i) -> {add})")
     half = _let("v", values, f"named_struct('v', v, 'b', {bases}, 'u', size(v) div 2)")
     return _let("p", half, f"aggregate(sequence(0, {ROUNDS - 1}), p.v, (s, r) -> {step})")
 
@@ -81,8 +107,14 @@ def _walk(values: str, valid: str, key: str, kind: str, bases: str) -> str:
 
 
 _CODES = "transform(split({m}, ''), c -> ascii(c))"
-_BASE = "CASE WHEN c BETWEEN 48 AND 57 THEN 10 WHEN c BETWEEN 97 AND 122 THEN 26 WHEN c BETWEEN 65 AND 90 THEN 26 WHEN c BETWEEN 224 AND 246 THEN 23 WHEN c BETWEEN 248 AND 255 THEN 8 ELSE 0 END"
-_ZERO = "CASE WHEN c BETWEEN 48 AND 57 THEN 48 WHEN c BETWEEN 97 AND 122 THEN 97 WHEN c BETWEEN 65 AND 90 THEN 65 WHEN c BETWEEN 224 AND 246 THEN 224 WHEN c BETWEEN 248 AND 255 THEN 248 ELSE 0 END"
+_RUNS = [(0x30, 0x39), *LETTERS]
+_BASE = "CASE " + " ".join(f"WHEN c BETWEEN {a} AND {b} THEN {b - a + 1}" for a, b in _RUNS) + " ELSE 0 END"
+_ZERO = "CASE " + " ".join(f"WHEN c BETWEEN {a} AND {b} THEN {a}" for a, b in _RUNS) + " ELSE 0 END"
+
+
+def _char(code: str) -> str:
+    """SQL for the character of a code point of two bytes at most in UTF-16."""
+    return f"decode(unhex(lpad(hex({code}), 4, '0')), 'UTF-16BE')"
 
 
 def _digits(m: str) -> str:
@@ -104,6 +136,7 @@ def _bases(n: str, base: int) -> str:
     return f"array_repeat({base}, {n})"
 
 
+_PHONE_OK = "w[3] >= 2"
 _SSN_OK = "NOT (w[0] = 9 OR w[0] + w[1] + w[2] = 0 OR (w[0] = 6 AND w[1] = 6 AND w[2] = 6) OR w[3] + w[4] = 0 OR w[5] + w[6] + w[7] + w[8] = 0)"
 _DAY = "CASE WHEN {m} LIKE '____-%' THEN try_to_date({m}, 'yyyy-MM-dd') ELSE try_to_date(concat(substr({m}, 7, 4), '-', substr({m}, 4, 2), '-', substr({m}, 1, 2)), 'yyyy-MM-dd') END"
 
@@ -136,7 +169,7 @@ def _run_pseudonym(run: str, key: str) -> str:
 def pseudonym(m: str, kind: str, key: str) -> str:
     """SQL for the pseudonym of a valid value of that kind."""
     user, host = f"substring_index({m}, '@', 1)", f"concat('@', substring_index({m}, '@', -1))"
-    chars = lambda v, b: _let("e", f"named_struct('c', {_CODES.format(m=v)})", _let("e2", f"named_struct('z', transform(e.c, c -> {_ZERO}), 'o', split({v}, ''), 'n', " + _feistel(f"transform(e.c, c -> IF({_BASE} > 0, c - ({_ZERO}), 0))", f"transform(e.c, c -> {_BASE})", key, b) + ")", "array_join(transform(e2.n, (x, i) -> IF(e2.z[i] > 0, char(e2.z[i] + x), e2.o[i])), '')"))
+    chars = lambda v, b: _let("e", f"named_struct('c', {_CODES.format(m=v)})", _let("e2", f"named_struct('z', transform(e.c, c -> {_ZERO}), 'o', split({v}, ''), 'n', " + _feistel(f"transform(e.c, c -> IF({_BASE} > 0, c - ({_ZERO}), 0))", f"transform(e.c, c -> {_BASE})", key, b) + ")", f"array_join(transform(e2.n, (x, i) -> IF(e2.z[i] > 0, {_char('e2.z[i] + x')}, e2.o[i])), '')"))
     if kind == "email":
         return f"concat({chars(user, kind)}, {host})"
     if kind == "card":
@@ -145,7 +178,7 @@ def pseudonym(m: str, kind: str, key: str) -> str:
     if kind == "phone":
         last = f"slice({_digits(m)}, -10, 10)"
         head = f"slice({_digits(m)}, 1, size({_digits(m)}) - 10)"
-        return _refill(m, f"concat({head}, {_feistel(last, _bases('10', 10), key, kind)})")
+        return _refill(m, f"concat({head}, {_walk(last, _PHONE_OK, key, kind, _bases('10', 10))})")
     if kind == "ssn":
         return _refill(m, _walk(_digits(m), _SSN_OK, key, kind, _bases("9", 10)))
     if kind == "ipv4":
@@ -162,24 +195,31 @@ def pseudonym(m: str, kind: str, key: str) -> str:
     return f"IF({m} RLIKE '[a-f]' AND {m} RLIKE '[A-F]', {both}, {one})"
 
 
+def secret(spark: SparkSession, key: str) -> Column:
+    """The key as a scalar subquery over a local one-row table: plans and event logs name its column, not its value."""
+    return spark.createDataFrame(pa.table({"secret": [key]})).scalar()
+
+
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the values in ``text`` replaced, and ``found``: a struct of how many of each kind."""
     if not key:
         raise ValueError("an empty key would let anyone undo the pseudonyms")
-    rows = docs.drop("found")
-    t = f"`{text}`"
+    # the input's columns go by number, so that none has the name of one made here
+    names = [c for c in docs.columns if c.lower() != "found"]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], secret(docs.sparkSession, key).alias("secret"))
+    t = f"c{names.index(text)}"
     some = F.expr(f"{t} RLIKE '[0-9@]'")
     parts = F.when(some, F.split(F.col(t), CANDIDATE, -1))
     hits = F.when(some, F.expr(f"regexp_extract_all({t}, {_q(CANDIDATE)}, 0)"))
-    rows = rows.withColumn("__pii_parts", parts).withColumn("__pii_hits", hits)
-    rows = rows.withColumn("__pii_kinds", F.expr(f"transform(__pii_hits, m -> {kind_of('m')})"))
-    rows = rows.withColumn("__pii_runs", F.expr(f"zip_with(__pii_hits, __pii_kinds, (m, k) -> IF(k = 'card', {cards_of('m')}, NULL))"))
-    run = f"IF(size(c.cards) > 0, {_run_pseudonym('c', key)}, m)"
-    made = "CASE k " + " ".join(f"WHEN '{k}' THEN {run if k == 'card' else pseudonym('m', k, key)}" for k in KINDS) + " END"
-    both = "zip_with(__pii_kinds, __pii_runs, (k, c) -> named_struct('k', k, 'c', c))"
-    rows = rows.withColumn("__pii_new", F.when(F.size("__pii_hits") > 0, F.expr(f"zip_with(__pii_hits, {both}, (m, kc) -> {_let('k', 'kc.k', _let('c', 'kc.c', made))})")))
-    joined = F.expr("concat(array_join(zip_with(slice(__pii_parts, 1, size(__pii_parts) - 1), __pii_new, (a, b) -> concat(a, b)), ''), __pii_parts[size(__pii_parts) - 1])")
-    sums = {k: f"size(filter(__pii_kinds, k -> k = '{k}'))" for k in KINDS} | {"card": "aggregate(__pii_runs, 0, (n, c) -> n + coalesce(size(c.cards), 0))"}
+    rows = rows.withColumn("parts", parts).withColumn("hits", hits)
+    rows = rows.withColumn("kinds", F.expr(f"transform(hits, m -> {kind_of('m')})"))
+    rows = rows.withColumn("runs", F.expr(f"zip_with(hits, kinds, (m, k) -> IF(k = 'card', {cards_of('m')}, NULL))"))
+    run = f"IF(size(c.cards) > 0, {_run_pseudonym('c', 'secret')}, m)"
+    made = "CASE k " + " ".join(f"WHEN '{k}' THEN {run if k == 'card' else pseudonym('m', k, 'secret')}" for k in KINDS) + " END"
+    both = "zip_with(kinds, runs, (k, c) -> named_struct('k', k, 'c', c))"
+    rows = rows.withColumn("new", F.when(F.size("hits") > 0, F.expr(f"zip_with(hits, {both}, (m, kc) -> {_let('k', 'kc.k', _let('c', 'kc.c', made))})")))
+    joined = F.expr("concat(array_join(zip_with(slice(parts, 1, size(parts) - 1), new, (a, b) -> concat(a, b)), ''), parts[size(parts) - 1])")
+    sums = {k: f"size(filter(kinds, k -> k = '{k}'))" for k in KINDS} | {"card": "aggregate(runs, 0, (n, c) -> n + coalesce(size(c.cards), 0))"}
     count = lambda k: F.coalesce(F.expr(sums[k]), F.lit(0)).cast("long").alias(k)
-    out = [F.when(F.size("__pii_hits") > 0, joined).otherwise(F.col(t)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() != "found"]
-    return rows.select(*out, F.struct(*[F.when(F.size("__pii_hits") > 0, count(k)).otherwise(F.lit(0).cast("long")).alias(k) for k in KINDS]).alias("found"))
+    out = [(F.when(F.size("hits") > 0, joined).otherwise(F.col(t)) if f"c{i}" == t else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)]
+    return rows.select(*out, F.struct(*[F.when(F.size("hits") > 0, count(k)).otherwise(F.lit(0).cast("long")).alias(k) for k in KINDS]).alias("found"))
