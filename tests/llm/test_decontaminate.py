@@ -19,13 +19,13 @@ def brute(docs, items):
         for item, t in items:
             iw = words(t)
             size = min(10, len(iw))
-            if not size or item is None:
+            if not size:
                 continue
             wins = {tuple(iw[k : k + size]) for k in range(len(iw) - size + 1)}
             for k in range(len(w) - size + 1):
                 if tuple(w[k : k + size]) in wins:
                     hit |= set(range(k, k + size))
-                    found.add(str(item))
+                    found |= {str(item)} if item is not None else set()
         out.append((i, len(w), len(hit), tuple(sorted(found))))
     return sorted(out, key=repr)
 
@@ -60,21 +60,22 @@ def test_same_as_brute_force(spark):
     assert run(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
 
 
-def test_blocks_give_the_same(spark):
-    assert run(spark, DOCS, ITEMS, block_bytes=40) == brute(DOCS, ITEMS)
+def test_join_gives_the_same(spark):
+    assert run(spark, DOCS, ITEMS, broadcast_bytes=40) == brute(DOCS, ITEMS)
 
 
 def test_empty_tables(spark):
-    assert run(spark, [], ITEMS) == []
+    assert run(spark, [], ITEMS) == [] and run(spark, [], ITEMS, broadcast_bytes=0) == []
     assert run(spark, DOCS[:4], []) == brute(DOCS[:4], [])
 
 
 def test_clashing_columns(spark):
     d = spark.createDataFrame([(1, ITEM, "a", "b")], "doc_id long, text string, hit_items string, `x.y` string")
     b = spark.createDataFrame([(1, ITEM, "q")], "item_id long, text string, doc_id string")
-    out = D.find_contamination(d, b)
-    assert out.columns == ["doc_id", "text", "x.y", "n_words", "hit_spans", "hit_items"]
-    assert out.first().hit_items == ["1"]
+    for most in (D.BROADCAST_BYTES, 0):
+        out = D.find_contamination(d, b, broadcast_bytes=most)
+        assert out.columns == ["doc_id", "text", "x.y", "n_words", "hit_spans", "hit_items"]
+        assert out.first().hit_items == ["1"] and out.first()["x.y"] == "b"
 
 
 def test_spans_cover_every_shared_span(spark):
@@ -91,3 +92,16 @@ def test_spans_cover_every_shared_span(spark):
             parts += src[a : a + rng.randint(1, 20)]
         docs.append((k, " ".join(parts)))
     assert run(spark, docs, items) == brute(docs, items)
+    assert run(spark, docs, items, broadcast_bytes=0) == brute(docs, items)
+
+
+def test_query(spark, tmp_path):
+    import hashlib
+
+    from tracewise.llm import queries
+
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op8_decontamination(spark, str(tmp_path)).collect()]
+    want = [(i, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0) for i, n, hit, found in brute(DOCS, ITEMS)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -7,5 +7,5 @@ WANT = [(0, 14, 12, ()), (1, 40, 35, ("1",)), (2, 5, 3, ()), (3, 3, 0, ()), (4,
 
 def test_items_without_an_id_hit_words(spark):
     assert run(spark, DOCS, ITEMS) == WANT
-    assert run(spark, DOCS, ITEMS, block_bytes=40) == WANT
+    assert run(spark, DOCS, ITEMS, broadcast_bytes=40) == WANT
     assert run(spark, DOCS, [(None, ITEM)]) == [(0, 14, 12, ()), (1, 40, 25, ()), *((i, n, 0, ()) for i, n, _, _ in WANT[2:])]

@@ -5,7 +5,10 @@ fingerprint. Two texts that share k + w - 1 consecutive words share all k-grams
 fingerprint: with k = 5 and w = 6 no shared span of 10 words is missed. Where a fingerprint of a document meets one of the
 benchmark, the hit is extended to the whole 10-word windows that both have, compared by the hash of all their words (64 bits).
 
-The benchmark is read in blocks of a bounded size, each of which is broadcast; documents are never shuffled.
+A benchmark of at most BROADCAST_BYTES of text is indexed whole and broadcast; documents are not shuffled. A larger one is never
+collected: fingerprints of documents and items are joined by shuffle (items of fewer words than a window have the hash of all their
+words for one, and documents the hashes of all sequences of such a length), and each document is extended against the items it met.
+Both ways give the same rows.
 
 Defined results: null and wordless texts have no words and no hits; an item with fewer words than a window is one window, an
 item without words is ignored; repeated documents each get a row; item ids of any type are compared and sorted as strings;
@@ -21,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.llm.arrowmap import add_columns, only, text_of
-from tracewise.llm.textops import ALNUM, Words, buffers, gram_hash
+from tracewise.llm.storage import written
+from tracewise.llm.textops import ALNUM, Words, buffers, gram_hash, slices
 
 WINDOW, K = 10, 5
-BLOCK_BYTES = 32 << 20
+BROADCAST_BYTES = 32 << 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [
@@ -52,7 +56,7 @@ def _member(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Index:
-    """Fingerprints and windows of one block of benchmark items."""
+    """Fingerprints and windows of benchmark items."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW, k: int = K) -> None:
         self.window, self.k = window, k
@@ -143,30 +147,91 @@ def _scanner(index, text: str):
     return make
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
-    """Indexes of all items, each of a block of about ``block_bytes`` of text."""
-    rows = only(benchmark, item, text).where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    many = max(1, -(-size // block_bytes))
-    for b in range(many):
-        part = rows if many == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(many)) == b)
-        yield Index([(r.i, r.t) for r in part.collect()])
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _marks(rows: DataFrame, key: str, text: str, whole: bool, sizes: list[int]) -> DataFrame:
+    """(key, size, mark): the distinct fingerprints of each text. ``whole`` texts of fewer words than a window have one of their length;
+    others have those of all their sequences of ``sizes`` words."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                words = Words(*buffers(text_of(part, text)), ALNUM)
+                who, size, mark = [], [], []
+
+                def add(d, n, found):
+                    found = np.unique(found)
+                    who.append(np.full(len(found), d))
+                    size.append(np.full(len(found), n))
+                    mark.append(found)
+
+                for d in range(part.num_rows):
+                    h = words.hash[words.first[d] : words.first[d + 1]]
+                    if len(h) >= WINDOW:
+                        add(d, WINDOW, _sliding_min(gram_hash(h, K), WINDOW - K + 1))
+                    elif whole and len(h):
+                        add(d, len(h), gram_hash(h, len(h)))
+                    for n in [] if whole else sizes:
+                        if len(h) >= n:
+                            add(d, n, gram_hash(h, n))
+                if who:
+                    keys = text_of(part, key).take(pa.array(np.concatenate(who), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(size), pa.int32()), pa.array(np.concatenate(mark).view(np.int64))], names=["key", "size", "mark"])
+
+    return only(rows, key, text).mapInArrow(run, "key long, size int, mark long")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(key, item, spans) of rows (key, text, item, item_text) that share a window."""
+    schema = pa.schema([("key", pa.int64()), ("item", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = []
+                words, last = None, None
+                for r in part.to_pylist():
+                    if r["key"] != last:
+                        words, last = Words(*buffers(pa.array([r["text"]], pa.string())), ALNUM), r["key"]
+                    hit, found, _ = Index([(r["item"], r["item_text"])]).hits(words)
+                    if len(found):
+                        edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
+                        spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+                        out.append({"key": r["key"], "item": r["item"], "spans": spans})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.select("key", "text", "item", "item_text").mapInArrow(run, "key long, item string, spans array<struct<start: long, end: long>>")
+
+
+def _by_join(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the result columns, for any size of ``items`` (i, t)."""
+    names = docs.columns
+    at = f"c{names.index(text)}"
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "docs")
+    items = written(items.distinct().withColumn("key", F.monotonically_increasing_id()), "items")
+    marks = written(_marks(items, "key", "t", True, []), "item-marks")
+    sizes = [r.size for r in marks.where(F.col("size") < WINDOW).select("size").distinct().collect()]  # fewer than WINDOW
+    wanted = marks.withColumnRenamed("key", "item_key")
+    pairs = written(_marks(rows, "key", at, False, sorted(sizes)).join(wanted, ["size", "mark"]).select("key", "item_key").distinct(), "pairs")
+    met = pairs.join(rows.select("key", F.col(at).alias("text")), "key").join(items.select(F.col("key").alias("item_key"), F.col("i").alias("item"), F.col("t").alias("item_text")), "item_key")
+    found = _met(met).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.array_sort(F.collect_set("item")).alias("hit_items"))
+    found = written(found.withColumn("hit_spans", _merged("hit_spans")), "hits")
+
+    def count():
+        return lambda part: [np.diff(Words(*buffers(text_of(part, at)), ALNUM).first)]
+
+    none = F.array().cast(SPANS)
+    out = add_columns(rows.join(found, "key", "left"), at, [FIELDS[0]], count)
+    kept = [(k, c) for k, c in enumerate(names) if c.lower() not in {f.name for f in FIELDS}]
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in kept], "n_words", F.coalesce("hit_spans", none).alias("hit_spans"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with n_words, hit_spans (word positions, end excluded) and hit_items (sorted)."""
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, item, item_text, block_bytes)
-    out = add_columns(docs, text, FIELDS, _scanner(spark.sparkContext.broadcast(next(blocks)), text))
-    for k, index in enumerate(blocks):
-        more = [T.StructField(f"__{f.name}_{k}", f.dataType) for f in FIELDS]
-        out = add_columns(out, text, more, _scanner(spark.sparkContext.broadcast(index), text))
-        out = (
-            out.withColumn("hit_spans", F.concat("hit_spans", f"__hit_spans_{k}"))
-            .withColumn("hit_items", F.array_sort(F.array_union("hit_items", f"__hit_items_{k}")))
-            .drop(*[f.name for f in more])
-        )
-    return out.withColumn("hit_spans", _merged("hit_spans"))
+    items = only(benchmark, item, item_text).where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))
+    if (items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) > broadcast_bytes:
+        return _by_join(docs, items, text)
+    index = Index([(r.i, r.t) for r in items.collect()])
+    return add_columns(docs, text, FIELDS, _scanner(docs.sparkSession.sparkContext.broadcast(index), text))
 
 
 def _merged(spans: str):

@@ -6,7 +6,7 @@ estimated by expectation-maximisation (Dawid and Skene) without any true label:
 A linear scorer over hashed features (byte trigrams and word events, as means over the whole text) is then trained on weak
 labels, so it also rates what the labellers leave open.
 
-The scorer is fitted on a bounded sample: about TRAIN_ROWS texts by hash. Vote counts, posteriors and scores cover all rows and
+The scorer is fitted on a bounded sample: about TRAIN_ROWS texts by hash, or as many as hold TRAIN_BYTES. Vote counts, posteriors and scores cover all rows and
 whole texts.
 
 Defined results: null, empty and wordless texts get no votes, posterior null, score 0 and are not kept; if no text has a vote,
@@ -27,6 +27,7 @@ from tracewise.llm.storage import written
 from tracewise.llm.textops import SPACED, Words, buffers, mix, slices
 
 TRAIN_ROWS = 4096
+TRAIN_BYTES = 16 << 20
 SLOTS = 1 << 16
 EVENTS = 8
 
@@ -223,7 +224,9 @@ class Model:
         return t, self.labels.posterior(t.votes()), score
 
 
-def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """The scorer learns from about ``train_rows`` texts, fewer if they'd hold more than about ``train_bytes``; a byte makes one slot of
+    12 bytes at most, and a text no more slots than there are. The label model counts the votes on all texts."""
     rows = only(docs, text)
 
     def count(batches):
@@ -235,7 +238,8 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
     got = rows.mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
     labels = fit_labels(unpattern(np.array([r.p for r in got], np.int64)), np.array([r.n for r in got], np.int64))
     total = sum(r.n for r in got)
-    every = max(1, total // train_rows)
+    size = rows.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    every = max(1, total // train_rows, size // train_bytes)
 
     def sample(batches):
         for batch in batches:

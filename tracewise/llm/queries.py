@@ -6,11 +6,13 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, packing, pii, quality, sql
+from tracewise.llm.storage import written
+from tracewise.plans.iterate import ranked
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,15 +64,16 @@ NESTED = "\\### Assistant: </turn> ok"
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation is a tree without forks: the parent of a turn is the turn before it."""
+    """Every conversation is a tree without forks: the parent of a turn is the turn before it. Turns are numbered over all conversations
+    at once, so a conversation may span tasks."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = said.unionByName(spark.createDataFrame([(-7, 0, "user", NESTED), (-7, 1, "assistant", NESTED)], "conv_id long, turn long, role string, text string"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    said = said.withColumn("place", place).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
-    key = lambda n: F.concat_ws(":", "conv", n.cast("string"))
-    nodes = said.select(key(F.col("place")).alias("id"), F.when(F.col("place") > 1, key(F.col("place") - 1)).alias("parent"), "role", "text")
+    said = written(ranked(said.withColumn("order", F.struct("conv_id", "turn", "role", "text")), "order", "id").drop("order", "turn"), "turns")
+    first = said.groupBy("conv_id").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("first"))
+    nodes = said.join(first, "id", "left").select("id", F.when(F.col("first").isNull(), F.col("id") - 1).alias("parent"), "role", "text")
     made = chat.format_trees(nodes, branches=1)
-    return made.select(F.split("root", ":")[0].try_cast("long").alias("conv_id"), "formatted", "loss").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    made = made.join(said.select(F.col("id").alias("root"), "conv_id"), "root")
+    return made.select("conv_id", "formatted", "loss").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
