@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney language model of order 2, counted in Spark and memory-mapped by its scorers.
+"""Interpolated modified Kneser-Ney language model of order 2 or 3, counted in Spark and memory-mapped by its scorers.
 
 Counting moves sorted arrays, not rows: a task counts the hashes of its words (then of its word pairs) and sends each shard of
 the hash range one sorted array with counts. A shard merges what it gets and writes a sorted hash array to the shared folder,
@@ -14,6 +14,14 @@ second word the number of different words before it. Discounts come from the cou
 
 and p1 alone after a word that was never a context. An unknown word has the share of one of V + 1 words.
 
+With order 3 the same step is taken once more. A triple of words is the pair of the ids of its two pairs; c(vw) above becomes the
+number of different words before the pair (its count where it begins a text), and
+
+    p(w|uv) = (c(uvw) - D(c(uvw))) / c(uv.) + (D1 N1(uv) + D2 N2(uv) + D3 N3(uv)) / c(uv.) * p(w|v)
+
+with p(w|v) alone for the first token and after a pair that was never a context. Ids take 32 bits: more different words, or with order
+3 more different pairs, are an error.
+
 Texts are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` and an end, which is a token. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are the end alone; no training rows at all leave 1 / (V + 1) = 1 for every token, so that
@@ -25,6 +33,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.llm.arrowmap import add_columns, only, text_of
-from tracewise.llm.storage import mounted, scratch
+from tracewise.llm.storage import mounted, scratch, written
 from tracewise.llm.textops import Words, buffers, mix, slices
 
 SHARD_BYTES = 16 << 20
@@ -137,18 +147,31 @@ def _collected(batches):
     return rows
 
 
-class Shards:
-    """Sorted hash arrays of all shards, mapped when first needed; ``find`` gives the index over all of them."""
+#: Arrays that a scorer keeps mapped; those used longest ago are let go. The usual limit of a process is about 65,000.
+MAPS = 4096
+
+
+class Maps:
+    """Arrays of a folder, mapped when first needed."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.open = folder, OrderedDict()
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self.open:
+            while len(self.open) >= MAPS:
+                self.open.popitem(last=False)
+            self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+        self.open.move_to_end(name)
+        return self.open[name]
 
-    def __init__(self, folder: str, name: str, sizes: list[int], bits: int, beside: list[str]) -> None:
-        self.folder, self.name, self.sizes, self.bits, self.beside = folder, name, sizes, bits, beside
-        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.maps: dict = {}
 
-    def _open(self, s: int, name: str) -> np.ndarray:
-        if (s, name) not in self.maps:
-            self.maps[s, name] = np.load(f"{self.folder}/{name}-{s}.npy", mmap_mode="r")
-        return self.maps[s, name]
+class Shards:
+    """Sorted hash arrays of all shards; ``find`` gives the index over all of them."""
+
+    def __init__(self, maps: Maps, name: str, sizes: list[int], bits: int, beside: list[str]) -> None:
+        self.maps, self.name, self.sizes, self.bits, self.beside = maps, name, sizes, bits, beside
+        self.base = _base(sizes)
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """For sorted distinct hashes: whether each is there, its index, and the values beside it (0 if it isn't)."""
@@ -159,34 +182,79 @@ class Shards:
         for s in np.flatnonzero(ends > cuts).tolist():
             if not self.sizes[s]:
                 continue
-            keys, w = self._open(s, self.name), wanted[cuts[s] : ends[s]]
+            keys, w = self.maps[f"{self.name}-{s}"], wanted[cuts[s] : ends[s]]
             i = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
             ok = keys[i] == w
             known[cuts[s] : ends[s]], at[cuts[s] : ends[s]] = ok, i + self.base[s]
             for v, name in zip(values, self.beside, strict=True):
-                v[cuts[s] : ends[s]] = np.where(ok, self._open(s, name)[i], 0)
+                v[cuts[s] : ends[s]] = np.where(ok, self.maps[f"{name}-{s}"][i], 0)
         return known, at, values
 
 
+def _base(sizes) -> np.ndarray:
+    """The first id of each range, and the end."""
+    return np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+
 class Ranges:
-    """Numbers by word id, in arrays of ``width`` ids."""
+    """Facts by id (different ids before, as a context the sum of counts and how many are 1, 2, more), in arrays of ranges of ids."""
 
-    def __init__(self, folder: str, name: str, width: int) -> None:
-        self.folder, self.name, self.width, self.maps = folder, name, width, {}
+    def __init__(self, maps: Maps, name: str, base: np.ndarray) -> None:
+        self.maps, self.name, self.base = maps, name, base
 
     def take(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (count before, pairs' sum, N1, N2, N3) of sorted ids."""
+        """Rows of sorted ids."""
         out = np.zeros((len(ids), 5), np.int64)
-        which = ids // self.width
-        cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(ids) else []
-        for a, b in zip(cuts, np.append(cuts[1:], len(ids)) if len(ids) else [], strict=True):
-            s = int(which[a])
-            if s not in self.maps:
-                self.maps[s] = np.load(f"{self.folder}/{self.name}-{s}.npy", mmap_mode="r")
-            out[a:b] = self.maps[s][ids[a:b] - s * self.width]
+        cuts = np.searchsorted(ids, self.base)
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            a, b = cuts[s], cuts[s + 1]
+            out[a:b] = self.maps[f"{self.name}-{s}"][ids[a:b] - self.base[s]]
         return out
 
 
+def _count_facts(keys: np.ndarray, counts: np.ndarray, base: np.ndarray, stats: dict):
+    """Rows of _FACTS for the ranges of ids, from keys (mixed pairs of ids) and their counts; ``stats`` goes with the first."""
+    both = unmix(keys)
+    left, right = (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype(np.int64)
+    ids, n = np.concatenate([left, right]), len(left)
+    row = np.zeros((2 * n, 5), np.int64)
+    row[n:, 0] = 1
+    row[:n, 1] = counts
+    row[np.arange(n), 2 + np.minimum(counts, 3).astype(np.int64) - 1] = 1
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if n else np.zeros(0, np.int64)
+    ids, row = ids[first], np.add.reduceat(row, first) if n else row
+    out = [{"shard": -1, **stats, **{f"n{k}": int((counts == k).sum()) for k in range(1, 5)}}]
+    cuts = np.searchsorted(ids, base)
+    for r in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        a, b = cuts[r], cuts[r + 1]
+        kind = np.uint16 if row[a:b].max() < 1 << 16 else np.int64
+        out.append({"shard": r, "ids": (ids[a:b] - base[r]).astype(np.uint32).tobytes(), "facts": row[a:b].astype(kind).tobytes(), "n": 2 if kind is np.uint16 else 8})
+        if len(out) == 64:
+            yield pa.RecordBatch.from_pylist(out, schema=_FACTS)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_FACTS)
+
+
+_FACTS = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("facts", pa.binary()), ("from_shard", pa.int32()), ("n", pa.int64())] + [(f"n{k}", pa.int64()) for k in range(1, 5)])
+_FACTS_SQL = "shard int, ids binary, facts binary, from_shard int, n long, n1 long, n2 long, n3 long, n4 long"
+
+
+def _summed(rows: list[dict], size: int) -> np.ndarray:
+    """The facts of a range of ``size`` ids."""
+    table = np.zeros((size, 5), np.int64)
+    for r in rows:
+        if r["ids"]:
+            table[np.frombuffer(r["ids"], np.uint32)] += np.frombuffer(r["facts"], np.uint16 if r["n"] == 2 else np.int64).reshape(-1, 5)
+    return table
+
+
+def _small(table: np.ndarray) -> np.ndarray:
+    return table.astype(np.uint32) if not table.size or table.max() < 1 << 32 else table
+
+
 def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens with the ends, the first token of each text, and how many each has."""
     many = np.diff(words.first) + 1
@@ -211,23 +279,39 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d if (d[1:] > 0).all() and (d[1:] <= [1, 2, 3]).all() else fixed
 
 
+@dataclass
 class Model:
     """What a scorer needs besides the mapped arrays; small enough for any closure."""
 
-    def __init__(self, folder: str, bits: int, vocab: list[int], pairs: list[int], width: int, tokens: int, n_pairs: int, d1: np.ndarray, d2: np.ndarray, discounted: float) -> None:
-        self.folder, self.bits, self.vocab, self.pairs, self.width = folder, bits, vocab, pairs, width
-        self.tokens, self.words, self.n_pairs, self.d1, self.d2, self.discounted = tokens, sum(vocab), n_pairs, d1, d2, discounted
-
-    def opened(self) -> "Scorer":
+    folder: str
+    order: int
+    bits: int
+    vocab: list[int]
+    pairs: list[int]
+    triples: list[int]
+    width: int
+    tokens: int
+    d1: np.ndarray
+    d2: np.ndarray
+    d3: np.ndarray
+    discounted: float
+
+    @property
+    def words(self) -> int:
+        return sum(self.vocab)
+
+    def opened(self) -> Scorer:
         return Scorer(self)
 
 
 class Scorer:
     def __init__(self, m: Model) -> None:
-        self.m = m
-        self.vocab = Shards(m.folder, "word", m.vocab, m.bits, ["count"])
-        self.pairs = Shards(m.folder, "pair", m.pairs, m.bits, ["pair-count"])
-        self.ranges = Ranges(m.folder, "context", m.width)
+        self.m, maps = m, Maps(m.folder)
+        self.vocab = Shards(maps, "word", m.vocab, m.bits, ["count"])
+        self.pairs = Shards(maps, "pair", m.pairs, m.bits, ["pair-count"] if m.order == 2 else [])
+        self.triples = Shards(maps, "triple", m.triples, m.bits, ["triple-count"])
+        self.of_word = Ranges(maps, "context", np.arange(len(m.vocab) + 1) * m.width)
+        self.of_pair = Ranges(maps, "pair-context", self.pairs.base)
 
     def __call__(self, words: Words) -> list[np.ndarray]:
         m = self.m
@@ -235,34 +319,57 @@ class Scorer:
         distinct, back = np.unique(hashes, return_inverse=True)
         known, ids, (count,) = self.vocab.find(distinct)
         base = np.log10((count + 1) / (m.tokens + m.words + 1))[back]
-        if m.n_pairs:
-            facts = np.zeros((len(distinct) + 1, 5), np.int64)
-            facts[:-1][known] = self.ranges.take(ids[known])
-            facts[-1] = self.ranges.take(np.array([m.words]))[0]
-            before = facts[:-1, 0]
-            p1 = (np.maximum(before - m.d1[np.minimum(before, 3)], 0) + m.discounted / (m.words + 1)) / m.n_pairs
-            prev = np.empty_like(back)
-            prev[1:] = back[:-1]
-            prev[first] = len(distinct)
-            total = facts[prev, 1]
-            id_of, is_known = np.append(np.where(known, ids, 0), m.words), np.append(known, True)
-            asked = (total > 0) & known[back]
-            c = np.zeros(len(back), np.int64)
-            keys = mix((id_of[prev[asked]].astype(U64) << U64(32)) | ids[back[asked]].astype(U64))
-            pair, pback = np.unique(keys, return_inverse=True)
-            c[asked] = self.pairs.find(pair)[2][0][pback]
-            left = facts[prev, 2:5] @ m.d2[1:]
-            p = p1[back]
-            some = (total > 0) & is_known[prev]
-            p[some] = (np.maximum(c[some] - m.d2[np.minimum(c[some], 3)], 0) + left[some] * p[some]) / total[some]
-            score = np.log10(p)
-        else:
-            score = np.zeros(len(back))
+        score = np.log10(self._chances(distinct, back, known, ids, first)) if sum(m.pairs) else np.zeros(len(back))
         return [many, np.add.reduceat(known[back].astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(score, first)]
 
-
-def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
+    def _chances(self, distinct: np.ndarray, back: np.ndarray, known: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The probability of each token."""
+        m = self.m
+        facts = np.zeros((len(distinct) + 1, 5), np.int64)
+        facts[:-1][known] = self.of_word.take(ids[known])
+        facts[-1] = self.of_word.take(np.array([m.words]))[0]
+        before = facts[:-1, 0]
+        p = ((np.maximum(before - m.d1[np.minimum(before, 3)], 0) + m.discounted / (m.words + 1)) / sum(m.pairs))[back]
+        prev = np.empty_like(back)
+        prev[1:] = back[:-1]
+        prev[first] = len(distinct)
+        id_of, total = np.append(np.where(known, ids, 0), m.words), facts[prev, 1]
+        asked = (total > 0) & known[back]
+        keys = mix((id_of[prev[asked]].astype(U64) << U64(32)) | ids[back[asked]].astype(U64))
+        pair, pback = np.unique(keys, return_inverse=True)
+        found, pid, beside = self.pairs.find(pair)
+        of_pair = np.zeros((len(pair) + 1, 5), np.int64)
+        if m.order == 2:
+            of_pair[:-1, 0] = beside[0]
+        else:
+            of_pair[:-1][found] = self.of_pair.take(pid[found])
+        here = np.full(len(back), len(pair))
+        here[asked] = np.where(found, np.arange(len(pair)), len(pair))[pback]
+        p = _with_context(p, of_pair[here, 0], facts[prev], m.d2)
+        if m.order == 2:
+            return p
+        there = np.full(len(back), len(pair))
+        there[1:] = here[:-1]
+        there[first] = len(pair)
+        both = (there < len(pair)) & (here < len(pair))
+        pid = np.append(pid, 0).astype(U64)
+        triple, tback = np.unique(mix((pid[there[both]] << U64(32)) | pid[here[both]]), return_inverse=True)
+        c = np.zeros(len(back), np.int64)
+        c[both] = self.triples.find(triple)[2][0][tback]
+        return _with_context(p, c, of_pair[there], m.d3)
+
+
+def _with_context(p: np.ndarray, c: np.ndarray, context: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Chances from counts after contexts and the chances ``p`` without them; these alone where a context has no counts."""
+    total = context[:, 1]
+    made = (np.maximum(c - d[np.minimum(c, 3)], 0) + context[:, 2:5] @ d[1:] * p) / np.maximum(total, 1)
+    return np.where(total > 0, made, p)
+
+
+def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, order: int = 2) -> Model:
     """Counts all of ``docs``, whole texts, and writes the arrays to the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     folder = mounted(scratch(spark, "lm"))
     os.makedirs(folder, exist_ok=True)
@@ -270,85 +377,105 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     bits = max(3, int(np.ceil(np.log2(max(1, size / shard_bytes)))))
     shards = 1 << bits
 
+    def merged(name: tuple[str, str], keys_of) -> list[tuple[int, int]]:
+        """Writes the sorted keys and counts of each shard; how many keys and the sum of counts."""
+
+        def merge(batches):
+            for s, rows in _collected(batches).items():
+                keys, counts = _arrays(rows)
+                _save(folder, f"{name[0]}-{s}", keys)
+                _save(folder, f"{name[1]}-{s}", _small(counts) if name[0] != "word" else counts)
+                yield pa.RecordBatch.from_pylist([{"shard": s, "n": len(keys), "total": int(counts.sum())}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
+
+        got = {r.shard: (r.n, r.total) for r in _by_shard(_counted(docs, text, bits, keys_of), shards).mapInArrow(merge, "shard int, n long, total long").collect()}
+        return [got.get(s, (0, 0)) for s in range(shards)]
+
     def word_keys():
         return lambda part: _tokens(Words(*buffers(text_of(part, text))))[0]
 
-    def merge_words(batches):
-        for s, rows in _collected(batches).items():
-            keys, counts = _arrays(rows)
-            _save(folder, f"word-{s}", keys)
-            _save(folder, f"count-{s}", counts)
-            yield pa.RecordBatch.from_pylist([{"shard": s, "n": len(keys), "total": int(counts.sum())}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
-
-    got = _by_shard(_counted(docs, text, bits, word_keys), shards).mapInArrow(merge_words, "shard int, n long, total long").collect()
-    sizes = {r.shard: r.n for r in got}
-    vocab = [sizes.get(s, 0) for s in range(shards)]
-    tokens, words = sum(r.total for r in got), sum(vocab)
+    got = merged(("word", "count"), word_keys)
+    vocab, tokens = [n for n, _ in got], sum(t for _, t in got)
+    words = sum(vocab)
     if words >= (1 << 32) - 1:
         raise ValueError("more than 2^32 different words")
     width = max(1, -(-(words + 1) // shards))
+    word_base = np.arange(shards + 1) * width
 
-    def pair_keys():
-        found = Shards(folder, "word", vocab, bits, [])
-
-        def keys(part):
-            hashes, first, _ = _tokens(Words(*buffers(text_of(part, text))))
-            distinct, back = np.unique(hashes, return_inverse=True)
-            ids = found.find(distinct)[1].astype(U64)[back]
-            prev = np.empty_like(ids)
-            prev[1:] = ids[:-1]
-            prev[first] = words
-            return mix((prev << U64(32)) | ids)
-
-        return keys
-
-    facts = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("facts", pa.binary()), ("pair_shard", pa.int32()), ("n", pa.int64())] + [(f"n{k}", pa.int64()) for k in range(1, 5)])
+    def pair_keys_of(part, found):
+        hashes, first, _ = _tokens(Words(*buffers(text_of(part, text))))
+        distinct, back = np.unique(hashes, return_inverse=True)
+        ids = found.find(distinct)[1].astype(U64)[back]
+        prev = np.empty_like(ids)
+        prev[1:] = ids[:-1]
+        prev[first] = words
+        return mix((prev << U64(32)) | ids), first
 
-    def merge_pairs(batches):
-        for s, rows in _collected(batches).items():
-            keys, counts = _arrays(rows)
-            _save(folder, f"pair-{s}", keys)
-            _save(folder, f"pair-count-{s}", counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts)
-            both = unmix(keys)
-            left, right = (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype(np.int64)
-            ids = np.concatenate([left, right])
-            row = np.zeros((len(ids), 5), np.int64)
-            n = len(left)
-            row[n:, 0] = 1
-            row[:n, 1] = counts
-            row[np.arange(n), 2 + np.minimum(counts, 3).astype(np.int64) - 1] = 1
-            order = np.argsort(ids, kind="stable")
-            ids, row = ids[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            ids, row = ids[first], np.add.reduceat(row, first)
-            of_counts = {f"n{k}": int((counts == k).sum()) for k in range(1, 5)}
-            out = [{"shard": -1, "pair_shard": s, "n": n, **of_counts}]
-            cuts = np.searchsorted(ids, np.arange(shards) * width)
-            for r, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(ids)), strict=True)):
-                if b > a:
-                    kind = np.uint16 if row[a:b].max() < 1 << 16 else np.int64
-                    out.append({"shard": r, "ids": (ids[a:b] - r * width).astype(np.uint32).tobytes(), "facts": row[a:b].astype(kind).tobytes(), "n": 2 if kind is np.uint16 else 8})
-                if len(out) == 64:
-                    yield pa.RecordBatch.from_pylist(out, schema=facts)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=facts)
-
-    from tracewise.llm.storage import written
-
-    parts = written(_by_shard(_counted(docs, text, bits, pair_keys), shards).mapInArrow(merge_pairs, "shard int, ids binary, facts binary, pair_shard int, n long, n1 long, n2 long, n3 long, n4 long"), "lm-facts")
-    got = parts.where("shard < 0").select("pair_shard", "n", "n1", "n2", "n3", "n4").collect()
-    sizes = {r.pair_shard: r.n for r in got}
-    pairs = [sizes.get(s, 0) for s in range(shards)]
-    d2 = discounts([sum(r[f"n{k}"] for r in got) for k in range(1, 5)])
+    def pair_keys():
+        found = Shards(Maps(folder), "word", vocab, bits, [])
+        return lambda part: pair_keys_of(part, found)[0]
+
+    if order == 2:
+
+        def merge_pairs(batches):
+            for s, rows in _collected(batches).items():
+                keys, counts = _arrays(rows)
+                _save(folder, f"pair-{s}", keys)
+                _save(folder, f"pair-count-{s}", _small(counts))
+                yield from _count_facts(keys, counts, word_base, {"from_shard": s, "n": len(keys)})
+
+        parts = written(_by_shard(_counted(docs, text, bits, pair_keys), shards).mapInArrow(merge_pairs, _FACTS_SQL), "lm-facts")
+        triples, d3 = [], np.zeros(4)
+    else:
+        pairs = [n for n, _ in merged(("pair", "pair-count"), pair_keys)]
+        if sum(pairs) >= (1 << 32) - 1:
+            raise ValueError("more than 2^32 different pairs of words; order 2 takes them")
+        pair_base = _base(pairs)
+
+        def triple_keys():
+            maps = Maps(folder)
+            found, at = Shards(maps, "word", vocab, bits, []), Shards(maps, "pair", pairs, bits, [])
+
+            def keys(part):
+                made, first = pair_keys_of(part, found)
+                distinct, back = np.unique(made, return_inverse=True)
+                ids = at.find(distinct)[1].astype(U64)[back]
+                inner = np.ones(len(ids), bool)
+                inner[first] = False
+                inner = np.flatnonzero(inner)
+                return mix((ids[inner - 1] << U64(32)) | ids[inner])
+
+            return keys
+
+        def merge_triples(batches):
+            for s, rows in _collected(batches).items():
+                keys, counts = _arrays(rows)
+                _save(folder, f"triple-{s}", keys)
+                _save(folder, f"triple-count-{s}", _small(counts))
+                yield from _count_facts(keys, counts, pair_base, {"from_shard": s, "n": len(keys)})
+
+        of_triples = written(_by_shard(_counted(docs, text, bits, triple_keys), shards).mapInArrow(merge_triples, _FACTS_SQL), "lm-triple-facts")
+        triples, d3 = _level(of_triples, shards)
+
+        def merge_pair_facts(batches):
+            for s, rows in _collected(batches).items():
+                if not pairs[s]:
+                    continue
+                keys, table = np.load(f"{folder}/pair-{s}.npy"), _summed(rows, pairs[s])
+                begins = (unmix(keys) >> U64(32)) == U64(words)
+                table[begins, 0] = np.load(f"{folder}/pair-count-{s}.npy")[begins]
+                _save(folder, f"pair-context-{s}", _small(table))
+                yield from _count_facts(keys, table[:, 0], word_base, {"from_shard": s, "n": len(keys)})
+
+        # every range of pairs has a row, also one whose pairs are in no triple
+        some = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("facts"), F.lit(0).cast("long").alias("n"))
+        some = some.unionByName(of_triples.where("shard >= 0").select("shard", "ids", "facts", "n"))
+        parts = written(_by_shard(some, shards).mapInArrow(merge_pair_facts, _FACTS_SQL), "lm-facts")
+    pairs, d2 = _level(parts, shards)
 
     def merge_facts(batches):
         for s, rows in _collected(batches).items():
-            table = np.zeros((width, 5), np.int64)
-            for r in rows:
-                ids = np.frombuffer(r["ids"], np.uint32)
-                table[ids] += np.frombuffer(r["facts"], np.uint16 if r["n"] == 2 else np.int64).reshape(-1, 5)
-            _save(folder, f"context-{s}", table.astype(np.uint32) if table.max() < 1 << 32 else table)
+            table = _summed(rows, width)
+            _save(folder, f"context-{s}", _small(table))
             b = table[:, 0]
             out = {f"n{k}": int((b == k).sum()) for k in range(1, 5)} | {"more": int((b >= 3).sum())}
             yield pa.RecordBatch.from_pylist([out], schema=pa.schema([(f, pa.int64()) for f in ("n1", "n2", "n3", "n4", "more")]))
@@ -357,7 +484,14 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     n = [sum(r[f"n{k}"] for r in got) for k in range(1, 5)]
     d1 = discounts(n)
     discounted = float(d1[1] * n[0] + d1[2] * n[1] + d1[3] * sum(r.more for r in got))
-    return Model(folder, bits, vocab, pairs, width, tokens, sum(pairs), d1, d2, discounted)
+    return Model(folder, order, bits, vocab, pairs, triples, width, tokens, d1, d2, d3, discounted)
+
+
+def _level(facts: DataFrame, shards: int) -> tuple[list[int], np.ndarray]:
+    """How many keys each shard has, and the discounts of their counts: a row for each shard."""
+    got = facts.where("shard < 0").select("from_shard", "n", "n1", "n2", "n3", "n4").collect()
+    sizes = {r.from_shard: r.n for r in got}
+    return [sizes.get(s, 0) for s in range(shards)], discounts([sum(r[f"n{k}"] for r in got) for k in range(1, 5)])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
