@@ -74,6 +74,17 @@ def test_unmix():
     assert (M.unmix(mix(x)) == x).all()
 
 
+def test_packing(tmp_path):
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 9), (1, 1 << 63), (2, 300), (1000, 1 << 64), (5000, 70000), (300, 256)):
+        x = rng.integers(0, top, n, dtype=np.uint64, endpoint=top < 1 << 64)
+        assert (M.widened(M.narrow(x)) == x).all() and (M.unpacked(M.packed(np.sort(x))) == np.sort(x)).all()
+    for values in (np.array([0, 255, 256, 7, 1 << 40]), np.array([[1, 2], [256, 0], [3, 300], [0, 0]]), np.zeros(0, np.int64), np.array([1, 2])):
+        M._save_values(str(tmp_path), "v", values)
+        at = np.arange(len(values))[::1]
+        assert (M.Maps(str(tmp_path)).values("v", at) == values).all()
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_same_as_brute_force(spark, order, monkeypatch):
     train = spark.createDataFrame([(t, "x") for t in TRAIN], "text string, score string").repartition(3)

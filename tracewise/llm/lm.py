@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney language model of order 2 or 3, counted in Spark and memory-mapped by its scorers.
 
 Counting moves sorted arrays, not rows: a task counts the hashes of its words (then of its word pairs) and sends each shard of
-the hash range one sorted array with counts. A shard merges what it gets and writes a sorted hash array to the shared folder,
+the hash range one sorted array with counts, as differences in as few bytes as they take. A shard merges what it gets and writes a sorted hash array to the shared folder,
 so that all shards in order are one sorted array. The index of a word's hash in it is the word's id; a pair's hash is a
 bijection of its two ids, so it tells them again. Hashes spread frequent words' pairs over all shards, and each array holds a
 distinct key once per task, so no frequent word makes a large shard. The number of shards follows the corpus.
@@ -58,6 +58,31 @@ FIELDS = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("n_known
 _COUNTED = "shard int, once binary, more binary, counts binary"
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers in as many bytes each as the largest takes; that many in the first byte."""
+    x = np.ascontiguousarray(x, U64).reshape(-1)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    out = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    return out.view(U64).reshape(-1)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Ascending numbers as the first and the narrow differences."""
+    x = np.ascontiguousarray(x, U64)
+    return x[:1].tobytes() + (narrow(np.diff(x)) if len(x) else b"")
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, U64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, U64, 1), widened(raw[8:])]), dtype=U64)
+
+
 def unmix(x: np.ndarray) -> np.ndarray:
     """Inverse of mix(x)."""
     x = x ^ (x >> U64(31)) ^ (x >> U64(62))
@@ -78,11 +103,9 @@ def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _arrays(rows) -> tuple[np.ndarray, np.ndarray]:
-    once = [np.frombuffer(r["once"], U64) for r in rows]
-    more = [np.frombuffer(r["more"], U64) for r in rows]
-    n = [np.frombuffer(r["counts"], np.uint64) for r in rows]
+    once, more, n = ([read(r[c]) for r in rows] for c, read in (("once", unpacked), ("more", unpacked), ("counts", widened)))
     keys = np.concatenate([*once, *more]) if rows else np.zeros(0, U64)
-    counts = np.concatenate([np.ones(sum(map(len, once)), np.uint64), *n]) if rows else np.zeros(0, np.uint64)
+    counts = np.concatenate([np.ones(sum(map(len, once)), U64), *n]) if rows else np.zeros(0, U64)
     return _sum_by_key(keys, counts)
 
 
@@ -93,7 +116,7 @@ def _shares(keys: np.ndarray, counts: np.ndarray, bits: int):
     for s in np.flatnonzero(ends > cuts).tolist():
         k, c = keys[cuts[s] : ends[s]], counts[cuts[s] : ends[s]]
         one = c == 1
-        yield {"shard": s, "once": k[one].tobytes(), "more": k[~one].tobytes(), "counts": c[~one].astype(np.uint64).tobytes()}
+        yield {"shard": s, "once": packed(k[one]), "more": packed(k[~one]), "counts": narrow(c[~one])}
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -138,6 +161,13 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
+def _save_values(folder: str, name: str, values: np.ndarray) -> None:
+    """Numbers or rows of numbers as bytes, and those with any of more than a byte beside them, with their places."""
+    large = np.flatnonzero((values > 255).reshape(len(values), -1).any(1))
+    _save(folder, name, np.minimum(values, 255).astype(np.uint8))
+    _save(folder, f"{name}-large", np.concatenate([large[:, None], values[large].reshape(len(large), -1).astype(np.int64)], axis=1))
+
+
 def _collected(batches):
     """All rows of a task, by shard."""
     rows: dict[int, list[dict]] = {}
@@ -165,6 +195,15 @@ class Maps:
         self.open.move_to_end(name)
         return self.open[name]
 
+    def values(self, name: str, at: np.ndarray) -> np.ndarray:
+        """Numbers or rows of numbers of _save_values."""
+        out, large = self[name][at].astype(np.int64), self[f"{name}-large"]
+        if len(large):
+            k = np.minimum(np.searchsorted(large[:, 0], at), len(large) - 1)
+            hit = np.flatnonzero(large[k, 0] == at)
+            out[hit] = large[k[hit], 1:].reshape(len(hit), *out.shape[1:])
+        return out
+
 
 class Shards:
     """Sorted hash arrays of all shards; ``find`` gives the index over all of them."""
@@ -187,7 +226,7 @@ class Shards:
             ok = keys[i] == w
             known[cuts[s] : ends[s]], at[cuts[s] : ends[s]] = ok, i + self.base[s]
             for v, name in zip(values, self.beside, strict=True):
-                v[cuts[s] : ends[s]] = np.where(ok, self.maps[f"{name}-{s}"][i], 0)
+                v[cuts[s] : ends[s]] = np.where(ok, self.maps.values(f"{name}-{s}", i), 0)
         return known, at, values
 
 
@@ -208,29 +247,39 @@ class Ranges:
         cuts = np.searchsorted(ids, self.base)
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             a, b = cuts[s], cuts[s + 1]
-            out[a:b] = self.maps[f"{self.name}-{s}"][ids[a:b] - self.base[s]]
+            out[a:b] = self.maps.values(f"{self.name}-{s}", ids[a:b] - self.base[s])
         return out
 
 
+def _grouped(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rows by id."""
+    if not len(ids):
+        return ids, rows
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[first], np.add.reduceat(rows, first)
+
+
 def _count_facts(keys: np.ndarray, counts: np.ndarray, base: np.ndarray, stats: dict):
-    """Rows of _FACTS for the ranges of ids, from keys (mixed pairs of ids) and their counts; ``stats`` goes with the first."""
+    """Rows of _FACTS for the ranges of ids, from keys (mixed pairs of ids) and their counts; ``stats`` goes with the first.
+
+    Most ids come after one other, or before one that follows once: those are only listed."""
     both = unmix(keys)
-    left, right = (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype(np.int64)
-    ids, n = np.concatenate([left, right]), len(left)
-    row = np.zeros((2 * n, 5), np.int64)
-    row[n:, 0] = 1
-    row[:n, 1] = counts
-    row[np.arange(n), 2 + np.minimum(counts, 3).astype(np.int64) - 1] = 1
-    order = np.argsort(ids, kind="stable")
-    ids, row = ids[order], row[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if n else np.zeros(0, np.int64)
-    ids, row = ids[first], np.add.reduceat(row, first) if n else row
+    right, before = _grouped((both & U64(0xFFFFFFFF)).astype(np.int64), np.ones((len(keys), 1), np.int64))
+    row = np.zeros((len(keys), 4), np.int64)
+    row[:, 0] = counts
+    row[np.arange(len(keys)), np.minimum(counts, 3).astype(np.int64)] = 1
+    left, row = _grouped((both >> U64(32)).astype(np.int64), row)
     out = [{"shard": -1, **stats, **{f"n{k}": int((counts == k).sum()) for k in range(1, 5)}}]
-    cuts = np.searchsorted(ids, base)
-    for r in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        a, b = cuts[r], cuts[r + 1]
-        kind = np.uint16 if row[a:b].max() < 1 << 16 else np.int64
-        out.append({"shard": r, "ids": (ids[a:b] - base[r]).astype(np.uint32).tobytes(), "facts": row[a:b].astype(kind).tobytes(), "n": 2 if kind is np.uint16 else 8})
+    cut_right, cut_left = np.searchsorted(right, base), np.searchsorted(left, base)
+    for r in range(len(base) - 1):
+        (a, b), (c, d) = cut_right[r : r + 2], cut_left[r : r + 2]
+        if a == b and c == d:
+            continue
+        one, alone = before[a:b, 0] == 1, (row[c:d, 0] == 1)
+        i, j = right[a:b] - base[r], left[c:d] - base[r]
+        out.append({"shard": r, "one": packed(i[one]), "more": packed(i[~one]), "before": narrow(before[a:b][~one]), "alone": packed(j[alone]), "context": packed(j[~alone]), "facts": narrow(row[c:d][~alone])})
         if len(out) == 64:
             yield pa.RecordBatch.from_pylist(out, schema=_FACTS)
             out = []
@@ -238,47 +287,25 @@ def _count_facts(keys: np.ndarray, counts: np.ndarray, base: np.ndarray, stats:
         yield pa.RecordBatch.from_pylist(out, schema=_FACTS)
 
 
-_FACTS = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("facts", pa.binary()), ("from_shard", pa.int32()), ("n", pa.int64())] + [(f"n{k}", pa.int64()) for k in range(1, 5)])
-_FACTS_SQL = "shard int, ids binary, facts binary, from_shard int, n long, n1 long, n2 long, n3 long, n4 long"
+_LISTS = ["one", "more", "before", "alone", "context", "facts"]
+_FACTS = pa.schema([("shard", pa.int32())] + [(c, pa.binary()) for c in _LISTS] + [("from_shard", pa.int32()), ("n", pa.int64())] + [(f"n{k}", pa.int64()) for k in range(1, 5)])
+_FACTS_SQL = "shard int, " + ", ".join(f"{c} binary" for c in _LISTS) + ", from_shard int, n long, n1 long, n2 long, n3 long, n4 long"
 
 
 def _summed(rows: list[dict], size: int) -> np.ndarray:
     """The facts of a range of ``size`` ids."""
     table = np.zeros((size, 5), np.int64)
     for r in rows:
-        if r["ids"]:
-            table[np.frombuffer(r["ids"], np.uint32)] += np.frombuffer(r["facts"], np.uint16 if r["n"] == 2 else np.int64).reshape(-1, 5)
+        if r["one"] is None:
+            continue
+        one, more, alone, context = (unpacked(r[c]).astype(np.int64) for c in ("one", "more", "alone", "context"))
+        table[one, 0] += 1
+        table[more, 0] += widened(r["before"]).astype(np.int64)
+        table[alone, 1:3] += 1
+        table[context, 1:] += widened(r["facts"]).astype(np.int64).reshape(-1, 4)
     return table
 
 
-def _small(table: np.ndarray) -> np.ndarray:
-    return table.astype(np.uint32) if not table.size or table.max() < 1 << 32 else table
-
-
-def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens with the ends, the first token of each text, and how many each has."""
-    many = np.diff(words.first) + 1
-    first = np.concatenate([[0], np.cumsum(many)])[:-1]
-    out = np.empty(int(many.sum()), U64)
-    last = first + many - 1
-    spot = np.ones(len(out), bool)
-    spot[last] = False
-    out[spot] = words.hash
-    out[last] = END
-    return out, first, many
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """D(0) = 0, D1, D2, D3+ from the numbers of keys that occur 1, 2, 3 and 4 times; 0.5, 1, 1.5 where those can't tell."""
-    n1, n2, n3, n4 = (float(x) for x in n)
-    fixed = np.array([0.0, 0.5, 1.0, 1.5])
-    if min(n1, n2, n3) == 0:
-        return fixed
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return d if (d[1:] > 0).all() and (d[1:] <= [1, 2, 3]).all() else fixed
-
-
 @dataclass
 class Model:
     """What a scorer needs besides the mapped arrays; small enough for any closure."""
@@ -384,7 +411,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, o
             for s, rows in _collected(batches).items():
                 keys, counts = _arrays(rows)
                 _save(folder, f"{name[0]}-{s}", keys)
-                _save(folder, f"{name[1]}-{s}", _small(counts) if name[0] != "word" else counts)
+                _save_values(folder, f"{name[1]}-{s}", counts)
                 yield pa.RecordBatch.from_pylist([{"shard": s, "n": len(keys), "total": int(counts.sum())}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
 
         got = {r.shard: (r.n, r.total) for r in _by_shard(_counted(docs, text, bits, keys_of), shards).mapInArrow(merge, "shard int, n long, total long").collect()}
@@ -420,7 +447,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, o
             for s, rows in _collected(batches).items():
                 keys, counts = _arrays(rows)
                 _save(folder, f"pair-{s}", keys)
-                _save(folder, f"pair-count-{s}", _small(counts))
+                _save_values(folder, f"pair-count-{s}", counts)
                 yield from _count_facts(keys, counts, word_base, {"from_shard": s, "n": len(keys)})
 
         parts = written(_by_shard(_counted(docs, text, bits, pair_keys), shards).mapInArrow(merge_pairs, _FACTS_SQL), "lm-facts")
@@ -450,7 +477,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, o
             for s, rows in _collected(batches).items():
                 keys, counts = _arrays(rows)
                 _save(folder, f"triple-{s}", keys)
-                _save(folder, f"triple-count-{s}", _small(counts))
+                _save_values(folder, f"triple-count-{s}", counts)
                 yield from _count_facts(keys, counts, pair_base, {"from_shard": s, "n": len(keys)})
 
         of_triples = written(_by_shard(_counted(docs, text, bits, triple_keys), shards).mapInArrow(merge_triples, _FACTS_SQL), "lm-triple-facts")
@@ -461,26 +488,26 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, o
                 if not pairs[s]:
                     continue
                 keys, table = np.load(f"{folder}/pair-{s}.npy"), _summed(rows, pairs[s])
-                begins = (unmix(keys) >> U64(32)) == U64(words)
-                table[begins, 0] = np.load(f"{folder}/pair-count-{s}.npy")[begins]
-                _save(folder, f"pair-context-{s}", _small(table))
+                begins = np.flatnonzero((unmix(keys) >> U64(32)) == U64(words))
+                table[begins, 0] = Maps(folder).values(f"pair-count-{s}", begins)
+                _save_values(folder, f"pair-context-{s}", table)
                 yield from _count_facts(keys, table[:, 0], word_base, {"from_shard": s, "n": len(keys)})
 
         # every range of pairs has a row, also one whose pairs are in no triple
-        some = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("facts"), F.lit(0).cast("long").alias("n"))
-        some = some.unionByName(of_triples.where("shard >= 0").select("shard", "ids", "facts", "n"))
+        some = spark.range(shards).select(F.col("id").cast("int").alias("shard"), *[F.lit(None).cast("binary").alias(c) for c in _LISTS])
+        some = some.unionByName(of_triples.where("shard >= 0").select("shard", *_LISTS))
         parts = written(_by_shard(some, shards).mapInArrow(merge_pair_facts, _FACTS_SQL), "lm-facts")
     pairs, d2 = _level(parts, shards)
 
     def merge_facts(batches):
         for s, rows in _collected(batches).items():
             table = _summed(rows, width)
-            _save(folder, f"context-{s}", _small(table))
+            _save_values(folder, f"context-{s}", table)
             b = table[:, 0]
             out = {f"n{k}": int((b == k).sum()) for k in range(1, 5)} | {"more": int((b >= 3).sum())}
             yield pa.RecordBatch.from_pylist([out], schema=pa.schema([(f, pa.int64()) for f in ("n1", "n2", "n3", "n4", "more")]))
 
-    got = _by_shard(parts.where("shard >= 0").select("shard", "ids", "facts", "n"), shards).mapInArrow(merge_facts, "n1 long, n2 long, n3 long, n4 long, more long").collect()
+    got = _by_shard(parts.where("shard >= 0").select("shard", *_LISTS), shards).mapInArrow(merge_facts, "n1 long, n2 long, n3 long, n4 long, more long").collect()
     n = [sum(r[f"n{k}"] for r in got) for k in range(1, 5)]
     d1 = discounts(n)
     discounted = float(d1[1] * n[0] + d1[2] * n[1] + d1[3] * sum(r.more for r in got))
