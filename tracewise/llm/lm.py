@@ -163,9 +163,10 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
 
 def _save_values(folder: str, name: str, values: np.ndarray) -> None:
     """Numbers or rows of numbers as bytes, and those with any of more than a byte beside them, with their places."""
-    large = np.flatnonzero((values > 255).reshape(len(values), -1).any(1))
+    rows = values.astype(np.int64).reshape(len(values), values.shape[1] if values.ndim > 1 else 1)
+    large = np.flatnonzero((rows > 255).any(1))
     _save(folder, name, np.minimum(values, 255).astype(np.uint8))
-    _save(folder, f"{name}-large", np.concatenate([large[:, None], values[large].reshape(len(large), -1).astype(np.int64)], axis=1))
+    _save(folder, f"{name}-large", np.concatenate([large[:, None], rows[large]], axis=1))
 
 
 def _collected(batches):
@@ -306,6 +307,30 @@ def _summed(rows: list[dict], size: int) -> np.ndarray:
     return table
 
 
+def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens with the ends, the first token of each text, and how many each has."""
+    many = np.diff(words.first) + 1
+    first = np.concatenate([[0], np.cumsum(many)])[:-1]
+    out = np.empty(int(many.sum()), U64)
+    last = first + many - 1
+    spot = np.ones(len(out), bool)
+    spot[last] = False
+    out[spot] = words.hash
+    out[last] = END
+    return out, first, many
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """D(0) = 0, D1, D2, D3+ from the numbers of keys that occur 1, 2, 3 and 4 times; 0.5, 1, 1.5 where those can't tell."""
+    n1, n2, n3, n4 = (float(x) for x in n)
+    fixed = np.array([0.0, 0.5, 1.0, 1.5])
+    if min(n1, n2, n3) == 0:
+        return fixed
+    y = n1 / (n1 + 2 * n2)
+    d = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return d if (d[1:] > 0).all() and (d[1:] <= [1, 2, 3]).all() else fixed
+
+
 @dataclass
 class Model:
     """What a scorer needs besides the mapped arrays; small enough for any closure."""
