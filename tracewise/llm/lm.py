@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.llm.arrowmap import add_columns, only, text_of
-from tracewise.llm.storage import mounted, scratch, written
+from tracewise.llm.storage import mounted, scratch, shuffles_dropped, written
 from tracewise.llm.textops import Words, buffers, mix, slices
 
 SHARD_BYTES = 16 << 20
@@ -422,6 +422,11 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, o
     """Counts all of ``docs``, whole texts, and writes the arrays to the shared folder."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
+    with shuffles_dropped(docs.sparkSession):
+        return _train(docs, text, shard_bytes, order)
+
+
+def _train(docs: DataFrame, text: str, shard_bytes: int, order: int) -> Model:
     spark = docs.sparkSession
     folder = mounted(scratch(spark, "lm"))
     os.makedirs(folder, exist_ok=True)
