@@ -111,7 +111,7 @@ def test_query(spark, tmp_path):
     texts = dict(enumerate([*TRAIN, *TEST]))
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     held = {k for k in texts if zlib.crc32(str(k).encode()) % 7 == 2}
-    brute = Brute([t for k, t in texts.items() if k not in held])
+    brute = Brute([t for k, t in texts.items() if k not in held], 3)
     assert held
     for r in queries.op10_lm_scoring(spark, str(tmp_path)).collect():
         n, known, base, score = brute.row(texts[r.doc_id])

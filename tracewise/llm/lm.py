@@ -434,14 +434,14 @@ def _train(docs: DataFrame, text: str, shard_bytes: int, order: int) -> Model:
     bits = max(3, int(np.ceil(np.log2(max(1, size / shard_bytes)))))
     shards = 1 << bits
 
-    def merged(name: tuple[str, str], keys_of) -> list[tuple[int, int]]:
-        """Writes the sorted keys and counts of each shard; how many keys and the sum of counts."""
+    def merged(name: str, keys_of, save) -> list[tuple[int, int]]:
+        """Writes the sorted keys of each shard and what ``save`` keeps of the counts; how many keys and the sum of counts."""
 
         def merge(batches):
             for s, rows in _collected(batches).items():
                 keys, counts = _arrays(rows)
-                _save(folder, f"{name[0]}-{s}", keys)
-                _save_values(folder, f"{name[1]}-{s}", counts)
+                _save(folder, f"{name}-{s}", keys)
+                save(s, keys, counts)
                 yield pa.RecordBatch.from_pylist([{"shard": s, "n": len(keys), "total": int(counts.sum())}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64())]))
 
         got = {r.shard: (r.n, r.total) for r in _by_shard(_counted(docs, text, bits, keys_of), shards).mapInArrow(merge, "shard int, n long, total long").collect()}
@@ -450,7 +450,7 @@ def _train(docs: DataFrame, text: str, shard_bytes: int, order: int) -> Model:
     def word_keys():
         return lambda part: _tokens(Words(*buffers(text_of(part, text))))[0]
 
-    got = merged(("word", "count"), word_keys)
+    got = merged("word", word_keys, lambda s, keys, counts: _save_values(folder, f"count-{s}", counts))
     vocab, tokens = [n for n, _ in got], sum(t for _, t in got)
     words = sum(vocab)
     if words >= (1 << 32) - 1:
@@ -480,10 +480,16 @@ def _train(docs: DataFrame, text: str, shard_bytes: int, order: int) -> Model:
                 _save_values(folder, f"pair-count-{s}", counts)
                 yield from _count_facts(keys, counts, word_base, {"from_shard": s, "n": len(keys)})
 
-        parts = written(_by_shard(_counted(docs, text, bits, pair_keys), shards).mapInArrow(merge_pairs, _FACTS_SQL), "lm-facts")
+        parts = written(_by_shard(_counted(docs, text, bits, pair_keys), shards).mapInArrow(merge_pairs, _FACTS_SQL), "lm-facts", "zstd")
         triples, d3 = [], np.zeros(4)
     else:
-        pairs = [n for n, _ in merged(("pair", "pair-count"), pair_keys)]
+
+        def begins(s, keys, counts):
+            """Pairs at the beginning of texts, which have nothing before them, keep their counts."""
+            at = np.flatnonzero((unmix(keys) >> U64(32)) == U64(words))
+            _save(folder, f"pair-begin-{s}", np.stack([at, counts[at].astype(np.int64)]))
+
+        pairs = [n for n, _ in merged("pair", pair_keys, begins)]
         if sum(pairs) >= (1 << 32) - 1:
             raise ValueError("more than 2^32 different pairs of words; order 2 takes them")
         pair_base = _base(pairs)
@@ -510,7 +516,7 @@ def _train(docs: DataFrame, text: str, shard_bytes: int, order: int) -> Model:
                 _save_values(folder, f"triple-count-{s}", counts)
                 yield from _count_facts(keys, counts, pair_base, {"from_shard": s, "n": len(keys)})
 
-        of_triples = written(_by_shard(_counted(docs, text, bits, triple_keys), shards).mapInArrow(merge_triples, _FACTS_SQL), "lm-triple-facts")
+        of_triples = written(_by_shard(_counted(docs, text, bits, triple_keys), shards).mapInArrow(merge_triples, _FACTS_SQL), "lm-triple-facts", "zstd")
         triples, d3 = _level(of_triples, shards)
 
         def merge_pair_facts(batches):
@@ -518,15 +524,15 @@ def _train(docs: DataFrame, text: str, shard_bytes: int, order: int) -> Model:
                 if not pairs[s]:
                     continue
                 keys, table = np.load(f"{folder}/pair-{s}.npy"), _summed(rows, pairs[s])
-                begins = np.flatnonzero((unmix(keys) >> U64(32)) == U64(words))
-                table[begins, 0] = Maps(folder).values(f"pair-count-{s}", begins)
+                at, counts = np.load(f"{folder}/pair-begin-{s}.npy")
+                table[at, 0] = counts
                 _save_values(folder, f"pair-context-{s}", table)
                 yield from _count_facts(keys, table[:, 0], word_base, {"from_shard": s, "n": len(keys)})
 
         # every range of pairs has a row, also one whose pairs are in no triple
         some = spark.range(shards).select(F.col("id").cast("int").alias("shard"), *[F.lit(None).cast("binary").alias(c) for c in _LISTS])
         some = some.unionByName(of_triples.where("shard >= 0").select("shard", *_LISTS))
-        parts = written(_by_shard(some, shards).mapInArrow(merge_pair_facts, _FACTS_SQL), "lm-facts")
+        parts = written(_by_shard(some, shards).mapInArrow(merge_pair_facts, _FACTS_SQL), "lm-facts", "zstd")
     pairs, d2 = _level(parts, shards)
 
     def merge_facts(batches):

@@ -118,7 +118,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", _remainder(7).alias("held_out"))
-    model = lm.train(docs.where("NOT held_out"))
+    model = lm.train(docs.where("NOT held_out"), order=3)
     out = lm.score(docs, model)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", lm.perplexity().alias("perplexity"))
 
