@@ -126,3 +126,11 @@ def test_pages_without_article_marks(spark):
         got = set(H.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")).split("\n"))
         right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
     assert right / (right + wrong) > 0.99 and right / (right + missed) > 0.98
+
+
+def test_query(spark, tmp_path):
+    from tracewise.llm import queries
+
+    spark.createDataFrame([(k, f"u{k}", p) for k, (p, _) in enumerate(PAGES)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in queries.op9_html(spark, str(tmp_path)).collect()}
+    assert len(got) == len(PAGES) and all((got[k].url, got[k].text, got[k].n_chars) == (f"u{k}", want, len(want)) for k, (_, want) in enumerate(PAGES))

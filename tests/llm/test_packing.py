@@ -126,3 +126,50 @@ def test_query_shape(spark, empty):
             assert np.frombuffer(ids, np.uint32).tolist() == [*hf(t), 1]
             assert [x[1] for x in sorted(by_doc[k])] == list(range(0, len(ids) // 4, 4096))
     assert sum(r.doc_id == 3 for r in got) == 2
+
+
+def test_query(spark, tmp_path):
+    from tracewise.llm import queries
+
+    rng = random.Random(6)
+    texts = dict(enumerate([*TEXTS, *[" ".join(rng.choice(["the", "Cat's", "été", "x1", "#$%", "'s", "re'lly", "漢字", "a<|b"]) for _ in range(rng.choice([0, 5, 3000]))) for _ in range(60)]]))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got, bins = {}, {}
+    for r in queries.op6_packing(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    total = 0
+    for k, t in texts.items():
+        ids = np.array([*hf(t), 1], "<u4")
+        total += len(ids)
+        assert sorted(got[k]) == [(n, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for n, a in enumerate(range(0, len(ids), 4096))]
+    for b in bins.values():
+        ends = [0]
+        for o, n in sorted(b):
+            assert o == ends[-1]
+            ends.append(o + n)
+        assert ends[-1] <= 4096
+    halves = sum(n > 2048 for b in bins.values() for _, n in b)
+    assert len(bins) <= max(halves, -(-total // 4096)) + 2
+
+
+def test_pieces_are_the_pre_tokenizers():
+    """Cuts in numpy against the expression, on random strings of simple characters."""
+    import pyarrow as pa
+
+    from tracewise.llm.textops import buffers, spans
+
+    rng = random.Random(8)
+    for _ in range(400):
+        text = "".join(rng.choice("aBz09_'’éÉ×÷ßstremvld''.,# \n\t") for _ in range(rng.randint(0, 40)))
+        data, off = buffers(pa.array([text], pa.string()))
+        inside = P._INSIDE[data]
+        start, stop, low = P.pieces_of(data, inside, *spans(inside, off))
+        made = [low[a:b].tobytes().decode() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        want = []
+        for word in text.replace("\n", " ").replace("\t", " ").split(" "):
+            if "’" in word:
+                want.append(word)
+            elif word:
+                want += P._PIECES.findall(word.lower())
+        assert made == want, text

@@ -87,3 +87,37 @@ def test_against_true_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = Q.rate(docs, Q.train(docs)).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert sum(r.keep == bool(r.quality) for r in got) / len(got) >= 0.96
+
+
+def test_rated_rows_of_the_query(spark, tmp_path):
+    """The query's posterior by Bayes' rule from each row's votes, and its score by a plain sum over the slots of each text."""
+    import math
+
+    from tracewise.llm import queries
+
+    made = [(k, t) for k, t, _ in rows(300, 4)] + [(900, None), (901, ""), (902, "word"), (903, "word")]
+    spark.createDataFrame(made, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    model = Q.train(spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text"))
+    got = {r.doc_id: r for r in queries.op2_quality(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, _ in made} and got[902][1:] == got[903][1:]
+    for k, t in made:
+        one = Q.Texts(pa.array([t], pa.string()))
+        votes = one.votes()[0].tolist()
+        if all(v < 0 for v in votes):
+            assert got[k].posterior is None
+        else:
+            odds = math.log(model.labels.prior / (1 - model.labels.prior)) + sum(math.log(model.labels.chance[j][1][v + 1] / model.labels.chance[j][0][v + 1]) for j, v in enumerate(votes))
+            assert abs(got[k].posterior - 1 / (1 + math.exp(-odds))) < 1e-4
+        tri, _, events, _ = one.slots()
+        if not len(events):
+            assert (got[k].score, got[k].keep) == (0.0, False)
+            continue
+        z = sum(model.weights[s] for s in tri.tolist()) / max(1, len(tri)) + sum(model.weights[e] for e in events.tolist()) / len(events) + model.weights[-1]
+        assert abs(got[k].score - 1 / (1 + math.exp(-z))) < 1e-5 and got[k].keep == (got[k].score >= 0.5)
+
+
+def test_bytes_bound_the_sample(spark):
+    made = [(k, t) for k, t, _ in rows(200, 5)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    few, all_ = Q.train(d, train_bytes=4000), Q.train(d)
+    assert few.labels.prior == all_.labels.prior and (few.weights != 0).sum() < (all_.weights != 0).sum() / 3

@@ -123,7 +123,10 @@ class Texts:
     def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Slots of the byte trigrams and of the words, and the n + 1 offsets by text of each."""
         d = np.concatenate([self.data, np.zeros(2, np.uint8)]).astype(np.uint64)
-        tri = (mix(d[:-2] << np.uint64(16) | d[1:-1] << np.uint64(8) | d[2:], 3) >> np.uint64(48)).astype(np.int64)
+        last = self.off[1:][self.off[1:] > self.off[:-1]] - 1
+        second, third = d[1:-1].copy(), d[2:].copy()
+        second[last] = third[last] = third[last[last > 0] - 1] = 0  # nothing behind a text
+        tri = (mix(d[:-2] << np.uint64(16) | second << np.uint64(8) | third, 3) >> np.uint64(48)).astype(np.int64)
         events = SLOTS + self.same.astype(np.int64) + 2 * self.seen
         return tri, self.off, events, self.words.first
 
