@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, packing, pii, quality, sql
+from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, negatives, packing, pii, quality, sql
 from tracewise.llm.storage import written
 from tracewise.plans.iterate import ranked
 
@@ -123,6 +123,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", lm.perplexity().alias("perplexity"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label is changed where the id is divisible by 7; anchors are the rows whose id is divisible by 100."""
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, changed)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -134,6 +140,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_html": op9_html,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
-ORACLE_SQL = {"op5_jaccard_join": sql.OP5, "op8_decontamination": sql.OP8}
+ORACLE_SQL = {"op5_jaccard_join": sql.OP5, "op8_decontamination": sql.OP8, "op11_hard_negatives": sql.OP11}
