@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, negatives, packing, pii, quality, sql
+from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, negatives, packing, pii, quality, sql, windows
 from tracewise.llm.storage import written
 from tracewise.plans.iterate import ranked
 
@@ -80,11 +80,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    """The word-level vocabulary file, where the box has it."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file, where the box has it."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +129,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, changed)
 
 
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -141,6 +145,7 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_window_packing": op12_window_packing,
 }
 
 ORACLE_SQL = {"op5_jaccard_join": sql.OP5, "op8_decontamination": sql.OP8, "op11_hard_negatives": sql.OP11}
