@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, negatives, packing, pii, quality, sql, windows
+from tracewise.llm import chat, decontaminate, htmltext, jaccard, jpeg, langid, lm, media, negatives, packing, pii, quality, ranking, sql, windows
 from tracewise.llm.storage import written
 from tracewise.plans.iterate import ranked
 
@@ -133,6 +133,10 @@ def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -146,6 +150,7 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_window_packing": op12_window_packing,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL = {"op5_jaccard_join": sql.OP5, "op8_decontamination": sql.OP8, "op11_hard_negatives": sql.OP11}
+ORACLE_SQL = {"op5_jaccard_join": sql.OP5, "op8_decontamination": sql.OP8, "op11_hard_negatives": sql.OP11, "op13_ranked_search": sql.OP13}

@@ -36,3 +36,14 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
   FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
 SELECT * FROM n WHERE rank <= 10"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words("text", _TERM)} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {_words("text", _TERM)} AS w FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+m AS (SELECT rid, doc_id, 75 + (25 * len(w) * n) // l AS m FROM d, s WHERE len(w) > 0),
+asked AS (SELECT item, item_id, t, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+df AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, n),
+scored AS (SELECT item, item_id, doc_id, rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM asked JOIN tf USING (t) JOIN df USING (t) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
