@@ -143,6 +143,23 @@ class Packed:
         own = m - F.shiftright(m, self.width - 1)
         return b.bitwiseAND(own).bitwiseOR(a.bitwiseAND(F.bitwise_not(own)).bitwiseAND(F.lit(~self.guards)))
 
+    def raised(self, e: Column, dec: Column) -> Column:
+        """Both added, up to the maximum."""
+        top = sum(self.conf.max << (self.width * i) for i in range(self.conf.elements))
+
+        def of(x: Column) -> Column:
+            within = self._ahead(x, F.lit(top))
+            own = within - F.shiftright(within, self.width - 1)
+            return x.bitwiseAND(own).bitwiseOR(F.bitwise_not(own).bitwiseAND(F.lit(top)))
+
+        return F.when(dec == 0, e).otherwise(F.transform(F.array(e + dec), of)[0])
+
+    def joined(self, e: Column, i: Column, k: Column) -> Column:
+        """e with element k at least element i."""
+        from_, to = (i * self.width).cast("int"), (k * self.width).cast("int")
+        field = F.call_function("shiftright", e, from_).bitwiseAND(F.lit(self.mask).cast("bigint"))
+        return self.sup(e, F.call_function("shiftleft", field, to))
+
 
 class Wide:
     """Energies as ARRAY<BIGINT>, for any configuration."""
@@ -173,6 +190,12 @@ class Wide:
     def sup(self, a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
 
+    def raised(self, e: Column, dec: Column) -> Column:
+        return F.zip_with(e, dec, lambda x, d: F.least(x + d, F.lit(self.conf.max).cast("bigint")))
+
+    def joined(self, e: Column, i: Column, k: Column) -> Column:
+        return F.transform(e, lambda x, j: F.when(j == k, F.greatest(x, F.get(e, i.cast("int")))).otherwise(x))
+
 
 def codec(conf: EnergyConf) -> Packed | Wide:
     return Packed(conf) if conf.elements * (conf.max.bit_length() + 1) <= 62 else Wide(conf)
@@ -190,10 +213,56 @@ def inverse_update(code: Packed | Wide, e: Column, update: list[int]) -> Column:
     return code.of_fields(fields)
 
 
-def skyline(code: Packed | Wide, es: Column) -> Column:
-    """The minimal energies of an array, sorted."""
-    distinct = F.array_distinct(es)
-    return F.array_sort(F.filter(distinct, lambda e: ~F.exists(distinct, lambda f: (f != e) & code.le(f, e))))
+def update_steps(code: Packed | Wide, u: Column) -> Column:
+    """An update given as data, an array of whole length, as a struct of two parts: ``dec``, an energy with 1 in each element that is
+    decremented, and ``mins``, the minima in order, each as the places of the element and of the one it is the minimum with."""
+    n = code.conf.elements
+    at = [F.get(u, F.lit(i)) for i in range(n)]
+    dec = code.of_fields([F.when(x == -1, 1).otherwise(0).cast("bigint") for x in at])
+    mins = [F.when((x > 0) & (x != i + 1), F.lit(i * PLACES) + x.cast("bigint") - 1) for i, x in enumerate(at)]
+    return F.struct(dec.alias("dec"), F.filter(F.array(*mins), lambda x: x.isNotNull()).alias("mins"))
+
+
+#: Places of elements in ``mins`` count up to this.
+PLACES = 1 << 20
+
+
+def inverse_by_steps(code: Packed | Wide, e: Column, dec: Column, mins: Column) -> Column:
+    """``inverse_update`` by the parts of ``update_steps``: an expression of one size, however many updates there are."""
+    return F.aggregate(mins, code.raised(e, dec), lambda acc, p: code.joined(acc, F.floor(p / PLACES), p % PLACES))
+
+
+#: Sets of more energies, or whose sizes have a larger product, are worked as bit maps where the configuration allows.
+MANY, PRODUCT = 48, 144
+
+
+def _maps(code: Packed | Wide):
+    from tracewise.functions import upsets
+
+    return upsets.BitMaps(code) if isinstance(code, Packed) and upsets.fits(code.conf) else None
+
+
+def _minimal(code: Packed | Wide, es: Column) -> Column:
+    """By comparing all pairs; ``es`` is bound once."""
+    return F.array_sort(F.transform(F.array(F.array_distinct(es)), lambda d: F.filter(d, lambda e: ~F.exists(d, lambda f: (f != e) & code.le(f, e))))[0])
+
+
+def skyline(code: Packed | Wide, es: Column, large: bool = True) -> Column:
+    """The minimal energies of an array, sorted. ``large``: with bit maps for large sets, where the configuration allows them."""
+    maps = _maps(code) if large else None
+    if maps is None:
+        return _minimal(code, es)
+    return F.transform(F.array(es), lambda x: F.when(F.size(x) > MANY, maps.minimal(maps.above(x))).otherwise(_minimal(code, x)))[0]
+
+
+def meet(code: Packed | Wide, a: Column, b: Column, large: bool = True) -> Column:
+    """The minimal energies above one of ``a`` and one of ``b``, sorted: minimal suprema."""
+    maps = _maps(code) if large else None
+    pairs = _minimal(code, F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: code.sup(x, y)))))
+    if maps is None:
+        return pairs
+    both = F.transform(F.array(F.transform(F.array(a, b), maps.above)), lambda m: maps.minimal(maps.both(m[0], m[1])))[0]
+    return F.when(F.size(a) * F.size(b) > PRODUCT, both).otherwise(pairs)
 
 
 def holds(code: Packed | Wide, es: Column, notion) -> Column:

@@ -89,11 +89,19 @@ def clause_moves(frontier: DataFrame) -> DataFrame:
 
 
 class Game:
-    """``positions`` (pos, is_attack) and ``moves`` (src, dst, upd), with the update of each number in ``upd``."""
+    """``positions`` (pos, is_attack) and ``moves`` (src, dst, upd). ``upd`` is the update itself, an array, or a number of one in
+    ``updates``."""
 
-    def __init__(self, positions: DataFrame, moves: DataFrame, updates: dict[int, tuple], conf) -> None:
+    def __init__(self, positions: DataFrame, moves: DataFrame, updates: dict[int, tuple] | None, conf) -> None:
         self.positions, self.moves, self.updates, self.conf = positions, moves, updates, conf
 
+    def update_data(self) -> DataFrame:
+        """(src, dst, upd) with updates as arrays."""
+        if self.updates is None:
+            return self.moves
+        known = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, u)).alias("u")) for k, u in self.updates.items()])
+        return self.moves.withColumn("upd", F.element_at(F.map_from_entries(known), F.col("upd")))
+
     def n_vertices(self) -> int:
         return self.positions.count()
 

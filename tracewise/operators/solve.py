@@ -1,107 +1,215 @@
 """Energy games: the least energies with which the attacker wins from each position.
 
-Rounds are synchronous: from the positions whose energies changed, their predecessors are worked anew. An attacker's energies are
-the minimal ones among its own and those of changed successors, led back over the moves. A defender's are the minimal suprema of
-one energy of each successor, once every successor has some; the supremum is folded successor by successor, smallest sets first,
-and reduced to minimal ones after each, so that sets stay small. Operators are monotone on a finite lattice, so the rounds end in
-the least fixpoint.
+A step works positions anew from their successors. An attacker's energies are the minimal ones among those of its successors, led back
+over the moves; a defender's are the minimal suprema of one energy of each successor, once every successor has some. Operators are
+monotone on a finite lattice, so steps end in the least fixpoint.
+
+Moves carry their updates as data, so a game may have any number of different ones. Several steps are one plan: a step is one join by
+target and one aggregation by source, whose output the next step joins where it lies, and the moves are shuffled once for all steps of
+a plan. When few energies changed in a plan, the next one works only the positions that those can reach backwards in its steps, and what it
+writes is a table of changes beside the base table; changes are merged into the base when they have grown to a part of it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.energy import EnergyConf, codec, inverse_update, skyline
+from tracewise.functions.energy import MANY, EnergyConf, codec, inverse_by_steps, meet, skyline, update_steps
 from tracewise.operators.build import Game
 from tracewise.plans.iterate import cut, discard
 
+#: Steps of a plan.
+STEPS = 6
+#: A plan works only what can change if at most one in this many positions changed in the last one. Changes are merged into the base when
+#: there is one for this many rows of the base.
+FEW, MERGE = 64, 4
+#: Sets of more energies bring in the bit maps.
+LARGE = 8
+#: Successors of a defender that are met in one group; those of defenders with more are met in several groups first.
+TOGETHER = 1024
+
 
 def standard_reach(game: Game) -> DataFrame:
     """(pos): defenders without moves, where the attacker has won."""
     return game.positions.where("NOT is_attack").select("pos").join(game.moves.select(F.col("src").alias("pos")), "pos", "left_anti")
 
 
-def _back(code, updates: dict[int, tuple], upd, energy):
-    """inverse_update by number of the update: one branch, unrolled, for each of them."""
-    branches = [(k, inverse_update(code, energy, list(u))) for k, u in sorted(updates.items())]
-    if len(branches) == 1:
-        return branches[0][1]
-    return reduce(lambda rest, b: F.when(upd == b[0], b[1]).otherwise(rest), branches[:-1], branches[-1][1])
+class _Names:
+    """Positions as numbers: numbers stay, others are hashed, with another seed if two of them have the same hash."""
 
+    def __init__(self, positions: DataFrame) -> None:
+        self.positions, self.seed = positions, 0
+        self.plain = positions.schema["pos"].dataType.typeName() in ("long", "integer", "short", "byte")
+        while not self.plain:
+            same = positions.select("pos").distinct().groupBy(self.number("pos").alias("n")).agg(F.count("*").alias("rows"))
+            if not same.where("rows > 1").limit(1).count():
+                break
+            self.seed += 1
+
+    def number(self, pos: str):
+        return F.col(pos).cast("bigint") if self.plain else F.xxhash64(pos, F.lit(self.seed))
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        if self.plain:
+            return rows.withColumn("pos", F.col("pos").cast(self.positions.schema["pos"].dataType))
+        return rows.join(self.positions.select(F.col("pos").alias("name"), self.number("pos").alias("pos")), "pos").drop("pos").withColumnRenamed("name", "pos")
 
-def solve(game: Game, reach: DataFrame | None = None) -> DataFrame:
-    """(pos, energies: array of vectors) of all positions with any; ``reach`` (pos) are the positions won from the start.
 
-    A round is one plan and one table: the energies so far, split by whether they changed in that round. Earlier rounds are deleted."""
+def _prepared(game: Game, names: _Names, won: DataFrame, chosen: bool) -> DataFrame:
+    """(src, dst, is_attack, need, dec, mins): the moves of positions not yet won, and a move of each won position to itself."""
+    code = codec(game.conf)
+    steps = update_steps(code, F.col("upd")).alias("s")
+    owners = game.positions.select(names.number("pos").alias("src"), "is_attack")
+    moves = game.update_data().select(names.number("src").alias("src"), names.number("dst").alias("dst"), "upd").distinct()
+    if chosen:
+        moves = moves.join(won.select(F.col("pos").alias("src")), "src", "left_anti")
+    need = moves.groupBy("src").agg(F.count("*").alias("need"))
+    moves = moves.join(owners, "src").join(need, "src").select("src", "dst", "is_attack", "need", steps).select("src", "dst", "is_attack", "need", "s.dec", "s.mins")
+    return cut(moves.unionByName(_stay(code, won)))
+
+
+def _stay(code, at: DataFrame) -> DataFrame:
+    """A move of each position (pos) to itself, which keeps its energies."""
+    none = update_steps(code, F.array(*[F.lit(0)] * code.conf.elements))
+    rows = at.select(F.col("pos").alias("src"), F.col("pos").alias("dst"), F.lit(True).alias("is_attack"), F.lit(1).cast("bigint").alias("need"), none.alias("s"))
+    return rows.select("src", "dst", "is_attack", "need", "s.dec", "s.mins")
+
+
+class _Steps:
+    """Steps of a game. ``wide``: a defender may have many successors, which are met in groups first. ``large``: sets may be large, so bit maps
+    are at hand; without them plans are smaller. Both give the same energies. Expressions are made once and used in each step."""
+
+    def __init__(self, code, wide: bool, large: bool) -> None:
+        self.wide, self.large = wide, large
+        self.led = F.transform("es", lambda e: inverse_by_steps(code, e, F.col("dec"), F.col("mins"))).alias("es")
+        self.part = F.when(F.col("need") > TOGETHER, F.pmod(F.xxhash64("dst"), F.ceil(F.col("need") / TOGETHER))).otherwise(F.lit(0).cast("bigint")).alias("part")
+        first = F.array_sort(F.transform("sets", lambda s: F.struct(F.size(s).alias("n"), s.alias("es"))))
+        met = F.transform(F.array(first), lambda s: F.aggregate(F.slice(s, 2, F.size(s) - 1), F.get(s, F.lit(0))["es"], lambda acc, x: meet(code, acc, x["es"], large)))[0]
+        self.worked = skyline(code, F.when(F.col("is_attack"), F.flatten("sets")).otherwise(met), large).alias("es")
+        self.sets, self.one, self.more = F.collect_set("es").alias("sets"), F.count("*").alias("solved"), F.sum("solved").alias("solved")
+        self.whole, self.pos, self.to = F.expr("is_attack OR solved = need"), F.col("src").alias("pos"), F.col("pos").alias("dst")
+        self.differs = F.col("old").isNull() | (F.col("old") != F.col("es"))
+
+    def once(self, moves: DataFrame, state: DataFrame) -> DataFrame:
+        """(pos, es) from the energies before. Equal sets of several successors are one: that changes no union and no supremum."""
+        joined = moves.join(state.select(self.to, "es"), "dst").select("src", "dst", "is_attack", "need", self.led)
+        made = joined.groupBy("src", "is_attack", "need")
+        if self.wide:
+            part = joined.groupBy("src", "is_attack", "need", self.part).agg(self.one, self.sets).select("src", "is_attack", "need", "solved", self.worked)
+            made = part.groupBy("src", "is_attack", "need").agg(self.more, self.sets)
+        else:
+            made = made.agg(self.one, self.sets)
+        return made.where(self.whole).select(self.pos, self.worked)
+
+    def several(self, moves: DataFrame, state: DataFrame) -> DataFrame:
+        """(pos, es, fresh): the energies after STEPS steps, and whether the last step changed them."""
+        after = state
+        for _ in range(STEPS):
+            before, after = after, self.once(moves, after)
+        return self._told(after, before, "fresh")
+
+    def _told(self, after: DataFrame, before: DataFrame, name: str) -> DataFrame:
+        return after.join(before.select("pos", F.col("es").alias("old")), "pos", "left").withColumn(name, self.differs).drop("old")
+
+    def changed(self, moves: DataFrame, state: DataFrame) -> DataFrame:
+        """``several``, of the positions whose energies differ from those of ``state``."""
+        return self._told(self.several(moves, state), state, "changed").where("changed").select("pos", "es", "fresh")
+
+
+class _State:
+    """Energies (pos, es): a base table, and a table of changes that hold instead."""
+
+    def __init__(self, base: DataFrame, size: int) -> None:
+        self.base, self.changes, self.size = base, None, size
+
+    def tables(self) -> list[DataFrame]:
+        return [t for t in (self.base, self.changes) if t is not None]
+
+    def now(self) -> DataFrame:
+        base = self.base.select("pos", "es")
+        if self.changes is None:
+            return base
+        changes = self.changes.select("pos", "es")
+        return base.join(changes.select("pos"), "pos", "left_anti").unionByName(changes)
+
+    def change(self, made: DataFrame) -> _State:
+        """With the changes ``made``: what earlier changes remain is written with them, and the base with all of them only at intervals."""
+        new = self.changes.join(made.select("pos"), "pos", "left_anti").select("pos", "es").unionByName(made.select("pos", "es")) if self.changes is not None else made.select("pos", "es")
+        new = cut(new)
+        after = _State(self.base, self.size)
+        after.changes = new
+        if self.changes is not None:
+            discard(self.changes)
+        if new.rows * MERGE > self.size:
+            base = cut(after.now())
+            discard(self.base, new)
+            return _State(base, base.rows)
+        return after
+
+
+def _reached(moves: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(pos): what has a way of at most STEPS moves to a position of ``fresh``."""
+    found, last = None, fresh.select("pos")
+    for _ in range(STEPS):
+        last = moves.join(last.select(F.col("pos").alias("dst")), "dst", "left_semi").where("src <> dst").select(F.col("src").alias("pos")).distinct()
+        found = last if found is None else found.unionByName(last)
+    return cut(found.distinct())
+
+
+def solve(game: Game, reach: DataFrame | None = None) -> DataFrame:
+    """(pos, energies: array of vectors) of all positions with any; ``reach`` (pos) are the positions won from the start."""
     code = codec(game.conf)
-    nothing = F.array().cast(f"array<{code.type}>")
-    zero = code.lit([])
-    owners = game.positions.select(F.col("pos").alias("src"), "is_attack")
-    moves = game.moves.select("src", "dst", "upd").distinct().join(owners, "src")
-    degree = moves.where("NOT is_attack").groupBy("src").agg(F.countDistinct("dst").alias("need"))
-    attacks = cut(moves.where("is_attack").select("src", "dst", "upd"))
-    defends = cut(moves.where("NOT is_attack").join(degree, "src").select("src", "dst", "upd", "need"))
-    won = (standard_reach(game) if reach is None else reach.select("pos").distinct()).select("pos", F.array(zero).alias("es"))
-
-    def join_sets(acc, s):
-        made = F.flatten(F.transform(acc, lambda a: F.transform(s["es"], lambda b: code.sup(a, b))))
-        return skyline(code, made)
-
-    led_back = _back(code, game.updates, F.col("upd"), F.col("e")).alias("e")
-    all_back = skyline(code, F.transform("es", lambda e: _back(code, game.updates, F.col("upd"), e))).alias("es")
-    sets = F.sort_array(F.collect_list(F.struct(F.size("es").alias("n"), "es"))).alias("sets")
-    least = F.aggregate("sets", F.array(zero), join_sets)
-    own = F.coalesce("es", nothing)
-    either = F.when(F.col("new").isNull(), own).when(F.col("more"), skyline(code, F.concat("new", own))).otherwise(F.col("new"))
-
-    state = cut(won.withColumn("fresh", F.lit(True)), "fresh")
-    while state.rows:
-        to = state.where("fresh").select(F.col("pos").alias("dst"), "es")
-        led = attacks.join(to, "dst").select("src", "upd", F.explode("es").alias("e")).select("src", led_back)
-        led = led.groupBy("src").agg(F.collect_set("e").alias("new")).select("src", "new", F.lit(True).alias("more"))
-        asked = defends.join(to.select("dst"), "dst", "left_semi").select("src").distinct()
-        every = defends.join(asked, "src", "left_semi").join(state.select(F.col("pos").alias("dst"), "es"), "dst")
-        every = every.select("src", "need", "dst", all_back).groupBy("src", "need").agg(F.countDistinct("dst").alias("solved"), sets)
-        every = every.where("solved = need").select("src", least.alias("new"), F.lit(False).alias("more"))
-        both = state.select("pos", "es").join(led.unionByName(every).withColumnRenamed("src", "pos"), "pos", "full_outer")
-        both = both.select("pos", own.alias("old"), either.alias("es"))
-        later = cut(both.select("pos", "es", (F.col("old") != F.col("es")).alias("fresh")), "fresh")
-        discard(state)
-        state = later
-    discard(attacks, defends)
-    return state.select("pos", F.transform("es", code.to_array).alias("energies"))
+    names = _Names(game.positions)
+    won = (standard_reach(game) if reach is None else reach.select("pos").distinct()).select(names.number("pos").alias("pos"))
+    won = cut(won.select("pos", F.array(code.lit([])).alias("es"), F.lit(True).alias("fresh")))
+    moves = _prepared(game, names, won, reach is not None)
+    most = moves.agg(F.max(F.when(~F.col("is_attack"), F.col("need"))), F.max("need")).first()
+    steps = _Steps(code, (most[0] or 0) > TOGETHER, (most[1] or 0) > MANY)
+    state, fresh, many = _State(won, won.rows), won, won.rows
+    while many:
+        if many * FEW > state.size:
+            after = cut(steps.several(moves, state.now()), "fresh")
+            discard(*state.tables())
+            state, many = _State(after, after.all_rows), after.rows
+            fresh = after.where("fresh")
+        else:
+            active = _reached(moves, fresh)
+            own = cut(moves.join(active.select(F.col("pos").alias("src")), "src", "left_semi"))
+            around = own.select(F.col("dst").alias("pos")).unionByName(active.select("pos")).distinct()
+            begin = cut(state.now().join(around, "pos", "left_semi"))
+            frame = begin.select("pos").join(active, "pos", "left_anti")
+            made = cut(steps.changed(own.unionByName(_stay(code, frame)), begin), "fresh")
+            discard(active, own, begin)
+            state, many = state.change(made), made.rows
+            fresh = cut(made.where("fresh").select("pos", "es"))
+            discard(made)
+        if not steps.large and many and fresh.agg(F.max(F.size("es"))).first()[0] > LARGE:
+            steps = _Steps(code, steps.wide, True)
+    discard(moves)
+    return names.back(state.now().select("pos", F.transform("es", code.to_array).alias("energies"))).select("pos", "energies")
 
 
 def from_edges(spark, edges: list[tuple], attackers: list[int], n: int, conf: EnergyConf) -> Game:
     """A hand-made game of positions 0 to n - 1: edges (src, dst, update), positions owned by the attacker."""
-    updates: dict[tuple, int] = {}
-    rows = []
-    for src, dst, u in edges:
+    for src, dst, _ in edges:
         if not (0 <= src < n and 0 <= dst < n):
             raise ValueError(f"an edge from {src} to {dst} in a game of {n} positions")
-        rows.append((src, dst, updates.setdefault(conf.update(list(u)), len(updates))))
-    moves = spark.createDataFrame(rows, "src bigint, dst bigint, upd int")
+    moves = spark.createDataFrame([(src, dst, list(conf.update(list(u)))) for src, dst, u in edges], "src bigint, dst bigint, upd array<int>")
     owner = F.col("pos").isin([int(a) for a in attackers]) if attackers else F.lit(False)
     positions = spark.range(n).select(F.col("id").alias("pos")).withColumn("is_attack", owner)
-    return Game(positions, moves, {k: u for u, k in updates.items()} or {0: conf.update([])}, conf)
+    return Game(positions, moves, None, conf)
 
 
 def empty_game(spark, conf: EnergyConf) -> Game:
     return from_edges(spark, [], [], 0, conf)
 
 
-def from_tables(positions: DataFrame, moves: DataFrame, conf: EnergyConf, most: int = 4096) -> Game:
-    """A game from tables (pos, is_attack) and (src, dst, upd: array of ints). Different updates become plan-time constants, so there
-    may be at most ``most`` of them; more is an error."""
-    padded = F.concat("upd", F.array_repeat(F.lit(0), conf.elements - F.size("upd")))
-    moves = moves.withColumn("upd", F.when(F.size("upd") <= conf.elements, padded).otherwise(F.col("upd")))
-    kinds = [tuple(r.upd) for r in moves.select("upd").distinct().limit(most + 1).collect()]
-    if len(kinds) > most:
-        raise ValueError(f"more than {most} different updates")
-    numbers = {conf.update(list(u)): k for k, u in enumerate(sorted(kinds))}
-    table = moves.sparkSession.createDataFrame([(list(u), k) for u, k in numbers.items()], "upd array<int>, number int")
-    numbered = moves.withColumn("upd", F.col("upd").cast("array<int>")).join(F.broadcast(table), "upd").select("src", "dst", F.col("number").alias("upd"))
-    return Game(positions, numbered, {k: u for u, k in numbers.items()} or {0: conf.update([])}, conf)
+def from_tables(positions: DataFrame, moves: DataFrame, conf: EnergyConf) -> Game:
+    """A game from tables (pos, is_attack) and (src, dst, upd: array of ints, missing ones 0), with any number of different updates."""
+    upd = F.col("upd").cast("array<int>")
+    good = (F.size(upd) <= conf.elements) & F.forall(upd, lambda k: (k >= -1) & (k <= conf.elements))
+    if moves.where(~F.coalesce(good, F.lit(False))).limit(1).count():
+        raise ValueError(f"updates must have at most {conf.elements} numbers, each -1, 0 or an element from 1 to {conf.elements}")
+    padded = F.concat(upd, F.array_repeat(F.lit(0), conf.elements - F.size(upd)))
+    return Game(positions, moves.select("src", "dst", padded.alias("upd")), None, conf)

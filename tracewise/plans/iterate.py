@@ -24,14 +24,15 @@ def cut(df: DataFrame, split: str | None = None) -> DataFrame:
     """The rows of ``df``, computed once and read back from the shared folder, so that a lost executor loses no round.
 
     ``rows`` of the result tells how many there are; with ``split``, a boolean column that the table is split by, those in which it
-    holds."""
+    holds, and ``all_rows`` all."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
     seen = Observation()
-    writer = df.observe(seen, (F.count(F.lit(1)) if split is None else F.count_if(F.col(split))).alias("rows")).write
+    every = F.count(F.lit(1))
+    writer = df.observe(seen, every.alias("all_rows"), (every if split is None else F.count_if(F.col(split))).alias("rows")).write
     (writer if split is None else writer.partitionBy(split)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path, out.rows = path, seen.get["rows"]
+    out.cut_path, out.rows, out.all_rows = path, seen.get["rows"], seen.get["all_rows"]
     return out
 
 

@@ -37,9 +37,7 @@ def from_json(spark: SparkSession, path: str) -> Game:
 
 def to_json(game: Game) -> DataFrame:
     """One row (json) of a game whose positions are 0 to n - 1. For games that fit a document."""
-    spark = game.positions.sparkSession
-    updates = spark.createDataFrame([(k, list(u)) for k, u in game.updates.items()], "upd int, weights array<int>")
-    rows = game.moves.join(F.broadcast(updates), "upd").groupBy(F.col("src").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("dst", "weights"))).alias("m"))
+    rows = game.update_data().withColumnRenamed("upd", "weights").groupBy(F.col("src").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("dst", "weights"))).alias("m"))
     rows = game.positions.select("pos", "is_attack").join(rows, "pos", "left")
     none = F.array().cast("array<struct<dst: bigint, weights: array<int>>>")
     all_ = rows.agg(F.sort_array(F.collect_list(F.struct("pos", "is_attack", F.coalesce("m", none).alias("m")))).alias("all"))
