@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.plans.iterate import cut, discard, hot_keys, ranked, skew_join
+from tracewise.plans.iterate import HELD, HOT, cut, discard, hot_keys, ranked, skew_join
 
 
 def enabled_sets(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -43,37 +43,84 @@ def signatures(edges: DataFrame, states: DataFrame, part: DataFrame) -> DataFram
     return states.select("pid").join(some, "pid", "left").withColumn("signature", F.coalesce("signature", empty))
 
 
+#: Rounds of a plan.
+ROUNDS = 3
+
+
+def _folded(pairs: str) -> list:
+    """The exclusive or of an array of pairs of hashes, by part."""
+    zero = F.lit(0).cast("bigint")
+    return [F.aggregate(pairs, zero, lambda acc, x: acc.bitwiseXOR(x["a"])).alias("c1"), F.aggregate(pairs, zero, lambda acc, x: acc.bitwiseXOR(x["b"])).alias("c2")]
+
+
+def _hashes(label: str, c1, c2) -> list:
+    return [F.xxhash64(label, c1, c2, F.lit(k)).alias(n) for k, n in ((1, "a"), (2, "b"))]
+
+
+class _Rounds:
+    """Rounds of refinement: a state's class is called by a 128-bit combination, in any order, of the hashes of its distinct (label, class
+    of target). So a hot source needs no row for all its edges: its pairs are made distinct and combined where they lie, then by source."""
+
+    def __init__(self, onward: DataFrame, ends: DataFrame) -> None:
+        self.onward, self.ends = onward, ends
+        parts = int(onward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        #: Classes have one row for each state; where a partition of them is small, it is held as a hash table.
+        self.held = (lambda df: df.hint("shuffle_hash")) if onward.rows + ends.rows <= HELD * parts else (lambda df: df)
+        self.to, self.of = hot_keys(onward, "dst", rows=onward.rows), hot_keys(onward, "src", rows=onward.rows)
+
+    def once(self, named: DataFrame) -> DataFrame:
+        """(pid, c1, c2) from the classes before."""
+        classes = named.select(F.col("pid").alias("dst"), "c1", "c2")
+        seen = skew_join(self.onward, classes, "dst", self.to) if self.to.rows else self.onward.join(self.held(classes), "dst")
+        seen = seen.select("src", *_hashes("label", F.col("c1"), F.col("c2"))).unionByName(self.ends)
+        few, hot = seen, None
+        if self.of.rows:
+            hot = seen.join(F.broadcast(self.of), "src", "left_semi").distinct().groupBy("src").agg(F.bit_xor("a").alias("c1"), F.bit_xor("b").alias("c2"))
+            few = seen.join(F.broadcast(self.of), "src", "left_anti")
+        made = few.groupBy("src").agg(F.collect_set(F.struct("a", "b")).alias("pairs")).select("src", *_folded("pairs"))
+        return (made if hot is None else made.unionByName(hot)).withColumnRenamed("src", "pid")
+
+    def several(self, named: DataFrame) -> DataFrame:
+        """(pid, c1, c2, o1, o2): the classes after some rounds, and those before the last of them."""
+        for _ in range(ROUNDS):
+            before, named = named, self.once(named)
+        return named.join(self.held(before.select("pid", F.col("c1").alias("o1"), F.col("c2").alias("o2"))), "pid")
+
+
 def refine(edges: DataFrame, states: DataFrame) -> DataFrame:
     """(pid, cls): the coarsest strong bisimulation; a class is called by its least state.
 
-    Each round names a state's class by the SHA-256 digest of its signature, until the number of classes stays the same, so a round is
-    one join by target and one aggregation by source, without a join by signature. Deadlocked states are one class from the start:
-    edges that lead to them are set aside once and are never joined. Other targets with very many edges meet their class by broadcast.
+    Some rounds are one plan, until the last round of one makes no more classes than the round before it. A round is one join by target and
+    one aggregation by source. Deadlocked states are one class from the start: edges that lead to them are combined once for each source.
+    Other targets with very many edges meet their class by broadcast, and sources with very many are combined in two steps.
     """
     steps = cut(edges.select("src", "label", "dst").distinct())
-    live = steps.select("src").distinct()
-    ends = cut(steps.join(live.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "label", F.lit("").alias("cls")).distinct())
-    onward = cut(steps.join(live.select(F.col("src").alias("dst")), "dst", "left_semi"))
-    hot = hot_keys(onward, "dst")
-
-    named = cut(live.select(F.col("src").alias("pid"), F.lit("").alias("cls")))
-    dead = cut(states.select("pid").distinct().join(named.select("pid"), "pid", "left_anti"))
-    discard(steps)
-    rest = 1 if dead.rows else 0
-    number = 1
+    live = steps.select(F.col("src").alias("pid")).distinct()
+    seen = steps.join(live.select(F.col("pid").alias("dst"), F.lit(True).alias("on")), "dst", "left")
+    seen = cut(seen.select("src", "label", "dst", F.coalesce("on", F.lit(False)).alias("on")), "on")
+    onward = seen.where("on").select("src", "label", "dst")
+    onward.rows = seen.rows
+    zero = F.lit(0).cast("bigint")
+    ends = seen.where("NOT on").select("src", *_hashes("label", zero, zero)).distinct().groupBy("src").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    rounds = _Rounds(onward, cut(ends))
+
+    named = live.select("pid", F.lit(1).cast("bigint").alias("c1"), F.lit(1).cast("bigint").alias("c2"))
     while True:
-        to = named.select(F.col("pid").alias("dst"), "cls")
-        seen = skew_join(onward, to, "dst", hot).select("src", "label", "cls").unionByName(ends)
-        digest = F.sha2(F.to_json(F.sort_array(F.collect_set(F.struct("label", "cls")))), 256)
-        new = cut(seen.groupBy(F.col("src").alias("pid")).agg(digest.alias("cls")))
-        before, number = number, new.select("cls").distinct().count() + rest
-        discard(named)
+        new = cut(rounds.several(named))
+        if hasattr(named, "cut_path"):
+            discard(named)
         named = new
-        if number == before or number == rest:
+        count = new.agg(F.count_distinct("c1", "c2").alias("new"), F.count_distinct("o1", "o2").alias("old")).first()
+        if count.new == count.old:
             break
-    least = cut(named.groupBy("cls").agg(F.min("pid").alias("least")))
-    out = skew_join(named, least, "cls", hot_keys(named, "cls")).select("pid", F.col("least").alias("cls"))
-    if rest:
+    named = named.select("pid", F.concat_ws(",", "c1", "c2").alias("cls"))
+    least = cut(named.groupBy("cls").agg(F.min("pid").alias("least"), F.count("*").alias("rows")))
+    hot = cut(least.where(F.col("rows") > max(1000, new.rows // HOT)).select("cls"))
+    names = least.select("cls", "least")
+    out = (skew_join(named, names, "cls", hot) if hot.rows else named.join(names, "cls")).select("pid", F.col("least").alias("cls"))
+    dead = cut(states.select("pid").distinct().join(live, "pid", "left_anti"))
+    discard(steps)
+    if dead.rows:
         out = out.unionByName(dead.crossJoin(F.broadcast(dead.agg(F.min("pid").alias("cls")))))  # one row
     return out
 

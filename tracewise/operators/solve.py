@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewise.functions.energy import MANY, EnergyConf, codec, inverse_by_steps, meet, skyline, update_steps
 from tracewise.operators.build import Game
-from tracewise.plans.iterate import cut, discard
+from tracewise.plans.iterate import HELD, cut, discard
 
 #: Steps of a plan.
 STEPS = 6
@@ -89,32 +89,37 @@ class _Steps:
         self.worked = skyline(code, F.when(F.col("is_attack"), F.flatten("sets")).otherwise(met), large).alias("es")
         self.sets, self.one, self.more = F.collect_set("es").alias("sets"), F.count("*").alias("solved"), F.sum("solved").alias("solved")
         self.whole, self.pos, self.to = F.expr("is_attack OR solved = need"), F.col("src").alias("pos"), F.col("pos").alias("dst")
+        self.kind = [F.any_value("is_attack").alias("is_attack"), F.any_value("need").alias("need")]
         self.differs = F.col("old").isNull() | (F.col("old") != F.col("es"))
 
-    def once(self, moves: DataFrame, state: DataFrame) -> DataFrame:
-        """(pos, es) from the energies before. Equal sets of several successors are one: that changes no union and no supremum."""
-        joined = moves.join(state.select(self.to, "es"), "dst").select("src", "dst", "is_attack", "need", self.led)
-        made = joined.groupBy("src", "is_attack", "need")
+    def once(self, moves: DataFrame, state: DataFrame, held: bool) -> DataFrame:
+        """(pos, es) from the energies before. Equal sets of several successors are one: that changes no union and no supremum.
+
+        Groups are by source alone, so that the next step's join finds its rows where they are. ``held``: a partition of the energies, which
+        have one row for each position, is small enough to be held as a hash table."""
+        to = state.select(self.to, "es")
+        joined = moves.join(to.hint("shuffle_hash") if held else to, "dst").select("src", "dst", "is_attack", "need", self.led)
+        made = joined.groupBy("src").agg(*self.kind, self.one, self.sets)
         if self.wide:
-            part = joined.groupBy("src", "is_attack", "need", self.part).agg(self.one, self.sets).select("src", "is_attack", "need", "solved", self.worked)
-            made = part.groupBy("src", "is_attack", "need").agg(self.more, self.sets)
-        else:
-            made = made.agg(self.one, self.sets)
+            part = joined.groupBy("src", self.part).agg(*self.kind, self.one, self.sets).select("src", "is_attack", "need", "solved", self.worked)
+            made = part.groupBy("src").agg(*self.kind, self.more, self.sets)
         return made.where(self.whole).select(self.pos, self.worked)
 
-    def several(self, moves: DataFrame, state: DataFrame) -> DataFrame:
+    def several(self, moves: DataFrame, state: DataFrame, held: bool) -> DataFrame:
         """(pos, es, fresh): the energies after STEPS steps, and whether the last step changed them."""
+        moves = moves.where("src IS NOT NULL AND dst IS NOT NULL")  # said in each step, so that all read the same shuffled moves
         after = state
         for _ in range(STEPS):
-            before, after = after, self.once(moves, after)
-        return self._told(after, before, "fresh")
+            before, after = after, self.once(moves, after, held)
+        return self._told(after, before, "fresh", held)
 
-    def _told(self, after: DataFrame, before: DataFrame, name: str) -> DataFrame:
-        return after.join(before.select("pos", F.col("es").alias("old")), "pos", "left").withColumn(name, self.differs).drop("old")
+    def _told(self, after: DataFrame, before: DataFrame, name: str, held: bool) -> DataFrame:
+        old = before.select("pos", F.col("es").alias("old"))
+        return after.join(old.hint("shuffle_hash") if held else old, "pos", "left").withColumn(name, self.differs).drop("old")
 
-    def changed(self, moves: DataFrame, state: DataFrame) -> DataFrame:
+    def changed(self, moves: DataFrame, state: DataFrame, held: bool) -> DataFrame:
         """``several``, of the positions whose energies differ from those of ``state``."""
-        return self._told(self.several(moves, state), state, "changed").where("changed").select("pos", "es", "fresh")
+        return self._told(self.several(moves, state, held), state, "changed", held).where("changed").select("pos", "es", "fresh")
 
 
 class _State:
@@ -166,10 +171,13 @@ def solve(game: Game, reach: DataFrame | None = None) -> DataFrame:
     moves = _prepared(game, names, won, reach is not None)
     most = moves.agg(F.max(F.when(~F.col("is_attack"), F.col("need"))), F.max("need")).first()
     steps = _Steps(code, (most[0] or 0) > TOGETHER, (most[1] or 0) > MANY)
+    parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = lambda rows: rows <= HELD * parts
+    game_size = moves.rows  # every position with energies has a move
     state, fresh, many = _State(won, won.rows), won, won.rows
     while many:
         if many * FEW > state.size:
-            after = cut(steps.several(moves, state.now()), "fresh")
+            after = cut(steps.several(moves, state.now(), held(game_size)), "fresh")
             discard(*state.tables())
             state, many = _State(after, after.all_rows), after.rows
             fresh = after.where("fresh")
@@ -179,7 +187,7 @@ def solve(game: Game, reach: DataFrame | None = None) -> DataFrame:
             around = own.select(F.col("dst").alias("pos")).unionByName(active.select("pos")).distinct()
             begin = cut(state.now().join(around, "pos", "left_semi"))
             frame = begin.select("pos").join(active, "pos", "left_anti")
-            made = cut(steps.changed(own.unionByName(_stay(code, frame)), begin), "fresh")
+            made = cut(steps.changed(own.unionByName(_stay(code, frame)), begin, held(begin.rows)), "fresh")
             discard(active, own, begin)
             state, many = state.change(made), made.rows
             fresh = cut(made.where("fresh").select("pos", "es"))

@@ -64,13 +64,20 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     return numbered.withColumn(name, F.col(name) + F.col("rows_before")).drop("range_id", "rows_before")
 
 
+#: Rows of a partition that are held as a hash table in a join, at most: tables with one row for each key.
+HELD = 1_000_000
+
 #: Keys with more rows than one in this many are hot, so there are at most this many of them.
 HOT = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, least: int = 1000) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, least: int = 10_000, rows: int | None = None) -> DataFrame:
     """(key) of the keys that hold more than one in HOT of all rows, and at least ``least``: at most HOT keys, which may be broadcast."""
-    rows = df.count()
+    rows = df.count() if rows is None else rows
+    if rows <= least:
+        none = df.sparkSession.createDataFrame([], df.select(key).schema)
+        none.rows = 0
+        return none
     return cut(df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > max(least, rows // HOT)).select(key))
 
 
