@@ -167,13 +167,28 @@ def build(edges: DataFrame, states: DataFrame, pairs: DataFrame, max_positions:
     return Game(positions, union_all(every) if every else new.select(F.col("pos").alias("src"), F.lit(0).alias("upd"), F.col("pos").alias("dst")), UPDATES, STANDARD)
 
 
-def start_pairs(edges: DataFrame, states: DataFrame, subset: DataFrame | None = None) -> DataFrame:
-    """(p, q): all ordered pairs of different states with equal enabled labels, of all or of ``subset`` (pid)."""
+#: States of a class that are paired with as many others in one group, about.
+TILE = 1024
+
+
+def start_pairs(edges: DataFrame, states: DataFrame, subset: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(p, q): all ordered pairs of different states with equal enabled labels, of all or of ``subset`` (pid).
+
+    Classes are counted first: if their pairs are more than ``most``, ValueError is raised before any pair is made. A class is dealt into tiles,
+    and a group pairs two tiles, so that no group holds a class."""
     sets = enabled_sets(edges, states)
     if subset is not None:
         sets = sets.join(subset.select("pid"), "pid", "left_semi")
-    left, right = sets.select(F.col("pid").alias("p"), "enabled"), sets.select(F.col("pid").alias("q"), "enabled")
-    return left.join(right, "enabled").where("p <> q").select("p", "q")
+    sizes = sets.groupBy("enabled").agg(F.min("pid").alias("cls"), F.count("*").alias("n")).where("n > 1")
+    if most is not None:
+        pairs = sizes.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1)).cast("decimal(38,0)")), F.lit(0)).alias("pairs")).first().pairs
+        if pairs > most:
+            raise ValueError(f"the game has more than {most} positions: {pairs} pairs of states have equal enabled labels")
+    tiles = F.ceil(F.col("n") / TILE)
+    own = sets.join(sizes, "enabled").select("pid", "cls", F.pmod(F.xxhash64("pid"), tiles).alias("tile"), F.sequence(F.lit(0).cast("bigint"), tiles - 1).alias("others"))
+    left = own.select(F.col("pid").alias("p"), "cls", F.col("tile").alias("a"), F.explode("others").alias("b"))
+    right = own.select(F.col("pid").alias("q"), "cls", F.col("tile").alias("b"), F.explode("others").alias("a"))
+    return left.join(right, ["cls", "a", "b"]).where("p <> q").select("p", "q")
 
 
 def show_position(kind: str = "kind", p: str = "p", q: str = "q", qx: str = "qx") -> Column:

@@ -80,6 +80,28 @@ class LTS:
         energies = self.compare(p, q).agg(F.collect_list("energy").alias("es"))
         return _verdicts(energies.select(F.coalesce("es", _no_energies()).alias("es")), []).select("notion", "holds")
 
+    def verdicts_of(self, pairs: DataFrame) -> DataFrame:
+        """(p, q, notion, holds): for each of ``pairs`` (p, q), also of different enabled labels, which notions order p below q.
+
+        All pairs are compared in one game on the quotient, where pairs of the same classes are one."""
+        pairs = cut(pairs.select(F.col("p").cast("bigint").alias("p"), F.col("q").cast("bigint").alias("q")).distinct())
+        known = self.states.select("pid")
+        lost = pairs.select(F.col("p").alias("pid")).union(pairs.select("q")).join(known, "pid", "left_anti").first()
+        if lost is not None:
+            raise IndexError(f"no state {lost.pid}")
+        small, part = self.minimize()
+        part = cut(part)
+        own = lambda name, to: part.select(F.col("pid").alias(name), F.col("cls").alias(to))
+        mapped = cut(pairs.join(own("p", "a"), "p").join(own("q", "b"), "q"))
+        asked = cut(mapped.where("a <> b").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct())
+        if asked.rows:
+            won = solve.solve(small.game(asked))
+            at = asked.select(F.col("p").alias("a"), F.col("q").alias("b"), build.attack(F.col("p"), F.array("q"))["pos"].alias("pos"))
+            mapped = mapped.join(at.join(won, "pos", "left").select("a", "b", F.col("energies").alias("es")), ["a", "b"], "left")
+        else:
+            mapped = mapped.withColumn("es", F.lit(None).cast("array<array<bigint>>"))
+        return _verdicts(mapped.select("p", "q", F.coalesce("es", _no_energies()).alias("es")), ["p", "q"])
+
     def equivalences(self, subset: DataFrame | None = None, max_positions: int | None = None) -> Equivalence:
         """All pairs, solved on the quotient."""
         small, part = self.minimize()
@@ -91,7 +113,7 @@ class LTS:
         return self._equivalences(self.states.select("pid", F.col("pid").alias("cls")), subset, max_positions)
 
     def _equivalences(self, part: DataFrame, subset: DataFrame | None, max_positions: int | None) -> Equivalence:
-        pairs = cut(build.start_pairs(self.edges, self.states, subset))
+        pairs = cut(build.start_pairs(self.edges, self.states, subset, max_positions))
         game = self.game(pairs, max_positions)
         won = solve.solve(game)
         at = pairs.select("p", "q", build.attack(F.col("p"), F.array("q"))["pos"].alias("pos"))

@@ -262,33 +262,39 @@ def skyline(spark, sf_dir):
     return sets.select("p_brand", F.explode(E.skyline(code, F.col("es"))).alias("x")).select("p_brand", _text_of(code.to_array(F.col("x"))).alias("e"))
 
 
-#: Small hand-made games: edges, positions of the attacker, number of positions.
-DIAMOND = ([(0, 1, [-1]), (0, 2, [0, -1]), (1, 3, []), (2, 3, [0, 0, -1])], [1, 2], 4)
-LADDER = ([(0, 1, [-1]), (0, 2, [0, -1]), (1, 3, [-1]), (2, 3, [0, 0, -1]), (2, 4, [3]), (4, 3, [0, 0, -1, -1]), (3, 5, [0, -1])], [1, 2, 3], 6)
+def _energies(solved: DataFrame) -> DataFrame:
+    return solved.select("pos", F.explode("energies").alias("e")).select("pos", _text("e").alias("e"))
 
 
-def solve_game(game: tuple):
-    def query(spark, sf_dir):
-        made = solve.from_edges(spark, *game[:2], game[2], E.STANDARD)
-        return solve.solve(made).select("pos", F.explode("energies").alias("e")).select("pos", _text("e").alias("e"))
-
-    return query
+def solve_game(game):
+    return lambda spark, sf_dir: _energies(solve.solve(game(spark, sf_dir)))
 
 
 def reach_targets(spark, sf_dir):
-    return solve.standard_reach(solve.from_edges(spark, *LADDER[:2], LADDER[2], E.STANDARD))
+    """Positions of the orders' game that are won from the start: items, and customers without orders."""
+    return solve.standard_reach(games.order_game(spark, sf_dir)).select("pos")
 
 
 def reverse_moves(spark, sf_dir):
-    return solve.from_edges(spark, *LADDER[:2], LADDER[2], E.STANDARD).reverse(3).select("src", "dst")
+    """The moves into the order of the least key."""
+    least = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.min("o_orderkey").cast("bigint").alias("k")).first().k
+    return games.order_game(spark, sf_dir).reverse(least * 4 + 2).select("src", "dst")
 
 
 #: Two machines: after a coin, 0 offers tea or coffee, one of them; 10 offers one of them, or both.
 MACHINES = [(0, 1, 0), (0, 2, 0), (1, 3, 1), (2, 3, 2), (10, 1, 0), (10, 2, 0), (10, 11, 0), (11, 3, 1), (11, 3, 2)]
 
 
-def compare_pair(p: int, q: int):
-    return lambda spark, sf_dir: LTS(lts.from_edges(spark, MACHINES), sparse=True).verdicts(p, q)
+def compare_pairs(order: str):
+    """Pairs of parcels of one order, one way round, compared in one game; most have different enabled labels."""
+
+    def query(spark, sf_dir):
+        s = LTS(cut(lts.parcel_edges(spark, sf_dir)), sparse=True)
+        opened = s.edges.where("label = 'open'")
+        pairs = opened.select("src", F.col("dst").alias("p")).join(opened.select("src", F.col("dst").alias("q")), "src").where(order)
+        return s.verdicts_of(pairs)
+
+    return query
 
 
 def universe_nat(spark, sf_dir):
@@ -318,16 +324,16 @@ def json_round_trip(spark, sf_dir):
 
 
 def game_json(spark, sf_dir):
-    """A game written as a JSON document, read back and solved."""
+    """The suppliers' diamonds written as a JSON document, read back and solved."""
     path = f"{shared_dir(spark)}/game-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    games.to_json(solve.from_edges(spark, *LADDER[:2], LADDER[2], E.STANDARD)).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
-    return solve.solve(games.from_json(spark, path)).select("pos", F.explode("energies").alias("e")).select("pos", _text("e").alias("e"))
+    games.to_json(games.supplier_game(spark, sf_dir)).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return _energies(solve.solve(games.from_json(spark, path)))
 
 
 def solve_reach(spark, sf_dir):
-    """The ladder won at position 4 instead of at the defenders without moves."""
-    made = solve.from_edges(spark, *LADDER[:2], LADDER[2], E.STANDARD)
-    return solve.solve(made, spark.createDataFrame([(4,)], "pos bigint")).select("pos", F.explode("energies").alias("e")).select("pos", _text("e").alias("e"))
+    """The orders' game won at finished orders instead of at items."""
+    done = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select((F.col("o_orderkey").cast("bigint") * 4 + 2).alias("pos"))
+    return _energies(solve.solve(games.order_game(spark, sf_dir), done))
 
 
 def wide_algebra(spark, sf_dir):
@@ -474,14 +480,16 @@ QUERIES = {
     "wide_algebra": wide_algebra,
     "word_round_trip": word_round_trip,
     "energy_sets": energy_sets,
-    "solve_diamond": solve_game(DIAMOND),
-    "solve_ladder": solve_game(LADDER),
+    "solve_diamond": solve_game(games.part_game),
+    "solve_ladder": solve_game(games.ladder_game),
+    "solve_orders": solve_game(games.order_game),
+    "solve_least_cost": solve_game(games.least_cost_game),
     "reach_targets": reach_targets,
     "reverse_moves": reverse_moves,
     "solve_reach": solve_reach,
     "game_json": game_json,
-    "compare_pair": compare_pair(0, 10),
-    "compare_pair_back": compare_pair(10, 0),
+    "compare_pair": compare_pairs("p < q"),
+    "compare_pair_back": compare_pairs("p > q"),
     "relation_traces_conv": relation("conv", "traces"),
     "classes_bisimulation_conv": classes("conv", "bisimulation"),
     "report_conv": report("conv"),
@@ -592,8 +600,44 @@ def _named(key: str) -> str:
     return f"WITH {_NAT} SELECT pid, min(pid) OVER (PARTITION BY k) AS class_id FROM {key}"
 
 
-def _games(rows: dict[int, list[str]]) -> str:
-    return "SELECT CAST(pos AS BIGINT) AS pos, e FROM (VALUES " + ", ".join(f"({p}, '{e}')" for p, es in rows.items() for e in es) + ") AS t(pos, e)"
+def _diamonds(rows: str) -> str:
+    """The supremum of the first attacker's decrement and the second's two."""
+    tops = ", ".join(f"greatest(CASE WHEN a = {i} THEN 1 ELSE 0 END, CASE WHEN b = {i} THEN 1 ELSE 0 END + CASE WHEN c = {i} THEN 1 ELSE 0 END)" for i in range(6))
+    second = ", ".join(f"CASE WHEN c = {i} THEN 1 ELSE 0 END" for i in range(6))
+    zero = "'0,0,0,0,0,0'"
+    return f"WITH d AS ({rows}) SELECT pos, concat_ws(',', {tops}) AS e FROM d UNION ALL SELECT pos + 1, {zero} FROM d UNION ALL SELECT pos + 2, concat_ws(',', {second}) FROM d UNION ALL SELECT pos + 3, {zero} FROM d"
+
+
+def _led(before: str, i: int) -> str:
+    """The i-th minimum of an update on the bits of an energy of ones and zeros."""
+    raised = ", ".join(f"CASE WHEN u{i} = {j + 1} THEN greatest(b{j}, b{i}) ELSE b{j} END AS b{j}" for j in range(6))
+    return f"l{i} AS (SELECT pos, item, {', '.join(f'u{j}' for j in range(6))}, {raised} FROM {before})"
+
+
+#: Orders, their items' updates, and what each item asks for as a bit mask; positions won from the start.
+_ORDER_GAME = (
+    "og AS (SELECT CAST(o_custkey AS BIGINT) * 4 + 1 AS cust, CAST(o_orderkey AS BIGINT) * 4 + 2 AS pos FROM orders), "
+    "ud AS (SELECT CAST(l_orderkey AS BIGINT) * 4 + 2 AS pos, (CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 4 + 3 AS item, " + ", ".join(f"((CAST(l_orderkey AS BIGINT) * 31 + l_partkey) // {8**i}) % 8 - 1 AS u{i}" for i in range(6)) + " FROM lineitem), "
+    "l AS (SELECT *, " + ", ".join(f"CASE WHEN u{i} = -1 THEN 1 ELSE 0 END AS b{i}" for i in range(6)) + " FROM ud), "
+    + ", ".join(_led("l" if i == 0 else f"l{i - 1}", i) for i in range(6))
+    + ", asked AS (SELECT DISTINCT pos, " + " + ".join(f"b{i} * {2**i}" for i in range(6)) + " AS m FROM l5), "
+    "free AS (SELECT DISTINCT CAST(item AS BIGINT) AS pos FROM ud UNION ALL SELECT CAST(c_custkey AS BIGINT) * 4 + 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))"
+)
+#: The energies of ones and zeros with which an order or a customer is won.
+_ORDER_WON = (
+    "worder AS MATERIALIZED (SELECT DISTINCT pos, x FROM asked, range(64) t(x) WHERE x & m = m), "
+    "wcust AS (SELECT cust AS pos, x FROM og JOIN worder USING (pos) JOIN (SELECT cust, count(*) AS n FROM og GROUP BY cust) USING (cust) GROUP BY cust, x, n HAVING count(*) = n), "
+    "won AS MATERIALIZED (SELECT pos, x FROM worder UNION ALL SELECT pos, x FROM wcust)"
+)
+
+
+def _bits(x: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"({x} >> {i}) & 1" for i in range(6)) + ")"
+
+
+def _compared(way: str) -> str:
+    """Parcels of one order lead back to it, so their flags alone tell them: by inclusion where only what can be done counts."""
+    return f"WITH {_FAMILY} SELECT a.n AS p, b.n AS q, notion, CASE WHEN notion IN ('enabledness', 'traces', 'simulation') THEN a.m & b.m = a.m ELSE a.m = b.m END AS holds FROM psets a JOIN psets b ON a.o = b.o AND a.n {way} b.n, (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)"
 
 
 ORACLE_SQL = {
@@ -629,14 +673,16 @@ SELECT 'A:' || p || ':' || q AS src, CAST(0 AS BIGINT) AS upd, 'A:' || p2 || ':'
     "supremum": f"WITH {_VEC} SELECT a.pid, concat_ws(',', {', '.join(f'greatest(a.{e}, b.{e})' for e in _ES)}) AS e FROM vec a JOIN vec b ON b.pid = a.pid + 1",
     "notion_test": f"WITH {_VEC} " + " UNION ALL ".join(f"SELECT '{n}' AS notion, CAST(count(*) FILTER (WHERE NOT ({' AND '.join(f'{e} <= {x}' for e, x in zip(_ES, v, strict=True))})) AS BIGINT) AS held FROM vec" for n, v in E.NOTIONS.items()),
     "skyline": f"WITH {_VEC}, d AS (SELECT DISTINCT p_brand, {', '.join(_ES)} FROM vec) SELECT p_brand, concat_ws(',', {', '.join(_ES)}) AS e FROM d b WHERE NOT EXISTS (SELECT 1 FROM d a WHERE a.p_brand = b.p_brand AND {_LE} AND NOT ({_GE}))",
-    "solve_diamond": _games({0: ["1,1,1,0,0,0"], 1: ["0,0,0,0,0,0"], 2: ["0,0,1,0,0,0"], 3: ["0,0,0,0,0,0"]}),
-    "solve_ladder": _games({0: ["2,2,1,0,0,0"], 1: ["1,1,0,0,0,0"], 2: ["0,1,1,0,0,0"], 3: ["0,1,0,0,0,0"], 4: ["0,1,1,1,0,0"], 5: ["0,0,0,0,0,0"]}),
-    "reach_targets": "SELECT CAST(5 AS BIGINT) AS pos",
-    "reverse_moves": "SELECT CAST(src AS BIGINT) AS src, CAST(3 AS BIGINT) AS dst FROM (VALUES (1), (2), (4)) AS t(src)",
-    "solve_reach": _games({2: ["0,0,0,0,0,0"], 4: ["0,0,0,0,0,0"]}),
-    "game_json": _games({0: ["2,2,1,0,0,0"], 1: ["1,1,0,0,0,0"], 2: ["0,1,1,0,0,0"], 3: ["0,1,0,0,0,0"], 4: ["0,1,1,1,0,0"], 5: ["0,0,0,0,0,0"]}),
-    "compare_pair": "SELECT notion, notion NOT IN ('bisimulation', 'nested_2simulation') AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)",
-    "compare_pair_back": "SELECT notion, notion IN ('enabledness', 'traces', 'failures', 'failure_traces', 'revivals', 'impossible_futures') AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)",
+    "solve_diamond": _diamonds("SELECT CAST(p_partkey AS BIGINT) * 4 AS pos, p_size % 6 AS a, p_partkey % 6 AS b, (p_partkey // 6) % 6 AS c FROM part"),
+    "game_json": _diamonds("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1) * 4 AS pos, s_nationkey % 6 AS a, s_suppkey % 6 AS b, (s_suppkey // 6) % 6 AS c FROM supplier"),
+    "solve_ladder": "WITH r AS (SELECT CAST(s_suppkey AS BIGINT) AS k, s_nationkey % 3 + 1 AS n, unnest(range(0, CAST(s_nationkey % 3 + 2 AS BIGINT))) AS r FROM supplier) SELECT k * 8 + r AS pos, concat_ws(',', " + ", ".join(f"(SELECT count(*) FROM range(r, n) t(x) WHERE (k + x) % 6 = {i})" for i in range(6)) + ") AS e FROM r",
+    "solve_orders": f"WITH {_ORDER_GAME}, {_ORDER_WON} SELECT pos, {_bits('x')} AS e FROM won a WHERE NOT EXISTS (SELECT 1 FROM won b WHERE b.pos = a.pos AND b.x <> a.x AND b.x & a.x = b.x) UNION ALL SELECT pos, '0,0,0,0,0,0' FROM free",
+    "solve_least_cost": "WITH RECURSIVE m AS (SELECT CAST(c_custkey AS BIGINT) AS k, c_acctbal < 0 AS free FROM customer), s AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS cost UNION ALL SELECT k + 1, cost + CASE WHEN free THEN 0 ELSE 1 END FROM s JOIN m ON s.pos = CASE WHEN k % 5 = 0 THEN 0 ELSE k + 2 END) SELECT pos, CAST(cost AS VARCHAR) AS e FROM s",
+    "reach_targets": f"WITH {_ORDER_GAME} SELECT pos FROM free",
+    "reverse_moves": "SELECT CAST(o_custkey AS BIGINT) * 4 + 1 AS src, CAST(o_orderkey AS BIGINT) * 4 + 2 AS dst FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)",
+    "solve_reach": "WITH o AS (SELECT CAST(o_custkey AS BIGINT) AS c, CAST(o_orderkey AS BIGINT) AS o, o_orderstatus = 'F' AS done FROM orders) SELECT o * 4 + 2 AS pos, '0,0,0,0,0,0' AS e FROM o WHERE done UNION ALL SELECT c * 4 + 1, '0,0,0,0,0,0' FROM o GROUP BY c HAVING bool_and(done)",
+    "compare_pair": _compared("<"),
+    "compare_pair_back": _compared(">"),
     "relation_traces_conv": f"WITH {_SUFFIX} SELECT pid, cls AS class_id FROM cnamed",
     "classes_bisimulation_conv": f"WITH {_SUFFIX} SELECT cls AS class_id, count(*) AS size FROM cnamed GROUP BY cls",
     "report_conv": f"WITH {_SUFFIX} SELECT notion, CASE WHEN notion = 'enabledness' THEN (SELECT count(DISTINCT split_part(s, ',', 1)) FROM suffix) ELSE (SELECT count(DISTINCT s) FROM suffix) END AS classes FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NOTIONS) + ") AS t(notion)",

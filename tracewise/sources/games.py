@@ -7,9 +7,10 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.functions.energy import STANDARD, EnergyConf
+from tracewise.functions.energy import ONE_DIMENSION, STANDARD, EnergyConf
 from tracewise.operators.build import Game
 from tracewise.operators.solve import from_tables
+from tracewise.plans.iterate import ranked
 
 GAME_JSON = "conf struct<elements: int, max: bigint>, adj array<array<bigint>>, weights array<array<array<int>>>, attacker_pos array<boolean>"
 
@@ -46,6 +47,18 @@ def to_json(game: Game) -> DataFrame:
     return all_.select(F.to_json(F.struct(conf.alias("conf"), *parts)).alias("json"))
 
 
+def random_tables(spark: SparkSession, nodes: int = 100, seed: int = 0, conf: EnergyConf = STANDARD) -> Game:
+    """``random_game`` of any size as tables. Random numbers are hashes of the seed, the node and what they are for, so the game is the
+    same however it is dealt to tasks, and no task holds more than its own nodes."""
+    draw = lambda what, below: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(what)), below).cast("bigint")
+    element, k = draw("element", F.lit(conf.elements)), draw("least", F.lit(conf.elements)) + 1
+    kind = F.when(draw("kind", F.lit(2)) == 0, F.lit(-1)).otherwise(k.cast("int"))
+    upd = F.array(*[F.when(element == i, kind).otherwise(F.lit(0)) for i in range(conf.elements)])
+    moves = spark.range(1, max(1, nodes)).select(draw("parent", F.col("id")).alias("src"), F.col("id").alias("dst"), upd.alias("upd"))
+    positions = spark.range(nodes).select(F.col("id").alias("pos"), (draw("owner", F.lit(2)) == 0).alias("is_attack"))
+    return Game(positions, moves, None, conf)
+
+
 def random_game(nodes: int = 100, seed: int = 0, conf: EnergyConf = STANDARD) -> dict:
     """A document of a random recursive tree, edges to the root reversed, each with one element that is decremented or, as often,
     taken to the minimum with some element; owners by coin."""
@@ -59,3 +72,75 @@ def random_game(nodes: int = 100, seed: int = 0, conf: EnergyConf = STANDARD) ->
         adj[parent].append(child)
         weights[parent].append(u)
     return {"conf": {"elements": conf.elements, "max": conf.max}, "adj": adj, "weights": weights, "attacker_pos": [rng.random() < 0.5 for _ in range(nodes)]}
+
+
+# games over the tables of a warehouse
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _position(pos, attacker: bool):
+    return F.struct(pos.cast("bigint").alias("pos"), F.lit(attacker).alias("is_attack"))
+
+
+def _only(*elements) -> list:
+    """An update of whole length that decrements the given element (a column, from 0), or nothing."""
+    return F.array(*[F.when(elements[0] == i, -1).otherwise(0) if elements else F.lit(0) for i in range(STANDARD.elements)])
+
+
+def order_game(spark: SparkSession, sf_dir: str) -> Game:
+    """Customers (defenders, custkey * 4 + 1) must win each of their orders (attackers, orderkey * 4 + 2); an order is won at any of its items
+    (defenders without moves, (orderkey * 8 + linenumber) * 4 + 3). The update to an item is its own: the digits to base 8 of
+    orderkey * 31 + partkey, less one, so there are about as many different updates as items."""
+    customers = _table(spark, sf_dir, "customer").select(_position(F.col("c_custkey").cast("bigint") * 4 + 1, False).alias("x")).select("x.*")
+    orders = _table(spark, sf_dir, "orders").select((F.col("o_custkey").cast("bigint") * 4 + 1).alias("src"), (F.col("o_orderkey").cast("bigint") * 4 + 2).alias("dst"))
+    digits = F.col("l_orderkey").cast("bigint") * 31 + F.col("l_partkey").cast("bigint")
+    upd = F.array(*[(F.floor(digits / 8**i) % 8 - 1).cast("int") for i in range(STANDARD.elements)])
+    item = (F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber").cast("bigint")) * 4 + 3
+    items = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey").cast("bigint") * 4 + 2).alias("src"), item.alias("dst"), upd.alias("upd"))
+    positions = customers.unionByName(orders.select(_position(F.col("dst"), True).alias("x")).select("x.*")).unionByName(items.select(_position(F.col("dst"), False).alias("x")).select("x.*").distinct())
+    return from_tables(positions, orders.withColumn("upd", _only()).unionByName(items), STANDARD)
+
+
+def diamond_game(rows: DataFrame, first, a, b, c) -> Game:
+    """For each row a diamond at positions ``first`` to ``first`` + 3: a defender to two attackers, decrementing elements a and b, and they to the
+    end, the second decrementing c."""
+    at = lambda k: (first + k).cast("bigint")
+    moves = [(0, 1, _only(a)), (0, 2, _only(b)), (1, 3, _only()), (2, 3, _only(c))]
+    made = rows.select(F.explode(F.array(*[F.struct(at(s).alias("src"), at(d).alias("dst"), u.alias("upd")) for s, d, u in moves])).alias("m")).select("m.*")
+    positions = rows.select(F.explode(F.array(*[_position(at(k), k in (1, 2)) for k in range(4)])).alias("x")).select("x.*")
+    return from_tables(positions, made, STANDARD)
+
+
+def part_game(spark: SparkSession, sf_dir: str) -> Game:
+    """A diamond for each part."""
+    k = F.col("p_partkey").cast("bigint")
+    return diamond_game(_table(spark, sf_dir, "part"), k * 4, F.col("p_size") % 6, k % 6, F.floor(k / 6) % 6)
+
+
+def supplier_game(spark: SparkSession, sf_dir: str) -> Game:
+    """A diamond for each supplier, at positions from 0 on in the order of keys."""
+    k = F.col("s_suppkey").cast("bigint")
+    return diamond_game(ranked(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey", "place"), F.col("place") * 4, F.col("s_nationkey") % 6, k % 6, F.floor(k / 6) % 6)
+
+
+def ladder_game(spark: SparkSession, sf_dir: str) -> Game:
+    """A ladder for each supplier: attackers suppkey * 8 + rung, up to 3 rungs by nation, each decrementing the element (suppkey + rung) % 6 on
+    the way to the next, and the end."""
+    k, rungs = F.col("s_suppkey").cast("bigint"), F.col("s_nationkey").cast("bigint") % 3 + 1
+    rows = _table(spark, sf_dir, "supplier").select(k.alias("k"), rungs.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), rungs)).alias("r"))
+    positions = rows.select((F.col("k") * 8 + F.col("r")).alias("pos"), (F.col("r") < F.col("n")).alias("is_attack"))
+    moves = rows.where("r < n").select((F.col("k") * 8 + F.col("r")).alias("src"), (F.col("k") * 8 + F.col("r") + 1).alias("dst"), _only((F.col("k") + F.col("r")) % 6).alias("upd"))
+    return from_tables(positions, moves, STANDARD)
+
+
+def least_cost_game(spark: SparkSession, sf_dir: str) -> Game:
+    """A game of one number: customers are attackers (custkey + 1) and lead to the next one, each fifth to the end (0, a defender) instead; a
+    step costs one, or nothing for customers whose balance is below zero."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("k"), (F.col("c_acctbal") < 0).alias("free"))
+    to = F.when(F.col("k") % 5 == 0, F.lit(0).cast("bigint")).otherwise(F.col("k") + 2)
+    moves = rows.select((F.col("k") + 1).alias("src"), to.alias("dst"), F.array(F.when(F.col("free"), 0).otherwise(-1)).alias("upd"))
+    positions = rows.select((F.col("k") + 1).alias("pos"), F.lit(True).alias("is_attack")).unionByName(spark.createDataFrame([(0, False)], "pos bigint, is_attack boolean"))
+    return from_tables(positions, moves.join(positions.select(F.col("pos").alias("dst")), "dst", "left_semi").select("src", "dst", "upd"), ONE_DIMENSION)
