@@ -139,32 +139,48 @@ class _Known:
         return found
 
 
+def _onward(step: DataFrame) -> DataFrame:
+    """Attack positions that the moves (to) of attack positions lead to: at once, by revival, or over an answer and its clause."""
+    p = F.col("to.p")
+    one = lambda a, b: attack(a, F.array(b))
+    asked = F.filter("to.q", lambda x: x != p)
+    over = F.concat(F.transform(asked, lambda x: one(p, x)), F.transform(asked, lambda x: one(x, p)))
+    revived = F.when(F.size("to.qx") > 0, F.array(attack(p, F.col("to.qx"))))
+    return step.select(F.explode(F.when(F.col("to.kind") == "A", F.array("to")).otherwise(F.concat(over, F.coalesce(revived, F.slice(over, 1, 0))))).alias("to")).select("to.*")
+
+
 def build(edges: DataFrame, states: DataFrame, pairs: DataFrame, max_positions: int | None = None) -> Game:
     """The game from the pairs' attack positions, breadth first.
 
-    A round goes from attack positions over their defend positions, which belong to one attack position each, and new clauses to
-    attack positions not met before. Defend and clause moves are told by their position alone, so they are not written."""
+    A round finds the attack positions next reached, over defend positions and clauses, and writes these alone. Then the moves of all attack
+    positions are made at once; defend positions belong to one attack position each, and their moves and those of clauses are told by the
+    position, so they are not written."""
     from tracewise.functions.energy import STANDARD
 
+    def bounded(rows: int) -> None:
+        if max_positions is not None and rows > max_positions:
+            raise ValueError(f"the game has more than {max_positions} positions")
+
     sets = cut(enabled_sets(edges, states))
-    attacks, clauses = _Known(), _Known()
+    attacks = _Known()
     new = attacks.new(seeds(pairs))
-    found, moves, total = [new], [], new.rows
+    found, total = [new], new.rows
     while new.rows:
-        step = cut(attack_moves(new, edges, sets))
-        defends = step.where("to.kind = 'D'").select("to.*")
-        answers = defend_moves(defends)
-        asked = clauses.new(answers.where("to.kind = 'C'").select("to.*"))
-        found += [defends, asked]
-        moves += [step, answers, clause_moves(asked)]
-        new = attacks.new(union_all(moves[-3:]).where("to.kind = 'A'").select("to.*"))
+        bounded(total)
+        new = attacks.new(_onward(attack_moves(new, edges, sets)))
         found.append(new)
-        total += asked.rows + new.rows + (defends.count() if max_positions is not None else 0)
-        if max_positions is not None and total > max_positions:
-            raise ValueError(f"the game has more than {max_positions} positions")
-    positions = union_all(found).select("pos", F.col("kind").isin("A", "C").alias("is_attack"), "kind", "p", "q", "qx")
-    every = [m.select("src", "upd", F.col("to.pos").alias("dst")) for m in moves]
-    return Game(positions, union_all(every) if every else new.select(F.col("pos").alias("src"), F.lit(0).alias("upd"), F.col("pos").alias("dst")), UPDATES, STANDARD)
+        total += new.rows
+    every = union_all(found)
+    step = cut(attack_moves(every, edges, sets).withColumn("deep", F.col("to.kind") == "D"), "deep")
+    total += step.rows
+    bounded(total)
+    defends = step.where("deep").select("to.*")
+    answers = defend_moves(defends)
+    clauses = cut(answers.where("to.kind = 'C'").select("to.*").dropDuplicates(["pos"]))
+    bounded(total + clauses.rows)
+    positions = union_all([every, defends, clauses]).select("pos", F.col("kind").isin("A", "C").alias("is_attack"), "kind", "p", "q", "qx")
+    moves = [m.select("src", "upd", F.col("to.pos").alias("dst")) for m in (step, answers, clause_moves(clauses))]
+    return Game(positions, union_all(moves), UPDATES, STANDARD)
 
 
 #: States of a class that are paired with as many others in one group, about.
