@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from tracewise.operators import refine
 from tracewise.plans import iterate
 
@@ -30,7 +28,7 @@ def refined(spark, edges, states):
 def test_random_systems_with_hot_states(spark, monkeypatch):
     """Every state with over three edges counts as hot."""
     monkeypatch.setattr(iterate, "HOT", 10**9)
-    monkeypatch.setattr(iterate.hot_keys, "__defaults__", (3, None))
+    monkeypatch.setattr(iterate.hot_keys, "__defaults__", (3,))
     rng = random.Random(1)
     states = list(range(60))
     edges = [(rng.randrange(50), rng.choice("ab"), rng.choice([rng.randrange(60), 7])) for _ in range(150)] + [(9, rng.choice("ab"), k) for k in range(30)]

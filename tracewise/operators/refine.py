@@ -66,7 +66,7 @@ class _Rounds:
         parts = int(onward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         #: Classes have one row for each state; where a partition of them is small, it is held as a hash table.
         self.held = (lambda df: df.hint("shuffle_hash")) if onward.rows + ends.rows <= HELD * parts else (lambda df: df)
-        self.to, self.of = hot_keys(onward, "dst", rows=onward.rows), hot_keys(onward, "src", rows=onward.rows)
+        self.to, self.of = hot_keys(onward, "dst"), hot_keys(onward, "src")
 
     def once(self, named: DataFrame) -> DataFrame:
         """(pid, c1, c2) from the classes before."""

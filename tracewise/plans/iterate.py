@@ -71,8 +71,9 @@ HELD = 1_000_000
 HOT = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, least: int = 10_000, rows: int | None = None) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, least: int = 10_000) -> DataFrame:
     """(key) of the keys that hold more than one in HOT of all rows, and at least ``least``: at most HOT keys, which may be broadcast."""
+    rows = vars(df).get("rows")  # as ``cut`` has counted
     rows = df.count() if rows is None else rows
     if rows <= least:
         none = df.sparkSession.createDataFrame([], df.select(key).schema)
