@@ -44,7 +44,7 @@ def signatures(edges: DataFrame, states: DataFrame, part: DataFrame) -> DataFram
 
 
 #: Rounds of a plan.
-ROUNDS = 3
+ROUNDS = 4
 
 
 def _folded(pairs: str) -> list:
@@ -87,17 +87,17 @@ class _Rounds:
         return named.join(self.held(before.select("pid", F.col("c1").alias("o1"), F.col("c2").alias("o2"))), "pid")
 
 
-def refine(edges: DataFrame, states: DataFrame) -> DataFrame:
-    """(pid, cls): the coarsest strong bisimulation; a class is called by its least state.
+def refine(edges: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """(pid, cls): the coarsest strong bisimulation over ``states`` (pid), or those that edges mention; a class is called by its least state.
 
-    Some rounds are one plan, until the last round of one makes no more classes than the round before it. A round is one join by target and
+    Some rounds are one plan, until the last round of one splits no class of the round before it. A round is one join by target and
     one aggregation by source. Deadlocked states are one class from the start: edges that lead to them are combined once for each source.
     Other targets with very many edges meet their class by broadcast, and sources with very many are combined in two steps.
     """
-    steps = cut(edges.select("src", "label", "dst").distinct())
-    live = steps.select(F.col("src").alias("pid")).distinct()
-    seen = steps.join(live.select(F.col("pid").alias("dst"), F.lit(True).alias("on")), "dst", "left")
-    seen = cut(seen.select("src", "label", "dst", F.coalesce("on", F.lit(False)).alias("on")), "on")
+    steps = edges.select("src", "label", "dst").distinct()
+    on = steps.select(F.col("src").alias("dst"), F.lit(True).alias("on")).distinct()
+    seen = cut(steps.join(on, "dst", "left").select("src", "label", "dst", F.coalesce("on", F.lit(False)).alias("on")), "on")
+    live = seen.select(F.col("src").alias("pid")).distinct()
     onward = seen.where("on").select("src", "label", "dst")
     onward.rows = seen.rows
     zero = F.lit(0).cast("bigint")
@@ -110,16 +110,15 @@ def refine(edges: DataFrame, states: DataFrame) -> DataFrame:
         if hasattr(named, "cut_path"):
             discard(named)
         named = new
-        count = new.agg(F.count_distinct("c1", "c2").alias("new"), F.count_distinct("o1", "o2").alias("old")).first()
-        if count.new == count.old:
+        split = F.expr("min(c1) <> max(c1) OR min(c2) <> max(c2)").alias("split")
+        if not new.groupBy("o1", "o2").agg(split).where("split").limit(1).count():
             break
     named = named.select("pid", F.concat_ws(",", "c1", "c2").alias("cls"))
     least = cut(named.groupBy("cls").agg(F.min("pid").alias("least"), F.count("*").alias("rows")))
     hot = cut(least.where(F.col("rows") > max(1000, new.rows // HOT)).select("cls"))
     names = least.select("cls", "least")
     out = (skew_join(named, names, "cls", hot) if hot.rows else named.join(names, "cls")).select("pid", F.col("least").alias("cls"))
-    dead = cut(states.select("pid").distinct().join(live, "pid", "left_anti"))
-    discard(steps)
+    dead = cut(seen.where("NOT on").select(F.col("dst").alias("pid")).distinct() if states is None else states.select("pid").distinct().join(live, "pid", "left_anti"))
     if dead.rows:
         out = out.unionByName(dead.crossJoin(F.broadcast(dead.agg(F.min("pid").alias("cls")))))  # one row
     return out

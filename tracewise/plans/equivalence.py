@@ -35,6 +35,7 @@ class LTS:
 
     def __init__(self, edges: DataFrame, states: DataFrame | None = None, sparse: bool = False) -> None:
         self.edges = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label")
+        self.mentioned = states is None and sparse
         self.states = states.select("pid") if states is not None else mentioned(self.edges) if sparse else universe(self.edges)
 
     def n_vertices(self) -> int:
@@ -52,7 +53,7 @@ class LTS:
 
     def minimize(self) -> tuple[LTS, DataFrame]:
         """The quotient by strong bisimilarity, on each class's least state, and the classes (pid, cls)."""
-        part = refine.refine(self.edges, self.states)
+        part = refine.refine(self.edges, None if self.mentioned else self.states)
         small = cut(refine.quotient(self.edges, part))
         return LTS(small, part.select(F.col("cls").alias("pid")).distinct()), part
 

@@ -111,7 +111,7 @@ def signature_round1(spark, sf_dir):
 def _refined(spark, sf_dir, name: str):
     s = _system(spark, sf_dir, name)
     edges = cut(s.edges)
-    return refine.refine(edges, LTS(edges, sparse=True).states)
+    return refine.refine(edges)
 
 
 def bisim_classes(name: str):
@@ -133,7 +133,7 @@ def quotient_edges(name: str):
     def query(spark, sf_dir):
         s = _system(spark, sf_dir, name)
         edges = cut(s.edges)
-        return refine.quotient(edges, refine.refine(edges, LTS(edges, sparse=True).states)).groupBy("src", "label", "dst").agg(F.count("*").alias("n"))
+        return refine.quotient(edges, refine.refine(edges)).groupBy("src", "label", "dst").agg(F.count("*").alias("n"))
 
     return query
 
