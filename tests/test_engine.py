@@ -194,18 +194,19 @@ def test_game_rules(spark, tmp_path):
 def test_game_of_the_figure(spark):
     s = system(spark, F2)
     game = s.game(spark.createDataFrame([(0, 1)], "p bigint, q bigint"))
-    won = {r.pos: sorted(map(list, r.energies)) for r in solve.solve(game).collect()}
+    name = {r.pos: r.key for r in game.positions.select("pos", build.spelled().alias("key")).collect()}
+    won = {name[r.pos]: sorted(map(list, r.energies)) for r in solve.solve(game).collect()}
     moves = {}
     for r in game.moves.collect():
-        moves.setdefault(r.src, []).append(r.dst)
+        moves.setdefault(name[r.src], []).append(name[r.dst])
     keys = ["A:0:1", "A:2:1", "D:0:1:", "D:2:1:", "C:0:1", "C:2:1", "A:1:0", "A:1:2", "A:1:0,2", "D:1:0:", "A:2:", "D:1:2:", "D:1:0,2:", "D:1:2:0", "C:1:0", "D:2::", "C:1:2"]
     to = [[0, 1, 2], [1, 3], [4], [5], [0, 6], [1, 7], [8, 9], [7, 10, 11], [8, 12, 13], [14], [15], [16], [14, 16], [6, 16], [0, 6], [], [1, 7]]
     es = [[[2, 2, 0, 0, 1, 1]], [[1, 2, 0, 0, 1, 1]], [[2, 2, 2, 2, 1, 1], [2, 3, 0, 0, 2, 3]], [[1, 1, 0, 0, 1, 1]], [[2, 2, 0, 2, 1, 1], [2, 3, 0, 0, 2, 3]], [[1, 1, 0, 0, 1, 1]], [[2, 3, 0, 0, 2, 2]], [[1, 1]], [[2, 3, 0, 0, 2, 2]], [[2, 2, 0, 0, 2, 2]], [[0, 1]], [[1, 1, 1, 1], [1, 2, 0, 0, 1, 2]], [[2, 2, 0, 0, 2, 2]], [[2, 3, 2, 0, 2, 2]], [[2, 2, 0, 0, 2, 2]], [[0]], [[1, 1, 0, 1], [1, 2, 0, 0, 1, 2]]]
-    assert {r.pos for r in game.positions.collect()} == set(keys)
+    assert sorted(name.values()) == sorted(keys)
     for k, key in enumerate(keys):
         assert sorted(set(moves.get(key, []))) == sorted(keys[j] for j in to[k]), key
         assert won.get(key, []) == pad(*es[k]), key
-    texts = {r.pos: r.t for r in game.positions.select("pos", build.show_position().alias("t")).collect()}
+    texts = {name[r.pos]: r.t for r in game.positions.select("pos", build.show_position().alias("t")).collect()}
     assert texts["A:1:0,2"] == "(1, {0, 2})a" and texts["D:1:2:0"] == "(1, {2}, {0})d" and texts["C:1:2"] == "(1, 2)c"
 
 

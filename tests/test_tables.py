@@ -74,3 +74,38 @@ def test_a_game_over_tables(spark, tmp_path):
     attackers = [names[r.pos] for r in game.positions.where("is_attack").collect()]
     assert {names[k]: v for k, v in solved(game).items()} == plain(edges, attackers, len(names), E.STANDARD)
     assert game.positions.where(F.col("pos") % 4 == 3).count() == len(items)
+
+
+def _spelled_game(game):
+    name = {r.pos: r.key for r in game.positions.select("pos", build.spelled().alias("key")).collect()}
+    moves = sorted((name[r.src], r.upd, name[r.dst]) for r in game.moves.collect())
+    return name, moves, sorted((name[r.pos], sorted(map(list, r.energies))) for r in solve.solve(game).collect())
+
+
+def test_positions_of_equal_numbers_are_seen(spark, monkeypatch):
+    """With a seed that calls most positions alike, the game is built with the next one and is the same."""
+    system = LTS(lts.from_edges(spark, [(0, 1, 0), (0, 2, 0), (2, 3, 1), (4, 5, 0), (5, 3, 1)]))
+    pairs = spark.createDataFrame([(0, 4)], "p long, q long")
+    plainly = system.game(pairs)
+    assert plainly.seed == 0 and plainly.positions.schema["pos"].dataType.typeName() == "long"
+    whole = build.position
+
+    def narrow(kind, p, q, qx=None, seed=0):
+        at = whole(kind, p, q, qx, seed)
+        pos = F.pmod(at["pos"], F.lit(4).cast("bigint")) if seed < 1 else at["pos"]
+        return F.struct(pos.alias("pos"), *[at[c].alias(c) for c in ("mark", "kind", "p", "q", "qx")])
+
+    monkeypatch.setattr(build, "position", narrow)
+    again = system.game(pairs)
+    assert again.seed == 1
+    (a, b, c), (d, e, f) = _spelled_game(plainly), _spelled_game(again)
+    assert sorted(a.values()) == sorted(d.values()) and set(a) != set(d) and b == e and c == f
+    assert sorted(r.energy for r in system.compare_unminimized(0, 4).collect()) == dict(c)["A:0:4"]
+
+
+def test_sets_that_run_into_each_other_are_different_positions(spark):
+    one, two, three = F.array(F.lit(2), F.lit(3)), F.array(F.lit(2)), F.array(F.lit(3))
+    none = F.array().cast("array<bigint>")
+    made = [build.defend(F.lit(1), one, none), build.defend(F.lit(1), two, three), build.defend(F.lit(1), none, one), build.attack(F.lit(1), one), build.clause(F.lit(1), F.lit(2)), build.attack(F.lit(1), two)]
+    rows = spark.range(1).select(F.explode(F.array(*made)).alias("x")).select("x.*", build.spelled("x").alias("key")).collect()
+    assert len({r.pos for r in rows}) == len({r.mark for r in rows}) == len({r.key for r in rows}) == len(made)

@@ -1,7 +1,9 @@
 """The comparison game of an LTS: positions reachable from the seeds, and moves between them.
 
-A position has a key, which spells it out: ``A:p:q,..`` (attack), ``C:p:q`` (clause), ``D:p:q,..:qx,..`` (defend). Keys are compared
-whole. Moves carry one of six updates.
+A position is called by a number, a 64-bit hash of its kind, its state and its sets, so that positions and moves are of fixed width however
+large the sets are. A second hash beside it tells positions of equal numbers apart while the game is built; if there are any, the game is built
+again with other hashes. So two positions are taken for one only if 128 bits agree. ``spelled`` gives a position in full. Moves carry one of
+six updates.
 """
 
 from __future__ import annotations
@@ -27,40 +29,48 @@ def _none() -> Column:
     return F.array().cast("array<bigint>")
 
 
-def position(kind: str, p: Column, q: Column, qx: Column | None = None) -> Column:
-    """A struct (pos, kind, p, q, qx)."""
+def position(kind: str, p: Column, q: Column, qx: Column | None = None, seed: int = 0) -> Column:
+    """A struct (pos, mark, kind, p, q, qx)."""
     qx = _none() if qx is None else qx
-    listed = lambda a: F.array_join(a.cast("array<string>"), ",")
-    parts = [F.lit(kind), p.cast("string"), listed(q)] + ([listed(qx)] if kind == "D" else [])
-    return F.struct(F.concat_ws(":", *parts).alias("pos"), F.lit(kind).alias("kind"), p.cast("bigint").alias("p"), q.cast("array<bigint>").alias("q"), qx.cast("array<bigint>").alias("qx"))
+    # a hash of arrays runs on from one to the next, so their sizes are hashed too
+    number = lambda half: F.xxhash64(F.lit(2 * seed + half), F.lit(kind), p.cast("bigint"), F.size(q), q.cast("array<bigint>"), qx.cast("array<bigint>"))
+    parts = [F.lit(kind).alias("kind"), p.cast("bigint").alias("p"), q.cast("array<bigint>").alias("q"), qx.cast("array<bigint>").alias("qx")]
+    return F.struct(number(0).alias("pos"), number(1).alias("mark"), *parts)
 
 
-def attack(p: Column, q: Column) -> Column:
-    return position("A", p, q)
+def attack(p: Column, q: Column, seed: int = 0) -> Column:
+    return position("A", p, q, seed=seed)
 
 
-def defend(p: Column, q: Column, qx: Column) -> Column:
-    return position("D", p, q, qx)
+def defend(p: Column, q: Column, qx: Column, seed: int = 0) -> Column:
+    return position("D", p, q, qx, seed)
 
 
-def clause(p: Column, q: Column) -> Column:
-    return position("C", p, F.array(q))
+def clause(p: Column, q: Column, seed: int = 0) -> Column:
+    return position("C", p, F.array(q), seed=seed)
+
+
+def spelled(at: str | None = None) -> Column:
+    """The position in the struct ``at`` (or in columns) in full: ``A:p:q,..`` (attack), ``C:p:q`` (clause), ``D:p:q,..:qx,..`` (defend)."""
+    of = lambda name: F.col(f"{at}.{name}" if at else name)
+    listed = lambda name: F.array_join(of(name).cast("array<string>"), ",")
+    return F.concat_ws(":", of("kind"), of("p").cast("string"), listed("q"), F.when(of("kind") == "D", listed("qx")))
 
 
 def _move(update: int, to: Column) -> list[Column]:
     return [F.col("pos").alias("src"), F.lit(update).alias("upd"), to.alias("to")]
 
 
-def attack_moves(frontier: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+def attack_moves(frontier: DataFrame, edges: DataFrame, sets: DataFrame, seed: int = 0) -> DataFrame:
     """(src, upd, to) of attack positions: observations, and conjunctions with up to four splits of Q."""
     at = frontier.where("kind = 'A'")
-    over = at.where(F.size("q") == 0).select(*_move(CONJUNCTION, defend(F.col("p"), _none(), _none())))
+    over = at.where(F.size("q") == 0).select(*_move(CONJUNCTION, defend(F.col("p"), _none(), _none(), seed)))
     at = at.where(F.size("q") > 0)
 
     steps = at.select("pos", F.col("p").alias("src")).join(edges, "src").select("pos", "label", F.col("dst").alias("p2"))
     image = at.select("pos", F.explode("q").alias("src")).join(edges, "src").groupBy("pos", "label").agg(F.sort_array(F.collect_set("dst")).alias("q2"))
     seen = steps.join(image, ["pos", "label"], "left").withColumn("q2", F.coalesce("q2", _none())).where(~F.array_contains("q2", F.col("p2")))
-    observed = seen.select(*_move(OBSERVATION, attack(F.col("p2"), F.col("q2"))))
+    observed = seen.select(*_move(OBSERVATION, attack(F.col("p2"), F.col("q2"), seed)))
 
     of = lambda name: sets.select(F.col("pid").alias(name), F.col("enabled").alias(f"i_{name}"))
     each = at.select("pos", "p", F.explode("q").alias("x")).join(of("p"), "p").join(of("x"), "x")
@@ -70,30 +80,30 @@ def attack_moves(frontier: DataFrame, edges: DataFrame, sets: DataFrame) -> Data
     splits = F.array(chosen(lambda s: s["le"]), chosen(lambda s: s["ge"]), chosen(lambda s: s["le"] & s["ge"]))
     plain = F.array(F.struct(F.transform("x", lambda s: s["x"]).alias("q"), _none().alias("qx")))
     splits = F.concat(plain, F.array_distinct(F.filter(splits, lambda s: (F.size(s["q"]) > 0) & (F.size(s["qx"]) > 0))))
-    split = each.select("pos", "p", F.explode(splits).alias("s")).select(*_move(CONJUNCTION, defend(F.col("p"), F.col("s.q"), F.col("s.qx"))))
+    split = each.select("pos", "p", F.explode(splits).alias("s")).select(*_move(CONJUNCTION, defend(F.col("p"), F.col("s.q"), F.col("s.qx"), seed)))
     return union_all([over, observed, split])
 
 
-def defend_moves(frontier: DataFrame) -> DataFrame:
+def defend_moves(frontier: DataFrame, seed: int = 0) -> DataFrame:
     """(src, upd, to) of defend positions: an answer for each of Q, and a revival of Q*."""
     at = frontier.where("kind = 'D'")
-    answers = at.select("pos", "p", F.explode("q").alias("x")).select(*_move(ANSWER, clause(F.col("p"), F.col("x"))))
-    return answers.unionByName(at.where(F.size("qx") > 0).select(*_move(REVIVAL, attack(F.col("p"), F.col("qx")))))
+    answers = at.select("pos", "p", F.explode("q").alias("x")).select(*_move(ANSWER, clause(F.col("p"), F.col("x"), seed)))
+    return answers.unionByName(at.where(F.size("qx") > 0).select(*_move(REVIVAL, attack(F.col("p"), F.col("qx"), seed))))
 
 
-def clause_moves(frontier: DataFrame) -> DataFrame:
+def clause_moves(frontier: DataFrame, seed: int = 0) -> DataFrame:
     """(src, upd, to) of clause positions: both ways round."""
     at = frontier.where("kind = 'C'").select("pos", "p", F.col("q")[0].alias("x"))
-    both = F.array(F.struct(F.lit(POSITIVE).alias("upd"), attack(F.col("p"), F.array("x")).alias("to")), F.struct(F.lit(NEGATIVE).alias("upd"), attack(F.col("x"), F.array("p")).alias("to")))
+    both = F.array(F.struct(F.lit(POSITIVE).alias("upd"), attack(F.col("p"), F.array("x"), seed).alias("to")), F.struct(F.lit(NEGATIVE).alias("upd"), attack(F.col("x"), F.array("p"), seed).alias("to")))
     return at.where("p <> x").select(F.col("pos").alias("src"), F.inline(both))
 
 
 class Game:
     """``positions`` (pos, is_attack) and ``moves`` (src, dst, upd). ``upd`` is the update itself, an array, or a number of one in
-    ``updates``."""
+    ``updates``. ``seed`` is that of the hashes that call the positions of a comparison."""
 
-    def __init__(self, positions: DataFrame, moves: DataFrame, updates: dict[int, tuple] | None, conf) -> None:
-        self.positions, self.moves, self.updates, self.conf = positions, moves, updates, conf
+    def __init__(self, positions: DataFrame, moves: DataFrame, updates: dict[int, tuple] | None, conf, seed: int = 0) -> None:
+        self.positions, self.moves, self.updates, self.conf, self.seed = positions, moves, updates, conf, seed
 
     def update_data(self) -> DataFrame:
         """(src, dst, upd) with updates as arrays."""
@@ -112,40 +122,43 @@ class Game:
         return self.moves.where(F.col("dst") == pos)
 
 
-def seeds(pairs: DataFrame) -> DataFrame:
+def seeds(pairs: DataFrame, seed: int = 0) -> DataFrame:
     """Attack positions of pairs (p, q)."""
-    return pairs.select(attack(F.col("p"), F.array("q")).alias("to")).select("to.*").dropDuplicates(["pos"])
+    return pairs.select(attack(F.col("p"), F.array("q"), seed).alias("to")).select("to.*").dropDuplicates(NAMES)
 
 
+#: What tells positions apart: the number, and the hash beside it.
+NAMES = ["pos", "mark"]
+
 #: Position tables that are merged into one when there are more: the search for known positions reads all of them.
 TABLES = 6
 
 
 class _Known:
-    """Keys met so far, as a few tables."""
+    """Names of positions met so far, as a few tables."""
 
     def __init__(self) -> None:
         self.tables: list[DataFrame] = []
 
     def new(self, candidates: DataFrame) -> DataFrame:
         """The distinct positions among ``candidates`` that were not met before; they count as met from now on."""
-        found = candidates.dropDuplicates(["pos"])
+        found = candidates.dropDuplicates(NAMES)
         if self.tables:
-            found = found.join(union_all(self.tables), "pos", "left_anti")
+            found = found.join(union_all(self.tables), NAMES, "left_anti")
         found = cut(found)
-        self.tables.append(found.select("pos"))
+        self.tables.append(found.select(NAMES))
         if len(self.tables) > TABLES:
             self.tables = [cut(union_all(self.tables))]
         return found
 
 
-def _onward(step: DataFrame) -> DataFrame:
+def _onward(step: DataFrame, seed: int) -> DataFrame:
     """Attack positions that the moves (to) of attack positions lead to: at once, by revival, or over an answer and its clause."""
     p = F.col("to.p")
-    one = lambda a, b: attack(a, F.array(b))
+    one = lambda a, b: attack(a, F.array(b), seed)
     asked = F.filter("to.q", lambda x: x != p)
     over = F.concat(F.transform(asked, lambda x: one(p, x)), F.transform(asked, lambda x: one(x, p)))
-    revived = F.when(F.size("to.qx") > 0, F.array(attack(p, F.col("to.qx"))))
+    revived = F.when(F.size("to.qx") > 0, F.array(attack(p, F.col("to.qx"), seed)))
     return step.select(F.explode(F.when(F.col("to.kind") == "A", F.array("to")).otherwise(F.concat(over, F.coalesce(revived, F.slice(over, 1, 0))))).alias("to")).select("to.*")
 
 
@@ -155,32 +168,43 @@ def build(edges: DataFrame, states: DataFrame, pairs: DataFrame, max_positions:
     A round finds the attack positions next reached, over defend positions and clauses, and writes these alone. Then the moves of all attack
     positions are made at once; defend positions belong to one attack position each, and their moves and those of clauses are told by the
     position, so they are not written."""
+    sets = cut(enabled_sets(edges, states))
+    seed = 0
+    while (game := _built(edges, sets, pairs, max_positions, seed)) is None:
+        seed += 1
+    return game
+
+
+def _built(edges: DataFrame, sets: DataFrame, pairs: DataFrame, max_positions: int | None, seed: int) -> Game | None:
+    """The game; none if two of its positions have the same number."""
     from tracewise.functions.energy import STANDARD
 
     def bounded(rows: int) -> None:
         if max_positions is not None and rows > max_positions:
             raise ValueError(f"the game has more than {max_positions} positions")
 
-    sets = cut(enabled_sets(edges, states))
     attacks = _Known()
-    new = attacks.new(seeds(pairs))
+    new = attacks.new(seeds(pairs, seed))
     found, total = [new], new.rows
     while new.rows:
         bounded(total)
-        new = attacks.new(_onward(attack_moves(new, edges, sets)))
+        new = attacks.new(_onward(attack_moves(new, edges, sets, seed), seed))
         found.append(new)
         total += new.rows
     every = union_all(found)
-    step = cut(attack_moves(every, edges, sets).withColumn("deep", F.col("to.kind") == "D"), "deep")
+    step = cut(attack_moves(every, edges, sets, seed).withColumn("deep", F.col("to.kind") == "D"), "deep")
     total += step.rows
     bounded(total)
     defends = step.where("deep").select("to.*")
-    answers = defend_moves(defends)
-    clauses = cut(answers.where("to.kind = 'C'").select("to.*").dropDuplicates(["pos"]))
+    answers = defend_moves(defends, seed)
+    clauses = cut(answers.where("to.kind = 'C'").select("to.*").dropDuplicates(NAMES))
     bounded(total + clauses.rows)
-    positions = union_all([every, defends, clauses]).select("pos", F.col("kind").isin("A", "C").alias("is_attack"), "kind", "p", "q", "qx")
-    moves = [m.select("src", "upd", F.col("to.pos").alias("dst")) for m in (step, answers, clause_moves(clauses))]
-    return Game(positions, union_all(moves), UPDATES, STANDARD)
+    positions = union_all([every, defends, clauses])
+    if positions.groupBy("pos").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        return None
+    positions = positions.select("pos", F.col("kind").isin("A", "C").alias("is_attack"), "kind", "p", "q", "qx")
+    moves = [m.select("src", "upd", F.col("to.pos").alias("dst")) for m in (step, answers, clause_moves(clauses, seed))]
+    return Game(positions, union_all(moves), UPDATES, STANDARD, seed)
 
 
 #: States of a class that are paired with as many others in one group, about.

@@ -64,8 +64,9 @@ class LTS:
         """(energy) of the position that compares p with q."""
         self._check(p, q)
         pairs = self.edges.sparkSession.createDataFrame([(p, q)], "p bigint, q bigint")
-        won = solve.solve(self.game(pairs))
-        return won.join(build.seeds(pairs).select("pos"), "pos", "left_semi").select(F.explode("energies").alias("energy"))
+        game = self.game(pairs)
+        won = solve.solve(game)
+        return won.join(build.seeds(pairs, game.seed).select("pos"), "pos", "left_semi").select(F.explode("energies").alias("energy"))
 
     def compare(self, p: int, q: int) -> DataFrame:
         """(energy): the least energies that tell p from q; none if they are bisimilar."""
@@ -96,8 +97,9 @@ class LTS:
         mapped = cut(pairs.join(own("p", "a"), "p").join(own("q", "b"), "q"))
         asked = cut(mapped.where("a <> b").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct())
         if asked.rows:
-            won = solve.solve(small.game(asked))
-            at = asked.select(F.col("p").alias("a"), F.col("q").alias("b"), build.attack(F.col("p"), F.array("q"))["pos"].alias("pos"))
+            game = small.game(asked)
+            won = solve.solve(game)
+            at = asked.select(F.col("p").alias("a"), F.col("q").alias("b"), build.attack(F.col("p"), F.array("q"), game.seed)["pos"].alias("pos"))
             mapped = mapped.join(at.join(won, "pos", "left").select("a", "b", F.col("energies").alias("es")), ["a", "b"], "left")
         else:
             mapped = mapped.withColumn("es", F.lit(None).cast("array<array<bigint>>"))
@@ -117,7 +119,7 @@ class LTS:
         pairs = cut(build.start_pairs(self.edges, self.states, subset, max_positions))
         game = self.game(pairs, max_positions)
         won = solve.solve(game)
-        at = pairs.select("p", "q", build.attack(F.col("p"), F.array("q"))["pos"].alias("pos"))
+        at = pairs.select("p", "q", build.attack(F.col("p"), F.array("q"), game.seed)["pos"].alias("pos"))
         pairs = cut(at.join(won, "pos", "left").select("p", "q", F.coalesce("energies", _no_energies()).alias("energies")))
         return Equivalence(pairs, part, game)
 

@@ -152,45 +152,53 @@ def _seeds(spark, sf_dir):
     s = _system(spark, sf_dir, "nat")
     edges = cut(s.edges)
     s = LTS(edges, sparse=True)
-    return s, cut(build.seeds(build.start_pairs(s.edges, s.states)))
+    return s, _spelled(cut(build.seeds(build.start_pairs(s.edges, s.states))))
+
+
+def _spelled(positions):
+    """Positions called by what they are instead of by number, so that their moves are too."""
+    return positions.withColumn("pos", build.spelled())
 
 
 def attack_moves(spark, sf_dir):
     s, at = _seeds(spark, sf_dir)
-    return build.attack_moves(at, s.edges, refine.enabled_sets(s.edges, s.states)).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
+    return build.attack_moves(at, s.edges, refine.enabled_sets(s.edges, s.states)).select("src", F.col("upd").cast("bigint").alias("upd"), build.spelled("to").alias("dst"))
 
 
 def defend_moves(spark, sf_dir):
     """From the plain conjunctions of the seeds."""
     _, at = _seeds(spark, sf_dir)
     d = at.select(build.defend(F.col("p"), F.col("q"), F.array().cast("array<bigint>")).alias("d")).select("d.*")
-    return build.defend_moves(d).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
+    d = _spelled(d)
+    return build.defend_moves(d).select("src", F.col("upd").cast("bigint").alias("upd"), build.spelled("to").alias("dst"))
 
 
 def clause_moves(spark, sf_dir):
     _, at = _seeds(spark, sf_dir)
     c = at.select(build.clause(F.col("p"), F.col("q")[0]).alias("c")).select("c.*")
-    return build.clause_moves(c).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
+    c = _spelled(c)
+    return build.clause_moves(c).select("src", F.col("upd").cast("bigint").alias("upd"), build.spelled("to").alias("dst"))
 
 
 def _parcel_sets(spark, sf_dir):
     """Attack positions that compare the first parcel of each order with all its others, where these are two or more."""
     s = LTS(cut(_system(spark, sf_dir, "parcel").edges), sparse=True)
     open_ = s.edges.where("label = 'open'").groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("all")).where("size(all) > 2")
-    return s, open_.select(build.attack(F.col("all")[0], F.slice("all", 2, F.size("all") - 1)).alias("a")).select("a.*")
+    return s, _spelled(open_.select(build.attack(F.col("all")[0], F.slice("all", 2, F.size("all") - 1)).alias("a")).select("a.*"))
 
 
 def split_moves(spark, sf_dir):
     """Observations and conjunctions from sets of several states, with all splits."""
     s, at = _parcel_sets(spark, sf_dir)
-    return build.attack_moves(at, s.edges, refine.enabled_sets(s.edges, s.states)).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
+    return build.attack_moves(at, s.edges, refine.enabled_sets(s.edges, s.states)).select("src", F.col("upd").cast("bigint").alias("upd"), build.spelled("to").alias("dst"))
 
 
 def revival_moves(spark, sf_dir):
     """Answers and revivals from the conjunctions of ``split_moves``."""
     s, at = _parcel_sets(spark, sf_dir)
     made = build.attack_moves(at, s.edges, refine.enabled_sets(s.edges, s.states)).where("to.kind = 'D'").select("to.*")
-    return build.defend_moves(made).select("src", F.col("upd").cast("bigint").alias("upd"), F.col("to.pos").alias("dst"))
+    made = _spelled(made)
+    return build.defend_moves(made).select("src", F.col("upd").cast("bigint").alias("upd"), build.spelled("to").alias("dst"))
 
 
 def game_size(name: str):
@@ -207,7 +215,7 @@ def attack_alone(spark, sf_dir):
     """The moves of one position and those into it, by position."""
     game = _solved(spark, sf_dir, "conv").game
     first = game.positions.where("kind = 'A' AND size(q) = 1").agg(F.min(F.struct("p", F.col("q")[0].alias("q"))).alias("m")).select("m.*")
-    pos = build.attack(F.col("p"), F.array("q"))["pos"].alias("pos")
+    pos = build.attack(F.col("p"), F.array("q"), game.seed)["pos"].alias("pos")
     out = game.moves.join(first.select(pos), F.col("src") == F.col("pos"), "left_semi").select(F.lit("out").alias("way"), F.col("upd").cast("bigint").alias("upd"))
     return out.unionByName(game.moves.join(first.select(pos), F.col("dst") == F.col("pos"), "left_semi").select(F.lit("in").alias("way"), F.col("upd").cast("bigint").alias("upd")))
 
