@@ -1,5 +1,6 @@
 """Many comparisons in one game, seed pairs in tiles, games of any size, games over tables."""
 
+import json
 import random
 
 import pytest
@@ -83,7 +84,7 @@ def _spelled_game(game):
 
 
 def test_positions_of_equal_numbers_are_seen(spark, monkeypatch):
-    """With a seed that calls most positions alike, the game is built with the next one and is the same."""
+    """With a seed that calls clauses alike, the game is built with the next one and is the same."""
     system = LTS(lts.from_edges(spark, [(0, 1, 0), (0, 2, 0), (2, 3, 1), (4, 5, 0), (5, 3, 1)]))
     pairs = spark.createDataFrame([(0, 4)], "p long, q long")
     plainly = system.game(pairs)
@@ -92,7 +93,7 @@ def test_positions_of_equal_numbers_are_seen(spark, monkeypatch):
 
     def narrow(kind, p, q, qx=None, seed=0):
         at = whole(kind, p, q, qx, seed)
-        pos = F.pmod(at["pos"], F.lit(4).cast("bigint")) if seed < 1 else at["pos"]
+        pos = F.pmod(at["pos"], F.lit(2).cast("bigint")) if seed < 1 and kind == "C" else at["pos"]
         return F.struct(pos.alias("pos"), *[at[c].alias(c) for c in ("mark", "kind", "p", "q", "qx")])
 
     monkeypatch.setattr(build, "position", narrow)
@@ -109,3 +110,52 @@ def test_sets_that_run_into_each_other_are_different_positions(spark):
     made = [build.defend(F.lit(1), one, none), build.defend(F.lit(1), two, three), build.defend(F.lit(1), none, one), build.attack(F.lit(1), one), build.clause(F.lit(1), F.lit(2)), build.attack(F.lit(1), two)]
     rows = spark.range(1).select(F.explode(F.array(*made)).alias("x")).select("x.*", build.spelled("x").alias("key")).collect()
     assert len({r.pos for r in rows}) == len({r.mark for r in rows}) == len({r.key for r in rows}) == len(made)
+
+
+def test_documents_in_pieces(spark, tmp_path):
+    """One state with many edges, states without any, equal edges; read from pieces, from small splits and from a document of another hand."""
+    rng = random.Random(8)
+    edges = [(rng.choice([0, 3, 3, 3, 3, 3, 7]), rng.randrange(9), rng.randrange(3)) for _ in range(400)]
+    want = [[] for _ in range(12)]
+    for s, d, x in edges:
+        want[s].append({"process": d, "label": x})
+    want = [sorted(row, key=lambda t: (t["label"], t["process"])) for row in want]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lts.write_json(lts.from_edges(spark, edges), str(tmp_path / "parts"), 12)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    assert len(parts) > 1 and json.loads("".join(p.read_text() for p in parts)) == {"adj": want}
+    (tmp_path / "one.json").write_text(json.dumps({"adj": want}, indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for name in ("parts", "one.json"):
+            assert sorted(map(tuple, lts.from_json(spark, str(tmp_path / name)).collect())) == sorted(edges)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for n, empty in enumerate(([], [[]], [[], []])):
+        lts.write_json(lts.from_edges(spark, []), str(tmp_path / "none"), n)
+        assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"adj": empty}
+        assert lts.from_json(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError, match="state 8"):
+        lts.write_json(lts.from_edges(spark, [(8, 0, 0)]), str(tmp_path / "bad"), 8)
+
+
+def test_events_of_a_hot_user(spark, tmp_path):
+    """Nearly all events are of one user, so that their rows lie in all ranges."""
+    rng = random.Random(9)
+    kinds = ["view", "click", "buy", None]
+    rows = [(k, rng.choice([5, 5, 5, 5, 5, 6, None]), rng.randrange(300), rng.choice(kinds)) for k in range(600)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    state = lambda r: r[1] * 65536 + ord(r[3][0]) * 256 + ord(r[3][1])
+    want = set()
+    for user in (5, 6):
+        own = sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0]))
+        want |= {(state(a) if a[3] else None, state(b), b[3]) for a, b in zip(own, own[1:]) if b[3]}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = list(map(tuple, lts.event_edges(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(want) and set(got) == want

@@ -64,6 +64,18 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     return numbered.withColumn(name, F.col(name) + F.col("rows_before")).drop("range_id", "rows_before")
 
 
+def followed(df: DataFrame, by: list[str], columns: list[str], name: str) -> DataFrame:
+    """``df`` with a struct ``name`` of the ``columns`` of the next row in the order of ``by`` (then of ``columns``), null for the last row: the next
+    one within ranges, and for the last row of a range the first of the next range, a row for each shuffle partition."""
+    split = cut(df.repartitionByRange(*by).withColumn("range_id", F.spark_partition_id()))
+    first = F.min(F.struct(F.struct(*by).alias("by"), F.struct(*columns).alias("row")))["row"]
+    heads = split.groupBy("range_id").agg(first.alias("head"))
+    heads = heads.select("range_id", F.lead("head").over(Window.orderBy("range_id")).alias("next_head"))
+    within = F.lead(F.struct(*columns)).over(Window.partitionBy("range_id").orderBy(*by, *columns))
+    near = split.withColumn(name, within).join(F.broadcast(heads), "range_id")
+    return near.withColumn(name, F.coalesce(name, "next_head")).drop("range_id", "next_head")
+
+
 #: Rows of a partition that are held as a hash table in a join, at most: tables with one row for each key.
 HELD = 1_000_000
 

@@ -322,12 +322,12 @@ def text_files(spark, sf_dir):
 
 
 def json_round_trip(spark, sf_dir):
-    """The nation system, its labels numbered in order, written as a JSON document and read back."""
+    """The nation system, its labels numbered in order, written as a JSON document in pieces and read back."""
     path = f"{shared_dir(spark)}/json-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
     edges = lts.nation_edges(spark, sf_dir)
     names = F.broadcast(lts.ranked(edges.select("label").distinct(), "label", "number"))  # market segments and one more
     s = LTS(edges.join(names, "label").select("src", "dst", F.col("number").cast("int").alias("label")))
-    lts.to_json(s.edges, s.states).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    lts.write_json(s.edges, path)
     return lts.from_json(spark, path)
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewise.plans.iterate import cut, ranked
+from tracewise.plans.iterate import cut, followed, ranked
 
 EDGES = "src bigint, dst bigint, label int"
-LTS_JSON = "adj array<array<struct<process: bigint, label: int>>>"
+STEP_JSON = "process bigint, label int"
 
 
 class MissingFieldError(ValueError):
@@ -68,10 +68,43 @@ def from_adjacency(spark: SparkSession, adj: list[list[tuple]]) -> DataFrame:
 
 
 def from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of a JSON document ``{"adj": [[{"process": .., "label": ..}, ..], ..]}``."""
-    doc = spark.read.schema(LTS_JSON).json(path, multiLine=True)
-    rows = doc.select(F.posexplode("adj").alias("src", "row")).select(F.col("src").cast("bigint").alias("src"), F.explode("row").alias("t"))
-    return rows.select("src", F.col("t.process").alias("dst"), "t.label")
+    """Edges of a JSON document ``{"adj": [[{"process": .., "label": ..}, ..], ..]}``, one file or a folder of the pieces of one.
+
+    The document is cut after each object and read in any number of splits, so a state's list may lie in several of them. An edge's state is the
+    number of lists that were opened before it, in its split and in the splits before. Objects without a process are no edges."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    opened = F.length("value") - F.length(F.replace("value", F.lit("["), F.lit("")))
+    pieces = cut(spark.read.text(path, lineSep="}").select("value", opened.alias("opened"), *meta, F.monotonically_increasing_id().alias("id")))
+    before = F.sum("lists").over(Window.orderBy(F.length("file"), "file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = pieces.groupBy("file", "start").agg(F.sum("opened").alias("lists")).select("file", "start", F.coalesce(before, F.lit(0)).alias("lists_before"))
+    within = F.sum("opened").over(Window.partitionBy("file", "start").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = pieces.withColumn("lists", within).join(splits, ["file", "start"]).where(F.contains("value", F.lit("{")))
+    step = F.from_json(F.concat(F.lit("{"), F.substring_index("value", "{", -1), F.lit("}")), STEP_JSON)
+    rows = rows.select((F.col("lists_before") + F.col("lists") - 2).alias("src"), step.alias("t"))  # the outer list, and states count from 0
+    return rows.where("t.process IS NOT NULL").select("src", F.col("t.process").alias("dst"), "t.label")
+
+
+def write_json(edges: DataFrame, path: str, n: int | None = None) -> None:
+    """Writes an LTS of the states 0 to ``n`` - 1 (by default, to the largest one mentioned), each row sorted by label, as one JSON document in
+    pieces: the part files of the folder, one after the other in the order of their names, are the document.
+
+    A line is an edge or the beginning of a state's list, and the line after it tells what must follow, so no list is ever held whole."""
+    top = edges.agg(F.max(F.greatest("src", "dst")).alias("m")).first().m
+    least = 0 if top is None else top + 1
+    if n is not None and n < least:
+        raise ValueError(f"state {top} in a system of {n} states")
+    spark = edges.sparkSession
+    row = lambda pid, kind, text, label=None, dst=None: [pid.cast("bigint").alias("pid"), F.lit(kind).alias("kind"), F.lit(label).cast("int").alias("label") if label is None else label, F.lit(dst).cast("bigint").alias("dst") if dst is None else dst, text.alias("text")]
+    step = F.to_json(F.struct(F.col("dst").cast("bigint").alias("process"), F.col("label").cast("int").alias("label")))
+    lines = spark.range(least if n is None else n).select(*row(F.col("id"), 1, F.lit("[")))
+    lines = lines.unionByName(edges.select(*row(F.col("src"), 2, step, F.col("label").cast("int").alias("label"), F.col("dst").cast("bigint").alias("dst"))))
+    ends = spark.range(1)
+    lines = lines.unionByName(ends.select(*row(F.lit(-1), 0, F.lit('{"adj":[')))).unionByName(ends.select(*row(F.lit(2**63 - 1), 3, F.lit("]}"))))
+    order = ["pid", "kind", "label", "dst"]
+    after = F.col("after.kind")
+    then = F.when(~F.col("kind").isin(1, 2), "").when(after == 1, "],").when(after == 3, "]").when(F.col("kind") == 2, ",").otherwise("")
+    told = followed(lines, order, ["kind"], "after").withColumn("value", F.concat("text", then))
+    told.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def to_json(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -110,10 +143,9 @@ def conversation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States (user, event type): user_id * 2^10 + first letters of the type; each event leads by the next one's type to it."""
     state = F.col("user_id") * (1 << 16) + F.ascii("event_type") * 256 + F.ascii(F.substring("event_type", 2, 1))
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", state.alias("src"))
-    rows = rows.withColumn("dst", F.lead("src").over(order)).withColumn("label", F.lead("event_type").over(order))
-    return rows.where("dst IS NOT NULL").select("src", "dst", "label").distinct()
+    rows = followed(rows, ["user_id", "ts", "event_id"], ["user_id", "src", "event_type"], "after").where("user_id = after.user_id AND after.src IS NOT NULL")
+    return rows.select("src", F.col("after.src").alias("dst"), F.col("after.event_type").alias("label")).distinct()
 
 
 def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
