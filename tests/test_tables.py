@@ -80,7 +80,7 @@ def test_a_game_over_tables(spark, tmp_path):
 def _spelled_game(game):
     name = {r.pos: r.key for r in game.positions.select("pos", build.spelled().alias("key")).collect()}
     moves = sorted((name[r.src], r.upd, name[r.dst]) for r in game.moves.collect())
-    return name, moves, sorted((name[r.pos], sorted(map(list, r.energies))) for r in solve.solve(game).collect())
+    return name, moves
 
 
 def test_positions_of_equal_numbers_are_seen(spark, monkeypatch):
@@ -99,9 +99,8 @@ def test_positions_of_equal_numbers_are_seen(spark, monkeypatch):
     monkeypatch.setattr(build, "position", narrow)
     again = system.game(pairs)
     assert again.seed == 1
-    (a, b, c), (d, e, f) = _spelled_game(plainly), _spelled_game(again)
-    assert sorted(a.values()) == sorted(d.values()) and set(a) != set(d) and b == e and c == f
-    assert sorted(r.energy for r in system.compare_unminimized(0, 4).collect()) == dict(c)["A:0:4"]
+    (a, b), (d, e) = _spelled_game(plainly), _spelled_game(again)
+    assert sorted(a.values()) == sorted(d.values()) and set(a) != set(d) and b == e
 
 
 def test_sets_that_run_into_each_other_are_different_positions(spark):
