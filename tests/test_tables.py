@@ -141,6 +141,58 @@ def test_documents_in_pieces(spark, tmp_path):
         lts.write_json(lts.from_edges(spark, [(8, 0, 0)]), str(tmp_path / "bad"), 8)
 
 
+def test_game_documents_in_pieces(spark, tmp_path):
+    """A node with most of the moves, equal moves, short updates, nodes without moves; read from pieces, small splits and another hand's document."""
+    rng = random.Random(12)
+    conf = E.EnergyConf(3, 7)
+    edges = [(rng.choice([0, 2, 2, 2, 2, 5]), rng.randrange(8), rng.choice([[0, -1, 0], [2, 0, 0], [0, 0, -1]])) for _ in range(300)]
+    adj, weights = [[] for _ in range(8)], [[] for _ in range(8)]
+    for s, d, u in sorted(edges, key=lambda e: (e[0], e[1], json.dumps(e[2]).replace(" ", ""))):
+        adj[s].append(d)
+        weights[s].append(u)
+    want = {"conf": {"elements": 3, "max": 7}, "adj": adj, "weights": weights, "attacker_pos": [k % 3 == 0 for k in range(8)]}
+    game = solve.from_edges(spark, edges, [0, 3, 6], 8, conf)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        games.write_json(game, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    assert len(parts) > 1 and json.loads("".join(p.read_text() for p in parts)) == want
+    (tmp_path / "one.json").write_text(json.dumps({k: want[k] for k in ("attacker_pos", "weights", "conf", "adj")}, indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for name in ("parts", "one.json"):
+            back = games.from_json(spark, str(tmp_path / name))
+            assert back.conf == conf
+            assert sorted((r.src, r.dst, list(r.upd)) for r in back.moves.collect()) == sorted(edges)
+            assert [r.is_attack for r in back.positions.orderBy("pos").collect()] == want["attacker_pos"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    short = {"conf": {"max": 7, "elements": 3}, "adj": [[1, 1], []], "weights": [[[], [-1]], []], "attacker_pos": [True, False]}
+    (tmp_path / "short.json").write_text(json.dumps(short))
+    assert sorted(list(r.upd) for r in games.from_json(spark, str(tmp_path / "short.json")).moves.collect()) == [[-1, 0, 0], [0, 0, 0]]
+    for n in (0, 1):
+        games.write_json(solve.from_edges(spark, [], [], n, conf), str(tmp_path / "none"))
+        assert games.from_json(spark, str(tmp_path / "none")).positions.count() == n
+    with pytest.raises(ValueError, match="0 to n - 1"):
+        games.write_json(build.Game(spark.createDataFrame([(1, True)], "pos long, is_attack boolean"), game.moves.limit(0), None, conf), str(tmp_path / "bad"))
+
+
+def test_broken_game_documents(spark, tmp_path):
+    good = {"conf": {"elements": 2, "max": 3}, "adj": [[1, 0], [0]], "weights": [[[-1], [0, -1]], [[1]]], "attacker_pos": [True, False]}
+    swapped = {"weights": [[[-1]], [[0, -1], [1]]]}
+    changes = [(swapped, "other numbers"), ({"adj": [[1, 0], [-1]]}, "no node"), ({"attacker_pos": [1, 0]}, "no game"), ({"adj": [[1, True], [0]]}, "no game"), ({"adj": [1, [0]]}, "no game"), ({"adj": [[1, [0]], [0]]}, "no game"), ({"weights": [[[-1], [9]], [[1]]]}, "updates must"), ({"adj": [[None, 0], [0]]}, "no game")]
+    for k, (change, error) in enumerate(changes):
+        (tmp_path / f"{k}.json").write_text(json.dumps(good | change))
+        with pytest.raises(ValueError, match=error):
+            games.from_json(spark, str(tmp_path / f"{k}.json"))
+    for k, text in enumerate(["", "{}", json.dumps(good)[:-1] + ', "adj": []}', json.dumps(good)[:-2]]):
+        (tmp_path / f"t{k}.json").write_text(text)
+        with pytest.raises(ValueError, match="no game"):
+            games.from_json(spark, str(tmp_path / f"t{k}.json"))
+
+
 def test_events_of_a_hot_user(spark, tmp_path):
     """Nearly all events are of one user, so that their rows lie in all ranges."""
     rng = random.Random(9)

@@ -332,9 +332,9 @@ def json_round_trip(spark, sf_dir):
 
 
 def game_json(spark, sf_dir):
-    """The suppliers' diamonds written as a JSON document, read back and solved."""
+    """The suppliers' diamonds written as a JSON document in pieces, read back and solved."""
     path = f"{shared_dir(spark)}/game-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    games.to_json(games.supplier_game(spark, sf_dir)).select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    games.write_json(games.supplier_game(spark, sf_dir), path)
     return _energies(solve.solve(games.from_json(spark, path)))
 
 
@@ -589,6 +589,30 @@ UNION SELECT m.kind, m.p, m.x FROM (
   UNION ALL SELECT 'C', p, x FROM pos WHERE kind = 'D' AND x >= 0
   UNION ALL SELECT 'A', p, x FROM pos WHERE kind = 'C' AND p <> x
   UNION ALL SELECT 'A', x, p FROM pos WHERE kind = 'C' AND p <> x) m)"""
+#: The game on the quotient of the parcels, round by round from its definition: positions are pairs of a class and a set of classes. ``em`` is the
+#: mask of a class's labels (8: open), ``qe`` its moves with their numbers, ``tl`` its targets by label; ``part`` the four ways to split a set.
+_GAME_PARCEL = "RECURSIVE " + _FAMILY + """, c AS (SELECT pid, m, min(pid) OVER (PARTITION BY readiness) AS cls FROM pkey),
+qe AS MATERIALIZED (SELECT a.cls AS src, label, b.cls AS dst, count(*) AS n FROM parcel JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.pid = a.cls GROUP BY ALL),
+tl AS MATERIALIZED (SELECT src, label, list(dst) AS ts FROM qe GROUP BY ALL),
+qm AS MATERIALIZED (SELECT DISTINCT cls, CASE m WHEN 0 THEN 8 ELSE m END AS em FROM c),
+att(p, q) AS (SELECT a.cls, [b.cls] FROM qm a JOIN qm b ON a.em = b.em AND a.cls <> b.cls
+UNION SELECT p, q FROM (
+  WITH img AS (SELECT p, q, label, list_sort(list_distinct(flatten(list(ts)))) AS q2 FROM (SELECT p, q, unnest(q) AS x FROM att) JOIN tl ON src = x GROUP BY ALL),
+  part AS (SELECT p, q, list(x ORDER BY x) FILTER (WHERE b.em & a.em = b.em) AS le, list(x ORDER BY x) FILTER (WHERE b.em & a.em = a.em) AS ge, list(x ORDER BY x) FILTER (WHERE b.em = a.em) AS eq
+    FROM (SELECT p, q, unnest(q) AS x FROM att) JOIN qm a ON a.cls = p JOIN qm b ON b.cls = x GROUP BY ALL)
+  SELECT e.dst AS p, coalesce(q2, []) AS q FROM att JOIN qe e ON e.src = att.p LEFT JOIN img ON img.p = att.p AND img.q = att.q AND img.label = e.label WHERE len(att.q) > 0 AND NOT coalesce(list_contains(q2, e.dst), false)
+  UNION ALL SELECT p, [unnest(q)] FROM att
+  UNION ALL SELECT unnest(q), [p] FROM att
+  UNION ALL SELECT p, qx FROM (SELECT p, q, unnest([le, ge, eq]) AS qx FROM part) WHERE len(qx) < len(q)) m),
+img AS (SELECT p, q, label, list_sort(list_distinct(flatten(list(ts)))) AS q2 FROM (SELECT p, q, unnest(q) AS x FROM att) JOIN tl ON src = x GROUP BY ALL),
+seen AS (SELECT sum(e.n) AS n FROM att JOIN qe e ON e.src = att.p LEFT JOIN img ON img.p = att.p AND img.q = att.q AND img.label = e.label WHERE len(att.q) > 0 AND NOT coalesce(list_contains(q2, e.dst), false)),
+conj AS (SELECT DISTINCT p, q, v, coalesce(qx, []) AS qx FROM (SELECT p, q, 0 AS v, NULL::BIGINT[] AS qx FROM att
+  UNION ALL SELECT p, q, 1, unnest([list(x ORDER BY x) FILTER (WHERE b.em & a.em = b.em), list(x ORDER BY x) FILTER (WHERE b.em & a.em = a.em), list(x ORDER BY x) FILTER (WHERE b.em = a.em)])
+    FROM (SELECT p, q, unnest(q) AS x FROM att) JOIN qm a ON a.cls = p JOIN qm b ON b.cls = x GROUP BY p, q) WHERE v = 0 OR len(qx) BETWEEN 1 AND len(q) - 1),
+asked AS (SELECT count(*) AS n FROM (SELECT DISTINCT p, unnest(q) AS x FROM att)),
+sizes AS (SELECT 'positions A' AS what, count(*) AS n FROM att UNION ALL SELECT 'positions D', count(*) FROM conj UNION ALL SELECT 'positions C', n FROM asked
+UNION ALL SELECT 'moves 0', n FROM seen UNION ALL SELECT 'moves 1', count(*) FROM conj UNION ALL SELECT 'moves 2', sum(len(q) - len(qx)) FROM conj
+UNION ALL SELECT 'moves 3', count(*) FROM conj WHERE len(qx) > 0 UNION ALL SELECT 'moves 4', n FROM asked UNION ALL SELECT 'moves 5', n FROM asked)"""
 _OBS_CONV = "(SELECT count(*) FROM pos JOIN q n ON n.p = pos.p LEFT JOIN q o ON o.p = pos.x WHERE pos.kind = 'A' AND pos.x >= 0 AND NOT (coalesce(o.label = n.label, false) AND o.nxt = n.nxt))"
 _SPLITS = _PARCEL + """, ns AS (SELECT o, n, sum(CASE f WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END)::BIGINT AS m FROM items GROUP BY ALL),
 first AS (SELECT o, min(n) AS p, arg_min(m, n) AS pm FROM ns GROUP BY o HAVING count(*) > 2),
@@ -710,6 +734,7 @@ SELECT 'A:' || p || ':' || q AS src, CAST(0 AS BIGINT) AS upd, 'A:' || p2 || ':'
     "quotient_edges_parcel": f"WITH {_FAMILY}, c AS (SELECT pid, min(pid) OVER (PARTITION BY readiness) AS cls FROM pkey) SELECT a.cls AS src, label, b.cls AS dst, count(*) AS n FROM parcel JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.pid = a.cls GROUP BY ALL",
     "split_moves": f"WITH {_SPLITS} SELECT src, CAST(1 AS BIGINT) AS upd, 'D:' || conj.p || ':' || q || ':' || qx AS dst FROM conj JOIN start USING (o) UNION ALL SELECT src, 0, 'A:' || o || ':' FROM start, (VALUES (1), (2), (4)) AS t(f) WHERE pm & f > 0 AND qm & f = 0",
     "revival_moves": f"WITH {_SPLITS}, d AS (SELECT 'D:' || p || ':' || q || ':' || qx AS src, p, q, qx FROM conj) SELECT src, CAST(2 AS BIGINT) AS upd, 'C:' || p || ':' || unnest(string_split(q, ',')) AS dst FROM d UNION ALL SELECT src, 3, 'A:' || p || ':' || qx FROM d WHERE qx <> ''",
+    "game_size_parcel": f"WITH {_GAME_PARCEL} SELECT what, CAST(n AS BIGINT) AS n FROM sizes WHERE n > 0",
     "game_size_conv": f"WITH {_GAME_CONV}, n AS (SELECT kind, x >= 0 AS has, count(*) AS n FROM pos GROUP BY ALL) SELECT 'positions ' || kind AS what, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY kind UNION ALL SELECT 'moves 0', {_OBS_CONV} UNION ALL SELECT 'moves 1', CAST(sum(n) AS BIGINT) FROM n WHERE kind = 'A' UNION ALL SELECT 'moves 2', CAST(sum(n) AS BIGINT) FROM n WHERE kind = 'D' AND has UNION ALL SELECT 'moves 4', (SELECT count(*) FROM pos WHERE kind = 'C' AND p <> x) UNION ALL SELECT 'moves 5', (SELECT count(*) FROM pos WHERE kind = 'C' AND p <> x)",
     "wide_algebra": f"WITH {_VEC}, s AS (SELECT a.pid, {', '.join(f'greatest(a.{e}, b.{e}) AS {e}' for e in _ES)} FROM vec a JOIN vec b ON b.pid = a.pid + 1), u AS (SELECT pid, e1 + 1 AS e1, e2, e3, e4, e5, e6 + 1 AS e6 FROM s) SELECT pid, concat_ws(',', greatest(e1, e3), e2, e3, e4, greatest(e5, e4), e6) AS e FROM u",
     "word_round_trip": f"WITH {_VEC} SELECT pid, concat_ws(',', {', '.join(_ES)}) AS energy, CAST({' + '.join(f'(CASE {e} WHEN 3 THEN 1 WHEN 0 THEN 0 ELSE {e} + 1 END) * {16**i}' for i, e in enumerate(_ES))} AS BIGINT) AS word, concat_ws(',', {', '.join(f'CASE {e} WHEN 3 THEN -1 ELSE {e} END' for e in _ES)}) AS upd, '(' || concat_ws(', ', {', '.join(f"CASE {e} WHEN 3 THEN '-' WHEN 0 THEN '0' ELSE 'm' || {e} END" for e in _ES)}) || ')' AS shown FROM vec",

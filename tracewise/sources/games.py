@@ -4,36 +4,105 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions.energy import ONE_DIMENSION, STANDARD, EnergyConf
 from tracewise.operators.build import Game
 from tracewise.operators.solve import from_tables
-from tracewise.plans.iterate import ranked
+from tracewise.plans.iterate import cut, discard, followed, ranked, union_all
 
-GAME_JSON = "conf struct<elements: int, max: bigint>, adj array<array<bigint>>, weights array<array<array<int>>>, attacker_pos array<boolean>"
+#: The lists of a document, and how deep their values lie.
+LISTS = {"adj": 2, "weights": 3, "attacker_pos": 1}
+#: The numbers of a document's configuration.
+NUMBERS = ["elements", "max"]
+
+
+def _running(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` (file, start, id, ..) with ``columns`` replaced by their sums up to each row: within splits, and a sum before each split."""
+    before = Window.orderBy(F.length("file"), "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file", "start").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    splits = rows.groupBy("file", "start").agg(*[F.sum(c).alias(c) for c in columns])
+    splits = splits.select("file", "start", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns])
+    summed = rows.withColumns({c: F.sum(c).over(within) for c in columns}).join(splits, ["file", "start"])
+    return summed.withColumns({c: F.col(c) + F.col(f"{c}_before") for c in columns}).drop(*[f"{c}_before" for c in columns])
 
 
 def from_json(spark: SparkSession, path: str) -> Game:
-    """A game of a JSON document; lists that don't fit together raise ValueError."""
-    doc = spark.read.schema(GAME_JSON).json(path, multiLine=True)
-    rules = {
-        "weights has another length than adj": F.size("weights") != F.size("adj"),
-        "attacker_pos has another length than adj": F.size("attacker_pos") != F.size("adj"),
-        "a node has other numbers of edges and weights": F.exists(F.zip_with("adj", "weights", lambda a, w: F.size(a) != F.size(w)), lambda bad: F.coalesce(bad, F.lit(True))),
-        "an edge leads to no node": F.exists(F.flatten("adj"), lambda x: (x < 0) | (x >= F.size("adj"))),
-    }
-    row = doc.select("conf", *[rule.alias(f"r{k}") for k, rule in enumerate(rules.values())]).first()
-    if row is None or row.conf is None:
+    """A game of a JSON document ``{"conf": {"elements": .., "max": ..}, "adj": [[..], ..], "weights": [[[..], ..], ..], "attacker_pos": [..]}``,
+    its fields in any order, one file or a folder of the pieces of one; lists that don't fit together raise ValueError.
+
+    The document is cut after each comma and read in any number of splits. A piece holds one value at most, after the brackets that open before it
+    and before those that close after it; depth, node and edge are numbers of brackets and values in its split and the splits before. The k-th
+    target belongs to the k-th update."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    times = lambda c: F.length("value") - F.length(F.replace("value", F.lit(c), F.lit("")))
+    text = F.regexp_replace(F.substring_index("value", ":", -1), r"[\[\]{}\s]", "")
+    read = spark.read.text(path, lineSep=",").select("value", *meta, F.monotonically_increasing_id().alias("id"))
+    pieces = cut(read.select(F.regexp_extract("value", r'(?s).*"(\w+)"\s*:', 1).alias("key"), text.alias("text"), times("[").alias("opened"), times("]").alias("closed"), "file", "start", "id"))
+
+    at = F.struct(F.length("file").alias("n"), F.col("file").alias("file"), F.col("start").alias("start"), F.col("id").alias("id"))
+    heads = pieces.where(F.col("key").isin(*LISTS, *NUMBERS)).groupBy("key").agg(F.count("*").alias("rows"), F.min(at).alias("at"), F.min("text").alias("text")).collect()  # a row for each field
+    heads = {r.key: r for r in heads}
+    if len(heads) < len(LISTS) + len(NUMBERS) or any(r.rows > 1 for r in heads.values()) or not all(heads[k].text.isdigit() for k in NUMBERS):
         raise ValueError("the document holds no game")
-    for k, text in enumerate(rules):
-        if row[k + 1] or row[k + 1] is None:
+    conf = EnergyConf(*[int(heads[k].text) for k in NUMBERS])
+    field = F.lit(None)
+    for key, head in sorted(heads.items(), key=lambda h: tuple(h[1]["at"])):
+        since = F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(head["at"], ("int", "string", "bigint", "bigint"), ("n", "file", "start", "id"))])
+        field = F.when(at >= since, F.lit(key)).otherwise(field)
+
+    rows = _running(pieces.withColumn("field", field).where(F.col("field").isin(*LISTS)).withColumn("depth", F.col("opened") - F.col("closed")), ["depth"])
+    top = F.col("depth") + F.col("closed")
+    opens = lambda level: (top - F.col("opened") < level) & (top >= level)
+    known = F.create_map(*[F.lit(x) for pair in LISTS.items() for x in pair])
+    fits = F.when(F.col("text") == "", top <= known[F.col("field")]).otherwise((top == known[F.col("field")]) & F.col("text").rlike(r"^(-?\d{1,18}|true|false)$") & (F.col("text").isin("true", "false") == (F.col("field") == "attacker_pos")))
+    holds = F.col("text") != ""
+    counted = {"nodes": (F.col("field") == "adj") & opens(2), "edges": (F.col("field") == "adj") & holds, "w_nodes": (F.col("field") == "weights") & opens(2), "w_edges": (F.col("field") == "weights") & opens(3), "owners": (F.col("field") == "attacker_pos") & holds}
+    rows = rows.select("field", "text", "file", "start", "id", (fits & (F.col("depth") >= 0)).alias("fits"), opens(3).alias("begins"), (F.col("opened") - F.col("closed")).alias("net"), *[c.cast("bigint").alias(k) for k, c in counted.items()])
+    told = rows.agg(F.count_if(~F.col("fits")).alias("misfits"), F.sum("net").alias("net"), *[F.sum(k).alias(k) for k in counted]).first()
+    if told.misfits or told.net:
+        raise ValueError("the document holds no game")
+    for lost, text in ((told.w_nodes != told.nodes, "weights has another length than adj"), (told.owners != told.nodes, "attacker_pos has another length than adj"), (told.w_edges != told.edges, "a node has other numbers of edges and weights")):
+        if lost:
             raise ValueError(text)
-    conf = EnergyConf(row.conf.elements, row.conf.max)
-    positions = doc.select(F.posexplode("attacker_pos").alias("pos", "is_attack")).select(F.col("pos").cast("bigint").alias("pos"), "is_attack")
-    rows = doc.select(F.posexplode(F.arrays_zip("adj", "weights")).alias("src", "n")).select(F.col("src").cast("bigint").alias("src"), F.explode(F.arrays_zip("n.adj", "n.weights")).alias("m"))
-    return from_tables(positions, rows.select("src", F.col("m.adj").alias("dst"), F.col("m.weights").alias("upd")), conf)
+
+    rows = cut(_running(rows, list(counted)))
+    discard(pieces)
+    targets = rows.where((F.col("field") == "adj") & holds).select(F.col("edges").alias("edge"), (F.col("nodes") - 1).alias("src"), F.col("text").cast("bigint").alias("dst"))
+    number = F.when(holds, F.struct(at.alias("at"), F.col("text").cast("bigint").alias("u")))
+    updates = rows.where((F.col("field") == "weights") & (holds | F.col("begins"))).groupBy(F.col("w_edges").alias("edge")).agg(F.min("w_nodes").alias("node"), F.sort_array(F.collect_list(number))["u"].alias("upd"))
+    moves = cut(targets.join(updates, "edge").select("src", "dst", "upd", (F.col("node") - 1).alias("node")))
+    if moves.where("src <> node").limit(1).count():
+        raise ValueError("a node has other numbers of edges and weights")
+    if moves.where((F.col("dst") < 0) | (F.col("dst") >= told.nodes)).limit(1).count():
+        raise ValueError("an edge leads to no node")
+    positions = rows.where((F.col("field") == "attacker_pos") & holds).select((F.col("owners") - 1).alias("pos"), (F.col("text") == "true").alias("is_attack"))
+    return from_tables(positions, moves.select("src", "dst", "upd"), conf)
+
+
+def write_json(game: Game, path: str) -> None:
+    """Writes a game whose positions are 0 to n - 1 as one JSON document in pieces: the part files of the folder, one after the other in the order of
+    their names, are the document. A node's moves are sorted by target and update. Other positions raise ValueError.
+
+    A line is the beginning of a field or of a node's list, or a value, and the line after it tells what must follow, so no list is ever held whole."""
+    n = game.positions.agg(F.count("*").alias("rows"), F.countDistinct("pos").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b")).first()
+    ends = game.moves.agg(F.min(F.least("src", "dst")).alias("a"), F.max(F.greatest("src", "dst")).alias("b")).first()
+    if n.rows != n.n or (n.n and (n.a != 0 or n.b != n.n - 1)) or (ends.a is not None and (ends.a < 0 or ends.b >= n.n)):
+        raise ValueError("positions must be 0 to n - 1, each once, and moves between them")
+    order = ["field", "pos", "kind", "dst", "upd"]
+    row = lambda field, text, kind, pos=-1, dst=0, upd="": [F.lit(v).cast(t).alias(k) for k, v, t in zip(order, (field, pos, kind, dst, upd), ("int", "bigint", "int", "bigint", "string"))] + [F.lit(text).alias("text")]
+    one, nodes, moves = game.positions.sparkSession.range(1), game.positions, game.update_data().withColumn("upd", F.to_json("upd"))
+    conf = f'{{"conf":{{"elements":{game.conf.elements},"max":{game.conf.max}}}'
+    lines = [one.select(*row(k, text, 0)) for k, text in enumerate((conf + ',"adj":[', '],"weights":[', '],"attacker_pos":[', "]}"))]
+    lines += [nodes.select(*row(k, "[", 1, F.col("pos"))) for k in (0, 1)] + [nodes.select(*row(2, F.col("is_attack").cast("string"), 1, F.col("pos")))]
+    lines += [moves.select(*row(k, text, 2, F.col("src"), F.col("dst"), F.col("upd"))) for k, text in ((0, F.col("dst").cast("string")), (1, F.col("upd")))]
+    after = F.col("after.kind")
+    closed = F.when(after == 2, F.when(F.col("kind") == 2, ",").otherwise("")).when(after == 1, "],").otherwise("]")
+    then = F.when(F.col("kind") == 0, "").when(F.col("field") == 2, F.when(after == 1, ",").otherwise("")).otherwise(closed)
+    told = followed(union_all(lines), order, ["kind"], "after").withColumn("value", F.concat("text", then))
+    # of equal moves those with a comma after them come first
+    told.repartitionByRange(*order).sortWithinPartitions(*order, "value").select("value").write.mode("overwrite").text(path)
 
 
 def to_json(game: Game) -> DataFrame:

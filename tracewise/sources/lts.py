@@ -104,7 +104,8 @@ def write_json(edges: DataFrame, path: str, n: int | None = None) -> None:
     after = F.col("after.kind")
     then = F.when(~F.col("kind").isin(1, 2), "").when(after == 1, "],").when(after == 3, "]").when(F.col("kind") == 2, ",").otherwise("")
     told = followed(lines, order, ["kind"], "after").withColumn("value", F.concat("text", then))
-    told.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+    # of equal edges those with a comma after them come first
+    told.repartitionByRange(*order).sortWithinPartitions(*order, "value").select("value").write.mode("overwrite").text(path)
 
 
 def to_json(edges: DataFrame, states: DataFrame) -> DataFrame:
