@@ -69,6 +69,30 @@ def test_empty_tables(spark):
     assert run(spark, DOCS[:4], []) == brute(DOCS[:4], [])
 
 
+def test_a_word_of_all_documents_and_many_items_of_one(spark, monkeypatch):
+    """Items of one word that most documents hold; a document that meets more items than are worked together; marks beyond the map."""
+    monkeypatch.setattr(D, "TOGETHER", 3)
+    items = [(k, "common" if k < 4 else " ".join(ALPHA[k : k + 12])) for k in range(20)] + [(99, "never seen")]
+    docs = [(k, f"d{k} common e{k}" if k % 5 else f"d{k}") for k in range(120)] + [(500, " ".join(ALPHA) + " Common"), (501, "")]
+    want = brute(docs, items)
+    assert run(spark, docs, items) == want and run(spark, docs, items, broadcast_bytes=0) == want
+
+
+def long_words(n):
+    """Two different words whose polynomials modulo 2^64 are equal (Thue-Morse words)."""
+    s, t = "a", "b"
+    for _ in range(n):
+        s, t = s + t, t + s
+    return s, t
+
+
+def test_long_words_of_equal_polynomials(spark):
+    for n in (6, 7, 10, 12):
+        s, t = long_words(n)
+        docs, items = [(1, f"x {s} y"), (2, f"x {t} y")], [(1, s), (2, "z " + t)]
+        assert run(spark, docs, items) == brute(docs, items)
+
+
 def test_clashing_columns(spark):
     d = spark.createDataFrame([(1, ITEM, "a", "b")], "doc_id long, text string, hit_items string, `x.y` string")
     b = spark.createDataFrame([(1, ITEM, "q")], "item_id long, text string, doc_id string")

@@ -80,6 +80,14 @@ def test_same_as_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_long_words_of_equal_polynomials(spark):
+    s, t = "a", "b"
+    for _ in range(10):
+        s, t = s + t, t + s
+    rows = [(1, s), (2, t), (3, f"one two three four {s}"), (4, f"one two three four {t}"), (5, s)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 3)
     monkeypatch.setattr(J, "SAMPLE", 10)

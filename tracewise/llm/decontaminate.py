@@ -7,7 +7,9 @@ benchmark, the hit is extended to the whole 10-word windows that both have, comp
 
 A benchmark of at most BROADCAST_BYTES of text is indexed whole and broadcast; documents are not shuffled. A larger one is never
 collected: fingerprints of documents and items are joined by shuffle (items of fewer words than a window have the hash of all their
-words for one, and documents the hashes of all sequences of such a length), and each document is extended against the items it met.
+words for one, and documents the hashes of all sequences of such a length), and each document is extended against the items it met, TOGETHER
+at a time. A bit map of fixed size holds back most fingerprints that no item has; documents are dealt into SALT parts in the join, where a
+fingerprint of very many documents would otherwise be one group.
 Both ways give the same rows.
 
 Defined results: null and wordless texts have no words and no hits; an item with fewer words than a window is one window, an
@@ -29,6 +31,7 @@ from tracewise.llm.textops import ALNUM, Words, buffers, gram_hash, slices
 
 WINDOW, K = 10, 5
 BROADCAST_BYTES = 32 << 20
+MAP_BITS, SALT, TOGETHER = 1 << 23, 16, 256
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [
@@ -147,9 +150,19 @@ def _scanner(index, text: str):
     return make
 
 
-def _marks(rows: DataFrame, key: str, text: str, whole: bool, sizes: list[int]) -> DataFrame:
+def _bit_map(marks: DataFrame) -> np.ndarray:
+    """Bytes of a map of MAP_BITS bits, in which those of all ``marks`` (mark) are set."""
+    place = F.col("mark").bitwiseAND(F.lit(MAP_BITS - 1))
+    bits = marks.select(place.alias("h")).distinct().groupBy(F.floor(F.col("h") / 32).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 32 as int)))").alias("bits"))
+    bits = bits.toArrow()  # at most MAP_BITS / 32 rows
+    known = np.zeros(MAP_BITS // 32, "<u4")
+    known[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().astype("<u4")
+    return known.view(np.uint8)
+
+
+def _marks(rows: DataFrame, key: str, text: str, whole: bool, sizes: list[int], known=None) -> DataFrame:
     """(key, size, mark): the distinct fingerprints of each text. ``whole`` texts of fewer words than a window have one of their length;
-    others have those of all their sequences of ``sizes`` words."""
+    others have those of all their sequences of ``sizes`` words. ``known``: a map that the fingerprints must be in."""
 
     def run(batches):
         for batch in batches:
@@ -158,6 +171,9 @@ def _marks(rows: DataFrame, key: str, text: str, whole: bool, sizes: list[int])
                 who, size, mark = [], [], []
 
                 def add(d, n, found):
+                    if known is not None:
+                        at = (found & np.uint64(MAP_BITS - 1)).astype(np.int64)
+                        found = found[(known.value[at >> 3] >> (at & 7) & 1).astype(bool)]
                     found = np.unique(found)
                     who.append(np.full(len(found), d))
                     size.append(np.full(len(found), n))
@@ -180,25 +196,23 @@ def _marks(rows: DataFrame, key: str, text: str, whole: bool, sizes: list[int])
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(key, item, spans) of rows (key, text, item, item_text) that share a window."""
-    schema = pa.schema([("key", pa.int64()), ("item", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    """(key, items, spans) of rows (key, text, asked: items and their texts): the items that share a window with the text, and where."""
+    schema = pa.schema([("key", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
-                words, last = None, None
                 for r in part.to_pylist():
-                    if r["key"] != last:
-                        words, last = Words(*buffers(pa.array([r["text"]], pa.string())), ALNUM), r["key"]
-                    hit, found, _ = Index([(r["item"], r["item_text"])]).hits(words)
+                    index = Index([(x["item"], x["item_text"]) for x in r["asked"]])
+                    hit, _, found = index.hits(Words(*buffers(pa.array([r["text"]], pa.string())), ALNUM))
                     if len(found):
                         edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
                         spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-                        out.append({"key": r["key"], "item": r["item"], "spans": spans})
+                        out.append({"key": r["key"], "items": [index.ids[n] for n in found], "spans": spans})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.select("key", "text", "item", "item_text").mapInArrow(run, "key long, item string, spans array<struct<start: long, end: long>>")
+    return rows.select("key", "text", "asked").mapInArrow(run, "key long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
 def _by_join(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
@@ -210,10 +224,16 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
     items = written(items.distinct().withColumn("key", F.monotonically_increasing_id()), "items")
     marks = written(_marks(items, "key", "t", True, []), "item-marks")
     sizes = [r.size for r in marks.where(F.col("size") < WINDOW).select("size").distinct().collect()]  # fewer than WINDOW
-    wanted = marks.withColumnRenamed("key", "item_key")
-    pairs = written(_marks(rows, "key", at, False, sorted(sizes)).join(wanted, ["size", "mark"]).select("key", "item_key").distinct(), "pairs")
-    met = pairs.join(rows.select("key", F.col(at).alias("text")), "key").join(items.select(F.col("key").alias("item_key"), F.col("i").alias("item"), F.col("t").alias("item_text")), "item_key")
-    found = _met(met).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.array_sort(F.collect_set("item")).alias("hit_items"))
+    known = docs.sparkSession.sparkContext.broadcast(_bit_map(marks))
+    wanted = marks.withColumnRenamed("key", "item_key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    seen = _marks(rows, "key", at, False, sorted(sizes), known).withColumn("salt", F.pmod("key", F.lit(SALT)).cast("int"))
+    pairs = written(seen.join(wanted, ["size", "mark", "salt"]).select("key", "item_key").distinct(), "pairs")
+    group = F.pmod(F.xxhash64("item_key"), F.ceil(F.col("n") / TOGETHER)).alias("group")
+    pairs = pairs.join(pairs.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "item_key", group)
+    asked = pairs.join(items.select(F.col("key").alias("item_key"), F.col("i").alias("item"), F.col("t").alias("item_text")), "item_key")
+    asked = asked.groupBy("key", "group").agg(F.collect_list(F.struct("item", "item_text")).alias("asked"))
+    met = _met(asked.join(rows.select("key", F.col(at).alias("text")), "key"))
+    found = met.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("items"))))).alias("hit_items"))
     found = written(found.withColumn("hit_spans", _merged("hit_spans")), "hits")
 
     def count():

@@ -22,7 +22,7 @@ number of different words before the pair (its count where it begins a text), an
 with p(w|v) alone for the first token and after a pair that was never a context. Ids take 32 bits: more different words, or with order
 3 more different pairs, are an error.
 
-Texts are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` and an end, which is a token. Words are told apart by 64-bit hashes.
+Texts are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` and an end, which is a token. Words are told apart by 64-bit hashes (``textops.Words``).
 
 Defined results: null and empty texts are the end alone; no training rows at all leave 1 / (V + 1) = 1 for every token, so that
 both scores are 0; repeated rows count repeatedly; input columns named like a result column are replaced. Killed tasks leave no

@@ -9,6 +9,7 @@ non-ASCII characters can be decided byte by byte.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 _SEGMENT = 1 << 18
+#: Words of more bytes are hashed by blake2b: a polynomial modulo 2^64 takes some pairs of long words for one (Thue-Morse words).
+LONG_WORD = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -105,7 +108,8 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of several texts: ``hash`` (64 bits each), ``start``, ``end`` (bytes) and ``first`` (n + 1 word offsets by text)."""
+    """The words of several texts: ``hash`` (64 bits each, by which words are told apart: different words have equal hashes with a chance of
+    2^-64 a pair), ``start``, ``end`` (bytes) and ``first`` (n + 1 word offsets by text)."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED) -> None:
         low = LOWER[data]
@@ -129,7 +133,10 @@ class Words:
             s, e = self.start[w:to] - base, self.end[w:to] - base
             out[w:to] = (run[e] - run[s]) * inv[s]
             w = to
-        return mix(out)
+        out = mix(out)
+        for k in np.flatnonzero(self.end - self.start > LONG_WORD):
+            out[k] = int.from_bytes(blake2b(low[self.start[k] : self.end[k]], digest_size=8).digest(), "little")
+        return out
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each position, over all texts; positions past a text's last k-gram mean nothing."""
