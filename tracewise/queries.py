@@ -507,6 +507,9 @@ QUERIES = {
     "relation_simulation_nat": relation("nat", "simulation"),
     "relation_bisimulation_nat": relation("nat", "bisimulation"),
     "report_nat": report("nat", COUNTED),
+    "report_evt": report("evt"),
+    "relation_traces_evt": relation("evt", "traces"),
+    "preorders_simulation_evt": preorders("evt", "simulation"),
     "spectrum_report": report("parcel"),
     "spectrum_report_nat": report("nat"),
     "relation_traces_parcel": relation("parcel", "traces"),
@@ -579,6 +582,12 @@ _BISIM_EVT = _EVT + ", r0 AS (SELECT src AS pid, CAST(0 AS BIGINT) AS cls FROM e
     f", s{i} AS MATERIALIZED (SELECT r.pid, coalesce(string_agg(DISTINCT label || '>' || t.cls, ',' ORDER BY label || '>' || t.cls), '') AS s FROM r{i} r LEFT JOIN evt ON src = r.pid LEFT JOIN r{i} t ON t.pid = dst GROUP BY r.pid), r{i + 1} AS MATERIALIZED (SELECT pid, min(pid) OVER (PARTITION BY s) AS cls FROM s{i})"
     for i in range(_ROUNDS)
 )
+#: States of ``evt`` have at most one move of a label, so each notion but enabledness tells apart what bisimilarity does, and one state is below
+#: another if it has no sequence of labels that the other hasn't: ``more`` are the pairs of classes where it has.
+_EVT_MORE = "RECURSIVE " + _BISIM_EVT + f""", ec AS MATERIALIZED (SELECT a.cls AS src, label, b.cls AS dst FROM evt JOIN r{_ROUNDS} a ON a.pid = src AND a.cls = src JOIN r{_ROUNDS} b ON b.pid = dst),
+els AS MATERIALIZED (SELECT cls, list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)) AS ls FROM (SELECT DISTINCT cls FROM r{_ROUNDS}) LEFT JOIN ec ON src = cls GROUP BY cls),
+more(p, q) AS (SELECT a.cls, b.cls FROM els a JOIN els b ON NOT list_has_all(coalesce(b.ls, []), coalesce(a.ls, []))
+UNION SELECT x.src, y.src FROM more JOIN ec x ON x.dst = p JOIN ec y ON y.dst = q AND y.label = x.label)"""
 #: The game on the quotient of the conversations, whose states have one move at most: positions of a kind, a state and another or none.
 _GAME_CONV = """RECURSIVE """ + _SUFFIX + """, q AS (SELECT DISTINCT a.cls AS p, label, b.cls AS nxt FROM conv JOIN cnamed a ON a.pid = src JOIN cnamed b ON b.pid = dst),
 qs AS (SELECT DISTINCT cls AS p, coalesce(label, '') AS label FROM cnamed LEFT JOIN (SELECT p AS cls, label FROM q) USING (cls)),
@@ -734,6 +743,9 @@ SELECT 'A:' || p || ':' || q AS src, CAST(0 AS BIGINT) AS upd, 'A:' || p2 || ':'
     "quotient_edges_parcel": f"WITH {_FAMILY}, c AS (SELECT pid, min(pid) OVER (PARTITION BY readiness) AS cls FROM pkey) SELECT a.cls AS src, label, b.cls AS dst, count(*) AS n FROM parcel JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.pid = a.cls GROUP BY ALL",
     "split_moves": f"WITH {_SPLITS} SELECT src, CAST(1 AS BIGINT) AS upd, 'D:' || conj.p || ':' || q || ':' || qx AS dst FROM conj JOIN start USING (o) UNION ALL SELECT src, 0, 'A:' || o || ':' FROM start, (VALUES (1), (2), (4)) AS t(f) WHERE pm & f > 0 AND qm & f = 0",
     "revival_moves": f"WITH {_SPLITS}, d AS (SELECT 'D:' || p || ':' || q || ':' || qx AS src, p, q, qx FROM conj) SELECT src, CAST(2 AS BIGINT) AS upd, 'C:' || p || ':' || unnest(string_split(q, ',')) AS dst FROM d UNION ALL SELECT src, 3, 'A:' || p || ':' || qx FROM d WHERE qx <> ''",
+    "report_evt": f"WITH {_EVT_MORE} SELECT notion, CAST(CASE notion WHEN 'enabledness' THEN count(DISTINCT coalesce(array_to_string(ls, ','), '')) ELSE count(*) END AS BIGINT) AS classes FROM els, (VALUES {', '.join(f"('{n}')" for n in E.NOTIONS)}) AS t(notion) GROUP BY notion",
+    "relation_traces_evt": f"WITH {_BISIM_EVT} SELECT pid, cls AS class_id FROM r{_ROUNDS}",
+    "preorders_simulation_evt": f"WITH {_EVT_MORE} SELECT a.cls AS p, b.cls AS q FROM els a JOIN els b ON coalesce(a.ls, []) = coalesce(b.ls, []) AND a.cls <> b.cls ANTI JOIN more ON more.p = a.cls AND more.q = b.cls",
     "game_size_parcel": f"WITH {_GAME_PARCEL} SELECT what, CAST(n AS BIGINT) AS n FROM sizes WHERE n > 0",
     "game_size_conv": f"WITH {_GAME_CONV}, n AS (SELECT kind, x >= 0 AS has, count(*) AS n FROM pos GROUP BY ALL) SELECT 'positions ' || kind AS what, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY kind UNION ALL SELECT 'moves 0', {_OBS_CONV} UNION ALL SELECT 'moves 1', CAST(sum(n) AS BIGINT) FROM n WHERE kind = 'A' UNION ALL SELECT 'moves 2', CAST(sum(n) AS BIGINT) FROM n WHERE kind = 'D' AND has UNION ALL SELECT 'moves 4', (SELECT count(*) FROM pos WHERE kind = 'C' AND p <> x) UNION ALL SELECT 'moves 5', (SELECT count(*) FROM pos WHERE kind = 'C' AND p <> x)",
     "wide_algebra": f"WITH {_VEC}, s AS (SELECT a.pid, {', '.join(f'greatest(a.{e}, b.{e}) AS {e}' for e in _ES)} FROM vec a JOIN vec b ON b.pid = a.pid + 1), u AS (SELECT pid, e1 + 1 AS e1, e2, e3, e4, e5, e6 + 1 AS e6 FROM s) SELECT pid, concat_ws(',', greatest(e1, e3), e2, e3, e4, greatest(e5, e4), e6) AS e FROM u",
