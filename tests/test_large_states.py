@@ -22,3 +22,10 @@ def test_labels(spark, turns):
         lts.from_lines(lines)
     with pytest.raises(lts.ParseError):
         lts.from_lines(spark.createDataFrame([(0, "0,9223372036854775808,a")], "line long, value string"), lts.LARGEST)
+
+
+LINES = {((5000 << 20), (5000 << 20) + 1, 1), ((5000 << 20) + 1, (5000 << 20) + 2, 3), ((4096 << 20), (4096 << 20) + 1, 2), ((7 << 20), (7 << 20) + 1, 1)}
+
+
+def test_edges(spark, turns):
+    assert {tuple(r) for r in queries.text_edges(spark, turns).collect()} == LINES
