@@ -29,3 +29,7 @@ LINES = {((5000 << 20), (5000 << 20) + 1, 1), ((5000 << 20) + 1, (5000 << 20) +
 
 def test_edges(spark, turns):
     assert {tuple(r) for r in queries.text_edges(spark, turns).collect()} == LINES
+
+
+def test_files(spark, turns):
+    assert {tuple(r) for r in queries.text_files(spark, turns).collect()} == LINES
