@@ -18,3 +18,12 @@ def test_many_edges_to_one_state(spark):
     part = refine.refine(edges)
     assert {(r.cls, r.n) for r in part.groupBy("cls").agg(F.count("*").alias("n")).collect()} == {(0, 1), (1, n // 3), (2, n // 3), (3, n // 3)}
     assert {tuple(r) for r in refine.quotient(edges, part).collect()} == {(1, 1, 0), (2, 2, 0), (3, 0, 0)}
+
+
+def test_relation_reads_classes_not_states(spark):
+    edges = spark.range(0, 3000).select(F.col("id").alias("src"), (F.col("id") + 10000).alias("dst"), (F.col("id") % 2).cast("int").alias("label"))
+    solved = LTS(edges, sparse=True).equivalences()
+    rel = solved.relation("traces")
+    assert {(r.class_id, r.n) for r in rel.groupBy("class_id").agg(F.count("*").alias("n")).collect()} == {(0, 1500), (1, 1500), (10000, 3000)}
+    assert {tuple(r) for r in solved.classes("traces").collect()} == {(0, 1500), (1, 1500), (10000, 3000)}
+    assert "BroadcastHashJoin" in rel._jdf.queryExecution().toString() and solved.count_classes("bisimulation") == 3
