@@ -8,8 +8,7 @@ Which classes meet. All sets are sorted by one order of the shingles: rare befor
 n - ceil(0.8 n) + 1 shingles as keys: of two sets that link, the first shingle they share is a key of both (prefix filter). A set
 of over 150 with few common shingles needs only KEYS of them: the order is random within the rare ones and at least 79 % of those
 are shared, so two that link have no shared key with a chance of 0.21 ** 32 < 1e-21, and fewer than SHARED of them with a chance
-below 1e-10; ``exact`` takes whole prefixes of all sets instead. Which shingles are common is fitted on a bounded sample of about SAMPLE texts; it decides the order and so the
-speed, never the result.
+below 1e-10; ``exact`` takes whole prefixes of all sets instead. Which shingles are common is counted over all texts.
 
 Signature trees. The classes that have a key form a bucket. In it, classes sorted by size are the leaves of a tree whose
 nodes hold the OR of their leaves' token bitmaps and the range of their sizes. Two trees (or a tree and itself) are traversed
@@ -44,7 +43,8 @@ from tracewise.plans.iterate import HOT, skew_join
 
 WORDS = 5
 KEYS, SHARED, HOT_SHARE = 32, 8, 0.05
-SAMPLE, COMMON = 4096, 65536
+SAMPLE, COMMON = 4096, 65536  # common: five in SAMPLE texts, of all
+BINS, BIN_BLOCK = 1 << 20, 1 << 14
 BLOCK = 1024
 BITS = 1024
 
@@ -368,19 +368,63 @@ def _link_candidates(rows: DataFrame, k: int) -> DataFrame:
     return _by_bucket(rows, "text").mapInArrow(run, _LINK)
 
 
+def _new_sets(batches, text: str, k: int):
+    """(digest, set) of the texts of a task, of equal sets the first one only while it is remembered."""
+    seen = set()
+    for batch in batches:
+        for part in slices(batch, text):
+            for s in shingle_sets(Words(*buffers(text_of(part, text)), SPACED), k):
+                d = digest(s)
+                if len(s) and d not in seen:
+                    seen.add(d)
+                    yield d, s
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+
+
+def _full_bins(docs: DataFrame, text: str, k: int, least: int) -> np.ndarray:
+    """For each of BINS bins of hashes, whether its shingles are in ``least`` or more texts, counted together over all texts."""
+
+    def count(batches):
+        held = np.zeros(BINS, np.int64)
+        for _, s in _new_sets(batches, text, k):
+            np.add.at(held, (s & U64(BINS - 1)).astype(np.int64), 1)
+        for at in np.flatnonzero(held.reshape(-1, BIN_BLOCK).any(1)).tolist():
+            part = held[at * BIN_BLOCK : (at + 1) * BIN_BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        sums: dict = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        for at, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["block", "full"])
+
+    counted = only(docs, text).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, full binary")
+    full = np.zeros(BINS, bool)
+    for r in counted.collect():
+        full[r.block * BIN_BLOCK : (r.block + 1) * BIN_BLOCK] = np.unpackbits(np.frombuffer(r.full, np.uint8)).astype(bool)
+    return full
+
+
 def common_shingles(docs: DataFrame, text: str, k: int, rows: int) -> np.ndarray:
-    """Hashes that several different texts of a bounded sample share, at most COMMON of them."""
-    every = max(1, rows // SAMPLE)
-    some = only(docs, text).where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(every)) == 0)
+    """Hashes that at least five in SAMPLE of all texts, and five different ones, share; at most COMMON of them.
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, text):
-                sets = [s for s in shingle_sets(Words(*buffers(text_of(part, text)), SPACED), k) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["c", "s"])
+    All texts are counted: first by bins of hashes, a bit map of those that can hold a common one; then, of these alone, each shingle by different
+    texts."""
+    least = max(5, 5 * rows // SAMPLE)
+    bins = docs.sparkSession.sparkContext.broadcast(_full_bins(docs, text, k, least))
 
-    many = some.mapInArrow(run, "c binary, s array<long>").dropDuplicates(["c"]).select(F.explode("s").alias("h")).groupBy("h").count()
-    found = many.where(F.col("count") >= 5).orderBy(F.desc("count"), "h").limit(COMMON).select("h").collect()
+    def run(batches):
+        full = bins.value
+        for d, s in _new_sets(batches, text, k):
+            may = s[full[(s & U64(BINS - 1)).astype(np.int64)]]
+            if len(may):
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.binary()), pa.array([may.view(np.int64)], pa.list_(pa.int64()))], names=["c", "s"])
+
+    many = only(docs, text).mapInArrow(run, "c binary, s array<long>").select("c", F.explode("s").alias("h")).distinct().groupBy("h").count()
+    found = many.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(COMMON).select("h").collect()
     return np.sort(np.array([r.h for r in found], np.int64).view(U64))
 
 
