@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.arrowmap import add_columns, only, text_of
+from tracewise.llm.arrowmap import add_columns, only, text_of, trimmed
 from tracewise.llm.storage import written
 from tracewise.llm.textops import ALNUM, Words, buffers, gram_hash, slices
 
@@ -192,7 +192,7 @@ def _marks(rows: DataFrame, key: str, text: str, whole: bool, sizes: list[int],
                     keys = text_of(part, key).take(pa.array(np.concatenate(who), pa.int64()))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(size), pa.int32()), pa.array(np.concatenate(mark).view(np.int64))], names=["key", "size", "mark"])
 
-    return only(rows, key, text).mapInArrow(run, "key long, size int, mark long")
+    return only(rows, key, text).mapInArrow(trimmed(run), "key long, size int, mark long")
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _met(rows: DataFrame) -> DataFrame:
                         out.append({"key": r["key"], "items": [index.ids[n] for n in found], "spans": spans})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.select("key", "text", "asked").mapInArrow(run, "key long, items array<string>, spans array<struct<start: long, end: long>>")
+    return rows.select("key", "text", "asked").mapInArrow(trimmed(run), "key long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
 def _by_join(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:

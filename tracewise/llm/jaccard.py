@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.arrowmap import only, text_of
+from tracewise.llm.arrowmap import only, text_of, trimmed
 from tracewise.llm.components import components
 from tracewise.llm.storage import written
 from tracewise.llm.textops import SPACED, Words, buffers, gram_hash, mix, slices
@@ -287,7 +287,7 @@ def _link_texts(rows: DataFrame, k: int) -> DataFrame:
             if found:
                 yield _link_batch([(members[a]["c"], members[b]["c"]) for a, b in found])
 
-    return rows.select("key", "block", "c", "label", "text").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, _LINK)
+    return rows.select("key", "block", "c", "label", "text").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(trimmed(run), _LINK)
 
 
 _MEMBER = "key long, left long, right long, block long, c binary, n long, label binary, keys array<long>"
@@ -344,7 +344,7 @@ def _members_to_compare(rows: DataFrame) -> DataFrame:
             if met:
                 yield part.take(pa.array(np.unique(np.concatenate(met)), pa.int64()))
 
-    return _by_bucket(rows).mapInArrow(run, _MEMBER)
+    return _by_bucket(rows).mapInArrow(trimmed(run), _MEMBER)
 
 
 def _link_candidates(rows: DataFrame, k: int) -> DataFrame:
@@ -365,7 +365,7 @@ def _link_candidates(rows: DataFrame, k: int) -> DataFrame:
             if found:
                 yield _link_batch(found)
 
-    return _by_bucket(rows, "text").mapInArrow(run, _LINK)
+    return _by_bucket(rows, "text").mapInArrow(trimmed(run), _LINK)
 
 
 def _new_sets(batches, text: str, k: int):
@@ -401,7 +401,7 @@ def _full_bins(docs: DataFrame, text: str, k: int, least: int) -> np.ndarray:
         for at, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["block", "full"])
 
-    counted = only(docs, text).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, full binary")
+    counted = only(docs, text).mapInArrow(trimmed(count), "block int, counts binary").repartition("block").mapInArrow(trimmed(add), "block int, full binary")
     full = np.zeros(BINS, bool)
     for r in counted.collect():
         full[r.block * BIN_BLOCK : (r.block + 1) * BIN_BLOCK] = np.unpackbits(np.frombuffer(r.full, np.uint8)).astype(bool)
@@ -423,7 +423,7 @@ def common_shingles(docs: DataFrame, text: str, k: int, rows: int) -> np.ndarray
             if len(may):
                 yield pa.RecordBatch.from_arrays([pa.array([d], pa.binary()), pa.array([may.view(np.int64)], pa.list_(pa.int64()))], names=["c", "s"])
 
-    many = only(docs, text).mapInArrow(run, "c binary, s array<long>").select("c", F.explode("s").alias("h")).distinct().groupBy("h").count()
+    many = only(docs, text).mapInArrow(trimmed(run), "c binary, s array<long>").select("c", F.explode("s").alias("h")).distinct().groupBy("h").count()
     found = many.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(COMMON).select("h").collect()
     return np.sort(np.array([r.h for r in found], np.int64).view(U64))
 
@@ -450,7 +450,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, k: int, common: np.ndarray
                             seen.clear()
                 yield pa.RecordBatch.from_arrays([text_of(part, doc_id), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "c", "keys"])
 
-    return only(docs, doc_id, text).mapInArrow(run, schema)
+    return only(docs, doc_id, text).mapInArrow(trimmed(run), schema)
 
 
 def _texts(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -471,7 +471,7 @@ def _texts(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
 
-    return only(docs, text).mapInArrow(run, "c binary, text string").join(wanted, "c", "left_semi").dropDuplicates(["c"])
+    return only(docs, text).mapInArrow(trimmed(run), "c binary, text string").join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
 def _by_key(rows: DataFrame, facts: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.arrowmap import only, text_of
+from tracewise.llm.arrowmap import only, text_of, trimmed
 from tracewise.llm.storage import written
 from tracewise.llm.textops import LOWER, buffers, byte_class, slices, spans
 
@@ -227,7 +227,7 @@ def cut(docs: DataFrame, path: str, doc_id: str, text: str, capacity: int, end_i
                 made = [piece, start, length, crc, np.full(len(which), task), rank] + ([[bytes(o) for o in own]] if keep_ids else [])
                 yield pa.RecordBatch.from_arrays([key] + [pa.array(c, f.type) for c, f in zip(made, list(arrow)[1:], strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 class Histogram:
@@ -404,4 +404,4 @@ def _add_numbers(df: DataFrame, make) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)] + [pa.array(x, pa.int64()) for x in work(b)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
