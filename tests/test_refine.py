@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tracewise.operators import refine
 from tracewise.plans import iterate
 
@@ -44,3 +46,30 @@ def test_chains_are_longer_than_a_plan(spark):
 def test_only_deadlocks_only_loops_and_repeated_edges(spark):
     assert refined(spark, [], [3, 1, 2]) == {1: 1, 2: 1, 3: 1}
     assert refined(spark, [(1, "a", 1), (2, "a", 2), (2, "a", 2), (3, "b", 1)], [1, 2, 3]) == {1: 1, 2: 1, 3: 3}
+
+
+def test_partitions_follow_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "DEALT", 100)
+    name = "spark.sql.shuffle.partitions"
+    seen, several = [], refine._Rounds.several
+
+    def told(self, named):
+        seen.append(int(spark.conf.get(name)))
+        return several(self, named)
+
+    monkeypatch.setattr(refine._Rounds, "several", told)
+    before = spark.conf.get(name)
+    edges = iterate.cut(spark.range(1000).select((F.col("id") + 1).alias("src"), (F.col("id") % 5).alias("dst"), (F.col("id") % 2).cast("int").alias("label")))
+    part = refine.refine(edges)
+    assert seen and set(seen) == {10} and spark.conf.get(name) == before
+    # 0 has no edges; 1 leads to it; classes of the others are told by what 0 to 4 are: brute force
+    to = {i + 1: (i % 2, i % 5) for i in range(1000)}
+    cls = {k: () for k in range(1001)}
+    for _ in range(8):
+        cls = {k: (to[k][0], cls[to[k][1]]) if k in to else () for k in cls}
+    groups = {}
+    for k in sorted(cls):
+        groups.setdefault(cls[k], k)
+    assert {r.pid: r.cls for r in part.collect()} == {k: groups[cls[k]] for k in cls}
+    numbers = {c: n for n, c in enumerate(sorted(set(groups.values())))}
+    assert {r.pid: r.number for r in refine.numbered(part).collect()} == {k: numbers[groups[cls[k]]] for k in cls}
