@@ -44,11 +44,13 @@ from pyspark.sql import types as T
 
 from tracewise.llm.arrowmap import add_columns, only, text_of
 from tracewise.llm.storage import mounted, scratch, shuffles_dropped, written
-from tracewise.llm.textops import Words, buffers, mix, slices
+from tracewise.llm.textops import SLICE_BYTES, Words, buffers, mix, slices
 
 SHARD_BYTES = 16 << 20
 #: Tokens that a task gathers before it counts them.
 FLUSH_TOKENS = 2_000_000
+#: Bytes of text that are looked up at once for each shard, and at most: a look-up takes a step in every shard, so it has to grow with their number.
+SHARE_BYTES, MOST_BYTES = 16 << 10, 8 << 20
 
 END = mix(np.array([0xE17D], np.uint64), 77)[0]
 U64 = np.uint64
@@ -93,6 +95,11 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x - U64(0x9E3779B97F4A7C15)
 
 
+def asked_bytes(bits: int) -> int:
+    """Bytes of text that are looked up in 2^bits shards at once."""
+    return min(MOST_BYTES, max(SLICE_BYTES, SHARE_BYTES << bits))
+
+
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -137,7 +144,7 @@ def _counted(docs: DataFrame, text: str, bits: int, keys_of) -> DataFrame:
                 yield _batch(rows[at : at + 64], schema)
 
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, asked_bytes(bits)):
                 held.append(make(part))
                 size += len(held[-1])
                 if size >= FLUSH_TOKENS:
@@ -565,7 +572,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = shared.value.opened()
         return lambda part: scorer(Words(*buffers(text_of(part, text))))
 
-    return add_columns(docs, text, FIELDS, make)
+    return add_columns(docs, text, FIELDS, make, most=asked_bytes(model.bits))
 
 
 def perplexity(score_column: str = "score", tokens: str = "n_tokens"):
