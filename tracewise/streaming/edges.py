@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.sources.lts import _parsed
+from tracewise.sources.lts import LARGEST, _parsed
 
 
 def edge_stream(spark: SparkSession, folder: str) -> DataFrame:
     """(src, dst, name) of text files that appear in a folder; lines that are no edges are left out."""
     lines = spark.readStream.format("text").load(folder).select("value", F.lit(0).cast("bigint").alias("line"))
-    return _parsed(lines).where("fields = 3 AND src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "name")
+    return _parsed(lines, LARGEST).where("fields = 3 AND src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "name")
 
 
 def enabled_labels(edges: DataFrame) -> DataFrame:
